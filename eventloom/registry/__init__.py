@@ -124,6 +124,6 @@ def ev_sql(body: str, *ctes: str) -> str:
 
 
 def load_all() -> dict[str, Entry]:
-    from eventloom.registry import analytics, ingest, monitoring  # noqa: F401
+    from eventloom.registry import analytics, ingest, monitoring, search, streams  # noqa: F401
 
     return ENTRIES
