@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.plans.skew import running_sum
+SLOT_WIDTH = 1024
 
 
 def exact_percentiles(
@@ -15,29 +16,63 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     wanted: Mapping[str, float],
-    slot_width: float = 1024,
+    stats: bool = False,
 ) -> DataFrame:
     """One row per key with a column per wanted fraction, interpolated like `percentile`.
 
-    Values are first counted per (key, value), which a hot key spreads over its values,
-    then placed by a running count cut into value ranges of `slot_width`. Memory per task
-    does not depend on the size of a group.
+    `value` must be integral. Rows are first counted per (key, value), which spreads a hot
+    key over its values, then gathered into value slots of at most `SLOT_WIDTH` distinct
+    values, so no task holds more of a key at once than one slot. Only slots, not rows,
+    meet per key. `stats` adds count, sum, min and max.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = running_sum(
-        counted, keys, F.floor(F.col(value) / slot_width), [value], "_n", "_upto"
-    ).join(totals, list(keys))
-    picks = []
-    for name, fraction in wanted.items():
-        position = F.lit(fraction) * (F.col("_size") - 1)
-        for suffix, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            hit = (F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{suffix}"))
-    picked = placed.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
-    out = []
+    slot = F.floor(F.col(value) / SLOT_WIDTH)
+    counted = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, slot.alias("_slot"), F.col(value).alias("_v"))
+        .agg(F.count("*").alias("_n"))
+    )
+    slots = counted.groupBy(*keys, "_slot").agg(
+        F.sum("_n").alias("_held"),
+        F.sum(F.col("_v") * F.col("_n")).alias("_sum"),
+        F.sort_array(F.collect_list(F.struct("_v", "_n"))).alias("_values"),
+    )
+    whole = W.partitionBy(*keys)
+    earlier = whole.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    placed = slots.withColumn("_size", F.sum("_held").over(whole)).withColumn(
+        "_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0))
+    )
+
+    def at(index: Column) -> Column:
+        """Value at a rank of the group, if this slot has it."""
+        here = (index >= F.col("_before")) & (index < F.col("_before") + F.col("_held"))
+        start = F.struct(F.col("_before").alias("upto"), F.lit(None).cast("bigint").alias("found"))
+        found = F.aggregate(
+            "_values",
+            start,
+            lambda s, x: F.struct(
+                (s["upto"] + x["_n"]).alias("upto"),
+                F.when(s["found"].isNull() & (index < s["upto"] + x["_n"]), x["_v"].cast("bigint"))
+                .otherwise(s["found"])
+                .alias("found"),
+            ),
+            lambda s: s["found"],
+        )
+        return F.when(here, found)
+
+    picks, out = [], []
     for name, fraction in wanted.items():
         position = F.lit(fraction) * (F.col("_size") - 1)
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return picked.select(*keys, *out)
+        share = F.lit(fraction) * (F.col("_rows") - 1)
+        picks.append(F.max(at(F.floor(position))).alias(f"_{name}_low"))
+        picks.append(F.max(at(F.ceil(position))).alias(f"_{name}_high"))
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        out.append((low + (high - low) * (share - F.floor(share))).alias(name))
+    if stats:
+        picks += [
+            F.sum("_sum").alias("sum"),
+            F.min(F.element_at("_values", 1)["_v"]).alias("min"),
+            F.max(F.element_at("_values", -1)["_v"]).alias("max"),
+        ]
+    picked = placed.groupBy(*keys).agg(F.max("_size").alias("_rows"), *picks)
+    extra = [F.col("_rows").alias("count"), "sum", "min", "max"] if stats else []
+    return picked.select(*keys, *extra, *out)

@@ -72,7 +72,7 @@ def read_search(text: str | None) -> SearchText:
 
 
 def tokens(column: Column) -> Column:
-    return F.filter(F.split(F.lower(column), BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(column), BREAK), "")
 
 
 def _present(name: str) -> Column:
@@ -219,9 +219,9 @@ def analyze(column: Column, analyzer: str = "standard", stop_words: Sequence[str
     """Terms of a text: `standard` and `letters` lower-case, `whitespace` keeps words as is,
     `stop` is `standard` without the given words."""
     if analyzer == "whitespace":
-        return F.filter(F.split(column, r"\s+"), lambda t: t != "")
+        return F.array_remove(F.split(column, r"\s+"), "")
     if analyzer == "letters":
-        return F.filter(F.split(F.lower(column), "[^a-z]+"), lambda t: t != "")
+        return F.array_remove(F.split(F.lower(column), "[^a-z]+"), "")
     if analyzer == "stop":
         return F.filter(tokens(column), lambda t: ~t.isin(*stop_words))
     if analyzer == "standard":

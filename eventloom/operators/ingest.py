@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, time, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,26 +16,39 @@ from eventloom.plans.pruning import between
 from eventloom.plans.skew import keep_one, salted_join
 
 
-def parse_batches(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
-    """JSON text to one row per event; one object, a list or `{"events": [...]}` all work.
+# One schema for both shapes, so that a payload is parsed once.
+_PAYLOAD = T.StructType(
+    [T.StructField("events", T.ArrayType(S.EVENT_INPUT)), *S.EVENT_INPUT.fields]
+)
 
-    Adds `event_index` and the batch's `batch_events`. Text that is not JSON gives no row
-    here and is left to `quarantine`.
+
+def decode_batches(df: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON text to the batch's `events` and their number, one row per batch.
+
+    A list, `{"events": [...]}` and a single event object are all taken. Text that is not
+    JSON has no events here and is left to `quarantine`.
     """
     text = F.col(payload)
-    listed = T.StructType([T.StructField("events", T.ArrayType(S.EVENT_INPUT))])
-    trimmed = F.ltrim(text)
-    wrapped = (
-        F.when(trimmed.startswith("["), F.concat(F.lit('{"events":'), text, F.lit("}")))
-        .when(F.get_json_object(text, "$.events").isNotNull(), text)
-        .otherwise(F.concat(F.lit('{"events":['), text, F.lit("]}")))
+    listed = F.ltrim(text).startswith("[")
+    whole = F.when(listed, F.concat(F.lit('{"events":'), text, F.lit("}"))).otherwise(text)
+    parsed = df.select(*keep, F.from_json(whole, _PAYLOAD).alias("_p"))
+    fields = [F.col("_p")[f].alias(f) for f in S.EVENT_INPUT.fieldNames()]
+    given = reduce(Column.__or__, [F.col("_p")[f].isNotNull() for f in S.EVENT_INPUT.fieldNames()])
+    events = F.coalesce(F.col("_p.events"), F.when(given, F.array(F.struct(*fields))))
+    return parsed.select(*keep, events.alias("events")).withColumn(
+        "batch_events", F.coalesce(F.size("events"), F.lit(0))
     )
-    batch = df.select(*keep, F.from_json(wrapped, listed)["events"].alias("_events"))
-    return batch.select(
-        *keep,
-        F.size("_events").alias("batch_events"),
-        F.posexplode("_events").alias("event_index", "_event"),
-    ).select(*keep, "batch_events", "event_index", "_event.*")
+
+
+def explode_batches(batches: DataFrame) -> DataFrame:
+    """One row per event with its `event_index` in the batch."""
+    others = [c for c in batches.columns if c != "events"]
+    rows = batches.select(*others, F.posexplode("events").alias("event_index", "_event"))
+    return rows.select(*others, "event_index", "_event.*")
+
+
+def parse_batches(df: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    return explode_batches(decode_batches(df, payload, keep))
 
 
 def batch_verdicts(df: DataFrame, size: Column, limit: int = S.MAX_BATCH_EVENTS) -> DataFrame:

@@ -17,11 +17,23 @@ WIDTHS = {"1m": "1 minute", "1h": "1 hour"}
 REST = COUNT_KEY[1:]
 
 
-def minute_counts(ev: DataFrame) -> DataFrame:
-    """Events per minute, source, type and severity. Give it deduplicated events."""
-    return ev.groupBy(floor_to(F.col("timestamp"), "1 minute").alias("bucket"), *REST).agg(
-        F.count("*").alias("count")
-    )
+def _next_minute(value: datetime | str | None) -> datetime | None:
+    if value is None:
+        return None
+    moment = as_datetime(value)
+    floor = moment.replace(second=0, microsecond=0)
+    return floor if floor == moment else floor + timedelta(minutes=1)
+
+
+def minute_counts(
+    ev: DataFrame, start: datetime | str | None = None, end: datetime | str | None = None
+) -> DataFrame:
+    """Events per minute, source, type and severity. Give it deduplicated events.
+
+    With bounds, only buckets of `[start, end)`: stated on the event time, where they
+    prune files, since a bound on the computed bucket would not reach the scan.
+    """
+    return counts_of(between(ev, _next_minute(start), _next_minute(end)), "1 minute")
 
 
 def counts_of(ev: DataFrame, width: str) -> DataFrame:
@@ -71,14 +83,8 @@ def latency_stats(ev: DataFrame) -> DataFrame:
         field("path").alias("endpoint"),
         duration_ms().alias("ms"),
     ).where(F.col("ms").isNotNull())
-    totals = timed.groupBy(*keys).agg(
-        F.count("*").alias("count"),
-        F.sum("ms").alias("sum"),
-        F.min("ms").alias("min"),
-        F.max("ms").alias("max"),
-    )
-    spread = exact_percentiles(timed, keys, "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return totals.join(spread, keys)
+    fractions = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return exact_percentiles(timed, keys, "ms", fractions, stats=True)
 
 
 def error_rates(counts: DataFrame) -> DataFrame:

@@ -16,8 +16,12 @@ EVENT_SQL = 'event_id, source, event_type, severity, "timestamp", data'
 EVENT_OUT = ["event_id", "source", "event_type", "severity", "timestamp", "data"]
 
 
-def minutes(spark, folder):
-    return rollup.minute_counts(events(spark, folder))
+def minutes(spark, folder, start=None, end=None):
+    return rollup.minute_counts(events(spark, folder), start, end)
+
+
+def month(spark, folder):
+    return minutes(spark, folder, MONTH_START, AS_OF)
 
 
 @query(
@@ -119,7 +123,9 @@ HOUR_SQL = """SELECT date_trunc('hour', "timestamp") AS bucket, source, event_ty
     ev_sql(f"""{HOUR_SQL} WHERE date_trunc('hour', "timestamp") = TIMESTAMP '2024-01-05 13:00:00' GROUP BY ALL"""),
 )
 def c2_one(spark, folder):
-    return rollup.roll_hour(minutes(spark, folder), "2024-01-05 13:20:00")
+    return rollup.roll_hour(
+        minutes(spark, folder, "2024-01-05 13:00:00", "2024-01-05 14:00:00"), "2024-01-05 13:20:00"
+    )
 
 
 @query(
@@ -130,7 +136,9 @@ AND "timestamp" < TIMESTAMP '2024-01-05 14:00:00' GROUP BY ALL"""
     ),
 )
 def c3(spark, folder):
-    return rollup.roll_pending(minutes(spark, folder), as_of="2024-01-05 14:25:00")
+    return rollup.roll_pending(
+        minutes(spark, folder, "2024-01-05 12:00:00", "2024-01-05 14:00:00"), as_of="2024-01-05 14:25:00"
+    )
 
 
 @query("c4_add_counts", ev_sql("SELECT bucket, source, event_type, severity, 2 * count AS count FROM counts WHERE source = 'svc-0' UNION ALL SELECT * FROM counts WHERE source <> 'svc-0'", "counts"))
@@ -157,7 +165,7 @@ FROM counts WHERE {B_MONTH}{where} GROUP BY ALL ORDER BY ALL""",
 
 @query("c5_timeseries_total", _series_sql("", "minute"))
 def c5_total(spark, folder):
-    return analytics.time_series(minutes(spark, folder), MONTH_START, AS_OF)
+    return analytics.time_series(month(spark, folder), MONTH_START, AS_OF)
 
 
 @query("c5_timeseries_by_source", _series_sql("source", "hour"))
@@ -175,7 +183,7 @@ def c5_severity(spark, folder):
 @query("c5_timeseries_filtered", _series_sql("", "minute", " AND source = 'svc-2' AND severity = 'warn'"))
 def c5_filtered(spark, folder):
     return analytics.time_series(
-        minutes(spark, folder), MONTH_START, AS_OF, source="svc-2", severity="warn"
+        month(spark, folder), MONTH_START, AS_OF, source="svc-2", severity="warn"
     )
 
 
@@ -188,13 +196,13 @@ def c5_filtered(spark, folder):
     ),
 )
 def c8(spark, folder):
-    totals = analytics.summary_totals(minutes(spark, folder), MONTH_START, AS_OF)
+    totals = analytics.summary_totals(month(spark, folder), MONTH_START, AS_OF)
     return totals.withColumn("error_rate", r6("error_rate"))
 
 
 @query("c9_active_sources", ev_sql(f"SELECT count(DISTINCT source) AS active_sources FROM ev WHERE {MONTH}"))
 def c9(spark, folder):
-    return analytics.active_sources(minutes(spark, folder), MONTH_START, AS_OF)
+    return analytics.active_sources(month(spark, folder), MONTH_START, AS_OF)
 
 
 def _top_sql(key: str, limit: str) -> str:
@@ -203,22 +211,22 @@ def _top_sql(key: str, limit: str) -> str:
 
 @query("c10_top_sources", _top_sql("source", "LIMIT 10"))
 def c10(spark, folder):
-    return analytics.top_n(minutes(spark, folder), MONTH_START, AS_OF)
+    return analytics.top_n(month(spark, folder), MONTH_START, AS_OF)
 
 
 @query("c11_by_severity", _top_sql("severity", ""))
 def c11(spark, folder):
-    return analytics.by_severity(minutes(spark, folder), MONTH_START, AS_OF)
+    return analytics.by_severity(month(spark, folder), MONTH_START, AS_OF)
 
 
 @query("c12_top_event_types", _top_sql("event_type", "LIMIT 3"))
 def c12(spark, folder):
-    return analytics.top_n(minutes(spark, folder), MONTH_START, AS_OF, group_by="event_type", limit=3)
+    return analytics.top_n(month(spark, folder), MONTH_START, AS_OF, group_by="event_type", limit=3)
 
 
 @query("c12_top_unknown_key", _top_sql("source", "LIMIT 10"))
 def c12_unknown(spark, folder):
-    return analytics.top_n(minutes(spark, folder), MONTH_START, AS_OF, group_by="host", limit=500)
+    return analytics.top_n(month(spark, folder), MONTH_START, AS_OF, group_by="host", limit=500)
 
 
 @query(
@@ -244,7 +252,9 @@ LEFT JOIN ev ON time_bucket(INTERVAL 5 MINUTE, "timestamp") = b.bucket GROUP BY
     ),
 )
 def c14(spark, folder):
-    return analytics.volume_chart(minutes(spark, folder), as_of="2024-01-05 14:03:20")
+    return analytics.volume_chart(
+        minutes(spark, folder, "2024-01-05 13:00:00", "2024-01-05 14:05:00"), as_of="2024-01-05 14:03:20"
+    )
 
 
 @query(
@@ -350,7 +360,7 @@ PERIOD_SQL = """periods AS (SELECT source,
     ),
 )
 def l13(spark, folder):
-    report = analytics.health_report(minutes(spark, folder), as_of=AS_OF)
+    report = analytics.health_report(minutes(spark, folder, "2024-01-17", AS_OF), as_of=AS_OF)
     for name in ("this_rate", "last_rate", "availability", "budget_left"):
         report = report.withColumn(name, r6(name))
     return report
@@ -473,7 +483,7 @@ def l28(spark, folder):
     ),
 )
 def l32(spark, folder):
-    found = analytics.compare_periods(minutes(spark, folder), as_of=AS_OF)
+    found = analytics.compare_periods(minutes(spark, folder, "2024-01-17", AS_OF), as_of=AS_OF)
     return found.withColumn("this_rate", r6("this_rate")).withColumn("last_rate", r6("last_rate"))
 
 

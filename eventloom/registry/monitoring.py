@@ -10,8 +10,16 @@ from eventloom.registry import ANOMALY_AS_OF, AS_OF, MONTH_START, ev_sql, query,
 from eventloom.sources.canonical import alert_events, alert_rules, events
 
 
-def minutes(spark, folder):
-    return rollup.minute_counts(events(spark, folder))
+def minutes(spark, folder, start=None, end=None):
+    return rollup.minute_counts(events(spark, folder), start, end)
+
+
+def day_before(spark, folder):
+    return minutes(spark, folder, "2024-01-04 14:00:00", ANOMALY_AS_OF)
+
+
+def hour_before(ev):
+    return rollup.minute_counts(ev, "2024-01-05 13:00:00", ANOMALY_AS_OF)
 
 
 def rounded(df, *names):
@@ -46,11 +54,11 @@ Z_OUT = """source, metric, round(value, 6) AS value, round(mean, 6) AS mean, rou
     ev_sql(f"SELECT DISTINCT source FROM ev WHERE \"timestamp\" >= TIMESTAMP '{MONTH_START}' AND \"timestamp\" < TIMESTAMP '{AS_OF}'"),
 )
 def e1(spark, folder):
-    return anomaly.sources_between(minutes(spark, folder), MONTH_START, AS_OF)
+    return anomaly.sources_between(minutes(spark, folder, MONTH_START, AS_OF), MONTH_START, AS_OF)
 
 
 def _baselines(spark, folder):
-    return anomaly.source_baselines(minutes(spark, folder), as_of=ANOMALY_AS_OF)
+    return anomaly.source_baselines(day_before(spark, folder), as_of=ANOMALY_AS_OF)
 
 
 @query(
@@ -84,7 +92,7 @@ FROM (SELECT source, CASE WHEN cur THEN 0.0::DOUBLE ELSE total END AS n FROM w)
     ),
 )
 def e3_zero(spark, folder):
-    base = anomaly.source_baselines(minutes(spark, folder), as_of=ANOMALY_AS_OF, zero_fill=True)
+    base = anomaly.source_baselines(day_before(spark, folder), as_of=ANOMALY_AS_OF, zero_fill=True)
     return base.select(
         "source", r6("event_count_mean").alias("mean"), r6("event_count_stddev").alias("stddev")
     )
@@ -106,7 +114,7 @@ def e4(spark, folder):
     ev_sql(f"SELECT {Z_OUT} FROM z WHERE height > 3", WINDOWS_SQL),
 )
 def e5(spark, folder):
-    found = anomaly.detect_anomalies(minutes(spark, folder), as_of=ANOMALY_AS_OF)
+    found = anomaly.detect_anomalies(day_before(spark, folder), as_of=ANOMALY_AS_OF)
     return rounded(found, "value", "mean", "stddev", "z_score")
 
 
@@ -127,7 +135,7 @@ def e5_all(spark, folder):
     ),
 )
 def e6(spark, folder):
-    found = anomaly.detect_anomalies(minutes(spark, folder), as_of=ANOMALY_AS_OF)
+    found = anomaly.detect_anomalies(day_before(spark, folder), as_of=ANOMALY_AS_OF)
     return anomaly.describe(found).select("source", "metric", "facts")
 
 
@@ -156,7 +164,7 @@ fired AS (SELECT m.* FROM measured m LEFT JOIN (SELECT rule_id, max(fired_at) AS
 )
 def e7(spark, folder):
     ev = events(spark, folder)
-    found = alerts.rule_metrics(alert_rules(ev), rollup.minute_counts(ev), as_of=ANOMALY_AS_OF)
+    found = alerts.rule_metrics(alert_rules(ev), hour_before(ev), as_of=ANOMALY_AS_OF)
     return found.select("rule_id", "metric", "window", "source", r6("value").alias("value"), "error")
 
 
@@ -196,7 +204,7 @@ def _fired(spark, folder):
     ev = events(spark, folder)
     rules = alert_rules(ev).withColumn("cooldown_seconds", F.lit(7200))
     past = alert_events(ev).where(F.col("fired_at") < ts_lit(ANOMALY_AS_OF))
-    return alerts.evaluate_rules(rules, rollup.minute_counts(ev), past, as_of=ANOMALY_AS_OF)
+    return alerts.evaluate_rules(rules, hour_before(ev), past, as_of=ANOMALY_AS_OF)
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,63 +29,32 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     return prepare(spark).read.schema(RAW_EVENTS).parquet(f"{folder}/events.parquet")
 
 
-def _message() -> Column:
-    kind = F.col("event_id") % 4
-    failure = (
-        F.when(kind == 0, "connection refused payment-gateway")
-        .when(kind == 1, "timeout waiting for inventory-service")
-        .when(kind == 2, "rate limit exceeded for external API")
-        .otherwise("circuit breaker open downstream")
-    )
-    return F.when(F.col("event_type") == "error", failure).otherwise("operational event")
+SEVERITY = """CASE event_type WHEN 'error' THEN if(event_id % 10 = 0, 'fatal', 'error')
+  WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug' ELSE 'info' END"""
+STATUS = """CASE event_type WHEN 'error' THEN 500 + event_id % 4 WHEN 'signup' THEN 400 + event_id % 5 ELSE 200 END"""
+MESSAGE = """CASE WHEN event_type <> 'error' THEN 'operational event' ELSE element_at(array(
+  'connection refused payment-gateway', 'timeout waiting for inventory-service',
+  'rate limit exceeded for external API', 'circuit breaker open downstream'), cast(event_id % 4 + 1 AS int)) END"""
 
 
 def to_events(raw: DataFrame) -> DataFrame:
     """The canonical event columns plus the user, as pure functions of each raw row."""
-    event_id, user = F.col("event_id"), F.col("user_id")
-    severity = (
-        F.when(
-            F.col("event_type") == "error",
-            F.when(event_id % 10 == 0, "fatal").otherwise("error"),
-        )
-        .when(F.col("event_type") == "signup", "warn")
-        .when(F.col("event_type") == "view", "debug")
-        .otherwise("info")
-    )
-    status = (
-        F.when(F.col("event_type") == "error", 500 + event_id % 4)
-        .when(F.col("event_type") == "signup", 400 + event_id % 5)
-        .otherwise(F.lit(200))
-    )
-    method = F.element_at(
-        F.array(F.lit("GET"), F.lit("POST"), F.lit("PUT"), F.lit("DELETE")),
-        (event_id % 4 + 1).cast("int"),
-    )
-    duration = F.floor(F.col("value") * 10).cast("bigint")
-    data = F.concat(
-        F.lit('{"status":'), status.cast("string"),
-        F.lit(',"method":"'), method,
-        F.lit('","path":"/api/p'), (event_id % 6).cast("string"),
-        F.lit('","duration_ms":'), duration.cast("string"),
-        F.lit(',"message":"'), _message(), F.lit('"}'),
-    )
-    return raw.select(
-        F.lpad(event_id.cast("string"), 12, "0").alias("event_id"),
-        F.concat(F.lit("svc-"), (user % 8).cast("string")).alias("source"),
-        F.col("event_type"),
-        severity.alias("severity"),
-        F.col("ts").alias("timestamp"),
-        (F.col("ts") + F.make_dt_interval(secs=(event_id % 600).cast("decimal(18,6)"))).alias(
-            "received_at"
-        ),
-        data.alias("data"),
-        F.array(
-            F.lit("production"), F.when(user % 2 == 0, "us-east-1").otherwise("eu-west-1")
-        ).alias("tags"),
-        F.concat(F.lit('{"host":"host-'), (user % 5).cast("string"), F.lit('"}')).alias("metadata"),
-        user.alias("user_id"),
-        event_id.alias("seq"),
-        F.col("value"),
+    return raw.selectExpr(
+        "lpad(cast(event_id AS string), 12, '0') AS event_id",
+        "concat('svc-', user_id % 8) AS source",
+        "event_type",
+        f"{SEVERITY} AS severity",
+        "ts AS timestamp",
+        "ts + make_dt_interval(0, 0, 0, event_id % 600) AS received_at",
+        f"""concat('{{"status":', {STATUS},
+          ',"method":"', element_at(array('GET', 'POST', 'PUT', 'DELETE'), cast(event_id % 4 + 1 AS int)),
+          '","path":"/api/p', event_id % 6, '","duration_ms":', cast(floor(value * 10) AS bigint),
+          ',"message":"', {MESSAGE}, '"}}') AS data""",
+        "array('production', if(user_id % 2 = 0, 'us-east-1', 'eu-west-1')) AS tags",
+        """concat('{"host":"host-', user_id % 5, '"}') AS metadata""",
+        "user_id",
+        "event_id AS seq",
+        "value",
     )
 
 

@@ -65,9 +65,10 @@ def start_ingest(
     def step(batch: DataFrame, batch_id: int) -> None:
         arrived = batch.withColumn("_received", received_at.cast("timestamp")).persist()
         try:
-            rows = ingest.parse_batches(arrived, keep=("_received",))
-            sized = ingest.batch_verdicts(rows, F.col("batch_events")).where("verdict = 'ok'")
-            checked = ingest.validate(sized, F.col("event_index"))
+            batches = ingest.decode_batches(arrived, keep=("_received", "payload"))
+            judged = ingest.batch_verdicts(batches, F.col("batch_events"))
+            rows = ingest.explode_batches(judged.where("verdict = 'ok'").drop("payload"))
+            checked = ingest.validate(rows, F.col("event_index"))
             full = ingest.fill_defaults(ingest.accepted(checked), F.col("_received"))
             identity = [
                 F.col("source"), F.col("event_type"), F.col("timestamp").cast("string"),
@@ -78,8 +79,17 @@ def start_ingest(
             bad = ingest.rejected(checked).select(
                 "source", "event_type", F.col("_received").alias("received_at"), "error.*"
             )
-            write_batch(bad, root, "rejected", batch_id, "received_at")
-            broken = arrived.where(F.try_parse_json("payload").isNull()).select(
+            broken = (judged["batch_events"] == 0) & F.try_parse_json("payload").isNull()
+            refused = judged.where((F.col("verdict") != "ok") & ~broken).select(
+                F.lit(None).cast("string").alias("source"),
+                F.lit(None).cast("string").alias("event_type"),
+                F.col("_received").alias("received_at"),
+                F.lit(-1).alias("index"),
+                F.lit("events").alias("field"),
+                F.concat(F.lit("batch is "), "verdict").alias("message"),
+            )
+            write_batch(bad.unionByName(refused), root, "rejected", batch_id, "received_at")
+            broken = judged.where(broken).select(
                 "payload", F.col("_received").alias("received_at")
             )
             write_batch(broken, root, "quarantine", batch_id, "received_at")
