@@ -17,19 +17,21 @@ def exact_percentiles(
     value: str,
     wanted: Mapping[str, float],
     stats: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per key with a column per wanted fraction, interpolated like `percentile`.
 
     `value` must be integral. Rows are first counted per (key, value), which spreads a hot
     key over its values, then gathered into value slots of at most `SLOT_WIDTH` distinct
     values, so no task holds more of a key at once than one slot. Only slots, not rows,
-    meet per key. `stats` adds count, sum, min and max.
+    meet per key. `stats` adds count, sum, min and max; `weight` names a column with the
+    number of times a row counts.
     """
     slot = F.floor(F.col(value) / SLOT_WIDTH)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, slot.alias("_slot"), F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     )
     slots = counted.groupBy(*keys, "_slot").agg(
         F.sum("_n").alias("_held"),

@@ -102,20 +102,27 @@ def latency_metrics(rules: DataFrame, ev: DataFrame, *, as_of: datetime | str) -
     """The `latency_p99` rules with their value, one exact percentile per window and source."""
     now = as_datetime(as_of)
     longest = max(ALERT_WINDOWS.values())
-    names = [
-        F.when(F.col("timestamp") >= ts_lit(now - timedelta(seconds=s)), F.lit(n))
-        for n, s in ALERT_WINDOWS.items()
-    ]
-    timed = (
-        between(ev, now - timedelta(seconds=longest), now)
-        .select(
-            F.explode(F.array("source", F.lit(""))).alias("source"),
-            F.array_compact(F.array(*names)).alias("_names"),
-            duration_ms().alias("ms"),
+    # The narrowest window an event is in decides the others: count per event class first.
+    steps = sorted(ALERT_WINDOWS.items(), key=lambda item: item[1])
+    narrowest = F.coalesce(
+        *(
+            F.when(F.col("timestamp") >= ts_lit(now - timedelta(seconds=s)), F.lit(i))
+            for i, (_, s) in enumerate(steps)
         )
-        .select("source", F.explode("_names").alias("_window"), "ms")
     )
-    tails = exact_percentiles(timed, ["_window", "source"], "ms", {"value": 0.99})
+    counted = (
+        between(ev, now - timedelta(seconds=longest), now)
+        .groupBy("source", narrowest.alias("_narrowest"), duration_ms().alias("ms"))
+        .agg(F.count("*").alias("_times"))
+    )
+    names = F.array(*(F.lit(name) for name, _ in steps))
+    timed = counted.select(
+        F.explode(F.array("source", F.lit(""))).alias("source"), "_narrowest", "ms", "_times"
+    ).select(
+        "source", F.explode(F.slice(names, F.col("_narrowest") + 1, len(steps))).alias("_window"),
+        "ms", "_times",
+    )
+    tails = exact_percentiles(timed, ["_window", "source"], "ms", {"value": 0.99}, weight="_times")
     keyed = rules.where(F.col("metric") == "latency_p99").withColumn(
         "_window", alert_window(F.col("window"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.functions.timeops import floor_to
+from eventloom.plans.skew import previous
 
 
 def per_second_rate(
@@ -27,20 +28,25 @@ def increase(
     column: str = "timestamp",
     value: str = "value",
 ) -> DataFrame:
-    """Growth of a counter inside each window, taking a drop as a restart from zero."""
-    windowed = samples.withColumn("bucket", floor_to(F.col(column), width))
-    order = W.partitionBy(*keys, "bucket").orderBy(column)
-    before = F.lag(value).over(order)
+    """Growth of a counter inside each window, taking a drop as a restart from zero.
+
+    Neighbours are found minute by minute, so a densely sampled counter is split.
+    """
+    windowed = samples.select(*keys, column, value).withColumn(
+        "bucket", floor_to(F.col(column), width)
+    )
+    order = [column, value]
+    stepped = previous(
+        windowed, [*keys, "bucket"], F.date_trunc("minute", column), order, [value], "_last"
+    )
+    before = F.col("_last")[value]
+    zero = F.lit(0).cast(samples.schema[value].dataType)
     step = (
-        F.when(before.isNull(), F.lit(0).cast(samples.schema[value].dataType))
+        F.when(F.col("_last").isNull(), zero)
         .when(F.col(value) < before, F.col(value))
         .otherwise(F.col(value) - before)
     )
-    return (
-        windowed.withColumn("_step", step)
-        .groupBy("bucket", *keys)
-        .agg(F.sum("_step").alias("increase"))
-    )
+    return stepped.groupBy("bucket", *keys).agg(F.sum(step).alias("increase"))
 
 
 def _le(bound: float) -> Column:

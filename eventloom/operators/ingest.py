@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, time, timedelta
+from datetime import date, datetime, time, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -173,19 +173,20 @@ def stream_name(partition: Column) -> Column:
     return F.concat(F.lit("events:"), partition.cast("string"))
 
 
+def touched_days(incoming: DataFrame) -> list[date]:
+    """Days the batch has events of: a short list, as the calendar bounds it."""
+    days = incoming.select(F.to_date("timestamp").alias("day")).distinct()
+    return [row.day for row in days.collect() if row.day is not None]
+
+
 def append_new(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming rows not yet stored, one per event key.
 
-    Copies inside the batch collapse in a partial aggregate. A stored table with day
-    partitions is first cut to the days of the batch; that list is broadcast, as the
-    calendar bounds it (four bytes per distinct day).
+    Copies inside the batch collapse in a partial aggregate. Give it only the stored days
+    that the batch touches (`touched_days`), so that the others are never read.
     """
     fresh = keep_one(incoming, S.EVENT_KEY, ["received_at"])
-    stored = existing
-    if "event_date" in existing.columns:
-        days = incoming.select(F.to_date("timestamp").alias("event_date")).distinct()
-        stored = stored.join(F.broadcast(days), "event_date", "left_semi")
-    return fresh.join(stored.select(*S.EVENT_KEY), S.EVENT_KEY, "left_anti")
+    return fresh.join(existing.select(*S.EVENT_KEY), S.EVENT_KEY, "left_anti")
 
 
 def quarantine(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom import schemas as S
+from eventloom.functions.timeops import ts_lit
 from eventloom.operators import dlq, health, ingest
 from eventloom.registry import ev_sql, query
 from eventloom.sources.canonical import events, flawed, redelivered
@@ -179,8 +180,10 @@ FROM dup WHERE "timestamp" >= TIMESTAMP '2024-01-10' GROUP BY 1, 2""",
 )
 def a9(spark, folder):
     ev = events(spark, folder).select(*S.EVENT_KEY, "received_at", "source", "event_type")
-    stored = with_day(ev.where(F.col("timestamp") < "2024-01-10"))
-    return ingest.append_new(redelivered(ev), stored).drop("event_type")
+    sent = redelivered(ev)
+    stored = with_day(ev.where(F.col("timestamp") < ts_lit("2024-01-10 00:00:00")))
+    touched = stored.where(F.col("event_date").isin(ingest.touched_days(sent)))
+    return ingest.append_new(sent, touched).drop("event_type")
 
 
 @query(

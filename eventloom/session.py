@@ -12,7 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A very long page is sorted on the executors instead of being gathered by the driver.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.operators.ingest import append_new
+from eventloom.operators.ingest import append_new, touched_days
 from eventloom.operators.rollup import minute_counts
 from eventloom.schemas import COUNT_KEY, EVENT, EVENT_COLUMNS
 from eventloom.sources.store import write_by_day
@@ -79,8 +79,14 @@ def store_events(rows: DataFrame, root: str, batch_id: int) -> None:
     twice, and late ones count whenever they come: counts are per-batch deltas.
     """
     spark = rows.sparkSession
-    stored = read_table(spark, root, "events").where(F.col("batch_id") != batch_id)
-    write_batch(append_new(rows.select(*EVENT_COLUMNS), stored), root, "events", batch_id, "timestamp")
+    rows = rows.select(*EVENT_COLUMNS).persist()
+    try:
+        stored = read_table(spark, root, "events").where(
+            F.col("event_date").isin(touched_days(rows)) & (F.col("batch_id") != batch_id)
+        )
+        write_batch(append_new(rows, stored), root, "events", batch_id, "timestamp")
+    finally:
+        rows.unpersist()
     written = read_table(spark, root, "events").where(F.col("batch_id") == batch_id)
     write_batch(minute_counts(written), root, "counts", batch_id, "bucket")
 
