@@ -29,9 +29,9 @@ def stored_form(ev):
     )
 
 
-def _root(spark, name):
+def _root(spark, name, *tables):
     root = work_folder(spark, name)
-    create_tables(spark, root)
+    create_tables(spark, root, tables)
     return root
 
 
@@ -48,7 +48,7 @@ def _payload_stream(spark, folder):
 
 @query("a11_stream_processing", ev_sql("SELECT * FROM counts", "counts"))
 def a11(spark, folder):
-    root = _root(spark, "processing")
+    root = _root(spark, "processing", "events", "counts")
     sent = event_stream(spark, folder)
     jobs.start_processing(redelivered(sent), root, f"{root}/checkpoint").awaitTermination()
     return stored_counts(spark, root).drop("event_date")
@@ -64,7 +64,7 @@ GROUP BY 1"""
     ),
 )
 def a11_ingest(spark, folder):
-    root = _root(spark, "ingest")
+    root = _root(spark, "ingest", "events", "counts", "rejected", "quarantine")
     jobs.start_ingest(
         _payload_stream(spark, folder), root, f"{root}/checkpoint", F.col("received_at")
     ).awaitTermination()
@@ -77,7 +77,7 @@ def a11_ingest(spark, folder):
 
 @query("c1_stream_counts", ev_sql("SELECT * FROM counts", "counts"))
 def c1_stream(spark, folder):
-    root = _root(spark, "counts")
+    root = _root(spark, "counts", "latest_counts")
     jobs.start_counts(event_stream(spark, folder), root, f"{root}/checkpoint").awaitTermination()
     return jobs.running_counts(spark, root)
 
@@ -100,7 +100,7 @@ WHERE CASE operator WHEN '>' THEN value > threshold WHEN '>=' THEN value >= thre
     ),
 )
 def e10_stream(spark, folder):
-    root = _root(spark, "alerting")
+    root = _root(spark, "alerting", "events", "counts", "alert_events")
     rules = alert_rules(events(spark, folder))
     jobs.start_alerting(
         event_stream(spark, folder), rules, root, f"{root}/checkpoint"
@@ -124,7 +124,7 @@ def b9(spark, folder):
     ev_sql("SELECT * FROM counts", "counts"),
 )
 def l19(spark, folder):
-    root = _root(spark, "replay")
+    root = _root(spark, "replay", "events", "counts")
     ev = stored_form(events(spark, folder))
     # Half the events first, then the whole month again: the overlap must not count twice.
     jobs.replay(ev.where(S.is_error(F.col("severity"))), root, 0, "2024-01-01", "2024-02-01")

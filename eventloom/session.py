@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Call sites recorded per Column call cost more than building the plan itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # A very long page is sorted on the executors instead of being gathered by the driver.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,10 +55,10 @@ SCHEMAS = {
 }
 
 
-def create_tables(spark: SparkSession, root: str) -> None:
+def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(SCHEMAS)) -> None:
     """Empty tables where there are none yet."""
-    for name, schema in SCHEMAS.items():
-        empty = spark.createDataFrame([], schema)
+    for name in names:
+        empty = spark.createDataFrame([], SCHEMAS[name])
         empty.write.mode("ignore").partitionBy("event_date", "batch_id").parquet(f"{root}/{name}")
 
 
