@@ -109,15 +109,19 @@ def has_phrase(words: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.contains(spaced(name), wanted) for name in FIELD_WEIGHTS])
 
 
+def field_tokens() -> list[tuple[Column, float]]:
+    return [(tokens(_present(name)), weight) for name, weight in FIELD_WEIGHTS.items()]
+
+
 def document() -> Column:
     """Array of {pos, term, weight} over all indexed fields, positions running on."""
 
-    def weighted(name: str, weight: float) -> Column:
+    def weighted(found: Column, weight: float) -> Column:
         return F.transform(
-            tokens(_present(name)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
+            found, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
         )
 
-    joined = F.concat(*(weighted(n, w) for n, w in FIELD_WEIGHTS.items()))
+    joined = F.concat(*(weighted(found, weight) for found, weight in field_tokens()))
     return F.transform(
         joined,
         lambda d, i: F.struct(i.alias("pos"), d["term"].alias("term"), d["weight"].alias("weight")),

@@ -12,7 +12,7 @@ from eventloom.functions.fields import duration_ms
 from eventloom.functions.quantiles import exact_percentiles
 from eventloom.functions.timeops import as_datetime, epoch_seconds, floor_to, ts_lit
 from eventloom.plans.pruning import between
-from eventloom.plans.skew import salted_join, with_lookback
+from eventloom.plans.skew import salted_join, trailing_sums, with_lookback
 from eventloom.schemas import is_error
 
 # Baseline length, current window and z-score threshold.
@@ -143,25 +143,25 @@ def iqr_outliers(counts: DataFrame, width: str = "1 hour", factor: float = 1.5)
 def rolling_outliers(counts: DataFrame, sigmas: float = THRESHOLD) -> DataFrame:
     """Source minutes above the mean of the 24 hours before by `sigmas` deviations.
 
-    A minute looks back over minutes with traffic. Days are separate tasks, each holding
-    its own rows and the day before.
+    A minute looks back over minutes with traffic. Mean and deviation come from exact
+    integer sums, in time linear in the number of minutes.
     """
     day = int(BASELINE.total_seconds())
     per_minute = (
         counts.groupBy("source", "bucket")
         .agg(F.sum("count").alias("total"))
-        .withColumn("_at", epoch_seconds(F.col("bucket")))
+        .withColumn("_second", epoch_seconds(F.col("bucket")))
     )
-    before = W.partitionBy("source", "_slot").orderBy("_at").rangeBetween(-day, -1)
-    rolled = (
-        with_lookback(per_minute, F.col("_at"), day, day)
-        .withColumn("mean", F.avg("total").over(before))
-        .withColumn("stddev", F.stddev_samp("total").over(before))
-        .where("_own")
-    )
-    return rolled.where(
-        (F.col("stddev") > 0) & (F.col("total") > F.col("mean") + sigmas * F.col("stddev"))
-    ).select("source", "bucket", "total", "mean", "stddev")
+    total = F.col("total")
+    sums = {"n": F.lit(1).cast("bigint"), "x": total, "xx": total * total}
+    rolled = trailing_sums(per_minute, ["source"], "_second", sums, (day, 1), day)
+    mean = F.col("x") / F.col("n")
+    spread = (F.col("xx") - F.col("x") * mean) / (F.col("n") - 1)
+    scored = rolled.where(F.col("n") > 1).select(
+        "source", "bucket", "total", mean.alias("mean"),
+        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("stddev"),
+    )
+    return scored.where((F.col("stddev") > 0) & (total > F.col("mean") + sigmas * F.col("stddev")))
 
 
 def latency_outliers(
@@ -213,21 +213,17 @@ def user_velocity(
 ) -> DataFrame:
     """Seconds in which a user's trailing `window` seconds hold unusually many events.
 
-    Events are first counted per user and second; the trailing sum runs per user and
-    hour, and the user's own mean and deviation come back by a salted join.
+    Events are first counted per user and second; the trailing sum is cut into stretches
+    of `slot` seconds, and the user's own mean and deviation come back by a salted join.
     """
     seconds = (
-        ev.withColumn("_at", epoch_seconds(F.col("timestamp")))
-        .groupBy("user_id", "_at")
+        ev.withColumn("at_second", epoch_seconds(F.col("timestamp")))
+        .groupBy("user_id", "at_second")
         .agg(F.count("*").alias("_n"))
     )
-    trailing = W.partitionBy("user_id", "_slot").orderBy("_at").rangeBetween(-window, 0)
-    speeds = (
-        with_lookback(seconds, F.col("_at"), slot, window)
-        .withColumn("recent", F.sum("_n").over(trailing))
-        .where("_own")
-        .select("user_id", F.col("_at").alias("at_second"), "recent")
-    )
+    speeds = trailing_sums(
+        seconds, ["user_id"], "at_second", {"recent": F.col("_n")}, (window, 0), slot
+    ).drop("_n")
     usual = speeds.groupBy("user_id").agg(
         F.avg("recent").alias("mean"), F.stddev_samp("recent").alias("stddev")
     )

@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions.cursors import Cursor, cursor_column, decode_cursor
-from eventloom.functions.fields import field, number
+from eventloom.functions.fields import JSON_FIELDS, field, number
 from eventloom.functions.timeops import as_datetime, ts_lit
 from eventloom.plans.pruning import between
 from eventloom.plans.skew import keep_one
@@ -80,8 +82,6 @@ def event_page(
 
 
 def cut_page(found: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
-    from pyspark.sql import Window as W
-
     whole = W.partitionBy(F.lit(0))
     taken = found.orderBy(*order).limit(size + 1)
     numbered = taken.withColumn(
@@ -98,8 +98,16 @@ def event_by_id(ev: DataFrame, event_id: str) -> DataFrame:
 
 
 def with_fields(ev: DataFrame, *names: str) -> DataFrame:
-    """Add allowed JSON fields as text columns."""
-    return ev.select("*", *(field(n).alias(n) for n in names))
+    """Add allowed JSON fields as text columns, parsing each JSON column once."""
+    parsed = {}
+    for column in dict.fromkeys(JSON_FIELDS[n][0] for n in names if n in JSON_FIELDS):
+        wanted = [n for n in names if n in JSON_FIELDS and JSON_FIELDS[n][0] == column]
+        paths = [JSON_FIELDS[n][1].removeprefix("$.") for n in wanted]
+        schema = T.StructType([T.StructField(p, T.StringType()) for p in paths])
+        ev = ev.withColumn(f"_{column}", F.from_json(column, schema))
+        parsed.update({n: F.col(f"_{column}")[p] for n, p in zip(wanted, paths, strict=True)})
+    kept = [c for c in ev.columns if c not in ("_data", "_metadata")]
+    return ev.select(*kept, *(parsed.get(n, field(n)).alias(n) for n in names))
 
 
 def live_tail(

@@ -85,10 +85,20 @@ def search_page(
 
 
 def term_table(ev: DataFrame) -> DataFrame:
-    """The weighted search document as rows (event_id, term, weight, pos)."""
-    return ev.select("event_id", F.explode(T.document()).alias("_d")).select(
-        "event_id", "_d.term", "_d.weight", "_d.pos"
-    )
+    """The weighted search document as rows (event_id, term, weight, pos).
+
+    The weight follows from the position, as fields follow one another.
+    """
+    fields = T.field_tokens()
+    split = ev.select("event_id", *(found.alias(f"_f{i}") for i, (found, _) in enumerate(fields)))
+    names = [f"_f{i}" for i in range(len(fields))]
+    sized = split.select("event_id", F.concat(*names).alias("_all"), *(F.size(n).alias(n) for n in names))
+    weight, end = F.lit(None).cast("double"), F.lit(0)
+    for name, (_, value) in zip(names, fields, strict=True):
+        end = end + F.col(name)
+        weight = F.coalesce(weight, F.when(F.col("pos") < end, F.lit(value)))
+    rows = sized.select("event_id", *names, F.posexplode("_all").alias("pos", "term"))
+    return rows.select("event_id", "term", weight.alias("weight"), "pos")
 
 
 def keyword_search(ev: DataFrame, query: str, limit: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -51,28 +51,77 @@ def _same(keys: Sequence[str]) -> list[str]:
     return [*keys, "_slot"]
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str], value: str, name: str
+def running_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    slot: Column,
+    order: Sequence[str],
+    values: Mapping[str, str],
 ) -> DataFrame:
-    """Inclusive running sum of `value` per key, computed slot by slot.
+    """Inclusive running sums per key, named by the keys of `values`, slot by slot.
 
     `slot` must grow with `order`. Each (key, slot) is summed on its own and shifted by
-    the total of the slots before it, so a hot key never runs through a single task.
+    the totals of the slots before it, so a hot key never runs through a single task.
     """
     cut = df.withColumn("_slot", slot)
     inner = W.partitionBy(*_same(keys)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*_same(keys))
-        .agg(F.sum(value).alias("_total"))
-        .select(*_same(keys), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+        .agg(*(F.sum(column).alias(f"_t_{name}") for name, column in values.items()))
+        .select(
+            *_same(keys),
+            *(
+                F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
+                for name in values
+            ),
+        )
     )
-    return (
-        cut.withColumn(name, F.sum(value).over(inner))
-        .join(offsets, _same(keys))
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_slot", "_offset")
+    summed = cut.select(
+        "*", *(F.sum(column).over(inner).alias(f"_s_{name}") for name, column in values.items())
+    ).join(offsets, _same(keys))
+    kept = [c for c in df.columns if c not in values]
+    return summed.select(
+        *kept, *((F.col(f"_s_{name}") + F.col(f"_o_{name}")).alias(name) for name in values)
+    )
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    return running_sums(df, keys, slot, order, {name: value})
+
+
+def trailing_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    values: Mapping[str, Column],
+    reach: tuple[int, int],
+    width: int,
+) -> DataFrame:
+    """Sums over the key's rows from `at - reach[0]` to `at - reach[1]`, both included.
+
+    Each row enters a running sum when it comes into reach and leaves it afterwards, which
+    costs three rows per row whatever the frame holds. `at` is integral, and values should
+    be too, as sums are taken back by subtraction.
+    """
+    back, gap = reach
+    moments = F.array(
+        F.struct((F.col(at) + gap).alias("t"), F.lit(0).alias("kind"), F.lit(1).alias("sign")),
+        F.struct((F.col(at) + back + 1).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("sign")),
+        F.struct(F.col(at).alias("t"), F.lit(1).alias("kind"), F.lit(0).alias("sign")),
+    )
+    steps = df.withColumn("_m", F.explode(moments)).select(
+        *df.columns,
+        F.col("_m.t").alias("_at"),
+        F.col("_m.kind").alias("_kind"),
+        *((value * F.col("_m.sign")).alias(f"_{name}") for name, value in values.items()),
+    )
+    summed = running_sums(
+        steps, keys, F.floor(F.col("_at") / width), ["_at", "_kind"], {n: f"_{n}" for n in values}
     )
+    return summed.where(F.col("_kind") == 1).select(*df.columns, *values)
 
 
 def previous(

@@ -117,3 +117,17 @@ def test_time_bounds_reach_parquet_and_prune_days(spark, tmp_path):
     assert found.count() == between(ev, "2024-01-03 06:00:00", "2024-01-04 00:00:00").count() > 0
     days = {str(r.event_date) for r in found.select("event_date").distinct().collect()}
     assert days == {"2024-01-03"}
+
+
+def test_trailing_sums(spark, frame):
+    from eventloom.plans.skew import trailing_sums
+
+    got = trailing_sums(
+        spark.createDataFrame(frame), ["k"], "at", {"n": F.lit(1), "total": F.col("v")}, (700, 1), 300
+    ).toPandas()
+    want = []
+    for k, at in zip(frame.k, frame["at"]):
+        near = frame[(frame.k == k) & (frame["at"] >= at - 700) & (frame["at"] < at)]
+        want.append((len(near), int(near.v.sum())))
+    want = frame.assign(n=[w[0] for w in want], total=[w[1] for w in want])
+    assert rows(got, "k", "at", "n", "total") == rows(want, "k", "at", "n", "total")
