@@ -227,7 +227,7 @@ def notifications(alerts: DataFrame) -> DataFrame:
             "rule_id", "context",
         )
     )
-    fanned = alerts.withColumn("_channel", F.explode(F.from_json("channels", CHANNELS)))
+    fanned = alerts.withColumn("_channel", F.explode_outer(F.from_json("channels", CHANNELS)))
     return fanned.where(F.col("_channel.type") == "webhook").select(
         "alert_event_id", F.col("_channel.url").alias("url"), payload.alias("payload")
     )

@@ -41,10 +41,13 @@ def decode_batches(df: DataFrame, payload: str = "payload", keep: Sequence[str]
 
 
 def explode_batches(batches: DataFrame) -> DataFrame:
-    """One row per event with its `event_index` in the batch."""
+    """One row per event with its `event_index` in the batch.
+
+    The outer form keeps Catalyst from parsing once more just to skip empty batches.
+    """
     others = [c for c in batches.columns if c != "events"]
-    rows = batches.select(*others, F.posexplode("events").alias("event_index", "_event"))
-    return rows.select(*others, "event_index", "_event.*")
+    rows = batches.select(*others, F.posexplode_outer("events").alias("event_index", "_event"))
+    return rows.where(F.col("event_index").isNotNull()).select(*others, "event_index", "_event.*")
 
 
 def parse_batches(df: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:

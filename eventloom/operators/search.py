@@ -97,8 +97,9 @@ def term_table(ev: DataFrame) -> DataFrame:
     for name, (_, value) in zip(names, fields, strict=True):
         end = end + F.col(name)
         weight = F.coalesce(weight, F.when(F.col("pos") < end, F.lit(value)))
-    rows = sized.select("event_id", *names, F.posexplode("_all").alias("pos", "term"))
-    return rows.select("event_id", "term", weight.alias("weight"), "pos")
+    # The outer form keeps Catalyst from tokenizing once more to skip empty arrays.
+    rows = sized.select("event_id", *names, F.posexplode_outer("_all").alias("pos", "term"))
+    return rows.where(F.col("pos").isNotNull()).select("event_id", "term", weight.alias("weight"), "pos")
 
 
 def keyword_search(ev: DataFrame, query: str, limit: int) -> DataFrame:
