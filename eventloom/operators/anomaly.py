@@ -20,6 +20,14 @@ BASELINE = timedelta(hours=24)
 CURRENT = timedelta(minutes=5)
 THRESHOLD = 3.0
 
+# Fixed value: the lines that state an anomaly.
+FACTS = """- Source: %s
+- Metric: %s
+- Current value: %.4f
+- 24h baseline mean: %.4f
+- 24h baseline std dev: %.4f
+- Z-score: %.2f (threshold: %.1f)"""
+
 
 def _error_count() -> Column:
     return F.coalesce(F.sum(F.when(is_error(F.col("severity")), F.col("count"))), F.lit(0))
@@ -122,10 +130,8 @@ def detect_anomalies(
 def describe(anomalies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Adds `facts`, the fixed-format lines about each anomaly."""
     facts = F.format_string(
-        "- Source: %s\n- Metric: %s\n- Current value: %.4f\n- 24h baseline mean: %.4f\n"
-        "- 24h baseline std dev: %.4f\n- Z-score: %.2f (threshold: %.1f)",
-        "source", "metric", "value", "mean", "stddev", "z_score", F.lit(threshold),
-    )
+        FACTS, "source", "metric", "value", "mean", "stddev", "z_score", F.lit(threshold)
+    )
     return anomalies.withColumn("facts", facts)
 
 

@@ -69,7 +69,15 @@ def limit_batches(df: DataFrame, batch: str, limit: int = S.MAX_BATCH_EVENTS) ->
     sizes = df.groupBy(batch).agg(F.count("*").alias("batch_events"))
     verdicts = batch_verdicts(sizes, F.col("batch_events"), limit)
     salt_by = [c for c in ("event_id",) if c in df.columns] or df.columns
-    return salted_join(df, verdicts, [batch], salt_by)
+    return salted_join(df, verdicts, [batch], salt_by, "left")
+
+
+# The messages of the five checks.
+REQUIRED = "required"
+NAME_TOO_LONG = f"must be <= {S.MAX_NAME_BYTES} characters"
+UNKNOWN_SEVERITY = "must be one of: debug, info, warn, error, fatal"
+DATA_TOO_LONG = "must be <= {} bytes"
+TOO_MANY_TAGS = f"must have <= {S.MAX_TAGS} tags"
 
 
 def _problem(condition: Column, index: Column, field: str, message: str) -> Column:
@@ -83,12 +91,9 @@ def _name_problem(name: str, index: Column) -> Column:
     value = F.col(name)
     missing = value.isNull() | (value == "")
     return F.coalesce(
-        _problem(missing, index, name, "required"),
-        _problem(
-            F.octet_length(value) > S.MAX_NAME_BYTES,
-            index, name, f"must be <= {S.MAX_NAME_BYTES} characters",
-        ),
-    )
+        _problem(missing, index, name, REQUIRED),
+        _problem(F.octet_length(value) > S.MAX_NAME_BYTES, index, name, NAME_TOO_LONG),
+    )
 
 
 def validation_errors(index: Column, max_bytes: int = S.MAX_DATA_BYTES) -> Column:
@@ -98,15 +103,12 @@ def validation_errors(index: Column, max_bytes: int = S.MAX_DATA_BYTES) -> Colum
     checks = F.array(
         _name_problem("source", index),
         _name_problem("event_type", index),
+        _problem(named & ~S.is_severity(severity), index, "severity", UNKNOWN_SEVERITY),
         _problem(
-            named & ~S.is_severity(severity),
-            index, "severity", "must be one of: " + ", ".join(S.SEVERITIES),
-        ),
-        _problem(
-            F.octet_length("data") > max_bytes, index, "data", f"must be <= {max_bytes} bytes"
+            F.octet_length("data") > max_bytes, index, "data", DATA_TOO_LONG.format(max_bytes)
         ),
-        _problem(F.size("tags") > S.MAX_TAGS, index, "tags", f"must have <= {S.MAX_TAGS} tags"),
-    )
+        _problem(F.size("tags") > S.MAX_TAGS, index, "tags", TOO_MANY_TAGS),
+    )
     return F.filter(checks, lambda e: e.isNotNull())
 
 

@@ -60,30 +60,28 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums per key, named by the keys of `values`, slot by slot.
 
-    `slot` must grow with `order`. Each (key, slot) is summed on its own and shifted by
+    `slot` must grow with `order`. Each (key, slot) is summed on its own, starting from
     the totals of the slots before it, so a hot key never runs through a single task.
     """
     cut = df.withColumn("_slot", slot)
-    inner = W.partitionBy(*_same(keys)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*_same(keys))
-        .agg(*(F.sum(column).alias(f"_t_{name}") for name, column in values.items()))
-        .select(
-            *_same(keys),
-            *(
-                F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
-                for name in values
-            ),
-        )
+    totals = cut.groupBy(*_same(keys)).agg(*(F.sum(column).alias(column) for column in set(values.values())))
+    # The total before a slot joins the slot as its first row; nulls make keys like any other.
+    offsets = totals.select(
+        *_same(keys),
+        F.lit(0).alias("_row"),
+        *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in set(values.values())),
     )
-    summed = cut.select(
-        "*", *(F.sum(column).over(inner).alias(f"_s_{name}") for name, column in values.items())
-    ).join(offsets, _same(keys))
-    kept = [c for c in df.columns if c not in values]
-    return summed.select(
-        *kept, *((F.col(f"_s_{name}") + F.col(f"_o_{name}")).alias(name) for name in values)
+    upto = (
+        W.partitionBy(*_same(keys))
+        .orderBy("_row", *order)
+        .rowsBetween(W.unboundedPreceding, 0)
     )
+    stitched = cut.withColumn("_row", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    kept = [c for c in df.columns if c not in values]
+    return stitched.select(
+        *kept, "_row", *(F.sum(column).over(upto).alias(name) for name, column in values.items())
+    ).where(F.col("_row") == 1).drop("_row")
 
 
 def running_sum(
@@ -137,19 +135,19 @@ def previous(
     Neighbours are found inside (key, slot); only the last row of each slot crosses into
     the next one. `slot` must grow with `order`, and `order` must be unique per key.
     """
-    cut = df.withColumn("_slot", slot)
-    inner = W.partitionBy(*_same(keys)).orderBy(*order)
+    cut = df.withColumn("_slot", slot).withColumn("_value", F.struct(*columns))
     across = W.partitionBy(*keys).orderBy("_slot")
     edges = (
         cut.groupBy(*_same(keys))
-        .agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
-        .select(*_same(keys), F.lag("_last").over(across).alias("_carry"))
+        .agg(F.max_by("_value", F.struct(*order)).alias("_last"))
+        .select(*_same(keys), F.lit(0).alias("_row"), F.lag("_last").over(across).alias("_value"))
     )
+    inner = W.partitionBy(*_same(keys)).orderBy("_row", *order)
+    stitched = cut.withColumn("_row", F.lit(1)).unionByName(edges, allowMissingColumns=True)
     return (
-        cut.withColumn(name, F.lag(F.struct(*columns)).over(inner))
-        .join(edges, _same(keys))
-        .withColumn(name, F.coalesce(name, "_carry"))
-        .drop("_slot", "_carry")
+        stitched.withColumn(name, F.lag("_value").over(inner))
+        .where(F.col("_row") == 1)
+        .drop("_slot", "_value", "_row")
     )
 
 

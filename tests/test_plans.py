@@ -131,3 +131,13 @@ def test_trailing_sums(spark, frame):
         want.append((len(near), int(near.v.sum())))
     want = frame.assign(n=[w[0] for w in want], total=[w[1] for w in want])
     assert rows(got, "k", "at", "n", "total") == rows(want, "k", "at", "n", "total")
+
+
+def test_null_keys_form_a_group(spark):
+    data = [(None, t, 1) for t in range(0, 300, 50)] + [("a", 5, 1)]
+    df = spark.createDataFrame(data, "k string, at bigint, v bigint")
+    slot = F.floor(F.col("at") / 100)
+    total = running_sum(df, ["k"], slot, ["at"], "v", "n").where("k is null").orderBy("at").collect()
+    assert [r.n for r in total] == [1, 2, 3, 4, 5, 6]
+    before = previous(df, ["k"], slot, ["at"], ["at"], "p").where("k is null").orderBy("at").collect()
+    assert [r.p and r.p.at for r in before] == [None, 0, 50, 100, 150, 200]
