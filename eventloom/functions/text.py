@@ -132,9 +132,10 @@ def hits(words: Sequence[str]) -> Column:
     return F.filter(document(), lambda d: d["term"].isin(*words))
 
 
-def frequency_rank(words: Sequence[str]) -> Column:
+def frequency_rank(words: Sequence[str], found: Column | None = None) -> Column:
     """Sum of the weights of all occurrences of the words."""
-    return F.aggregate(hits(words), F.lit(0.0), lambda total, h: total + h["weight"])
+    found = hits(words) if found is None else found
+    return F.aggregate(found, F.lit(0.0), lambda total, h: total + h["weight"])
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -142,18 +143,21 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def cover_density_rank(alternatives: Sequence[Sequence[Term]]) -> Column:
+def cover_density_rank(
+    alternatives: Sequence[Sequence[Term]], found: Column | None = None
+) -> Column:
     """Sum over minimal spans that hold every word of some alternative.
 
     A span with n hits scores n / sum(1 / weight), divided by one plus the words between
-    its hits. For a single word that is the sum of its weights.
+    its hits. For a single word that is the sum of its weights. `found` are the hits of
+    the words that are not negated, by position; without it the event's text is read.
     """
     groups = [[t.word for t in terms if not t.negated] for terms in alternatives]
     groups = [list(dict.fromkeys(g)) for g in groups if g]
     if not groups:
         return F.lit(0.0)
     if all(len(g) == 1 for g in groups):
-        return frequency_rank([g[0] for g in groups])
+        return frequency_rank([g[0] for g in groups], found)
     words = list(dict.fromkeys(w for g in groups for w in g))
     # Per word, where it was seen last and what had been passed before it.
     unseen = F.struct(
@@ -203,7 +207,8 @@ def cover_density_rank(alternatives: Sequence[Sequence[Term]]) -> Column:
 
         return _bind(last, with_last)
 
-    return F.aggregate(hits(words), begin, step, lambda state: state["score"])
+    found = hits(words) if found is None else found
+    return F.aggregate(found, begin, step, lambda state: state["score"])
 
 
 # Patterns masked in log text, in this order.

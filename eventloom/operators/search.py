@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from eventloom.functions.timeops import as_datetime, floor_to, ts_lit
 from eventloom.operators.retrieval import cut_page, newest_first
 from eventloom.plans.pruning import between
 from eventloom.schemas import is_error, page_size
+from eventloom.sources.store import write_by_day
 
 
 def with_filters(ev: DataFrame, filters: dict[str, str]) -> DataFrame:
@@ -84,22 +86,60 @@ def search_page(
     return cut_page(found, search_order(ranked), page_size(limit))
 
 
-def term_table(ev: DataFrame) -> DataFrame:
-    """The weighted search document as rows (event_id, term, weight, pos).
+def term_table(ev: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The weighted search document as rows (event_id, term, weight, pos, *keep).
 
     The weight follows from the position, as fields follow one another.
     """
     fields = T.field_tokens()
-    split = ev.select("event_id", *(found.alias(f"_f{i}") for i, (found, _) in enumerate(fields)))
+    split = ev.select("event_id", *keep, *(found.alias(f"_f{i}") for i, (found, _) in enumerate(fields)))
     names = [f"_f{i}" for i in range(len(fields))]
-    sized = split.select("event_id", F.concat(*names).alias("_all"), *(F.size(n).alias(n) for n in names))
+    sized = split.select("event_id", *keep, F.concat(*names).alias("_all"), *(F.size(n).alias(n) for n in names))
     weight, end = F.lit(None).cast("double"), F.lit(0)
     for name, (_, value) in zip(names, fields, strict=True):
         end = end + F.col(name)
         weight = F.coalesce(weight, F.when(F.col("pos") < end, F.lit(value)))
     # The outer form keeps Catalyst from tokenizing once more to skip empty arrays.
-    rows = sized.select("event_id", *names, F.posexplode_outer("_all").alias("pos", "term"))
-    return rows.where(F.col("pos").isNotNull()).select("event_id", "term", weight.alias("weight"), "pos")
+    rows = sized.select("event_id", *keep, *names, F.posexplode_outer("_all").alias("pos", "term"))
+    return rows.where(F.col("pos").isNotNull()).select("event_id", "term", weight.alias("weight"), "pos", *keep)
+
+
+def write_term_table(ev: DataFrame, path: str) -> None:
+    """Store the terms of events by day, sorted by term, for searches that come often.
+
+    Parquet statistics then skip all row groups without the wanted words.
+    """
+    write_by_day(term_table(ev, keep=["timestamp"]), path, sort=("term", "event_id"))
+
+
+def match_indexed(terms: DataFrame, query: str) -> DataFrame:
+    """Ids and ranks of the events that match the free text, from a term table alone.
+
+    Reads only rows of the words asked for. Hits are gathered per event, so a word that
+    very many events hold is no hot group. Every alternative needs a word that is not
+    negated, as events without any of the words are not looked at.
+    """
+    wanted = T.read_search(query)
+    if wanted.filters or not wanted.alternatives:
+        raise ValueError("a term table answers free text only")
+    if not all(any(not t.negated for t in terms) for terms in wanted.alternatives):
+        raise ValueError("each alternative needs a word that is not negated")
+    words = list(dict.fromkeys(t.word for group in wanted.alternatives for t in group))
+    seen = [F.bool_or(F.col("term") == w).alias(f"_w{i}") for i, w in enumerate(words)]
+    positive = F.when(F.col("term").isin(*wanted.words), F.struct("pos", "term", "weight"))
+    gathered = (
+        terms.where(F.col("term").isin(*words))
+        .groupBy("event_id")
+        .agg(*seen, F.sort_array(F.collect_list(positive)).alias("_hits"))
+    )
+
+    def holds(term: T.Term) -> Column:
+        found = F.col(f"_w{words.index(term.word)}")
+        return ~found if term.negated else found
+
+    either = [reduce(Column.__and__, [holds(t) for t in group]) for group in wanted.alternatives]
+    rank = T.cover_density_rank(wanted.alternatives, F.col("_hits"))
+    return gathered.where(reduce(Column.__or__, either)).select("event_id", rank.alias("rank"))
 
 
 def keyword_search(ev: DataFrame, query: str, limit: int) -> DataFrame:

@@ -142,6 +142,20 @@ def d6_cover(spark, folder):
     return found.select("event_id", r6("rank").alias("rank"))
 
 
+@query(
+    "d3_indexed_match",
+    ev_sql(
+        "SELECT event_id, round(rank, 6) AS rank FROM found",
+        TOK_SQL,
+        _rank_sql(["error", "timeout"], "NOT list_contains(ts, 'svc-2')"),
+    ),
+)
+def d3_indexed(spark, folder):
+    terms = search.term_table(events(spark, folder))
+    found = search.match_indexed(terms, "error timeout NOT svc-2")
+    return found.select("event_id", r6("rank").alias("rank"))
+
+
 KEYWORD_SQL = """kw AS (SELECT event_id, sum(weight) AS score FROM doc WHERE term IN ('error', 'timeout')
   GROUP BY 1 HAVING count(DISTINCT term) = 2 ORDER BY round(score, 9) DESC, event_id LIMIT 100)"""
 VECTOR_SQL = """vec AS (SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS event_id,

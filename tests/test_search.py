@@ -184,3 +184,23 @@ def test_unknown_names_are_refused(spark):
         specs.run_spec(specs.Tables(None, None, None), {"type": "drop"}, as_of=NOW)
     with pytest.raises(ValueError):
         specs.run_tool(specs.Tables(None, None, None), "rm", as_of=NOW)
+
+
+@pytest.mark.parametrize("query", ["error", "error timeout", "error OR downstream NOT svc-1", "limit NOT fatal"])
+def test_stored_terms_find_what_a_scan_finds(spark, tmp_path, query):
+    from eventloom.sources.canonical import events
+
+    ev = events(spark, "/root/testdata/sf0.001")
+    search.write_term_table(ev, str(tmp_path))
+    terms = spark.read.parquet(str(tmp_path))
+    got = search.match_indexed(terms, query)
+    scanned = search.search_events(ev, query, as_of=NOW, start="2000-01-01")
+    want = {r.event_id: pytest.approx(r.rank) for r in scanned.collect()}
+    assert {r.event_id: r.rank for r in got.collect()} == want != {}
+    assert "In(term" in got._jdf.queryExecution().toString() or "EqualTo(term" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("query", ["source:a", "NOT x", "a OR NOT b"])
+def test_stored_terms_refuse_what_they_cannot_answer(spark, query):
+    with pytest.raises(ValueError):
+        search.match_indexed(None, query)
