@@ -29,9 +29,9 @@ def build_session(master: str | None = None, app: str = "eventloom", **conf: str
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators rely on to a session made by someone else."""
+    """Apply those settings that can still change to a session made by someone else."""
     for key, value in SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.isModifiable(key) and spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 

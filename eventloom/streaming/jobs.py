@@ -33,6 +33,11 @@ def _start(
     )
 
 
+def _received(events: DataFrame) -> DataFrame:
+    """Fill in the receive time inside the stream, where a repeated batch keeps its clock."""
+    return events.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
+
+
 def start_processing(
     events: DataFrame, root: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
@@ -43,10 +48,9 @@ def start_processing(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        received = F.coalesce("received_at", F.current_timestamp())
-        store_events(ingest.fill_defaults(batch, received), root, batch_id)
+        store_events(ingest.fill_defaults(batch, F.col("received_at")), root, batch_id)
 
-    return _start(events, step, checkpoint, interval)
+    return _start(_received(events), step, checkpoint, interval)
 
 
 def start_ingest(
@@ -153,15 +157,14 @@ def start_alerting(
     """Store each batch of events, then evaluate the rules at its newest full minute."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        received = F.coalesce("received_at", F.current_timestamp())
-        store_events(ingest.fill_defaults(batch, received), root, batch_id)
+        store_events(ingest.fill_defaults(batch, F.col("received_at")), root, batch_id)
         spark = batch.sparkSession
         mine = read_table(spark, root, "counts").where(F.col("batch_id") == batch_id)
         newest = mine.agg(F.max("bucket").alias("at")).first().at
         if newest is not None:
             evaluate_once(rules, stored_counts(spark, root), root, batch_id, newest)
 
-    return _start(events, step, checkpoint, interval)
+    return _start(_received(events), step, checkpoint, interval)
 
 
 def start_live_feed(

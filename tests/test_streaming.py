@@ -99,3 +99,14 @@ def test_alert_runs_respect_cooldown(spark, root):
         jobs.evaluate_once(rules, counts, root, run, at)
     fired = sorted(r.fired_at for r in read_table(spark, root, "alert_events").collect())
     assert fired == [NOW, NOW + dt.timedelta(minutes=5)]
+
+
+def test_missing_times_come_from_the_stream(spark, root, tmp_path):
+    folder = f"{tmp_path}/in"
+    rows = spark.createDataFrame([("a", "s", "t", None, None, None, None, None, None)], EVENT)
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(EVENT).parquet(folder)
+    jobs.start_processing(stream, root, f"{tmp_path}/checkpoint").awaitTermination()
+    stored = read_table(spark, root, "events").first()
+    assert stored.received_at == stored.timestamp and stored.received_at is not None
+    assert (stored.severity, stored.data, stored.tags) == ("info", "{}", [])
