@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,11 +38,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the shared one that the session names in `spark.checkpoint.dir`.
 
-    A local temporary folder is used only when the session names none (tests).
+    Without that setting a temporary folder serves local sessions; on a cluster, where other
+    machines would not see it, this fails.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="eventloom-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
