@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing, oracles, packing, quality_rules, simhash
+from eventloom.llm import exact_dedup, mixing, oracles, packing, quality_rules, simhash, substring_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir))
 
@@ -36,6 +42,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op1_substring_dedup": op1,
     "op2_exact_dedup": op2,
     "op3_quality_rules": op3,
     "op7_mixing": op7,
