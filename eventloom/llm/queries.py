@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing, oracles, packing, quality_rules, simhash, substring_dedup
+from eventloom.llm import exact_dedup, mixing, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir))
 
@@ -45,6 +53,7 @@ QUERIES: dict[str, Run] = {
     "op1_substring_dedup": op1,
     "op2_exact_dedup": op2,
     "op3_quality_rules": op3,
+    "op6_suffix_dedup": op6,
     "op7_mixing": op7,
     "op8_packing": op8,
     "op9_simhash_dedup": op9,

@@ -19,6 +19,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
+def powers(n: int) -> np.ndarray:
+    return _power(_BASE, n)[:n]
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _power(_INVERSE, n)[:n]
+
+
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spread 64-bit values over all bits."""
     x = values + np.uint64((seed * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) % (1 << 64))
