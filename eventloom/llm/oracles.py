@@ -154,3 +154,34 @@ FROM banded LEFT JOIN over USING (row_id)"""
 
 
 QUALITY_RULES = _quality()
+
+URL_FILTERS = """
+WITH captures AS (
+  SELECT page_id, url,
+         DATE '2024-01-01' + (('0x' || substr(md5(page_id::VARCHAR), 1, 4))::INT % 366)::INT AS fetched,
+         regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '[.]$', '') AS host,
+         regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) AS step
+  FROM pages),
+met AS (
+  SELECT page_id, url, fetched, 0 AS rank, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS pattern
+  FROM captures WHERE regexp_extract(host, '([^.]+[.][^.]+)$', 1) <> ''
+  UNION ALL SELECT page_id, url, fetched, 1, host FROM captures WHERE host <> ''
+  UNION ALL SELECT page_id, url, fetched, 2, host || '/' || step FROM captures WHERE host <> '' AND step <> ''),
+listed AS (
+  SELECT *, ('0x' || h[2:3])::INT % 180 AS d, ('0x' || h[4:5])::INT % 90 AS gap, ('0x' || h[6])::INT % 2 = 0 AS again
+  FROM (SELECT DISTINCT rank, pattern, md5(rank || '|' || pattern) AS h FROM met)
+  WHERE ('0x' || h[1])::INT % CASE WHEN rank = 0 THEN 8 ELSE 2 END = 0),
+entries AS (
+  SELECT rank, pattern, max(action) AS action, day FROM (
+    SELECT rank, pattern, 'block' AS action, DATE '2024-01-01' + d AS day FROM listed
+    UNION ALL SELECT rank, pattern, 'allow', DATE '2024-01-01' + (d + gap + 1) FROM listed
+    UNION ALL SELECT rank, pattern, 'block', DATE '2024-01-01' + (d + gap + 31) FROM listed WHERE again)
+  GROUP BY rank, pattern, day),
+valid AS (
+  SELECT *, lead(day, 1, DATE '9999-12-01') OVER (PARTITION BY rank, pattern ORDER BY day) AS until FROM entries),
+answers AS (
+  SELECT page_id, arg_max(action, m.rank) AS action, arg_max(m.pattern, m.rank) AS pattern, arg_max(day, m.rank) AS since
+  FROM met m JOIN valid v ON m.rank = v.rank AND m.pattern = v.pattern AND day <= fetched AND fetched < until
+  GROUP BY page_id)
+SELECT page_id, url, fetched, host, coalesce(action = 'block', false) AS blocked, pattern, since
+FROM captures LEFT JOIN answers USING (page_id)"""

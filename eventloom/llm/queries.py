@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup
+from eventloom.llm import (
+    exact_dedup,
+    mixing,
+    oracles,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    url_filters,
+)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +41,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.suffix_dedup(table(spark, sf_dir))
     return found.select(
@@ -49,14 +69,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filtered_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_substring_dedup": op1,
     "op2_exact_dedup": op2,
     "op3_quality_rules": op3,
+    "op4_sharding": op4,
+    "op5_quality_classifier": op5,
     "op6_suffix_dedup": op6,
     "op7_mixing": op7,
     "op8_packing": op8,
     "op9_simhash_dedup": op9,
+    "op10_url_filters": op10,
 }
 
 ORACLES: dict[str, str] = {
@@ -64,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": oracles.QUALITY_RULES,
     "op7_mixing": oracles.MIXING,
     "op8_packing": oracles.PACKING,
+    "op10_url_filters": oracles.URL_FILTERS,
 }
