@@ -65,7 +65,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, last_day: str) -> DataF
     upto = F.least(F.col("until"), F.lit(last_day).cast("date"))
     months = F.sequence(F.trunc("since", "month"), F.trunc(F.greatest("since", upto), "month"), F.expr("interval 1 month"))
     spread = intervals(entries).withColumn("month", F.explode(months))
-    day = F.least(F.col("fetched"), F.lit(last_day).cast("date"))
+    day = F.when(F.col("fetched").isNotNull(), F.least(F.col("fetched"), F.lit(last_day).cast("date")))
     asked = captures.select("page_id", "url", "fetched").withColumn("day", day)
     # Each question once, however often it is repeated.
     questions = asked.where("url is not null and day is not null").select("url", "day").distinct()
