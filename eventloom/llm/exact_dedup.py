@@ -148,6 +148,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = tagged.groupBy("level", "name").agg(
         F.min(order).alias("first"), F.count("*").alias("group_size")
     )
+    # As a table of its own, the side with one row per group lets a join split a hot group.
+    groups = write_table(groups, "groups")
     first = F.col("first")
     return tagged.join(groups, ["level", "name"]).select(
         "doc_id",
