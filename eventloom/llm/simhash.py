@@ -148,7 +148,8 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     rows = write_table(rooted(keyed(narrow(docs, doc_id, text))), "rooted")
     own_id = F.when(~F.col("no_id"), F.col("key"))
-    least = rows.groupBy("root").agg(F.min(own_id).alias("component_id"))
+    # As a table of its own, the side with one row per component lets a join split a hot one.
+    least = write_table(rows.groupBy("root").agg(F.min(own_id).alias("component_id")), "least")
     return rows.join(least, "root").select(
         own_id.alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
