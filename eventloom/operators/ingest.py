@@ -50,6 +50,48 @@ def explode_batches(batches: DataFrame) -> DataFrame:
     return rows.where(F.col("event_index").isNotNull()).select(*others, "event_index", "_event.*")
 
 
+# Every field as the text that was sent, so that one of a wrong type is seen and kept.
+_SENT = T.StructType([T.StructField(f, T.StringType()) for f in S.EVENT_INPUT.fieldNames()])
+
+
+def split_payloads(df: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per event: `sent` is its own JSON text, `event_index` its place in the payload.
+
+    Batches of any size are taken. A payload without events, or that is no JSON, gives one row with a null
+    index and itself as `sent`, so every payload is accounted for.
+    """
+    text = F.col(payload)
+    listed = F.ltrim(text).startswith("[")
+    whole = F.when(listed, F.concat(F.lit('{"events":'), text, F.lit("}"))).otherwise(text)
+    many = F.from_json(whole, "events array<string>")["events"]
+    alone = F.from_json(text, _SENT)
+    given = reduce(Column.__or__, [alone[f].isNotNull() for f in _SENT.fieldNames()])
+    parts = F.coalesce(many, F.when(given, F.array(text)))
+    rows = df.select(*keep, text.alias("_payload"), F.posexplode_outer(parts).alias("event_index", "sent"))
+    sent = F.when(F.col("event_index").isNull(), F.col("_payload")).otherwise(F.coalesce("sent", F.lit("null")))
+    return rows.withColumn("sent", sent).drop("_payload")
+
+
+def typed_events(rows: DataFrame) -> DataFrame:
+    """Adds the event's fields, and `unreadable`, the names of those whose text does not fit their type."""
+    raw = F.from_json("sent", _SENT)
+    parsed = rows.withColumn("_raw", raw)
+    sent = F.col("_raw")
+    at = sent["timestamp"].try_cast("timestamp")
+    tags = F.from_json(sent["tags"], "array<string>")
+    failed = {"timestamp": at.isNull(), "tags": tags.isNull()}
+    unreadable = F.filter(
+        F.array(*(F.when(sent[name].isNotNull() & bad, F.lit(name)) for name, bad in failed.items())),
+        lambda name: name.isNotNull(),
+    )
+    typed = {"timestamp": at, "tags": tags}
+    return parsed.select(
+        *rows.columns,
+        *(typed.get(f, sent[f]).alias(f) for f in S.EVENT_INPUT.fieldNames()),
+        unreadable.alias("unreadable"),
+    )
+
+
 def parse_batches(df: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     return explode_batches(decode_batches(df, payload, keep))
 

@@ -75,6 +75,49 @@ def a11_ingest(spark, folder):
     return size("events").unionAll(size("rejected")).unionAll(size("quarantine"))
 
 
+@query(
+    "a11_ingest_contents",
+    ev_sql(
+        """SELECT CASE seq % 5 WHEN 1 THEN 'rejected' WHEN 2 THEN 'quarantine' WHEN 3 THEN 'quarantine' ELSE 'events' END AS kind,
+  seq, CASE WHEN seq % 5 IN (0, 4) THEN severity END AS severity FROM ev
+UNION ALL SELECT 'quarantine', -1 - seq, NULL FROM ev WHERE seq % 400 = 0"""
+    ),
+)
+def a11_contents(spark, folder):
+    """Batches of 1500 events and more, flawed in several ways: all that was sent comes back."""
+    ev = events(spark, folder)
+    seq = F.col("event_id").cast("bigint")
+    at = F.when(seq % 5 == 2, F.lit("nonsense")).otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    quoted = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('",'))
+    plain = F.concat(
+        F.lit("{"), F.when(seq % 5 != 1, quoted("source", F.col("source"))).otherwise(""),
+        quoted("event_type", F.col("event_type")), quoted("severity", F.col("severity")), quoted("timestamp", at),
+        F.lit('"data":{"n":'), seq, F.when(seq % 5 == 3, '},"tags":"notalist"}').otherwise('},"tags":["a","b"]}'),
+    )
+    batches = (
+        ev.select(seq.alias("n"), plain.alias("one"))
+        .groupBy(F.floor(F.col("n") / 1500))
+        .agg(F.concat(F.lit('{"events":['), F.array_join(F.sort_array(F.collect_list("one")), ","), F.lit("]}")).alias("payload"))
+        .select("payload")
+    )
+    empty = ev.where(seq % 400 == 0).select(F.concat(F.lit('{"foo":1,"n":'), -1 - seq, F.lit("}")).alias("payload"))
+    root = _root(spark, "contents", "events", "counts", "rejected", "quarantine")
+    batches.unionByName(empty).write.parquet(f"{root}/sent")
+    stream = spark.readStream.schema("payload string").parquet(f"{root}/sent")
+    received = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    jobs.start_ingest(stream, root, f"{root}/checkpoint", received).awaitTermination()
+
+    def contents(name, text, severity):
+        n = F.regexp_extract(text, r'"n":(-?[0-9]+)', 1).cast("bigint")
+        return read_table(spark, root, name).select(F.lit(name).alias("kind"), n.alias("seq"), severity.alias("severity"))
+
+    nothing = F.lit(None).cast("string")
+    stored = contents("events", F.col("data"), F.col("severity"))
+    return stored.unionAll(contents("rejected", F.col("payload"), nothing)).unionAll(
+        contents("quarantine", F.col("payload"), nothing)
+    )
+
+
 @query("c1_stream_counts", ev_sql("SELECT * FROM counts", "counts"))
 def c1_stream(spark, folder):
     root = _root(spark, "counts", "latest_counts")

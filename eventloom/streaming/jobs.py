@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventloom import schemas as S
 from eventloom.operators import alerts, ingest
+from eventloom.operators.rollup import minute_counts
 from eventloom.plans.pruning import between
 from eventloom.streaming.tables import (
     read_table,
@@ -62,79 +63,59 @@ def start_ingest(
 ) -> StreamingQuery:
     """JSON payloads (column `payload`) to stored events, rejected events and quarantine.
 
+    Nothing that was sent is lost: batches of any size are taken, `rejected` keeps the JSON of
+    each event that fails a check (once per problem), and `quarantine` payloads without events and events with
+    fields of a wrong type.
     `received_at` must be a function of the input row, such as the file time, so that a
     repeated batch derives the same event ids.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.withColumn("_received", received_at.cast("timestamp")).persist()
+        arrived = batch.withColumn("_received", received_at.cast("timestamp"))
+        events = ingest.typed_events(ingest.split_payloads(arrived, keep=("_received",))).persist()
         try:
-            batches = ingest.decode_batches(arrived, keep=("_received", "payload"))
-            judged = ingest.batch_verdicts(batches, F.col("batch_events"))
-            rows = ingest.explode_batches(judged.where("verdict = 'ok'").drop("payload"))
-            checked = ingest.validate(rows, F.col("event_index"))
+            readable = F.col("event_index").isNotNull() & (F.size("unreadable") == 0)
+            checked = ingest.validate(events.where(readable), F.col("event_index"))
             full = ingest.fill_defaults(ingest.accepted(checked), F.col("_received"))
             identity = [
-                F.col("source"), F.col("event_type"), F.col("timestamp").cast("string"),
-                F.col("data"), F.col("event_index").cast("string"),
+                F.col("source"), F.col("event_type"), F.col("severity"), F.col("timestamp").cast("string"),
+                F.col("data"), F.to_json("tags"), F.col("metadata"), F.col("event_index").cast("string"),
             ]
             keyed = full.withColumn("event_id", ingest.sortable_id(F.col("received_at"), *identity))
             store_events(keyed, root, batch_id)
             bad = ingest.rejected(checked).select(
-                "source", "event_type", F.col("_received").alias("received_at"), "error.*"
-            )
-            broken = (judged["batch_events"] == 0) & F.try_parse_json("payload").isNull()
-            refused = judged.where((F.col("verdict") != "ok") & ~broken).select(
-                F.lit(None).cast("string").alias("source"),
-                F.lit(None).cast("string").alias("event_type"),
-                F.col("_received").alias("received_at"),
-                F.lit(-1).alias("index"),
-                F.lit("events").alias("field"),
-                F.concat(F.lit("batch is "), "verdict").alias("message"),
-            )
-            write_batch(bad.unionByName(refused), root, "rejected", batch_id, "received_at")
-            broken = judged.where(broken).select(
-                "payload", F.col("_received").alias("received_at")
+                "source", "event_type", F.col("_received").alias("received_at"), "error.*",
+                F.col("sent").alias("payload"),
+            )
+            write_batch(bad, root, "rejected", batch_id, "received_at")
+            broken = events.where(~readable).select(
+                F.col("sent").alias("payload"), F.col("_received").alias("received_at")
             )
             write_batch(broken, root, "quarantine", batch_id, "received_at")
         finally:
-            arrived.unpersist()
+            events.unpersist()
 
     return _start(payloads, step, checkpoint, interval)
 
 
 def start_counts(
-    events: DataFrame,
-    root: str,
-    checkpoint: str,
-    lateness: str = "1 day",
-    interval: str | None = None,
+    events: DataFrame, root: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Running minute counts in state; each batch writes the new totals of changed windows.
+    """Running minute counts: each batch writes what it adds to its windows.
 
-    State is kept for `lateness`; events later than that are only in the per-batch counts
-    of `start_processing`, which takes them at any time.
+    No state is kept, so an event counts however late it comes.
     """
-    windows = (
-        events.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", "1 minute"), *S.COUNT_KEY[1:])
-        .agg(F.count("*").alias("count"))
-        .select(F.col("window.start").alias("bucket"), *S.COUNT_KEY[1:], "count")
-    )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, root, "latest_counts", batch_id, "bucket")
+        write_batch(minute_counts(batch), root, "latest_counts", batch_id, "bucket")
 
-    return _start(windows, step, checkpoint, interval, "update")
+    return _start(events, step, checkpoint, interval)
 
 
 def running_counts(spark: SparkSession, root: str) -> DataFrame:
-    """The newest total of each window written by `start_counts`."""
-    return (
-        read_table(spark, root, "latest_counts")
-        .groupBy(*S.COUNT_KEY)
-        .agg(F.max_by("count", "batch_id").alias("count"))
-    )
+    """The total of each window over what `start_counts` has written."""
+    added = read_table(spark, root, "latest_counts")
+    return added.groupBy(*S.COUNT_KEY).agg(F.sum("count").alias("count"))
 
 
 def evaluate_once(

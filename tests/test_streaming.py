@@ -66,26 +66,30 @@ def test_json_ingest_keeps_every_outcome(spark, root, tmp_path):
         json.dumps({"events": []}),
         json.dumps({"events": [good] * 1001}),
         '{"events": [{"source"',
+        '{"foo": 1}',
+        '{"events": "x"}',
+        json.dumps([{**good, "timestamp": "nonsense"}, {**good, "tags": "notalist"}]),
     ]
     (folder / "a.txt").write_text("\n".join(lines))
     stream = spark.readStream.schema("value string").text(str(folder)).select(F.col("value").alias("payload"))
     jobs.start_ingest(
         stream, root, f"{tmp_path}/checkpoint", F.lit("2024-01-02 12:00:05").cast("timestamp")
     ).awaitTermination()
-    # The single object equals the first event of the batch but for its place, so it is a repeat.
-    assert totals(spark, root) == {"info": 1, "error": 1}
-    refused = {(r.field, r.message) for r in read_table(spark, root, "rejected").collect()}
-    assert refused == {("source", "required"), ("events", "batch is empty"), ("events", "batch is too_large")}
-    assert [r.payload for r in read_table(spark, root, "quarantine").collect()] == [lines[-1]]
+    # The single object and the first event of the large batch repeat that of the first batch.
+    assert totals(spark, root) == {"info": 1001, "error": 1}
+    refused = [(r.field, r.message, json.loads(r.payload)) for r in read_table(spark, root, "rejected").collect()]
+    assert refused == [("source", "required", {**good, "source": ""})]
+    quarantined = {r.payload for r in read_table(spark, root, "quarantine").collect()}
+    assert quarantined == {*lines[3:4], *lines[5:8], json.dumps({**good, "timestamp": "nonsense"}, separators=(",", ":")), json.dumps({**good, "tags": "notalist"}, separators=(",", ":"))}
 
 
 def test_running_counts_follow_updates(spark, root, tmp_path):
     folder = f"{tmp_path}/in"
     for step in range(2):
-        event_frame(spark, [(f"{step}", "info", NOW)]).write.mode("append").parquet(folder)
+        event_frame(spark, [(f"{step}", "info", NOW - dt.timedelta(days=0)), (f"{step}l", "info", NOW - dt.timedelta(days=9))]).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(EVENT).parquet(folder)
         jobs.start_counts(stream, root, f"{tmp_path}/checkpoint").awaitTermination()
-    assert [r["count"] for r in jobs.running_counts(spark, root).collect()] == [2]
+    assert [r["count"] for r in jobs.running_counts(spark, root).collect()] == [2, 2]
 
 
 def test_alert_runs_respect_cooldown(spark, root):
