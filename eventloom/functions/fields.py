@@ -40,4 +40,5 @@ def number(path: str, column: str = "data") -> Column:
 
 
 def duration_ms() -> Column:
-    return F.get_json_object("data", "$.duration_ms").try_cast("bigint")
+    """Milliseconds as double; senders also report fractions."""
+    return number("$.duration_ms")

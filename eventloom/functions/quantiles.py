@@ -21,13 +21,14 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per key with a column per wanted fraction, interpolated like `percentile`.
 
-    `value` must be integral. Rows are first counted per (key, value), which spreads a hot
+    Rows are first counted per (key, value), which spreads a hot
     key over its values, then gathered into value slots of at most `SLOT_WIDTH` distinct
     values, so no task holds more of a key at once than one slot. Only slots, not rows,
     meet per key. `stats` adds count, sum, min and max; `weight` names a column with the
     number of times a row counts.
     """
     slot = F.floor(F.col(value) / SLOT_WIDTH)
+    kind = df.schema[value].dataType
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, slot.alias("_slot"), F.col(value).alias("_v"))
@@ -47,13 +48,13 @@ def exact_percentiles(
     def at(index: Column) -> Column:
         """Value at a rank of the group, if this slot has it."""
         here = (index >= F.col("_before")) & (index < F.col("_before") + F.col("_held"))
-        start = F.struct(F.col("_before").alias("upto"), F.lit(None).cast("bigint").alias("found"))
+        start = F.struct(F.col("_before").alias("upto"), F.lit(None).cast(kind).alias("found"))
         found = F.aggregate(
             "_values",
             start,
             lambda s, x: F.struct(
                 (s["upto"] + x["_n"]).alias("upto"),
-                F.when(s["found"].isNull() & (index < s["upto"] + x["_n"]), x["_v"].cast("bigint"))
+                F.when(s["found"].isNull() & (index < s["upto"] + x["_n"]), x["_v"])
                 .otherwise(s["found"])
                 .alias("found"),
             ),

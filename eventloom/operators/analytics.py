@@ -48,8 +48,13 @@ def time_series(
 
 def summary_totals(counts: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:
     """Events, errors, error rate and distinct sources in one pass; zeros when empty."""
+    return totals(between(counts, start, end, "bucket"))
+
+
+def totals(counts: DataFrame) -> DataFrame:
+    """The summary of all given counts."""
     total = F.coalesce(F.sum("count"), F.lit(0))
-    return between(counts, start, end, "bucket").agg(
+    return counts.agg(
         total.alias("total_events"),
         _errors().alias("error_count"),
         F.when(total > 0, _errors() / total).otherwise(0.0).alias("error_rate"),

@@ -17,7 +17,6 @@ from eventloom.plans.pruning import between
 from eventloom.plans.skew import keep_one
 from eventloom.schemas import is_error, page_size
 
-LIVE_BUFFER = 500
 
 
 def newest_first() -> list[Column]:
@@ -94,7 +93,8 @@ def cut_page(found: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
 
 
 def event_by_id(ev: DataFrame, event_id: str) -> DataFrame:
-    return ev.where(F.col("event_id") == event_id).limit(1)
+    """The event of that id, the newest if several times share it."""
+    return ev.where(F.col("event_id") == event_id).orderBy(F.col("timestamp").desc()).limit(1)
 
 
 def with_fields(ev: DataFrame, *names: str) -> DataFrame:
@@ -111,14 +111,15 @@ def with_fields(ev: DataFrame, *names: str) -> DataFrame:
 
 
 def live_tail(
-    live: DataFrame, history: DataFrame, severity: str | None = None, buffer: int = LIVE_BUFFER
+    live: DataFrame, history: DataFrame, severity: str | None = None, buffer: int | None = None
 ) -> DataFrame:
-    """Newest `buffer` live rows over history, the live row winning per event."""
-    newest = live.orderBy(*newest_first()).limit(buffer).withColumn("origin", F.lit(0))
-    both = newest.unionByName(history.withColumn("origin", F.lit(1)))
-    merged = keep_one(both, ["event_id"], ["origin"])
+    """Live rows, or the newest `buffer` of them, over history; the live row wins per event."""
+    newest = live.orderBy(*newest_first()).limit(buffer) if buffer else live
     if severity:
-        merged = merged.where(F.col("severity") == severity)
+        # An event has one severity, so both sides are filtered before they meet.
+        newest, history = (df.where(F.col("severity") == severity) for df in (newest, history))
+    both = newest.withColumn("origin", F.lit(0)).unionByName(history.withColumn("origin", F.lit(1)))
+    merged = keep_one(both, ["event_id"], ["origin"])
     return merged.withColumn("live", F.col("origin") == 0).drop("origin").orderBy(*newest_first())
 
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 from datetime import timedelta
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.fields import COLUMN_FIELDS
 from eventloom.functions.timeops import as_datetime
 from eventloom.operators import alerts, analytics, retrieval, search
+from eventloom.plans.pruning import between
 from eventloom.plans.skew import running_sum
-from eventloom.schemas import page_size
+from eventloom.schemas import is_error, page_size
 
-# The fallback confidence and the marker of cut text.
+# The fallback confidence, how one is stated, and the marker of cut text.
 DEFAULT_CONFIDENCE = 0.7
+STATED_CONFIDENCE = r'confidence"?\s*:\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)'
 TRUNCATED = "\n... (truncated)"
 
 
+GROUPS = ("source", "event_type", "severity")
+ORDERS = ("timestamp", "event_id", "source", "event_type", "severity")
+
+
 class Tables(NamedTuple):
     """What specs and tools may read."""
 
@@ -29,11 +37,48 @@ class Tables(NamedTuple):
     alert_events: DataFrame | None = None
 
 
+def _ordered(found: DataFrame, order_by: str | None, allowed: Sequence[str], default: Sequence[Column]) -> DataFrame:
+    """Sorted by `field`, `field ASC` or `field DESC`; ties in the default order."""
+    if not order_by:
+        return found.orderBy(*default)
+    match = re.fullmatch(r"(\w+?)(?:[ _](asc|desc))?", order_by.strip(), re.IGNORECASE)
+    if not match or match[1] not in allowed:
+        raise ValueError(f"cannot order by {order_by!r}")
+    down = (match[2] or "").lower() == "desc"
+    field = F.col(match[1])
+    return found.orderBy(field.desc() if down else field.asc(), *default)
+
+
+def _metric(counts: DataFrame, spec: Mapping[str, Any], limit: int) -> DataFrame:
+    """A metric of minute counts, per bucket and group; the counts are filtered already."""
+    metric, group_by = spec.get("metric") or "", spec.get("group_by")
+    if group_by and group_by not in GROUPS:
+        raise ValueError(f"cannot group by {group_by!r}")
+    if metric == "top":
+        return analytics.ranked(counts, group_by or "source", limit)
+    if metric in ("", "summary") and not group_by:
+        return analytics.totals(counts)
+    total = F.sum("count")
+    errors = F.coalesce(F.sum(F.when(is_error(F.col("severity")), F.col("count"))), F.lit(0))
+    values = {
+        "event_count": total.alias("count"), "error_count": errors.alias("error_count"),
+        "error_rate": (errors / total).alias("error_rate"),
+    }
+    if (metric or "event_count") not in values:
+        raise ValueError(f"unknown metric: {metric}")
+    keys = ["bucket", *([group_by] if group_by else [])]
+    value = values[metric or "event_count"]
+    found = counts.groupBy(*keys).agg(value)
+    return _ordered(found, spec.get("order_by"), found.columns, [F.col(k) for k in keys])
+
+
 def run_spec(tables: Tables, spec: Mapping[str, Any], *, as_of) -> DataFrame:
     """Run a structured query: event_query, search, analytics or count.
 
-    Analytics gives top-N for `group_by` source or event_type with metric `top`, the
-    summary without a metric, else a time series; limits outside 1..1000 become 100.
+    Analytics takes the metrics event_count (also without one, if grouped), error_count and
+    error_rate per minute and `group_by` source, event_type or severity; `top` ranks the groups, and without
+    metric and group it gives the summary. Filters apply before anything is counted. Whatever is not
+    supported raises a ValueError, as do limits outside 1..1000.
     """
     kind = spec.get("type") or "event_query"
     limit = page_size(spec.get("limit"), 100, 1000)
@@ -47,25 +92,22 @@ def run_spec(tables: Tables, spec: Mapping[str, Any], *, as_of) -> DataFrame:
         )
         if kind == "count":
             return found.agg(F.count("*").alias("count"))
-        if spec.get("order_by") in ("timestamp asc", "timestamp_asc"):
-            return found.orderBy("timestamp", "event_id").limit(limit)
-        return found.orderBy(*retrieval.newest_first()).limit(limit)
+        down = not re.search("asc$", spec.get("order_by") or "desc", re.IGNORECASE)
+        ties = retrieval.newest_first() if down else [F.col("timestamp"), F.col("event_id")]
+        return _ordered(found, spec.get("order_by"), ORDERS, ties).limit(limit)
     if kind == "search":
         found = search.search_events(
             search.with_filters(tables.events, filters), spec.get("search_text"),
             as_of=as_of, start=lower, end=upper,
         )
-        return found.orderBy(*search.search_order(True)).limit(limit)
+        return _ordered(found, spec.get("order_by"), (*ORDERS, "rank"), search.search_order(True)).limit(limit)
     if kind == "analytics":
-        metric, group_by = spec.get("metric"), spec.get("group_by")
-        if metric == "top":
-            return analytics.top_n(tables.minutes, lower, upper, group_by=group_by, limit=limit)
-        if metric in (None, "", "summary") and not group_by:
-            return analytics.summary_totals(tables.minutes, lower, upper)
-        return analytics.time_series(
-            tables.minutes, lower, upper, group_by=group_by,
-            source=filters.get("source"), severity=filters.get("severity"),
-        )
+        counts = between(tables.minutes, lower, upper, "bucket")
+        for name, value in filters.items():
+            if COLUMN_FIELDS.get(name) not in GROUPS:
+                raise ValueError(f"counts cannot be filtered by {name!r}")
+            counts = counts.where(F.col(COLUMN_FIELDS[name]) == value)
+        return _metric(counts, spec, limit)
     raise ValueError(f"unknown query type: {kind}")
 
 
@@ -126,24 +168,15 @@ def run_tool(tables: Tables, name: str, args: Mapping[str, Any] | None = None, *
 
 
 def confidence(text: Column) -> Column:
-    """Confidence stated in an answer, in [0, 1]; 0.7 where there is none.
+    """The first confidence in [0, 1] that an answer states; 0.7 where there is none.
 
-    Looks after the first occurrence of each spelling, in this order.
+    A statement is the word, quoted or not, a colon and a number.
     """
-    lower = F.lower(text)
-
-    def stated(prefix: str) -> Column:
-        at = F.instr(lower, prefix)
-        rest = F.substr(lower, at + len(prefix))
-        number = F.regexp_extract(rest, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)", 1)
-        value = number.try_cast("double")
-        return F.when((at > 0) & value.between(0.0, 1.0), value)
-
-    spellings = ('"confidence":', '"confidence" :', "confidence:")
-    parsed = F.get_json_object(text, "$.confidence").try_cast("double")
-    return F.coalesce(
-        *(stated(s) for s in spellings), F.when(parsed > 0, parsed), F.lit(DEFAULT_CONFIDENCE)
+    stated = F.regexp_extract_all(F.lower(text), F.lit(STATED_CONFIDENCE), F.lit(1))
+    valid = F.filter(
+        F.transform(stated, lambda number: number.try_cast("double")), lambda value: value.between(0.0, 1.0)
     )
+    return F.coalesce(F.get(valid, F.lit(0)), F.lit(DEFAULT_CONFIDENCE))
 
 
 def usage_totals(steps: DataFrame, key: str) -> DataFrame:

@@ -86,7 +86,7 @@ def b7(spark, folder):
         """SELECT event_id, "timestamp", source, coalesce(l.n, 0) > 0 AS live,
   CASE WHEN l.n > 0 THEN 'live' ELSE 'stored' END AS seen
 FROM ev LEFT JOIN (SELECT event_id, 1 AS n FROM ev WHERE event_type = 'error'
-  ORDER BY "timestamp" DESC, event_id DESC LIMIT 500) l USING (event_id)
+  ORDER BY "timestamp" DESC, event_id DESC LIMIT 700) l USING (event_id)
 WHERE severity = 'error' AND (value < 40 OR l.n > 0)"""
     ),
 )
@@ -94,10 +94,22 @@ def b8(spark, folder):
     ev = events(spark, folder)
     live = ev.where(F.col("event_type") == "error").withColumn("seen", F.lit("live"))
     stored = ev.where(F.col("value") < 40).withColumn("seen", F.lit("stored"))
-    merged = retrieval.live_tail(live, stored, severity="error")
+    merged = retrieval.live_tail(live, stored, severity="error", buffer=700)
     return merged.select("event_id", "timestamp", "source", "live", "seen")
 
 
+@query(
+    "b8_live_unbounded",
+    ev_sql(
+        """SELECT event_id, severity, event_type = 'error' AS live FROM ev WHERE event_type = 'error' OR value < 40"""
+    ),
+)
+def b8_unbounded(spark, folder):
+    ev = events(spark, folder)
+    merged = retrieval.live_tail(ev.where(F.col("event_type") == "error"), ev.where(F.col("value") < 40))
+    return merged.select("event_id", "severity", "live")
+
+
 @query("c1_minute_counts", ev_sql("SELECT * FROM counts", "counts"))
 def c1(spark, folder):
     return minutes(spark, folder)
@@ -209,9 +221,9 @@ def _top_sql(key: str, limit: str) -> str:
     return ev_sql(f"SELECT {key} AS key, count(*) AS count FROM ev WHERE {MONTH} GROUP BY 1 ORDER BY 2 DESC, 1 {limit}")
 
 
-@query("c10_top_sources", _top_sql("source", "LIMIT 10"))
+@query("c10_top_sources", _top_sql("source", "LIMIT 5"))
 def c10(spark, folder):
-    return analytics.top_n(month(spark, folder), MONTH_START, AS_OF)
+    return analytics.top_n(month(spark, folder), MONTH_START, AS_OF, limit=5)
 
 
 @query("c11_by_severity", _top_sql("severity", ""))
@@ -224,9 +236,9 @@ def c12(spark, folder):
     return analytics.top_n(month(spark, folder), MONTH_START, AS_OF, group_by="event_type", limit=3)
 
 
-@query("c12_top_unknown_key", _top_sql("source", "LIMIT 10"))
+@query("c12_top_unknown_key", _top_sql("source", "LIMIT 6"))
 def c12_unknown(spark, folder):
-    return analytics.top_n(month(spark, folder), MONTH_START, AS_OF, group_by="host", limit=500)
+    return analytics.top_n(month(spark, folder), MONTH_START, AS_OF, group_by="host", limit=6)
 
 
 @query(
@@ -273,9 +285,9 @@ def c15(spark, folder):
     "l1_latency_stats",
     ev_sql(
         """SELECT date_trunc('minute', "timestamp") AS bucket, source, json_extract_string(data, '$.path') AS endpoint,
-  count(*) AS count, CAST(sum(ms) AS BIGINT) AS sum, min(ms) AS min, max(ms) AS max,
+  count(*) AS count, sum(ms) AS sum, min(ms) AS min, max(ms) AS max,
   round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99
-FROM (SELECT *, CAST(json_extract_string(data, '$.duration_ms') AS BIGINT) AS ms FROM ev) GROUP BY ALL"""
+FROM (SELECT *, CAST(json_extract_string(data, '$.duration_ms') AS DOUBLE) AS ms FROM ev) GROUP BY ALL"""
     ),
 )
 def l1(spark, folder):
@@ -285,6 +297,23 @@ def l1(spark, folder):
     return stats
 
 
+@query(
+    "l1_fractional_latency",
+    ev_sql(
+        """SELECT date_trunc('minute', "timestamp") AS bucket, 'all' AS source, '/' || event_type AS endpoint, count(*) AS count,
+  round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS p50,
+  round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM ev GROUP BY ALL"""
+    ),
+)
+def l1_fractions(spark, folder):
+    timed = F.to_json(F.struct(F.concat(F.lit("/"), "event_type").alias("path"), F.col("value").alias("duration_ms")))
+    ev = events(spark, folder).withColumns({"data": timed, "source": F.lit("all")})
+    stats = rollup.latency_stats(ev)
+    for name in ("sum", "p50", "p95", "p99"):
+        stats = stats.withColumn(name, r6(name))
+    return stats
+
+
 @query(
     "l2_error_rates",
     ev_sql(
@@ -400,7 +429,7 @@ def l15(spark, folder):
     "l16_top_endpoints",
     ev_sql(
         """SELECT json_extract_string(data, '$.path') AS endpoint, count(*) AS requests,
-  round(avg(CAST(json_extract_string(data, '$.duration_ms') AS BIGINT)), 6) AS mean_ms
+  round(avg(CAST(json_extract_string(data, '$.duration_ms') AS DOUBLE)), 6) AS mean_ms
 FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
     ),
 )
@@ -491,7 +520,7 @@ def l32(spark, folder):
     "l33_duration_buckets",
     ev_sql(
         """SELECT CASE WHEN ms < 10 THEN '<10ms' WHEN ms < 100 THEN '10-100ms' WHEN ms < 1000 THEN '100ms-1s' ELSE '>=1s' END AS bucket,
-  count(*) AS n FROM (SELECT CAST(json_extract_string(data, '$.duration_ms') AS BIGINT) AS ms FROM ev) GROUP BY 1"""
+  count(*) AS n FROM (SELECT CAST(json_extract_string(data, '$.duration_ms') AS DOUBLE) AS ms FROM ev) GROUP BY 1"""
     ),
 )
 def l33(spark, folder):

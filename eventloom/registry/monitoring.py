@@ -347,7 +347,7 @@ def l9(spark, folder):
         """SELECT source, win AS "window", round(p99, 6) AS p99, round(mean, 6) AS mean, round(stddev, 6) AS stddev
 FROM (SELECT *, avg(p99) OVER (PARTITION BY source) AS mean, stddev_samp(p99) OVER (PARTITION BY source) AS stddev FROM (
   SELECT source, date_trunc('hour', "timestamp") AS win,
-    quantile_cont(CAST(json_extract_string(data, '$.duration_ms') AS BIGINT), 0.99) AS p99 FROM ev GROUP BY ALL))
+    quantile_cont(CAST(json_extract_string(data, '$.duration_ms') AS DOUBLE), 0.99) AS p99 FROM ev GROUP BY ALL))
 WHERE p99 > mean + 3 * stddev"""
     ),
 )
@@ -360,7 +360,7 @@ def l10(spark, folder):
     ev_sql(
         """SELECT r.rule_id, round(quantile_cont(ms, 0.99), 6) AS value
 FROM (SELECT * REPLACE ('latency_p99' AS metric) FROM rules) r
-LEFT JOIN (SELECT source, "timestamp", CAST(json_extract_string(data, '$.duration_ms') AS BIGINT) AS ms FROM ev) e
+LEFT JOIN (SELECT source, "timestamp", CAST(json_extract_string(data, '$.duration_ms') AS DOUBLE) AS ms FROM ev) e
   ON (r.source = '' OR r.source = e.source) AND e."timestamp" < TIMESTAMP '2024-01-05 14:00:00'
   AND e."timestamp" >= TIMESTAMP '2024-01-05 14:00:00' - CASE r."window" WHEN '1m' THEN INTERVAL 1 MINUTE
       WHEN '15m' THEN INTERVAL 15 MINUTE WHEN '1h' THEN INTERVAL 1 HOUR ELSE INTERVAL 5 MINUTE END

@@ -221,7 +221,7 @@ ORDER BY "timestamp" DESC, event_id DESC LIMIT 100"""
     ),
 )
 def f1_events(spark, folder):
-    spec = {"type": "", "filters": {"source": "svc-4", "method": "GET"}, "limit": 5000, **SPAN}
+    spec = {"type": "", "filters": {"source": "svc-4", "method": "GET"}, **SPAN}
     return specs.run_spec(tables(spark, folder), spec, as_of=AS_OF).select("event_id", "timestamp")
 
 
@@ -261,6 +261,39 @@ def f1_count(spark, folder):
     return specs.run_spec(tables(spark, folder), spec, as_of=AS_OF)
 
 
+def _analytics_spec(name: str, spec: dict, column: str, sql: str) -> None:
+    @query(name, ev_sql(sql))
+    def run(spark, folder):
+        found = specs.run_spec(tables(spark, folder), {"type": "analytics", **spec, **SPAN}, as_of=AS_OF)
+        return found.withColumn(column, r6(column))
+
+
+_analytics_spec(
+    "f1_spec_error_rate", {"metric": "error_rate", "group_by": "source"}, "error_rate",
+    f"""SELECT date_trunc('minute', "timestamp") AS bucket, source,
+  round(count(*) FILTER (severity IN ('error', 'fatal')) / count(*), 6) AS error_rate FROM ev WHERE {MONTH} GROUP BY ALL""",
+)
+_analytics_spec(
+    "f1_spec_error_count", {"metric": "error_count", "filters": {"source": "svc-2"}}, "error_count",
+    f"""SELECT date_trunc('minute', "timestamp") AS bucket, count(*) FILTER (severity IN ('error', 'fatal')) AS error_count
+FROM ev WHERE {MONTH} AND source = 'svc-2' GROUP BY ALL""",
+)
+_analytics_spec(
+    "f1_spec_by_type", {"group_by": "event_type", "filters": {"severity": "info", "event_type": "click"}}, "count",
+    f"""SELECT date_trunc('minute', "timestamp") AS bucket, event_type, count(*) AS count
+FROM ev WHERE {MONTH} AND severity = 'info' AND event_type = 'click' GROUP BY ALL""",
+)
+
+
+@query(
+    "f1_spec_order",
+    ev_sql(f"""SELECT event_id, source FROM ev WHERE {MONTH} AND severity = 'error' ORDER BY event_id LIMIT 40"""),
+)
+def f1_order(spark, folder):
+    spec = {"filters": {"severity": "error"}, "order_by": "event_id ASC", "limit": 40, **SPAN}
+    return specs.run_spec(tables(spark, folder), spec, as_of=AS_OF).select("event_id", "source")
+
+
 def _tool(name: str, tool: str, args: dict, columns: list[str], sql: str, *ctes: str) -> None:
     @query(name, ev_sql(sql, *ctes))
     def run(spark, folder):
@@ -322,8 +355,10 @@ def _answers(spark, folder):
 @query(
     "f3_confidence",
     f"""WITH {ANSWER_SQL} SELECT conv_id, turn,
-  CASE WHEN stated BETWEEN 0 AND 1 THEN stated WHEN conv_id % 3 = 1 THEN stated ELSE 0.7 END AS confidence
-FROM (SELECT *, try_cast(regexp_extract(lower(answer), 'confidence"?:\\s*([0-9]+\\.[0-9]+)', 1) AS DOUBLE) AS stated FROM answers)""",
+  coalesce(list_filter(list_transform(regexp_extract_all(lower(answer),
+    'confidence"?\\s*:\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:e[+-]?[0-9]+)?)', 1),
+    lambda x: try_cast(x AS DOUBLE)), lambda x: x BETWEEN 0 AND 1)[1], 0.7::DOUBLE) AS confidence
+FROM answers""",
 )
 def f3(spark, folder):
     return _answers(spark, folder).select("conv_id", "turn", specs.confidence(F.col("answer")).alias("confidence"))
@@ -370,14 +405,14 @@ def g1(spark, folder):
 
 
 SAMPLE_SQL = """samples AS (SELECT source, date_trunc('minute', "timestamp") AS "timestamp",
-  CAST(max(json_extract_string(data, '$.duration_ms')::BIGINT) AS BIGINT) AS value FROM ev GROUP BY ALL)"""
+  max(json_extract_string(data, '$.duration_ms')::DOUBLE) AS value FROM ev GROUP BY ALL)"""
 
 
 @query(
     "g2_increase_1h",
     ev_sql(
         """SELECT source, date_trunc('hour', "timestamp") AS bucket,
-  CAST(sum(CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END) AS BIGINT) AS increase
+  sum(CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END)::DOUBLE AS increase
 FROM (SELECT *, lag(value) OVER (PARTITION BY source, date_trunc('hour', "timestamp") ORDER BY "timestamp") AS p FROM samples) GROUP BY ALL""",
         SAMPLE_SQL,
     ),
@@ -391,7 +426,7 @@ def g2(spark, folder):
 
 
 HIST_SQL = """hist AS (SELECT method, le, count(*) FILTER (s <= le) AS count
-  FROM (SELECT json_extract_string(data, '$.method') AS method, json_extract_string(data, '$.duration_ms')::BIGINT / 1000 AS s FROM ev),
+  FROM (SELECT json_extract_string(data, '$.method') AS method, json_extract_string(data, '$.duration_ms')::DOUBLE / 1000 AS s FROM ev),
     (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 'Infinity'::DOUBLE]) AS le) GROUP BY ALL)"""
 
 
@@ -470,7 +505,7 @@ def l7(spark, folder):
         """SELECT caller, callee, count(*) AS calls, round(count(*) FILTER (severity IN ('error','fatal')) / count(*), 6) AS error_rate,
   round(avg(ms), 6) AS mean_ms
 FROM (SELECT path AS callee, severity, ms, lag(path) OVER w AS caller, epoch_us("timestamp") // 1000000 - epoch_us(lag("timestamp") OVER w) // 1000000 AS waited
-  FROM (SELECT *, json_extract_string(data, '$.path') AS path, json_extract_string(data, '$.duration_ms')::BIGINT AS ms FROM ev)
+  FROM (SELECT *, json_extract_string(data, '$.path') AS path, json_extract_string(data, '$.duration_ms')::DOUBLE AS ms FROM ev)
   WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", event_id)) WHERE waited <= 14400 AND caller <> callee GROUP BY ALL"""
     ),
 )

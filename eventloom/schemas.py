@@ -78,7 +78,12 @@ def is_error(column: Column) -> Column:
 
 
 def page_size(limit: int | None, default: int = DEFAULT_PAGE, maximum: int = MAX_PAGE) -> int:
-    """A limit outside 1..maximum falls back to the default instead of being clamped."""
-    if limit is None or limit <= 0 or limit > maximum:
+    """The limit, or the default where there is none. ValueError outside 1..maximum.
+
+    Fewer rows than asked for would come back without a sign of it.
+    """
+    if limit is None:
         return default
+    if not 1 <= limit <= maximum:
+        raise ValueError(f"limit {limit} is not in 1..{maximum}")
     return limit

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
 from eventloom.operators import search, specs, vector
+from eventloom.schemas import EVENT
 
 NOW = dt.datetime(2024, 1, 2)
 
@@ -163,7 +164,8 @@ def test_fusion_and_its_degraded_forms(spark):
         ('"confidence" : 0.4 sure', 0.4),
         ("Confidence: .5", 0.5),
         ("confidence: 7", 0.7),
-        ('{"confidence": 1.5}', 1.5),
+        ('{"confidence": 1.5}', 0.7),
+        ("confidence: 3 of 10, so confidence: 0.2", 0.2),
         ("confidence: high", 0.7),
         ("none", 0.7),
         (None, 0.7),
@@ -204,3 +206,16 @@ def test_stored_terms_find_what_a_scan_finds(spark, tmp_path, query):
 def test_stored_terms_refuse_what_they_cannot_answer(spark, query):
     with pytest.raises(ValueError):
         search.match_indexed(None, query)
+
+
+def test_unsupported_specs_raise(spark):
+    counts = spark.createDataFrame([], "bucket timestamp, source string, event_type string, severity string, count long")
+    tables = specs.Tables(spark.createDataFrame([], EVENT), counts, counts)
+    analytic = {"type": "analytics", "group_by": "source"}
+    for spec in (
+        {"order_by": "data"}, {"limit": 5000}, {**analytic, "metric": "p99"}, {**analytic, "filters": {"method": "GET"}},
+        {"type": "analytics", "group_by": "host"}, {**analytic, "order_by": "severity"}, {"type": "drop"},
+    ):
+        with pytest.raises(ValueError):
+            specs.run_spec(tables, spec, as_of="2024-01-31")
+    assert specs.run_spec(tables, {**analytic, "order_by": "count DESC"}, as_of="2024-01-31").count() == 0
