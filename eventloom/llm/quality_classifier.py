@@ -26,7 +26,7 @@ LEAF = 10
 RIDGE = 1.0
 
 FEATURES = (
-    "chars", "words", "word_length", "distinct", "lines", "dup_lines", "capitals", "digits", "spaces",
+    "chars", "words", "word_length", "distinct", "lines", "dup_lines", "capitals", "digits",
     "full_stops", "commas", "exclamations", "bars", "signs", "other", "repeats",
 )
 
@@ -38,7 +38,7 @@ def statistics(text: Column) -> Column:
     words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
     lines = F.split(text, "\n")
     size = F.greatest(F.length(text), F.lit(1))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    count = lambda chars: F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
     from_words = let(
         words,
         lambda w: F.array(
@@ -55,8 +55,8 @@ def statistics(text: Column) -> Column:
         lines, lambda found: F.array(F.size(found).cast("double"), 1 - F.size(F.array_distinct(found)) / F.size(found))
     )
     shares = [
-        F.length(F.regexp_replace(text, "[^A-Z]", "")), count("0123456789"), count(" \t\r\n"), count("."),
-        count(","), count("!"), count("|"), count("#*$%&<>"), F.length(F.regexp_replace(text, "[\\x00-\\x7F]", "")),
+        count("A-Z"), count("0-9"), count("."), count(","), count("!"), count("|"), count("#*$%&<>"),
+        F.octet_length(text) - F.length(text),
     ]
     shares = F.array(*((s / size).cast("double") for s in shares))
     chars = F.length(text).cast("double")
