@@ -117,9 +117,9 @@ def measures(text: Column) -> Column:
         from_words.alias("words"),
         from_lines.alias("lines"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("bigint").alias("word_chars"),
-        left(F.translate(text, SYMBOLS, "")).alias("n_symbols"),
-        left(F.regexp_replace(text, "[A-Z]", "")).alias("n_capitals"),
-        left(F.translate(text, "!", "")).alias("n_exclamations"),
+        left(F.regexp_replace(text, f"[{SYMBOLS}]+", "")).alias("n_symbols"),
+        left(F.regexp_replace(text, "[A-Z]+", "")).alias("n_capitals"),
+        left(F.regexp_replace(text, "!+", "")).alias("n_exclamations"),
     )
 
 
