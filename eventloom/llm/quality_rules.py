@@ -238,9 +238,15 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns.
+
+    Texts are measured once for the cutoffs and once to judge them, which saves writing or
+    shuffling them.
+    """
+    plain = narrow(docs, "doc_id", "text")
+    measured = write_table(plain.select("doc_id", measures(F.col("text")).alias("m")), "measures")
+    cuts = write_table(cutoffs(judged(measured), labels), "cutoffs")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole, measures(text).alias("m"))
-    found = judged(write_table(rows, "measured"))
-    return decided(found, cutoffs(found, labels)).where("kept").select("doc.*")
+    # Exploding an array of one keeps the planner from repeating the measures for each use of them.
+    once = F.explode(F.array(measures(F.coalesce(F.col("text"), F.lit(""))))).alias("m")
+    return decided(judged(docs.select(whole, once)), cuts).where("kept").select("doc.*")
