@@ -1,7 +1,9 @@
-"""Retry routing and dead-letter tables."""
+"""Dead letters: what ingest refused, and where each of them goes next."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ DEFAULT_LIST = 50
 
 
 def route_pending(df: DataFrame, attempts: str = "attempts", idle: str = "idle_s") -> DataFrame:
-    """`route` of each undelivered message: dlq, retry or wait. Only idle ones move."""
+    """`route` of each letter: dlq after too many tries, retry, or wait. Only idle ones move."""
     route = (
         F.when(F.col(idle) < IDLE_SECONDS, "wait")
         .when(F.col(attempts) >= MAX_ATTEMPTS, "dlq")
@@ -21,19 +23,51 @@ def route_pending(df: DataFrame, attempts: str = "attempts", idle: str = "idle_s
     return df.withColumn("route", route)
 
 
-def to_dead_letters(routed: DataFrame) -> DataFrame:
-    """Dead letters with their origin; `id` sorts by arrival."""
-    return routed.where(F.col("route") == "dlq").select(
-        F.concat_ws("-", F.date_format("received_at", "yyyyMMddHHmmssSSSSSS"), "event_id").alias("id"),
-        F.regexp_replace("stream", "^events:", "dlq:").alias("stream"),
-        F.col("stream").alias("original_stream"),
-        F.col("event_id").alias("original_id"),
-        F.col("data"),
+def open_letters(rejected: DataFrame, quarantine: DataFrame, handled: DataFrame) -> DataFrame:
+    """Dead letters over what ingest refused, less what `handled` has settled.
+
+    One letter per different text: id, stream (rejected or quarantine), payload, reasons,
+    copies, received_at (of the last copy) and attempts, the times it was sent again. Copies
+    collapse in partial aggregates. A letter is settled by a purge until it comes anew, and by
+    a retry unless that refused it once more.
+    """
+    columns = ["stream", "payload", "received_at"]
+    refused = rejected.select(
+        F.lit("rejected").alias("stream"), "payload", "received_at", "index",
+        F.concat_ws(" ", "field", "message").alias("reason"),
+    ).unionByName(
+        quarantine.select(
+            F.lit("quarantine").alias("stream"), "payload", "received_at",
+            F.lit(None).cast("int").alias("index"), F.lit("unreadable").alias("reason"),
+        )
+    )
+    # An event is there once per problem.
+    per_reason = refused.groupBy(*columns, "reason").agg(F.count("*").alias("copies"))
+    letters = per_reason.groupBy("stream", "payload").agg(
+        F.array_join(F.sort_array(F.collect_set("reason")), "; ").alias("reasons"),
+        F.sum("copies").alias("_rows"),
+        F.count_distinct("reason").alias("_reasons"),
+        F.max("received_at").alias("received_at"),
+    )
+    named = letters.select(
+        F.sha2(F.concat_ws("|", "stream", "payload"), 256).alias("id"), "stream", "payload", "reasons",
+        F.expr("_rows div _reasons").alias("copies"), "received_at",
+    )
+    last = F.max_by(F.struct("action", "at"), F.struct("at", "action"))
+    past = handled.groupBy("id").agg(F.count_if(F.col("action") == "retried").alias("attempts"), last.alias("_last"))
+    again = F.when(F.col("_last.action") == "retried", F.col("received_at") >= F.col("_last.at")).otherwise(
+        F.col("received_at") > F.col("_last.at")
+    )
+    return (
+        named.join(past, "id", "left")
+        .where(F.col("_last").isNull() | again)
+        .withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+        .drop("_last")
     )
 
 
 def stats(letters: DataFrame) -> DataFrame:
-    """Messages per non-empty stream and, as stream `total`, over all of them."""
+    """Letters per non-empty stream and, as stream `total`, over all of them."""
     return (
         letters.rollup("stream")
         .agg(F.count("*").alias("messages"), F.grouping("stream").alias("_all"))
@@ -44,22 +78,9 @@ def stats(letters: DataFrame) -> DataFrame:
     )
 
 
-def list_letters(letters: DataFrame, stream: str, count: int = DEFAULT_LIST) -> DataFrame:
+def list_letters(
+    letters: DataFrame, stream: str, count: int = DEFAULT_LIST, order: Sequence[str] = ("received_at", "id")
+) -> DataFrame:
+    """The oldest letters of a stream."""
     count = DEFAULT_LIST if count <= 0 else count
-    return letters.where(F.col("stream") == stream).orderBy("id").limit(count)
-
-
-def retry(letters: DataFrame, chosen: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
-    """Letters to send again to stream `target`, and those that stay."""
-    ids = chosen.select("id").distinct()
-    moved = letters.join(ids, "id", "left_semi").withColumn("target_stream", F.lit(target))
-    return moved, letters.join(ids, "id", "left_anti")
-
-
-def purge(letters: DataFrame, stream: str) -> tuple[DataFrame, DataFrame]:
-    """Number of letters dropped from `stream`, and the letters of the other streams."""
-    gone = letters.where(F.col("stream") == stream)
-    return (
-        gone.agg(F.count("*").alias("purged")).select(F.lit(stream).alias("stream"), "purged"),
-        letters.where(F.col("stream") != stream),
-    )
+    return letters.where(F.col("stream") == stream).orderBy(*order).limit(count)

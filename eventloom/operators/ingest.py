@@ -220,17 +220,30 @@ def stream_name(partition: Column) -> Column:
     return F.concat(F.lit("events:"), partition.cast("string"))
 
 
-def touched_days(incoming: DataFrame) -> list[date]:
-    """Days the batch has events of: a short list, as the calendar bounds it."""
-    days = incoming.select(F.to_date("timestamp").alias("day")).distinct()
-    return [row.day for row in days.collect() if row.day is not None]
+def touched_span(incoming: DataFrame) -> tuple[date, date] | None:
+    """First and last day the batch has events of; none if it has no events."""
+    day = F.to_date("timestamp")
+    row = incoming.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+    return None if row["first"] is None else (row["first"], row["last"])
+
+
+def on_touched_days(stored: DataFrame, incoming: DataFrame, day: str = "event_date") -> DataFrame:
+    """Stored rows of the days that the batch has events of.
+
+    The span of days prunes folders; the days themselves are matched by a join.
+    """
+    span = touched_span(incoming)
+    if span is None:
+        return stored.where(F.lit(False))
+    days = incoming.select(F.to_date("timestamp").alias(day)).distinct()
+    return stored.where(F.col(day).between(*map(F.lit, span))).join(days, day, "left_semi")
 
 
 def append_new(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming rows not yet stored, one per event key.
 
     Copies inside the batch collapse in a partial aggregate. Give it only the stored days
-    that the batch touches (`touched_days`), so that the others are never read.
+    that the batch touches (`on_touched_days`), so that the others are never read.
     """
     fresh = keep_one(incoming, S.EVENT_KEY, ["received_at"])
     return fresh.join(existing.select(*S.EVENT_KEY), S.EVENT_KEY, "left_anti")
@@ -246,12 +259,10 @@ def quarantine(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
     return df.select(*df.columns, parsed).select(*df.columns, "_parsed.*")
 
 
-def backlog(received: DataFrame, processed: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows received but not yet processed, per stream partition."""
-    waiting = received.join(processed.select(*keys), keys, "left_anti")
-    return waiting.groupBy(source_partition(F.col("source")).alias("partition")).agg(
-        F.count("*").alias("depth")
-    )
+def backlog(received: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows received but not yet stored, per source."""
+    waiting = received.join(stored.select(*keys), keys, "left_anti")
+    return waiting.groupBy("source").agg(F.count("*").alias("depth"))
 
 
 def backpressure(depth: DataFrame, limit: int = S.MAX_QUEUED_EVENTS) -> DataFrame:

@@ -8,8 +8,11 @@ from eventloom import schemas as S
 from eventloom.functions.timeops import ts_lit
 from eventloom.operators import dlq, health, ingest
 from eventloom.registry import ev_sql, query
+from eventloom.session import work_folder
 from eventloom.sources.canonical import events, flawed, redelivered
 from eventloom.sources.store import with_day
+from eventloom.streaming import jobs
+from eventloom.streaming.tables import create_tables, read_table, write_batch
 
 
 def _payload():
@@ -182,8 +185,7 @@ def a9(spark, folder):
     ev = events(spark, folder).select(*S.EVENT_KEY, "received_at", "source", "event_type")
     sent = redelivered(ev)
     stored = with_day(ev.where(F.col("timestamp") < ts_lit("2024-01-10 00:00:00")))
-    touched = stored.where(F.col("event_date").isin(ingest.touched_days(sent)))
-    return ingest.append_new(sent, touched).drop("event_type")
+    return ingest.append_new(sent, ingest.on_touched_days(stored, sent)).drop("event_type")
 
 
 @query(
@@ -202,32 +204,58 @@ def a10(spark, folder):
     return parsed.select("event_id", F.col("_corrupt_record").alias("corrupt"), "status")
 
 
-def _pending(spark, folder):
+LETTER_AT = "2024-02-02 00:00:00"
+
+
+def _refused(spark, folder):
+    """Work folder after ingest has taken one event a payload, of which a third are flawed."""
     ev = events(spark, folder)
-    return ev.select(
-        "event_id", "received_at", "data", "source",
-        (F.col("seq") % 5).alias("attempts"), (F.col("seq") % 60).alias("idle_s"),
-        ingest.stream_name(ingest.source_partition(F.col("source"))).alias("stream"),
+    seq = F.col("seq")
+    severity = F.when(seq % 6 == 0, "critical").otherwise(F.col("severity"))
+    data = F.concat(F.lit('{"n":'), seq, F.lit("}"))
+    fields = F.concat(
+        F.lit('{"source":"'), F.when(seq % 12 == 0, "").otherwise(F.col("source")),
+        F.lit('","event_type":"'), "event_type", F.lit('","severity":"'), severity,
+        F.lit('","timestamp":"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('","data":'), data,
     )
+    text = F.when(seq % 6 == 3, F.concat(fields, F.lit(',"tags":"none"}'))).otherwise(F.concat(fields, F.lit("}")))
+    root = work_folder(spark, "letters")
+    create_tables(spark, root, ("events", "counts", "rejected", "quarantine", "handled"))
+    jobs.ingest_batch(ev.select(text.alias("payload"), "received_at"), root, 0, F.col("received_at"))
+    return root
 
 
-PENDING_SQL = f"""pending AS (
-  SELECT event_id, received_at, data, source, seq % 5 AS attempts, seq % 60 AS idle_s,
-         'events:' || {PARTITION_SQL.format("source")} AS stream FROM ev),
-routed AS (SELECT *, CASE WHEN idle_s < 30 THEN 'wait' WHEN attempts >= 3 THEN 'dlq' ELSE 'retry' END AS route
-  FROM pending),
-letters AS (SELECT strftime(received_at, '%Y%m%d%H%M%S%f') || '-' || event_id AS id,
-  replace(stream, 'events:', 'dlq:') AS stream, stream AS original_stream, event_id AS original_id, data
-  FROM routed WHERE route = 'dlq')"""
+LETTERS_SQL = """letters AS (
+  SELECT seq, CASE WHEN seq % 6 = 3 THEN 'quarantine' ELSE 'rejected' END AS stream,
+    CASE WHEN seq % 6 = 3 THEN 'unreadable' ELSE 'severity must be one of: debug, info, warn, error, fatal'
+      || CASE WHEN seq % 12 = 0 THEN '; source required' ELSE '' END END AS reasons, received_at
+  FROM ev WHERE seq % 6 IN (0, 3))"""
 
 
-def _letters(spark, folder):
-    return dlq.to_dead_letters(dlq.route_pending(_pending(spark, folder)))
+def _numbered(letters):
+    return letters.withColumn("seq", F.regexp_extract("payload", '"n":([0-9]+)', 1).cast("bigint"))
 
 
-@query("a12_retry_routing", ev_sql("SELECT event_id, stream, route FROM routed", PENDING_SQL))
+@query(
+    "a12_retry_routing",
+    ev_sql(
+        """SELECT seq, stream, CASE WHEN received_at > TIMESTAMP '2024-01-30' - INTERVAL 30 SECOND THEN 'wait'
+  WHEN seq % 24 = 0 THEN 'dlq' ELSE 'retry' END AS route FROM letters""",
+        LETTERS_SQL,
+    ),
+)
 def a12(spark, folder):
-    return dlq.route_pending(_pending(spark, folder)).select("event_id", "stream", "route")
+    root = _refused(spark, folder)
+    # Some have been sent again three times and came back each time.
+    tried = _numbered(jobs.open_letters(spark, root)).where("seq % 24 = 0")
+    moments = F.explode(F.array(*(ts_lit(f"2024-01-01 00:0{m}:00").cast("timestamp") for m in range(3))))
+    marks = tried.select("id", F.lit("retried").alias("action"), moments.alias("at"))
+    write_batch(marks, root, "handled", -1, "at")
+    letters = _numbered(jobs.open_letters(spark, root)).join(
+        events(spark, folder).select("seq", F.col("received_at").alias("_sent")), "seq"
+    )
+    idle = F.unix_micros(ts_lit("2024-01-30").cast("timestamp")) - F.unix_micros(F.col("_sent").cast("timestamp"))
+    return dlq.route_pending(letters.withColumn("idle_s", idle / 1e6)).select("seq", "stream", "route")
 
 
 @query(
@@ -235,49 +263,61 @@ def a12(spark, folder):
     ev_sql(
         """SELECT coalesce(stream, 'total') AS stream, count(*) AS messages
 FROM letters GROUP BY ROLLUP (stream)""",
-        PENDING_SQL,
+        LETTERS_SQL,
     ),
 )
 def a13(spark, folder):
-    return dlq.stats(_letters(spark, folder))
+    return dlq.stats(jobs.open_letters(spark, _refused(spark, folder)))
 
 
 @query(
     "a14_dlq_list",
-    ev_sql("SELECT * FROM letters WHERE stream = 'dlq:1' ORDER BY id LIMIT 50", PENDING_SQL),
+    ev_sql("SELECT seq, stream, reasons, received_at, 1 AS copies FROM letters", LETTERS_SQL),
 )
 def a14(spark, folder):
-    return dlq.list_letters(_letters(spark, folder), "dlq:1", 0)
+    letters = _numbered(jobs.open_letters(spark, _refused(spark, folder)))
+    return letters.select("seq", "stream", "reasons", "received_at", "copies")
+
+
+@query(
+    "a14_dlq_page",
+    ev_sql(
+        """SELECT seq, stream, reasons FROM letters WHERE stream = 'quarantine' ORDER BY received_at, seq LIMIT 50""",
+        LETTERS_SQL,
+    ),
+)
+def a14_page(spark, folder):
+    letters = _numbered(jobs.open_letters(spark, _refused(spark, folder)))
+    return dlq.list_letters(letters, "quarantine", 0, ("received_at", "seq")).select("seq", "stream", "reasons")
 
 
 @query(
     "a15_dlq_retry",
     ev_sql(
-        """SELECT id, stream, CASE WHEN original_id IN (SELECT event_id FROM ev WHERE severity IN ('error', 'fatal'))
-  THEN 'events:1' END AS target_stream FROM letters""",
-        PENDING_SQL,
+        """SELECT seq, stream, CASE WHEN stream = 'rejected' THEN 1 ELSE 0 END AS attempts FROM letters
+UNION ALL SELECT seq, 'events', 0 FROM ev WHERE seq % 6 NOT IN (0, 3)""",
+        LETTERS_SQL,
     ),
 )
 def a15(spark, folder):
-    letters = _letters(spark, folder).withColumn("seq", F.col("original_id"))
-    failed = events(spark, folder).where(S.is_error(F.col("severity"))).select(F.col("event_id").alias("original_id"))
-    chosen = letters.join(failed, "original_id", "left_semi").select("id")
-    moved, kept = dlq.retry(letters, chosen, "events:1")
-    both = moved.unionByName(kept, allowMissingColumns=True)
-    return both.select("id", "stream", "target_stream")
+    """Rejected letters go through ingest again: as they have not changed, they are refused again."""
+    root = _refused(spark, folder)
+    chosen = jobs.open_letters(spark, root).where("stream = 'rejected'")
+    jobs.handle_letters(chosen, root, -1, "retried", LETTER_AT)
+    stored = _numbered(read_table(spark, root, "events").withColumnRenamed("data", "payload"))
+    left = _numbered(jobs.open_letters(spark, root)).select("seq", "stream", "attempts")
+    return left.unionByName(stored.select("seq", F.lit("events").alias("stream"), F.lit(0).cast("bigint").alias("attempts")))
 
 
 @query(
     "a16_dlq_purge",
-    ev_sql(
-        """SELECT stream, count(*) AS rows, stream = 'dlq:0' AS purged FROM letters GROUP BY 1""",
-        PENDING_SQL,
-    ),
+    ev_sql("SELECT seq, stream FROM letters WHERE stream <> 'quarantine'", LETTERS_SQL),
 )
 def a16(spark, folder):
-    gone, kept = dlq.purge(_letters(spark, folder), "dlq:0")
-    left = kept.groupBy("stream").agg(F.count("*").alias("rows")).withColumn("purged", F.lit(False))
-    return gone.select("stream", F.col("purged").alias("rows"), F.lit(True).alias("purged")).unionByName(left)
+    root = _refused(spark, folder)
+    chosen = jobs.open_letters(spark, root).where("stream = 'quarantine'")
+    jobs.handle_letters(chosen, root, -1, "purged", LETTER_AT)
+    return _numbered(jobs.open_letters(spark, root)).select("seq", "stream")
 
 
 @query(
@@ -292,27 +332,32 @@ def a17(spark, folder):
     return ingest.partition_calendar(events(spark, folder), "2024-01-25 09:30:00")
 
 
+def _behind(spark, folder):
+    """Events received, and those that were stored when the last third of the month was still to come."""
+    ev = events(spark, folder)
+    root = work_folder(spark, "backlog")
+    create_tables(spark, root, ("events", "counts"))
+    stored = ev.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in S.EVENT.fields))
+    jobs.replay(stored, root, 0, "2024-01-01", "2024-01-21", days=30)
+    return ingest.backlog(stored, read_table(spark, root, "events"), S.EVENT_KEY)
+
+
 @query(
     "a18_backlog",
-    ev_sql(
-        f"""SELECT {PARTITION_SQL.format("source")} AS partition, count(*) AS depth
-FROM ev WHERE value < 30 GROUP BY 1"""
-    ),
+    ev_sql("""SELECT source, count(*) AS depth FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-21' GROUP BY 1"""),
 )
 def a18(spark, folder):
-    ev = events(spark, folder)
-    done = ev.where(F.col("value") >= 30)
-    return ingest.backlog(ev, done, ["event_id"])
+    return _behind(spark, folder)
 
 
 @query(
     "a18_backpressure",
-    ev_sql("SELECT count(*) AS total, count(*) > 1000 AS reject FROM ev WHERE value < 30"),
+    ev_sql(
+        """SELECT count(*) AS total, count(*) > 1000 AS reject FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-21'"""
+    ),
 )
 def a18_limit(spark, folder):
-    ev = events(spark, folder)
-    depth = ingest.backlog(ev, ev.where(F.col("value") >= 30), ["event_id"])
-    return ingest.backpressure(depth, limit=1000)
+    return ingest.backpressure(_behind(spark, folder), limit=1000)
 
 
 @query(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from eventloom import schemas as S
+from eventloom.operators.rollup import minute_counts
 from eventloom.registry import ev_sql, query, r6
 from eventloom.session import prepare, work_folder
 from eventloom.sources.canonical import RAW_EVENTS, alert_rules, events, redelivered, to_events
 from eventloom.streaming import jobs
-from eventloom.streaming.tables import create_tables, read_table, stored_counts
+from eventloom.streaming.tables import compact, create_tables, read_table, stored_counts, write_hours
 
 
 def event_stream(spark, folder):
@@ -35,6 +38,12 @@ def _root(spark, name, *tables):
     return root
 
 
+def write_rules(rules, root):
+    """Rules as a table, as each batch reads them again."""
+    rules.write.parquet(f"{root}/rules")
+    return rules.sparkSession.read.parquet(f"{root}/rules")
+
+
 def _payload_stream(spark, folder):
     from eventloom.registry.ingest import _payload
 
@@ -125,29 +134,88 @@ def c1_stream(spark, folder):
     return jobs.running_counts(spark, root)
 
 
+def _in_order(spark, folder, root, files=20):
+    """The shared events as a stream of files in the order of time, one a micro-batch."""
+    ev = stored_form(events(spark, folder))
+    slot = F.expr(f"(day(timestamp) - 1) * {files} div 31")
+    ev.withColumn("step", slot).repartition("step").sortWithinPartitions("step").write.partitionBy("step").parquet(f"{root}/sent")
+    stream = spark.readStream.schema(S.EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    return stream.parquet(f"{root}/sent")
+
+
+@query("a11_compacted", ev_sql("SELECT *, 'events' AS part FROM counts UNION ALL SELECT *, 'counts' FROM counts", "counts"))
+def a11_compacted(spark, folder):
+    """Twenty micro-batches and redelivered events, counted again from the tables after compaction."""
+    root = _root(spark, "compacted", "events", "counts")
+    sent = _in_order(spark, folder, root)
+    jobs.start_processing(redelivered(sent), root, f"{root}/checkpoint").awaitTermination()
+    for name in ("events", "counts"):
+        compact(spark, root, name, dt.date(2024, 1, 25))
+    again = minute_counts(read_table(spark, root, "events")).withColumn("part", F.lit("events"))
+    return again.unionByName(stored_counts(spark, root).drop("event_date").withColumn("part", F.lit("counts")))
+
+
+@query(
+    "c2_stored_hours",
+    ev_sql(
+        """SELECT date_trunc('hour', "timestamp") AS bucket, source, event_type, severity, count(*) AS count
+FROM ev GROUP BY ALL"""
+    ),
+)
+def c2_stored(spark, folder):
+    """The hour table: written for the month, then once more for the days that late events touch."""
+    root = _root(spark, "hours", "events", "counts", "hour_counts")
+    ev = stored_form(events(spark, folder))
+    late = (F.dayofmonth("timestamp") == 9) & (F.col("severity") == "info")
+    jobs.replay(ev.where(~late), root, 0, "2024-01-01", "2024-02-01", days=31)
+    write_hours(spark, root, "2024-01-01", "2024-02-01")
+    jobs.replay(ev.where(late), root, 1, "2024-01-09", "2024-01-10")
+    write_hours(spark, root, "2024-01-09 10:00:00", "2024-01-09 11:00:00")
+    return read_table(spark, root, "hour_counts").drop("event_date")
+
+
+# Every rule at every minute of the month; then the chain of firings that cooldown leaves.
+ALERT_MINUTES_SQL = """grid AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 MINUTE)) AS tick FROM counts),
+per AS (SELECT s.source, bucket, sum(count) AS n, coalesce(sum(count) FILTER (severity IN ('error','fatal')), 0) AS e
+  FROM (SELECT unnest([source, '']) AS source, bucket, severity, count FROM counts) s GROUP BY 1, 2),
+keyed AS (SELECT rule_id, metric, operator, threshold, cooldown_seconds, source,
+    CASE "window" WHEN '1m' THEN 1 WHEN '15m' THEN 15 WHEN '1h' THEN 60 ELSE 5 END AS w FROM rules WHERE enabled),
+dense AS (SELECT k.source, g.tick, coalesce(p.n, 0) AS n, coalesce(p.e, 0) AS e
+  FROM (SELECT DISTINCT source FROM keyed) k CROSS JOIN grid g LEFT JOIN per p ON p.source = k.source AND p.bucket = g.tick),
+upto AS (SELECT source, tick, sum(n) OVER u AS n, sum(e) OVER u AS e FROM dense
+  WINDOW u AS (PARTITION BY source ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+measured AS (SELECT k.*, g.tick, coalesce(b.n, 0) - coalesce(a.n, 0) AS n, coalesce(b.e, 0) - coalesce(a.e, 0) AS e
+  FROM keyed k CROSS JOIN grid g LEFT JOIN upto b ON b.source = k.source AND b.tick = g.tick - INTERVAL 1 MINUTE
+  LEFT JOIN upto a ON a.source = k.source AND a.tick = g.tick - to_minutes(k.w + 1)),
+valued AS (SELECT *, CASE metric WHEN 'event_count' THEN n::DOUBLE WHEN 'error_count' THEN e::DOUBLE
+    WHEN 'error_rate' THEN CASE WHEN n > 0 THEN e / n ELSE 0.0 END END AS value FROM measured),
+hot AS (SELECT rule_id, tick, value, cooldown_seconds FROM valued WHERE CASE operator WHEN '>' THEN value > threshold
+  WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold WHEN '<=' THEN value <= threshold ELSE false END),
+j0 AS MATERIALIZED (SELECT rule_id, tick, min(tick) OVER (PARTITION BY rule_id ORDER BY tick
+  RANGE BETWEEN INTERVAL 300 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM hot),
+r0 AS MATERIALIZED (SELECT rule_id, min(tick) AS tick FROM hot GROUP BY 1)"""
+# All rules rest 300 seconds, so a month holds fewer than 2^14 firings of one; jumps double.
+CHAIN_SQL = ",\n".join(
+    f"""r{k + 1} AS MATERIALIZED (SELECT * FROM r{k} UNION
+  SELECT r.rule_id, j.following FROM r{k} r JOIN j{k} j USING (rule_id, tick) WHERE j.following IS NOT NULL),
+j{k + 1} AS MATERIALIZED (SELECT a.rule_id, a.tick, b.following FROM j{k} a JOIN j{k} b
+  ON b.rule_id = a.rule_id AND b.tick = a.following)"""
+    for k in range(14)
+)
+
+
 @query(
     "e10_stream_alerts",
     ev_sql(
-        """SELECT rule_id, (SELECT max(bucket) FROM counts) AS fired_at, round(value, 6) AS value FROM (
-  SELECT r.rule_id, r.operator, r.threshold, CASE r.metric WHEN 'event_count' THEN count(m.bucket)
-    WHEN 'error_count' THEN count(m.bucket) FILTER (m.severity IN ('error','fatal'))
-    WHEN 'error_rate' THEN coalesce(count(m.bucket) FILTER (m.severity IN ('error','fatal')) / nullif(count(m.bucket), 0), 0) END::DOUBLE AS value
-  FROM rules r LEFT JOIN (SELECT date_trunc('minute', "timestamp") AS bucket, source, severity FROM ev) m
-    ON (r.source = '' OR r.source = m.source) AND m.bucket < (SELECT max(bucket) FROM counts)
-    AND m.bucket >= (SELECT max(bucket) FROM counts) - CASE r."window" WHEN '1m' THEN INTERVAL 1 MINUTE
-      WHEN '15m' THEN INTERVAL 15 MINUTE WHEN '1h' THEN INTERVAL 1 HOUR ELSE INTERVAL 5 MINUTE END
-  WHERE r.enabled GROUP BY r.rule_id, r.operator, r.threshold, r.metric)
-WHERE CASE operator WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold
-      WHEN '<' THEN value < threshold WHEN '<=' THEN value <= threshold ELSE false END""",
-        "counts", "rules",
+        "SELECT rule_id, tick AS fired_at, round(value, 6) AS value FROM r14 JOIN hot USING (rule_id, tick)",
+        "counts", "rules", ALERT_MINUTES_SQL, CHAIN_SQL,
     ),
 )
 def e10_stream(spark, folder):
-    root = _root(spark, "alerting", "events", "counts", "alert_events")
-    rules = alert_rules(events(spark, folder))
-    jobs.start_alerting(
-        event_stream(spark, folder), rules, root, f"{root}/checkpoint"
-    ).awaitTermination()
+    """Every full minute of the month evaluated, with cooldowns that span micro-batches."""
+    root = _root(spark, "alerting", "events", "counts", "alert_events", "evaluations")
+    rules = write_rules(alert_rules(events(spark, folder)), root)
+    jobs.start_alerting(_in_order(spark, folder, root, files=3), rules, root, f"{root}/checkpoint").awaitTermination()
     fired = read_table(spark, root, "alert_events")
     return fired.select("rule_id", "fired_at", r6("value").alias("value"))
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.operators.ingest import append_new, touched_days
-from eventloom.operators.rollup import minute_counts
+from eventloom.functions.timeops import as_datetime
+from eventloom.operators.ingest import append_new, on_touched_days, touched_span
+from eventloom.operators.rollup import RETENTION_DAYS, coarser, minute_counts
+from eventloom.plans.pruning import between
 from eventloom.schemas import COUNT_KEY, EVENT, EVENT_COLUMNS
 from eventloom.sources.store import write_by_day
 
@@ -46,6 +49,11 @@ _QUARANTINE = [
     T.StructField("payload", T.StringType()),
     T.StructField("received_at", T.TimestampType()),
 ]
+_HANDLED = [
+    T.StructField("id", T.StringType()),
+    T.StructField("action", T.StringType()),
+    T.StructField("at", T.TimestampType()),
+]
 SCHEMAS = {
     "events": T.StructType([*EVENT.fields, *_PARTS]),
     "counts": T.StructType([*_COUNTS, *_PARTS]),
@@ -53,14 +61,23 @@ SCHEMAS = {
     "alert_events": T.StructType([*_ALERTS, *_PARTS]),
     "rejected": T.StructType([*_REJECTED, *_PARTS]),
     "quarantine": T.StructType([*_QUARANTINE, *_PARTS]),
+    "handled": T.StructType([*_HANDLED, *_PARTS]),
+    "evaluations": T.StructType([T.StructField("until", T.TimestampType()), *_PARTS]),
+    # Whole days replace each other here, so there are no batches.
+    "hour_counts": T.StructType([*_COUNTS, _PARTS[0]]),
 }
+# The batch id of what compaction has merged: below those of batches and runs.
+COMPACTED = -(1 << 40)
+# Which rule of `RETENTION_DAYS` holds for a table.
+KEPT_LIKE = {"events": "events", "counts": "event_counts_1m", "hour_counts": "event_counts_1h"}
 
 
 def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(SCHEMAS)) -> None:
     """Empty tables where there are none yet."""
     for name in names:
         empty = spark.createDataFrame([], SCHEMAS[name])
-        empty.write.mode("ignore").partitionBy("event_date", "batch_id").parquet(f"{root}/{name}")
+        parts = [p.name for p in _PARTS if p.name in empty.columns]
+        empty.write.mode("ignore").partitionBy(*parts).parquet(f"{root}/{name}")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -84,13 +101,16 @@ def store_events(rows: DataFrame, root: str, batch_id: int) -> None:
     spark = rows.sparkSession
     rows = rows.select(*EVENT_COLUMNS).persist()
     try:
-        stored = read_table(spark, root, "events").where(
-            F.col("event_date").isin(touched_days(rows)) & (F.col("batch_id") != batch_id)
-        )
-        write_batch(append_new(rows, stored), root, "events", batch_id, "timestamp")
+        span = touched_span(rows)
+        if span is None:
+            return
+        others = read_table(spark, root, "events").where(F.col("batch_id") != batch_id)
+        write_batch(append_new(rows, on_touched_days(others, rows)), root, "events", batch_id, "timestamp")
     finally:
         rows.unpersist()
-    written = read_table(spark, root, "events").where(F.col("batch_id") == batch_id)
+    written = read_table(spark, root, "events").where(
+        F.col("event_date").between(*map(F.lit, span)) & (F.col("batch_id") == batch_id)
+    )
     write_batch(minute_counts(written), root, "counts", batch_id, "bucket")
 
 
@@ -98,3 +118,79 @@ def stored_counts(spark: SparkSession, root: str) -> DataFrame:
     """Minute counts over all batches."""
     deltas = read_table(spark, root, "counts")
     return deltas.groupBy(*COUNT_KEY, "event_date").agg(F.sum("count").alias("count"))
+
+
+def _whole_days(start: datetime | str, end: datetime | str) -> tuple[datetime, datetime]:
+    first, last = as_datetime(start), as_datetime(end) - timedelta(microseconds=1)
+    return datetime.combine(first, time()), datetime.combine(last, time()) + timedelta(days=1)
+
+
+def write_hours(spark: SparkSession, root: str, start: datetime | str, end: datetime | str) -> None:
+    """Bring the hour table up to date for all days that `[start, end)` touches.
+
+    Whole days are made again from the minute counts, so late events are in and a repeated
+    run changes nothing.
+    """
+    minutes = between(stored_counts(spark, root), *_whole_days(start, end), "bucket")
+    write_by_day(coarser(minutes, "1 hour"), f"{root}/hour_counts", "bucket", sort=("source", "bucket"))
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[object, list]:
+    """The file system of a path and the partition folders below it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return fs, []
+    return fs, [s.getPath() for s in fs.listStatus(place) if s.isDirectory() and "=" in s.getPath().getName()]
+
+
+def _day_of(folder) -> date | None:
+    text = folder.getName().partition("=")[2]
+    return None if text.startswith("__") else date.fromisoformat(text)
+
+
+def compact(spark: SparkSession, root: str, name: str, before: date) -> None:
+    """Merge the batch folders of each day before `before` into one.
+
+    Run it while nothing reads or writes the table. All days are first written beside it, then
+    put into place one after the other; a run that was interrupted is finished by the next one.
+    It needs a file system that renames folders as a whole. Late batches add new folders,
+    which the next run merges.
+    """
+    staging = f"{root}/_compacting_{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, days = _folders(spark, f"{root}/{name}")
+    if not fs.exists(path(f"{staging}/_SUCCESS")):
+        many = [d for d in days if (day := _day_of(d)) and day < before and len(fs.listStatus(d)) > 1]
+        if not many:
+            return
+        spread = F.col("event_date").isin([_day_of(d) for d in many])
+        rows = read_table(spark, root, name).where(spread)
+        if name in ("counts", "latest_counts"):
+            rows = rows.groupBy(*COUNT_KEY, "event_date").agg(F.sum("count").alias("count"))
+        columns = [c for c in SCHEMAS[name].fieldNames() if c != "batch_id"]
+        sort = [c for c in ("source", "bucket", "timestamp") if c in columns]
+        (
+            rows.select(*columns, F.lit(COMPACTED).cast("bigint").alias("batch_id"))
+            .hint("rebalance", "event_date")
+            .sortWithinPartitions("event_date", *sort)
+            .write.mode("overwrite")
+            .partitionBy("event_date", "batch_id")
+            .parquet(staging)
+        )
+    for merged in _folders(spark, staging)[1]:
+        target = path(f"{root}/{name}/{merged.getName()}")
+        fs.delete(target, True)
+        if not fs.rename(merged, target):
+            raise OSError(f"cannot rename {merged} to {target}")
+    fs.delete(path(staging), True)
+
+
+def expire(spark: SparkSession, root: str, name: str, as_of: datetime | str) -> list[date]:
+    """Delete the days of a table that are older than its retention; returns them."""
+    oldest = as_datetime(as_of).date() - timedelta(days=RETENTION_DAYS[KEPT_LIKE[name]])
+    fs, days = _folders(spark, f"{root}/{name}")
+    old = [d for d in days if (day := _day_of(d)) and day < oldest]
+    for folder in old:
+        fs.delete(folder, True)
+    return sorted(_day_of(d) for d in old)

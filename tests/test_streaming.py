@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.schemas import EVENT
 from eventloom.streaming import jobs
-from eventloom.streaming.tables import create_tables, read_table, store_events, stored_counts
+from eventloom.streaming.tables import compact, create_tables, expire, read_table, store_events, stored_counts
 
 NOW = dt.datetime(2024, 1, 2, 12)
 
@@ -114,3 +114,72 @@ def test_missing_times_come_from_the_stream(spark, root, tmp_path):
     stored = read_table(spark, root, "events").first()
     assert stored.received_at == stored.timestamp and stored.received_at is not None
     assert (stored.severity, stored.data, stored.tags) == ("info", "{}", [])
+
+
+def test_minutes_in_one_job_equal_single_evaluations(spark, root):
+    from tests.test_monitoring import RULE, counts_frame, rule
+
+    first = NOW - dt.timedelta(minutes=3)
+    counts = counts_frame(spark, [(NOW + dt.timedelta(minutes=i), "ab"[i % 2], ["error", "info"][i % 3 == 0], 1 + i % 4) for i in range(-2, 9, 2)])
+    kinds = [rule("r", window="1m"), rule("s", window="5m", metric="event_count", operator="<=", threshold=1.0), rule("u", window="15m", metric="nonsense")]
+    rules = spark.createDataFrame(kinds, RULE)
+    create_tables(spark, f"{root}-one")
+    for run in range(14):
+        jobs.evaluate_once(rules, counts, f"{root}-one", run, first + dt.timedelta(minutes=run))
+    none = read_table(spark, root, "alert_events")
+    from eventloom.operators import alerts
+
+    got = alerts.evaluate_minutes(rules, counts, none, first=first, last=first + dt.timedelta(minutes=13))
+    columns = ["alert_event_id", "rule_id", "fired_at", "value", "context"]
+    want = read_table(spark, f"{root}-one", "alert_events")
+    assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect()) != []
+
+
+def test_rules_on_silence_fire_by_the_clock(spark, root, tmp_path):
+    from tests.test_monitoring import RULE, rule
+
+    silent = [rule("quiet", window="1m", metric="event_count", operator="<=", threshold=0.0)]
+    rules = spark.createDataFrame(silent, RULE)
+    folder = f"{tmp_path}/ticks"
+    for minute in (0, 7):
+        tick = spark.createDataFrame([(NOW + dt.timedelta(minutes=minute, seconds=30),)], "timestamp timestamp")
+        tick.write.mode("append").parquet(folder)
+        ticks = spark.readStream.schema("timestamp timestamp").parquet(folder)
+        jobs.start_alert_clock(rules, root, f"{tmp_path}/checkpoint", ticks, interval=None).awaitTermination()
+    fired = sorted(r.fired_at for r in read_table(spark, root, "alert_events").collect())
+    assert fired == [NOW, NOW + dt.timedelta(minutes=5)]
+
+
+def test_compaction_keeps_rows_and_late_batches(spark, root):
+    for batch in range(3):
+        store_events(event_frame(spark, [(f"{batch}", "info", NOW), (f"{batch}n", "error", NOW + dt.timedelta(days=1))]), root, batch)
+    for name in ("events", "counts"):
+        compact(spark, root, name, dt.date(2024, 1, 3))
+    folders = lambda day: len(os.listdir(f"{root.removeprefix('file://')}/events/event_date={day}"))
+    assert (folders("2024-01-02"), folders("2024-01-03")) == (1, 3)
+    assert totals(spark, root) == {"info": 3, "error": 3}
+    # A batch that is run again and a late one: neither counts twice nor is lost.
+    store_events(event_frame(spark, [("2", "info", NOW), ("2n", "error", NOW + dt.timedelta(days=1))]), root, 2)
+    store_events(event_frame(spark, [("late", "info", NOW)]), root, 3)
+    compact(spark, root, "events", dt.date(2024, 1, 3))
+    assert totals(spark, root) == {"info": 4, "error": 3}
+    assert read_table(spark, root, "events").count() == 7
+    assert expire(spark, root, "events", "2024-02-02") == [dt.date(2024, 1, 2)]
+    assert read_table(spark, root, "events").count() == 3
+
+
+def test_letters_are_retried_and_purged(spark, root):
+    good = '{"source":"s","event_type":"t","timestamp":"2024-01-02T00:00:00Z"}'
+    sent = [(good,), ('{"source":"","event_type":"t"}',), ("oops",), ("oops",), ('{"foo":1}',)]
+    payloads = spark.createDataFrame(sent, "payload string")
+    jobs.ingest_batch(payloads, root, 0, F.lit(str(NOW)))
+    letters = jobs.open_letters(spark, root)
+    assert sorted((r.stream, r.copies, r.attempts) for r in letters.collect()) == [
+        ("quarantine", 1, 0), ("quarantine", 2, 0), ("rejected", 1, 0),
+    ]
+    later = NOW + dt.timedelta(hours=1)
+    jobs.handle_letters(jobs.open_letters(spark, root).where("stream = 'quarantine'"), root, -1, "purged", later)
+    jobs.handle_letters(jobs.open_letters(spark, root), root, -2, "retried", later)
+    assert [(r.stream, r.attempts) for r in jobs.open_letters(spark, root).collect()] == [("rejected", 1)]
+    with pytest.raises(ValueError, match="unknown action"):
+        jobs.handle_letters(letters, root, -3, "lost", later)
