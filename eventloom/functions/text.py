@@ -224,9 +224,37 @@ def log_template(column: Column) -> Column:
     return reduce(lambda text, mask: F.regexp_replace(text, *mask), MASKS, column)
 
 
+# Common English words that carry no meaning of their own.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "in", "is", "it",
+    "not", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with",
+)
+# Endings taken off in this order, with what takes their place after the kept part.
+ENDINGS = (
+    (r"^(..+)ies$", "y"),
+    (r"^(.+(?:ss|sh|ch|x|z))es$", ""),
+    (r"^(.+[^su])s$", ""),
+    (r"^(.*[aeiouy].+)ing$", ""),
+    (r"^(.*[aeiouy].+)ed$", ""),
+    (r"^(...+)e$", ""),
+)
+
+
+def stem(word: Column) -> Column:
+    """A word without plural, -ing, -ed and a final e: a light stemmer for English."""
+    return reduce(lambda w, end: F.regexp_replace(w, end[0], f"$1{end[1]}"), ENDINGS, word)
+
+
+def stem_word(word: str) -> str:
+    return reduce(lambda w, end: re.sub(end[0], rf"\g<1>{end[1]}", w), ENDINGS, word)
+
+
 def analyze(column: Column, analyzer: str = "standard", stop_words: Sequence[str] = ()) -> Column:
     """Terms of a text: `standard` and `letters` lower-case, `whitespace` keeps words as is,
-    `stop` is `standard` without the given words."""
+    `stop` is `standard` without the given words, `english` the stems without stop words."""
+    if analyzer == "english":
+        words = stop_words or STOP_WORDS
+        return F.transform(F.filter(tokens(column), lambda t: ~t.isin(*words)), stem)
     if analyzer == "whitespace":
         return F.array_remove(F.split(column, r"\s+"), "")
     if analyzer == "letters":

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.fields import duration_ms, field
-from eventloom.functions.timeops import as_datetime, floor_to, ts_lit
+from eventloom.functions.timeops import as_datetime, floor_to, resolution_for, time_bounds, ts_lit
 from eventloom.plans.pruning import between
 from eventloom.schemas import SEVERITIES, is_error, page_size
 
@@ -46,6 +46,23 @@ def time_series(
     return counts.groupBy(*keys).agg(F.sum("count").alias("count")).orderBy(*keys)
 
 
+def series_of(
+    minutes: DataFrame,
+    hours: DataFrame,
+    *,
+    as_of: datetime | str,
+    shorthand: str | None = None,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    resolution: str | None = None,
+    **options: object,
+) -> DataFrame:
+    """The series a request names: its range from `time_bounds`, its table from `resolution_for`."""
+    first, last = time_bounds(as_of, shorthand, start, end)
+    counts = pick_table(minutes, hours, resolution_for(resolution, first, last))
+    return time_series(counts, first, last, **options)
+
+
 def summary_totals(counts: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:
     """Events, errors, error rate and distinct sources in one pass; zeros when empty."""
     return totals(between(counts, start, end, "bucket"))

@@ -80,7 +80,9 @@ def event_page(
     return cut_page(found, newest_first(), size)
 
 
-def cut_page(found: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
+def cut_page(
+    found: DataFrame, order: Sequence[Column], size: int, rank: Column | None = None
+) -> DataFrame:
     whole = W.partitionBy(F.lit(0))
     taken = found.orderBy(*order).limit(size + 1)
     numbered = taken.withColumn(
@@ -88,7 +90,7 @@ def cut_page(found: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
     ).withColumn("has_more", F.count("*").over(whole) > size)
     last = F.col("has_more") & (F.col("position") == size)
     return numbered.where(F.col("position") <= size).withColumn(
-        "next_cursor", F.when(last, cursor_column(F.col("timestamp"), F.col("event_id")))
+        "next_cursor", F.when(last, cursor_column(F.col("timestamp"), F.col("event_id"), rank))
     )
 
 

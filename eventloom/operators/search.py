@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
+from eventloom.functions.cursors import Cursor, decode_cursor
 from eventloom.functions.fields import field
 from eventloom.functions.timeops import as_datetime, floor_to, ts_lit
 from eventloom.operators.retrieval import cut_page, newest_first
+from eventloom.operators.vector import fuse, vector_search
 from eventloom.plans.pruning import between
 from eventloom.schemas import is_error, page_size
 from eventloom.sources.store import write_by_day
@@ -78,12 +80,46 @@ def search_events(
 
 
 def search_page(
-    ev: DataFrame, query: str | None, *, limit: int | None = None, **options: object
+    ev: DataFrame,
+    query: str | None,
+    *,
+    limit: int | None = None,
+    cursor: Cursor | str | None = None,
+    **options: object,
 ) -> DataFrame:
-    """One page of matches, best first, with position, has_more and next_cursor."""
+    """One page of matches, best first, with position, has_more and next_cursor.
+
+    `cursor` is the next_cursor of the page before; on ranked pages it holds the rank too.
+    """
     ranked = bool(T.read_search(query).alternatives)
+    if cursor is not None:
+        at = decode_cursor(cursor) if isinstance(cursor, str) else cursor
+        if ranked and at.rank is None:
+            raise ValueError("a ranked page goes on from a cursor with a rank")
+        options["after"] = (at.rank or 0.0, at.timestamp, at.event_id)
     found = search_events(ev, query, **options)
-    return cut_page(found, search_order(ranked), page_size(limit))
+    return cut_page(found, search_order(ranked), page_size(limit), F.col("rank") if ranked else None)
+
+
+def match_english(ev: DataFrame, query: str) -> DataFrame:
+    """Field filters and boolean text, words compared by their English stems.
+
+    Stop words of the query are left out; alternatives of nothing else match nothing.
+    """
+    wanted = T.read_search(query)
+    ev = with_filters(ev, wanted.filters)
+    if not wanted.alternatives:
+        return ev
+    stems = T.analyze(F.concat_ws(" ", *T.FIELD_WEIGHTS), "english")
+    groups = [[t for t in terms if t.word not in T.STOP_WORDS] for terms in wanted.alternatives]
+
+    def holds(term: T.Term) -> Column:
+        found = F.array_contains("_stems", T.stem_word(term.word))
+        return ~found if term.negated else found
+
+    either = [reduce(Column.__and__, [holds(t) for t in terms]) for terms in groups if terms]
+    keep = reduce(Column.__or__, either) if either else F.lit(False)
+    return ev.withColumn("_stems", stems).where(keep).drop("_stems")
 
 
 def term_table(ev: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -153,6 +189,18 @@ def keyword_search(ev: DataFrame, query: str, limit: int) -> DataFrame:
     )
 
 
+def hybrid_search(
+    ev: DataFrame, vectors: DataFrame | None, query: str, vector: Sequence[float] | None, limit: int
+) -> DataFrame:
+    """The best `limit` events by rank fusion of word and vector hits, twice as many of each.
+
+    Without vectors, or without one for the query, the words alone decide.
+    """
+    words = keyword_search(ev, query, 2 * limit)
+    near = None if vectors is None or vector is None else vector_search(vectors, vector, 2 * limit)
+    return fuse(words, near, limit)
+
+
 def phrase_search(ev: DataFrame, phrase: str) -> DataFrame:
     return ev.where(T.has_phrase(phrase.split()))
 

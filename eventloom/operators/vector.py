@@ -47,22 +47,23 @@ def vector_search(
     return scored.drop(column).orderBy(F.desc("score"), "event_id").limit(limit)
 
 
-def _ranked(results: DataFrame, name: str) -> DataFrame:
-    # A result list has at most 2 * limit rows, so one task can number it.
+def _ranked(results: DataFrame, limit: int, name: str) -> DataFrame:
+    # One task numbers what the limit leaves.
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "event_id")
-    return results.select(
+    best = results.orderBy(F.desc("score"), "event_id").limit(2 * limit)
+    return best.select(
         "event_id", (1.0 / (F.lit(RRF_CONSTANT) + F.row_number().over(order))).alias(name)
     )
 
 
 def fuse(keyword: DataFrame | None, vector: DataFrame | None, limit: int) -> DataFrame:
-    """Reciprocal rank fusion of two result lists; a missing list leaves the other alone."""
+    """Reciprocal rank fusion of the best 2 * limit of two lists; a missing one leaves the other alone."""
     if keyword is None or vector is None:
         only = vector if keyword is None else keyword
         if only is None:
             raise ValueError("no result list")
         return only.select("event_id", "score").orderBy(F.desc("score"), "event_id").limit(limit)
-    joined = _ranked(keyword, "_k").join(_ranked(vector, "_v"), "event_id", "full_outer")
+    joined = _ranked(keyword, limit, "_k").join(_ranked(vector, limit, "_v"), "event_id", "full_outer")
     score = F.coalesce("_k", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0))
     return (
         joined.select("event_id", score.alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom import schemas as S
 from eventloom.functions.fields import duration_ms
+from eventloom.functions.cursors import cursor_column
 from eventloom.operators import analytics, retrieval, rollup
 from eventloom.registry import AS_OF, MONTH_START, ev_sql, query, r6
 from eventloom.sources.canonical import events, redelivered
@@ -68,6 +69,44 @@ def b4(spark, folder):
     return page.select("event_id", "timestamp", "position", "has_more")
 
 
+@query(
+    "b5_cursor_text",
+    ev_sql(
+        """SELECT event_id, replace(replace(to_base64(encode('{"ts":"' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ')
+  || '","eid":"' || event_id || '"}')), '+', '-'), '/', '_') AS cursor FROM ev"""
+    ),
+)
+def b5(spark, folder):
+    text = cursor_column(F.col("timestamp"), F.col("event_id"))
+    return events(spark, folder).select("event_id", text.alias("cursor"))
+
+
+@query(
+    "b5_next_page",
+    ev_sql(
+        f"""SELECT event_id, "timestamp", row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC) AS position FROM (
+  SELECT * FROM ev WHERE "timestamp" >= TIMESTAMP '{MONTH_START}' ORDER BY "timestamp" DESC, event_id DESC LIMIT 20 OFFSET 50)"""
+    ),
+)
+def b5_next(spark, folder):
+    """The page after the first one, by its cursor text; the first has the default size."""
+    ev = events(spark, folder)
+    first = retrieval.event_page(ev, as_of=AS_OF, start=MONTH_START)
+    cursor = first.where("next_cursor is not null").first()["next_cursor"]
+    page = retrieval.event_page(ev, as_of=AS_OF, start=MONTH_START, cursor=cursor, limit=20)
+    return page.select("event_id", "timestamp", "position")
+
+
+@query(
+    "b6_default_page",
+    ev_sql(f"""SELECT event_id FROM ev WHERE {MONTH} AND severity = 'info' ORDER BY "timestamp" DESC, event_id DESC LIMIT 50"""),
+)
+def b6(spark, folder):
+    return retrieval.query_events(
+        events(spark, folder), as_of=AS_OF, start=MONTH_START, end=AS_OF, severity="info"
+    ).select("event_id")
+
+
 @query(
     "b7_json_fields",
     ev_sql(
@@ -199,6 +238,46 @@ def c5_filtered(spark, folder):
     )
 
 
+def _requested(spark, folder, **request):
+    """A series as a request names it, over both count tables."""
+    ev = events(spark, folder)
+    minutes, hours = rollup.minute_counts(ev), rollup.counts_of(ev, "1 hour")
+    return analytics.series_of(minutes, hours, as_of=AS_OF, **request)
+
+
+@query(
+    "c6_resolution_by_range",
+    ev_sql(
+        f"""SELECT date_trunc('hour', "timestamp") AS bucket, severity, count(*) AS count FROM ev
+WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND "timestamp" < TIMESTAMP '{AS_OF}' GROUP BY ALL"""
+    ),
+)
+def c6(spark, folder):
+    return _requested(spark, folder, shorthand="7d", group_by="severity")
+
+
+@query(
+    "c6_resolution_given",
+    ev_sql(
+        f"""SELECT date_trunc('minute', "timestamp") AS bucket, count(*) AS count FROM ev
+WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND "timestamp" < TIMESTAMP '{AS_OF}' GROUP BY ALL"""
+    ),
+)
+def c6_given(spark, folder):
+    return _requested(spark, folder, shorthand="30d", resolution="1m")
+
+
+@query(
+    "c7_range_shorthand",
+    ev_sql(
+        f"""SELECT date_trunc('minute', "timestamp") AS bucket, source, count(*) AS count FROM ev
+WHERE "timestamp" >= TIMESTAMP '2024-01-16' - INTERVAL 24 HOUR AND "timestamp" < TIMESTAMP '2024-01-16' GROUP BY ALL"""
+    ),
+)
+def c7(spark, folder):
+    return _requested(spark, folder, shorthand="24h", end="2024-01-16 00:00:00", group_by="source")
+
+
 @query(
     "c8_summary_totals",
     ev_sql(

@@ -9,6 +9,7 @@ from eventloom.functions import text as T
 from eventloom.functions.fields import duration_ms, field
 from eventloom.operators import health, rollup, search, specs, vector
 from eventloom.registry import AS_OF, MONTH_START, ev_sql, query, r6
+from eventloom.session import work_folder
 from eventloom.sources.canonical import alert_events, alert_rules, event_embeddings, events, table
 
 TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9_-]+')"
@@ -100,6 +101,43 @@ def d5(spark, folder):
     return page.select("event_id", "timestamp", r6("rank").alias("rank"))
 
 
+@query(
+    "d5_second_page",
+    ev_sql(
+        """SELECT event_id, "timestamp", round(rank, 6) AS rank FROM found
+ORDER BY found.rank DESC, "timestamp" DESC, event_id DESC LIMIT 30 OFFSET 20""",
+        TOK_SQL,
+        _rank_sql(["connection", "refused"], f"\"timestamp\" >= TIMESTAMP '{MONTH_START}'"),
+    ),
+)
+def d5_second(spark, folder):
+    """A ranked page continued by the cursor text of the one before."""
+    ev = events(spark, folder)
+    asked = {"query": "connection refused", "as_of": AS_OF, "start": MONTH_START}
+    first = search.search_page(ev, limit=20, **asked)
+    cursor = first.where("next_cursor is not null").first()["next_cursor"]
+    page = search.search_page(ev, limit=30, cursor=cursor, **asked)
+    return page.select("event_id", "timestamp", r6("rank").alias("rank"))
+
+
+STEMS_SQL = "list_filter(ts, lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
+for _pattern, _end in T.ENDINGS:
+    STEMS_SQL = f"list_transform({STEMS_SQL}, lambda t: regexp_replace(t, '{_pattern}', '\\1{_end}'))"
+
+
+@query(
+    "d3_match_english",
+    ev_sql(
+        f"""SELECT event_id, severity FROM (SELECT *, {STEMS_SQL} AS stems FROM toks)
+WHERE (list_contains(stems, 'connection') AND list_contains(stems, 'refus')) OR (list_contains(stems, 'wait') AND NOT list_contains(stems, 'svc-3'))""",
+        TOK_SQL,
+    ),
+)
+def d3_english(spark, folder):
+    found = search.match_english(events(spark, folder), "the connections refuse OR waits NOT svc-3")
+    return found.select("event_id", "severity")
+
+
 @query(
     "d5_search_filters_only",
     ev_sql(
@@ -151,8 +189,10 @@ def d6_cover(spark, folder):
     ),
 )
 def d3_indexed(spark, folder):
-    terms = search.term_table(events(spark, folder))
-    found = search.match_indexed(terms, "error timeout NOT svc-2")
+    """From a stored term table, as a search that comes often would read it."""
+    path = work_folder(spark, "terms")
+    search.write_term_table(events(spark, folder), path)
+    found = search.match_indexed(spark.read.parquet(path), "error timeout NOT svc-2")
     return found.select("event_id", r6("rank").alias("rank"))
 
 
@@ -197,9 +237,38 @@ ORDER BY coalesce(k.s, 0) + coalesce(v.s, 0) DESC, event_id LIMIT 50""",
     ),
 )
 def d9(spark, folder):
-    words = search.keyword_search(events(spark, folder), "error timeout", 100)
-    near = vector.vector_search(event_embeddings(spark, folder), query_vector(spark, folder), 100)
-    return vector.fuse(words, near, 50).withColumn("score", r6("score"))
+    found = search.hybrid_search(
+        events(spark, folder), event_embeddings(spark, folder), "error timeout", query_vector(spark, folder), 50
+    )
+    return found.withColumn("score", r6("score"))
+
+
+@query(
+    "d10_degraded_hybrid",
+    ev_sql(
+        "SELECT event_id, round(score, 6) AS score FROM kw ORDER BY round(kw.score, 9) DESC, event_id LIMIT 40",
+        TOK_SQL, KEYWORD_SQL,
+    ),
+)
+def d10(spark, folder):
+    """No vector could be made of the query, so its words alone decide."""
+    found = search.hybrid_search(events(spark, folder), event_embeddings(spark, folder), "error timeout", None, 40)
+    return found.withColumn("score", r6("score"))
+
+
+@query(
+    "d11_vector_text",
+    """SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS event_id, len(embedding) AS n, CAST(i AS INTEGER) AS at,
+  round(CAST(embedding[i] AS DOUBLE), 6) AS value
+FROM embeddings, (SELECT unnest([1, 2, 7]) AS i) WHERE embedding IS NOT NULL""",
+)
+def d11(spark, folder):
+    """Vectors to text and back."""
+    text = event_embeddings(spark, folder).select("event_id", vector.vector_text(F.col("embedding")).alias("t"))
+    back = text.select("event_id", vector.text_vector(F.col("t")).alias("v")).where("v is not null")
+    at = F.explode(F.array(F.lit(1), F.lit(2), F.lit(7))).alias("at")
+    spread = back.select("event_id", "v", F.size("v").cast("bigint").alias("n"), at)
+    return spread.select("event_id", "n", "at", r6(F.element_at("v", F.col("at")).cast("double")).alias("value"))
 
 
 def tables(spark, folder) -> specs.Tables:

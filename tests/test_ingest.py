@@ -137,5 +137,5 @@ def test_retry_routing(spark, attempts, idle, route):
 
 
 def test_backpressure_on_empty_queue(spark):
-    depth = spark.createDataFrame([], "partition int, depth bigint")
+    depth = spark.createDataFrame([], "source string, depth bigint")
     assert ingest.backpressure(depth).first() == (0, False)

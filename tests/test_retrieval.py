@@ -47,7 +47,7 @@ def test_cursor_round_trip(spark):
     df = spark.createDataFrame([(moment, "id/?>~")], "t timestamp, i string")
     text = df.select(cursor_column(F.col("t"), F.col("i")).alias("c")).first().c
     assert "+" not in text and "/" not in text
-    assert decode_cursor(text) == (moment, "id/?>~")
+    assert decode_cursor(text) == (moment, "id/?>~", None)
 
 
 @pytest.mark.parametrize("text", ["", "!!!", "bm90IGpzb24=", "W10="])

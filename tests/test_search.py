@@ -219,3 +219,17 @@ def test_unsupported_specs_raise(spark):
         with pytest.raises(ValueError):
             specs.run_spec(tables, spec, as_of="2024-01-31")
     assert specs.run_spec(tables, {**analytic, "order_by": "count DESC"}, as_of="2024-01-31").count() == 0
+
+
+def test_stems_agree_with_their_column_form(spark):
+    words = ["connections", "connection", "refused", "refuse", "waits", "queries", "passes", "status", "ring", "red", "is", "api", "e"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.s for r in df.select(T.stem(F.col("w")).alias("s")).collect()] == [T.stem_word(w) for w in words]
+    assert T.stem_word("connections") == T.stem_word("connection") and T.stem_word("refused") == T.stem_word("refuse")
+
+
+def test_ranked_pages_need_a_ranked_cursor(spark):
+    from eventloom.functions.cursors import Cursor
+
+    with pytest.raises(ValueError, match="cursor with a rank"):
+        search.search_page(spark.range(0), "word", as_of="2024-01-01", cursor=Cursor("2024-01-01", "a"))
