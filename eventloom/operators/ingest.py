@@ -227,12 +227,15 @@ def touched_span(incoming: DataFrame) -> tuple[date, date] | None:
     return None if row["first"] is None else (row["first"], row["last"])
 
 
-def on_touched_days(stored: DataFrame, incoming: DataFrame, day: str = "event_date") -> DataFrame:
+def on_touched_days(
+    stored: DataFrame, incoming: DataFrame, day: str = "event_date", span: tuple[date, date] | None = None
+) -> DataFrame:
     """Stored rows of the days that the batch has events of.
 
-    The span of days prunes folders; the days themselves are matched by a join.
+    The span of days prunes folders (it is looked up unless given); the days themselves are
+    matched by a join.
     """
-    span = touched_span(incoming)
+    span = span or touched_span(incoming)
     if span is None:
         return stored.where(F.lit(False))
     days = incoming.select(F.to_date("timestamp").alias(day)).distinct()

@@ -105,7 +105,7 @@ def store_events(rows: DataFrame, root: str, batch_id: int) -> None:
         if span is None:
             return
         others = read_table(spark, root, "events").where(F.col("batch_id") != batch_id)
-        write_batch(append_new(rows, on_touched_days(others, rows)), root, "events", batch_id, "timestamp")
+        write_batch(append_new(rows, on_touched_days(others, rows, span=span)), root, "events", batch_id, "timestamp")
     finally:
         rows.unpersist()
     written = read_table(spark, root, "events").where(
