@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.fields import duration_ms, field
 from eventloom.functions.quantiles import exact_percentiles
 from eventloom.functions.timeops import as_datetime, floor_to, truncate_hour
+from eventloom.operators.ingest import on_touched_days
 from eventloom.plans.pruning import between
 from eventloom.schemas import COUNT_KEY, is_error
 
@@ -67,6 +68,16 @@ def add_counts(stored: DataFrame, delta: DataFrame) -> DataFrame:
     return both.groupBy(*COUNT_KEY).agg(F.sum("count").alias("count"))
 
 
+def merge_days(stored: DataFrame, delta: DataFrame) -> DataFrame:
+    """Stored counts (with event_date) plus a delta, for the days that the delta touches alone.
+
+    Written by `write_by_day`, the result replaces those days; the others are neither read
+    nor written.
+    """
+    touched = delta.select(F.col("bucket").alias("timestamp"))
+    return add_counts(on_touched_days(stored, touched), delta)
+
+
 def replace_counts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored counts with fresh ones taking over their keys, in one aggregation."""
     old = stored.select(*COUNT_KEY, "count").withColumn("_age", F.lit(1))

@@ -7,10 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from eventloom import schemas as S
-from eventloom.operators.rollup import minute_counts
+from eventloom.operators.rollup import merge_days, minute_counts
 from eventloom.registry import ev_sql, query, r6
 from eventloom.session import prepare, work_folder
 from eventloom.sources.canonical import RAW_EVENTS, alert_rules, events, redelivered, to_events
+from eventloom.sources.store import write_by_day
 from eventloom.streaming import jobs
 from eventloom.streaming.tables import compact, create_tables, read_table, stored_counts, write_hours
 
@@ -174,6 +175,25 @@ def c2_stored(spark, folder):
     return read_table(spark, root, "hour_counts").drop("event_date")
 
 
+@query(
+    "c4_merge_touched_days",
+    ev_sql(
+        """SELECT date_trunc('minute', "timestamp") AS bucket, source, event_type, severity, count(*) AS count FROM ev
+WHERE seq % 2 = 0 OR CAST("timestamp" AS DATE) IN (DATE '2024-01-05', DATE '2024-01-09') GROUP BY ALL"""
+    ),
+)
+def c4_days(spark, folder):
+    """A stored table of counts of which two days get a delta; the other days stay as they lie."""
+    path = work_folder(spark, "merged")
+    ev = events(spark, folder)
+    even = F.col("seq") % 2 == 0
+    write_by_day(minute_counts(ev.where(even)), path, "bucket", sort=("source", "bucket"))
+    stored = spark.read.parquet(path)
+    delta = minute_counts(ev.where(~even & F.dayofmonth("timestamp").isin(5, 9)))
+    write_by_day(merge_days(stored, delta), path, "bucket", sort=("source", "bucket"))
+    return spark.read.parquet(path).drop("event_date")
+
+
 # Every rule at every minute of the month; then the chain of firings that cooldown leaves.
 ALERT_MINUTES_SQL = """grid AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 MINUTE)) AS tick FROM counts),
 per AS (SELECT s.source, bucket, sum(count) AS n, coalesce(sum(count) FILTER (severity IN ('error','fatal')), 0) AS e
