@@ -246,9 +246,9 @@ def _numbered(letters):
 )
 def a12(spark, folder):
     root = _refused(spark, folder)
-    # Some have been sent again three times and came back each time.
+    # Some have been sent again three times, all before their last copy, and came back each time.
     tried = _numbered(jobs.open_letters(spark, root)).where("seq % 24 = 0")
-    moments = F.explode(F.array(*(ts_lit(f"2024-01-01 00:0{m}:00").cast("timestamp") for m in range(3))))
+    moments = F.explode(F.array(*(ts_lit(f"2023-12-31 00:0{m}:00").cast("timestamp") for m in range(3))))
     marks = tried.select("id", F.lit("retried").alias("action"), moments.alias("at"))
     write_batch(marks, root, "handled", -1, "at")
     letters = _numbered(jobs.open_letters(spark, root)).join(

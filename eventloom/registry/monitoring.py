@@ -238,7 +238,7 @@ ORDER BY fired_at DESC, alert_event_id DESC LIMIT 50""",
 )
 def e12(spark, folder):
     ev = events(spark, folder)
-    found = alerts.alert_history(alert_events(ev), alert_rules(ev), 0)
+    found = alerts.alert_history(alert_events(ev), alert_rules(ev))
     return found.select("alert_event_id", "rule_id", "rule_name", "fired_at")
 
 
