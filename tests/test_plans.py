@@ -141,3 +141,12 @@ def test_null_keys_form_a_group(spark):
     assert [r.n for r in total] == [1, 2, 3, 4, 5, 6]
     before = previous(df, ["k"], slot, ["at"], ["at"], "p").where("k is null").orderBy("at").collect()
     assert [r.p and r.p.at for r in before] == [None, 0, 50, 100, 150, 200]
+
+
+def test_percentiles_hold_no_arrays_and_count_null_keys(spark):
+    data = [(None, float(v) / 4) for v in range(9001)] + [("a", 1.5), ("a", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99})
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    found = {r.k: (r.p50, r.p99) for r in got.collect()}
+    assert found == {None: (1125.0, 2227.5), "a": (1.5, 1.5)}
