@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = (16, 256)
+
+
+def salts_of(df: DataFrame) -> int:
+    """Groups for the rows of a hot key: a quarter of the shuffle partitions, within `SALTS`."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(SALTS[0], partitions // 4), SALTS[1])
 
 
 def salted_join(
@@ -17,15 +23,16 @@ def salted_join(
     on: Sequence[str],
     salt_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join of a left side with hot keys to a right side with few rows per key.
 
-    Left rows spread over `salts` groups by a hash of `salt_by` (columns that differ
+    Left rows spread over `salts` groups (by default `salts_of`) by a hash of `salt_by` (columns that differ
     within a hot key; a hash, not a random number, so a retried task repeats itself).
     Each right row is repeated once per group. No side is hinted: adaptive execution
     broadcasts the right side only when its measured size is below the threshold.
     """
+    salts = salts or salts_of(left)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     spread = left.withColumn("_salt", salt)
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

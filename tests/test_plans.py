@@ -78,6 +78,20 @@ def test_salted_join(spark, frame, how):
     )
 
 
+def test_salts_follow_the_partitions(spark):
+    from eventloom.plans.skew import salts_of
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for partitions in (8, 400, 20000):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            found.append(salts_of(spark.range(1)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == [16, 100, 256]
+
+
 def test_keep_one_takes_the_least_of_many_copies(spark):
     copies = [("a", 3, "z"), ("a", 1, "y"), ("a", 1, "x"), ("b", 9, None)] * 50
     got = keep_one(spark.createDataFrame(copies, "k string, t int, v string"), ["k"], ["t"])
