@@ -48,6 +48,27 @@ def test_cutoffs_are_certified(spark):
     assert q.cutoffs(judged, few).count() == 0
 
 
+def test_several_strata_reject(spark):
+    """Strata get cutoffs of their own, of different rules; one with too few labels keeps what passes the base rules."""
+    rates = {0: ("symbols", 350), 1: ("same_words", 650), 2: ("capitals", 250), 3: ("symbols", 350)}
+    n_good = {0: 2000, 1: 1900, 2: 1860, 3: 500}
+    data = [
+        (band * 10**4 + i, band, rates[band][0], 5 if i < n else rates[band][1], int(i < n))
+        for band, n in n_good.items()
+        for i in range(n + 40)
+    ]
+    df = spark.createDataFrame(data, "doc_id long, band int, rule string, rate long, quality int")
+    rate = lambda r: F.when(F.col("rule") == r, F.col("rate")).otherwise(F.lit(0).cast("bigint"))
+    cells = F.array(*(F.struct(F.lit(r).alias("rule"), rate(r).alias("rate")) for r in q.RULES))
+    judged = df.select("doc_id", "band", F.lit(False).alias("base_failed"), cells.alias("rates"), "quality")
+    cuts = q.cutoffs(judged, df.select("doc_id", "quality"))
+    want = {0: {"symbols": 300}, 1: {"same_words": 600}, 2: {"capitals": 200}}
+    assert {r["band"]: r["cuts"] for r in cuts.collect()} == want
+    counted = q.decided(judged, cuts).groupBy("band", "quality").agg(F.sum(F.col("kept").cast("int")).alias("n"))
+    left = {(r["band"], r["quality"]): r["n"] for r in counted.collect()}
+    assert left == {(b, 1): n for b, n in n_good.items()} | {(b, 0): 40 * (b == 3) for b in n_good}
+
+
 def test_odd_tables(odd, empty, labels):
     got = q.quality_rules(odd, labels).collect()
     assert len(got) == 8 and sum(r["n_words"] == 0 for r in got) == 2
