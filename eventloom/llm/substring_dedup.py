@@ -7,8 +7,12 @@ where windows are sorted by a hash and neighbours compared by content. All but t
 equal windows are marked, and the marks are joined to the documents by row.
 
 Of equal super-k-mers in a chunk only the first is sent; the others are marked at once. A
-passage of any number of copies reaches a bucket once per chunk. A bucket that is still too
-large is dealt out again by minimisers under another hash.
+passage of any number of copies reaches a bucket once per chunk.
+
+Sizes of buckets are known before any text travels. The windows of a bucket over the limit are dealt out
+to other buckets by their minimiser under another hash, and those of a bucket that is over the
+limit even then one by one, by a hash of the whole window. Equal windows take the same way, and
+all that must meet in one bucket in the end is the first of a window's copies in each chunk.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ SEED_WORDS = 4
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 MOST_WINDOWS = 64
+# A bucket of more bytes than so many times its share is dealt out again.
+CROWDED = 4
 
 _SENT = "bucket int, data binary, no_ids binary, keys binary, starts binary, windows binary"
 _MARKS = "no_id boolean, key bigint, first int, windows int"
@@ -65,23 +71,61 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(text, placed, placed + lengths, rows)
 
 
-def super_kmers(words: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimiser) of each; a window is named by its first word."""
-    n = len(words.starts) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+def _minimisers(words: Words, k: int, seed: int) -> np.ndarray:
+    """Of each window, also of those that reach into the next row."""
     size = min(SEED_WORDS, k)
     single = rolling.mixed(rolling.range_hashes(words.text, words.starts, words.ends), seed)
     seeds = np.zeros(len(single) - size + 1, np.uint64)
     for i in range(size):
         seeds = rolling.mixed(seeds + single[i : i + len(seeds)], i)
-    least = rolling.sliding_min(seeds, k - size + 1)
+    return rolling.sliding_min(seeds, k - size + 1)
+
+
+def super_kmers(words: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, minimiser) of each; a window is named by its first word."""
+    n = len(words.starts) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    least = _minimisers(words, k, seed)
     inside = words.rows[:n] == words.rows[k - 1 :]
     change = np.append(True, least[1:] != least[:-1])
     first, windows = rolling.split_runs(*rolling.runs(inside, change), MOST_WINDOWS)
     return first, windows, least[first]
 
 
+def routed(words: Words, k: int, buckets: int, crowded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, bucket) of what is sent as one string.
+
+    `crowded` has the buckets that are too large of each round. Those of the first round have
+    numbers below `buckets`, those of the second below twice as many, and so on.
+    """
+    first, windows, least = super_kmers(words, k)
+    bucket = (least % np.uint64(buckets)).astype(np.int64)
+    for seed, large in enumerate(crowded, 1):
+        again = np.isin(bucket, large)
+        if not again.any():
+            break
+        count = windows[again]
+        run = np.repeat(np.arange(len(count)), count)
+        own = np.repeat(first[again], count) + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        before = bucket[again][run].astype(np.uint64)
+        if seed == 1:
+            value = _minimisers(words, k, seed)[own]
+            breaks = np.append(True, (np.diff(value) != 0) | (np.diff(run) != 0))
+        else:
+            singles = rolling.mixed(rolling.range_hashes(words.text, words.starts, words.ends), seed)
+            value = rolling.range_hashes(singles, own, own + k)
+            breaks = np.ones(len(own), bool)
+        at, length = rolling.runs(np.ones(len(own), bool), breaks)
+        target = seed * buckets + (rolling.mixed(value + before, seed)[at] % np.uint64(buckets)).astype(np.int64)
+        first, windows = np.concatenate((first[~again], own[at])), np.concatenate((windows[~again], length))
+        bucket = np.concatenate((bucket[~again], target))
+        # In the order of the text, so that of equal strings the first is sent.
+        order = np.argsort(first, kind="stable")
+        first, windows, bucket = first[order], windows[order], bucket[order]
+    return first, windows, bucket
+
+
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
@@ -109,12 +153,46 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(data), kind), dtype=kind)
 
 
-def _send(k: int, buckets: int):
+def _sizes(k: int, buckets: int, crowded: list[np.ndarray]):
+    def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes that a chunk sends to each bucket of the last round, without its copies."""
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            words = words_of(*raw_texts(batch.column("text")))
+            first, windows, bucket = routed(words, k, buckets, crowded)
+            last = bucket >= len(crowded) * buckets
+            first, windows, bucket = first[last], windows[last], bucket[last]
+            if not len(first):
+                continue
+            begin, end = words.starts[first], words.ends[first + windows + k - 2]
+            _, different = np.unique(rolling.range_hashes(words.text, begin, end), return_index=True)
+            found, at = np.unique(bucket[different], return_inverse=True)
+            total = np.bincount(at, (end - begin)[different] + 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int32)), pa.array(total)], names=["bucket", "bytes"]
+            )
+
+    return sizes
+
+
+def crowded_buckets(docs: DataFrame, k: int, buckets: int, limit: int) -> list[np.ndarray]:
+    """Per round the buckets over `limit` bytes; the driver gets one number for each."""
+    crowded: list[np.ndarray] = []
+    while len(crowded) < 2:
+        sizes = docs.select("text").mapInArrow(_sizes(k, buckets, crowded), "bucket int, bytes bigint")
+        large = sizes.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > limit)
+        found = np.array(sorted(r["bucket"] for r in large.collect()), np.int64)
+        if not len(found):
+            break
+        crowded.append(found)
+    return crowded
+
+
+def _send(k: int, buckets: int, crowded: list[np.ndarray]):
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
             batch = in_order(batch)
             words = words_of(*raw_texts(batch.column("text")))
-            first, windows, least = super_kmers(words, k)
+            first, windows, buckets_of = routed(words, k, buckets, crowded)
             if not len(first):
                 continue
             no_id, key = _column(batch, "no_id"), _column(batch, "key")
@@ -133,9 +211,9 @@ def _send(k: int, buckets: int):
             out: list[tuple] = []
             marks = np.flatnonzero(later)
             if len(marks):
-                out.append((int(least[0] % np.uint64(buckets)), None, marks))
+                out.append((int(buckets_of[0]), None, marks))
             sent = np.flatnonzero(~copy)
-            bucket = (least[sent] % np.uint64(buckets)).astype(np.int64)
+            bucket = buckets_of[sent]
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for group in np.split(order, cuts):
@@ -289,13 +367,19 @@ def _search(k: int):
     return search
 
 
-def marks(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(no_id, key, first, windows): runs of windows of `keyed` documents that start earlier elsewhere."""
+def sent_strings(docs: DataFrame, k: int = WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """What `keyed` documents send to buckets of about `bucket_bytes`."""
     arrow_limits(docs.sparkSession)
     # A window takes part in about 2 / (k - SEED_WORDS + 2) super-k-mers' k - 1 extra words.
     growth = 1 + 2 * (k - 1) / (k - SEED_WORDS + 2)
-    buckets = max(1, int(text_bytes(docs) * growth / BUCKET_BYTES))
-    sent = docs.select("no_id", "key", "text").mapInArrow(_send(k, buckets), _SENT)
+    buckets = max(1, int(text_bytes(docs) * growth / bucket_bytes))
+    crowded = crowded_buckets(docs, k, buckets, CROWDED * bucket_bytes)
+    return docs.select("no_id", "key", "text").mapInArrow(_send(k, buckets, crowded), _SENT)
+
+
+def marks(docs: DataFrame, k: int = WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(no_id, key, first, windows): runs of windows of `keyed` documents that start earlier elsewhere."""
+    sent = sent_strings(docs, k, bucket_bytes)
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search(k), _MARKS)
 
 

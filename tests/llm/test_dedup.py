@@ -42,6 +42,41 @@ def test_substring_dedup_deals_large_buckets_again(docs, corpus, monkeypatch):
     assert whole and found() == whole
 
 
+def test_substring_buckets_are_bounded(spark, monkeypatch):
+    """A phrase in a third of the documents, and a passage shorter than a window in others, among different words."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    phrase, passage = ["aa", "bb", "cc", "dd"], [f"p{i}" for i in range(18)]
+    rows = []
+    for i in range(1500):
+        inner = phrase if i % 3 == 0 else passage if i % 3 == 1 else word(4)
+        rows.append((i, " ".join(word(30) + inner + word(30))))
+    rows += [(2000 + i, t) for i, t in rows[:40]]
+    docs = sk.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    limit = 12_000
+
+    def largest():
+        sizes: dict[int, int] = {}
+        for r in sk.sent_strings(docs, bucket_bytes=limit).where("data is not null").collect():
+            sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(sk.zstandard.decompress(r["data"]))
+        return max(sizes.values())
+
+    assert largest() <= sk.CROWDED * limit
+    with monkeypatch.context() as once:
+        once.setattr(sk, "crowded_buckets", lambda *_: [])
+        assert largest() > 2 * sk.CROWDED * limit
+
+    def found(**limits):
+        return {
+            (r["key"], r["first"] + i)
+            for r in sk.marks(docs, **limits).collect()
+            for i in range(r["windows"])
+        }
+
+    whole = found()
+    assert len(whole) >= 40 * 45 and found(bucket_bytes=limit) == whole
+
+
 def test_suffix_dedup(docs, corpus):
     got = suffix_dedup(docs).collect()
     for r in got:
