@@ -8,13 +8,17 @@ pieces whose anchor repeats. Inside a bucket, the pieces' suffixes are sorted in
 neighbours with `LENGTH` bytes in common are marked.
 
 Equal pieces in a chunk are marked at once and the first of them is passed on, so a passage of
-any number of copies reaches a bucket once per chunk. A bucket that is still too large is dealt out again by
-anchors under another hash.
+any number of copies reaches a bucket once per chunk.
+
+Bytes per anchor are known before any piece travels. Pieces of an anchor over the limit are cut by a
+second hash, and again only those travel whose pair of anchors repeats. Windows that share both anchors,
+where these are over the limit too, are told apart by 128-bit digests, one row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -33,8 +37,13 @@ ANCHOR = 128
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 2 << 20
 MOST_WINDOWS = 2048
+# An anchor whose pieces have more bytes than so many buckets should is not sent to one.
+CROWDED = 4
+DIGEST_BYTES = 16
+DIGESTED_WINDOWS = 1 << 16
 
 _PLACES = "anchor bigint, weight int, no_id boolean, key bigint, first int, windows int"
+_DIGESTS = "digest binary, no_id boolean, key bigint, first int, several boolean"
 _SENT = "bucket int, data binary, no_ids binary, keys binary, firsts binary, windows binary"
 _MARKS = "no_id boolean, key bigint, first int, windows int"
 
@@ -108,6 +117,28 @@ def _copies(parts: list[bytes], no_id: np.ndarray, key: np.ndarray, first: np.nd
     return same, several[same]
 
 
+def _passed(text: bytes, found: Pieces, anchors, no_id, key, first, length: int) -> pa.RecordBatch:
+    """Pieces that repeat in a chunk, without an anchor, and the first of equal ones with its anchor."""
+    upto = found.first + found.windows + length - 1
+    parts = [text[a:b] for a, b in zip(found.first.tolist(), upto.tolist(), strict=True)]
+    same, several = _copies(parts, no_id, key, first)
+    marked = np.flatnonzero(several)
+    passed = np.flatnonzero(same == np.arange(len(same)))
+    weight = np.where(several[passed], 2, found.weights[passed])
+    both = np.concatenate((marked, passed))
+    known = np.arange(len(both)) < len(marked)
+    anchor = np.concatenate((np.zeros(len(marked), np.int64), anchors[passed].view(np.int64)))
+    weights = np.concatenate((np.zeros(len(marked), np.int32), weight.astype(np.int32)))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(anchor, mask=known), pa.array(weights, mask=known), pa.array(no_id[both]),
+            pa.array(key[both], pa.int64()), pa.array(first[both].astype(np.int32)),
+            pa.array(found.windows[both].astype(np.int32)),
+        ],
+        names=["anchor", "weight", "no_id", "key", "first", "windows"],
+    )
+
+
 def _find(length: int):
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
@@ -117,27 +148,82 @@ def _find(length: int):
                     continue
                 no_id, key = _values(batch, "no_id")[rows[found.rows]], _values(batch, "key")[rows[found.rows]]
                 first = found.first - offsets[found.rows] + bases[found.rows]
-                text = data.tobytes()
-                upto = found.first + found.windows + length - 1
-                parts = [text[a:b] for a, b in zip(found.first.tolist(), upto.tolist(), strict=True)]
-                same, several = _copies(parts, no_id, key, first)
-                marked = np.flatnonzero(several)
-                passed = np.flatnonzero(same == np.arange(len(same)))
-                weight = np.where(several[passed], 2, found.weights[passed])
-                both = np.concatenate((marked, passed))
-                known = np.arange(len(both)) < len(marked)
-                anchor = np.concatenate((np.zeros(len(marked), np.int64), found.anchors[passed].view(np.int64)))
-                weights = np.concatenate((np.zeros(len(marked), np.int32), weight.astype(np.int32)))
+                yield _passed(data.tobytes(), found, found.anchors, no_id, key, first, length)
+
+    return find
+
+
+def _wanted(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
+    """(piece, anchor, no_id, key, first) of the places of each row."""
+    rows = zip(
+        batch.column("no_id").to_pylist(), batch.column("key").to_pylist(),
+        batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), strict=True,
+    )
+    for no_id, key, text, places in rows:
+        for p in places:
+            piece = text[p["first"] : p["first"] + p["windows"] + length - 1]
+            # Rows that share an id may be shorter than the one the place is from.
+            if len(piece) == p["windows"] + length - 1:
+                yield piece, p["anchor"], no_id, key, p["first"]
+
+
+def _in_chunks(items: Iterator[tuple], limit: int, size) -> Iterator[list[tuple]]:
+    chunk, total = [], 0
+    for item in items:
+        chunk.append(item)
+        total += size(item)
+        if total >= limit:
+            yield chunk
+            chunk, total = [], 0
+    if chunk:
+        yield chunk
+
+
+def _find_again(length: int):
+    def cut(chunk: list[tuple]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join([x[0] for x in chunk]), np.uint8)
+        offsets = np.append(0, np.cumsum([len(x[0]) for x in chunk]))
+        found = pieces(data, offsets, length, 1)
+        anchor = np.array([x[1] for x in chunk], np.int64).view(np.uint64)[found.rows]
+        anchors = rolling.mixed(found.anchors + anchor, 1)
+        no_id = np.array([x[2] for x in chunk], bool)[found.rows]
+        key = np.array([x[3] for x in chunk], np.int64)[found.rows]
+        first = np.array([x[4] for x in chunk], np.int64)[found.rows] + found.first - offsets[found.rows]
+        return _passed(data.tobytes(), found, anchors, no_id, key, first, length)
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same for pieces that share a crowded anchor, cut by anchors of another hash."""
+        for batch in batches:
+            yield from map(cut, _in_chunks(_wanted(batch, length), CHUNK_BYTES, lambda x: len(x[0])))
+
+    return find
+
+
+def _digests(length: int):
+    def windows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for piece, _, no_id, key, first in _wanted(batch, length):
+            for i in range(len(piece) - length + 1):
+                yield blake2b(piece[i : i + length], digest_size=DIGEST_BYTES).digest(), no_id, key, first + i
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per place of a window; windows that repeat in a chunk but for the first without digest."""
+        for batch in batches:
+            for chunk in _in_chunks(windows(batch), DIGESTED_WINDOWS, lambda _: 1):
+                columns = list(zip(*chunk, strict=True))
+                no_id, key, first = (np.array(c) for c in columns[1:])
+                same, several = _copies(columns[0], no_id, key, first)
+                copy = same != np.arange(len(same))
+                sent = np.flatnonzero(~copy | several)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(anchor, mask=known), pa.array(weights, mask=known), pa.array(no_id[both]),
-                        pa.array(key[both], pa.int64()), pa.array(first[both].astype(np.int32)),
-                        pa.array(found.windows[both].astype(np.int32)),
+                        pa.array([None if copy[i] else columns[0][i] for i in sent.tolist()], pa.binary()),
+                        pa.array(no_id[sent], pa.bool_()), pa.array(key[sent], pa.int64()),
+                        pa.array(first[sent].astype(np.int32)), pa.array(several[sent]),
                     ],
-                    names=["anchor", "weight", "no_id", "key", "first", "windows"],
+                    names=["digest", "no_id", "key", "first", "several"],
                 )
 
-    return find
+    return digest
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -152,16 +238,8 @@ def _send(length: int, buckets: int):
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: dict[int, list[tuple]] = {}
-            rows = zip(
-                batch.column("no_id").to_pylist(), batch.column("key").to_pylist(),
-                batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), strict=True,
-            )
-            for no_id, key, text, places in rows:
-                for p in places:
-                    piece = text[p["first"] : p["first"] + p["windows"] + length - 1]
-                    # Rows that share an id may be shorter than the one the place is from.
-                    if len(piece) == p["windows"] + length - 1:
-                        parts.setdefault(p["anchor"] % buckets, []).append((piece, no_id, key, p["first"]))
+            for piece, anchor, *place in _wanted(batch, length):
+                parts.setdefault(anchor % buckets, []).append((piece, *place))
             out = []
             for bucket, found in parts.items():
                 kinds = (np.int8, np.int64, np.int32)
@@ -273,19 +351,58 @@ def _search(length: int):
     return search
 
 
-def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(no_id, key, first, windows): runs of windows of `keyed` documents that occur elsewhere."""
+def _live(places: DataFrame, length: int, name: str) -> DataFrame:
+    """Places whose anchor repeats, with the bytes (`size`) of all pieces of that anchor."""
+    own = W.partitionBy("anchor")
+    met, size = F.sum("weight").over(own), F.sum(F.col("windows") + F.lit(length - 1)).over(own)
+    counted = places.where("anchor is not null").withColumn("met", met).withColumn("size", size)
+    return write_table(counted.where("met > 1").select("no_id", "key", "anchor", "first", "windows", "size"), name)
+
+
+def _with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
+    wanted = places.groupBy("no_id", "key").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("places"))
+    return texts.join(wanted, ["no_id", "key"])
+
+
+def _by_digest(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """Marks of single windows whose digest stands at two places or more."""
+    rows = write_table(_with_places(texts, places).mapInArrow(_digests(length), _DIGESTS), "digests")
+    place = F.struct("no_id", "key", "first")
+    per = rows.where("digest is not null").groupBy("digest").agg(
+        F.min(place).alias("a"), F.max(place).alias("b"), F.max("several").alias("several")
+    )
+    twice = per.where((F.col("a") != F.col("b")) | F.col("several")).select("digest")
+    marked = rows.where("digest is null").drop("digest").unionByName(rows.join(twice, "digest", "left_semi").drop("digest"))
+    return marked.select("no_id", "key", "first", F.lit(1).alias("windows"))
+
+
+def sent_pieces(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """What `keyed` documents send to buckets of about `bucket_bytes`, and marks found without that."""
     arrow_limits(docs.sparkSession)
     texts = docs.select("no_id", "key", "text")
+    limit = CROWDED * bucket_bytes
     places = write_table(texts.mapInArrow(_find(length), _PLACES), "places")
-    known = places.where("anchor is null").select("no_id", "key", "first", "windows")
-    met = F.sum("weight").over(W.partitionBy("anchor"))
-    live = places.where("anchor is not null").withColumn("met", met).where("met > 1")
-    wanted = live.groupBy("no_id", "key").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("places"))
-    buckets = max(1, text_bytes(docs) // BUCKET_BYTES)
-    sent = texts.join(wanted, ["no_id", "key"]).mapInArrow(_send(length, buckets), _SENT)
+    live = _live(places, length, "live")
+    marked = [places.where("anchor is null")]
+    sent, crowd = live.where(F.col("size") <= limit), live.where(F.col("size") > limit)
+    if not crowd.isEmpty():
+        again = write_table(_with_places(texts, crowd).mapInArrow(_find_again(length), _PLACES), "places-again")
+        live = _live(again, length, "live-again")
+        marked.append(again.where("anchor is null"))
+        sent, crowd = sent.unionByName(live.where(F.col("size") <= limit)), live.where(F.col("size") > limit)
+        if not crowd.isEmpty():
+            marked.append(_by_digest(texts, crowd, length))
+    buckets = max(1, text_bytes(docs) // bucket_bytes)
+    return _with_places(texts, sent).mapInArrow(_send(length, buckets), _SENT), marked
+
+
+def marks(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(no_id, key, first, windows): runs of windows of `keyed` documents that occur elsewhere."""
+    sent, marked = sent_pieces(docs, length, bucket_bytes)
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search(length), _MARKS)
-    return known.unionByName(found)
+    for more in marked:
+        found = found.unionByName(more.select("no_id", "key", "first", "windows"))
+    return found
 
 
 def _kept(length: int):

@@ -104,6 +104,50 @@ def test_suffix_dedup_deals_large_buckets_again(corpus, monkeypatch):
     assert whole and found() == whole
 
 
+@pytest.mark.parametrize("shared", [200, 395])
+def test_suffix_buckets_are_bounded(spark, monkeypatch, shared):
+    """A passage shorter than a window in all documents, among different bytes, and some copies of documents."""
+    rng = np.random.default_rng(shared)
+    letters = lambda n: bytes(rng.integers(97, 123, n).tolist()).decode()
+    passage = letters(shared)
+    # A few surroundings occur twice right beside the passage, so that windows with both do too.
+    sides = [(letters(500), letters(500)) for _ in range(390)]
+    rows = [(i, a + passage + b) for i, (a, b) in enumerate(sides)]
+    rows += [(1000 + i, letters(300) + a[-40:] + passage + b[:40] + letters(300)) for i, (a, b) in enumerate(sides[:150])]
+    rows += [(2000 + i, t) for i, t in rows[:20]]
+    docs = sd.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    limit = 8_000
+
+    def largest():
+        sizes: dict[int, int] = {}
+        for r in sd.sent_pieces(docs, bucket_bytes=limit)[0].collect():
+            sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(sd.zstandard.decompress(r["data"]))
+        return max(sizes.values(), default=0)
+
+    def found(**limits):
+        return {
+            (r["key"], r["first"] + i)
+            for r in sd.marks(docs, **limits).collect()
+            for i in range(r["windows"])
+        }
+
+    assert largest() <= 2 * sd.CROWDED * limit
+    digested, by_digest = [], sd._by_digest
+    with monkeypatch.context() as once:
+        once.setattr(sd, "_by_digest", lambda *x: digested.append(1) or by_digest(*x))
+        dealt = found(bucket_bytes=limit)
+    assert digested or shared < 395
+    seen: dict[str, list] = {}
+    for i, t in rows:
+        for at in range(len(t) - 399):
+            seen.setdefault(t[at : at + 400], []).append((i, at))
+    assert dealt == {p for at in seen.values() if len(at) > 1 for p in at}
+    assert found() == dealt
+    with monkeypatch.context() as once:
+        once.setattr(sd, "CROWDED", 10**6)
+        assert largest() > 2 * 4 * limit
+
+
 def test_long_rows_are_cut_into_segments(docs, corpus, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK_BYTES", 1000)
     import pyarrow as pa
