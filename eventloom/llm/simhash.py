@@ -56,19 +56,22 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        found = pa.array((fingerprint(t.as_py()) for t in texts), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("no_id"), batch.column("key"), found], names=["no_id", "key", "fp"]
-        )
+def _fingerprints(names: list[str]):
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            fps = pa.array((fingerprint(t.as_py()) for t in texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), fps], names=[*names, "fp"])
 
+    return found
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(no_id, key, fp) of every row of `keyed` documents."""
+
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(no_id, key, fp) of every row of `keyed` documents, and `more` binary columns before fp."""
     arrow_limits(docs.sparkSession)
-    return docs.select("no_id", "key", "text").mapInArrow(_fingerprints, "no_id boolean, key bigint, fp bigint")
+    names = ["no_id", "key", *more]
+    kinds = "no_id boolean, key bigint, " + "".join(f"{name} binary, " for name in more) + "fp bigint"
+    return docs.select(*names, "text").mapInArrow(_fingerprints(names), kinds)
 
 
 def _flips(value: Column, positions: int, times: int = 1) -> Column:
@@ -127,13 +130,13 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def rooted(docs: DataFrame) -> DataFrame:
-    """(no_id, key, fp, root) of every row of `keyed` documents; root is one for a component."""
-    own = write_table(fingerprints(docs), "fingerprints")
+def rooted(docs: DataFrame, *more: str) -> DataFrame:
+    """(no_id, key, `more`, fp, root) of every row of `keyed` documents; root is one for a component."""
+    own = write_table(fingerprints(docs, *more), "fingerprints")
     fps = write_table(own.select("fp").distinct(), "distinct")
     roots = components(links(fps))
     return own.join(roots, own["fp"] == roots["node"], "left").select(
-        "no_id", "key", "fp", F.coalesce("root", "fp").alias("root")
+        "no_id", "key", *more, "fp", F.coalesce("root", "fp").alias("root")
     )
 
 
@@ -158,11 +161,14 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all columns: that with the smallest id.
 
-    Rows without an id come after those with one, and of repeated rows one stays.
+    A row is named by its id and the SHA-256 of its text, so rows that share an id but not a component all
+    count. Rows without an id come after those with one, and of repeated rows one stays.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     rows = keyed(docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"), whole))
-    first = rooted(rows).groupBy("root").agg(F.min(F.struct("no_id", "key")).alias("first"))
-    kept = first.select("first.no_id", "first.key")
-    found = rows.select("no_id", "key", "doc").join(kept, ["no_id", "key"], "left_semi")
-    return found.dropDuplicates(["no_id", "key"]).select("doc.*")
+    rows = rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    name = ["no_id", "key", "sha"]
+    first = rooted(rows, "sha").groupBy("root").agg(F.min(F.struct(*name)).alias("first"))
+    kept = first.select("first.*")
+    found = rows.select(*name, "doc").join(kept, name, "left_semi")
+    return found.dropDuplicates(name).select("doc.*")

@@ -278,3 +278,12 @@ def test_odd_rows_simhash(odd):
     kept = keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [-5, 1, 2]
+
+
+def test_rows_that_share_an_id_count_apart(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(200))
+    # Row c shares its id with the first of another component, but is not the first of its own.
+    rows = [(1, text("a")), (1, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (3, text("d"))]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["text"][0]) for r in kept.collect())
+    assert got == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
