@@ -38,6 +38,42 @@ def patterns_of(url: Column) -> Column:
     return F.filter(found, lambda p: p["pattern"].isNotNull())
 
 
+def candidates_of(url: Column) -> Column:
+    """Array of (rank, length, pattern): all that an entry may say about a URL.
+
+    Every suffix of the host's labels from two on as a domain, the host, and the host with each number of
+    path steps from the first on; `length` is the number of labels or steps.
+    """
+    host = host_of(url)
+    labels = F.split(host, "[.]")
+    number = F.size(labels)
+    # An IPv4 address has no domains above it but the last two numbers, which `patterns_of` lists.
+    most = F.when(host.rlike("^[0-9]+([.][0-9]+){3}$"), F.least(number, F.lit(2))).otherwise(number)
+    path = F.regexp_extract(url, "^[^:]+://[^/?#]*/([^?#]*)", 1)
+    steps = F.split(F.regexp_replace(path, "/+$", ""), "/")
+    domains = F.transform(
+        F.sequence(F.lit(2), F.greatest(most, F.lit(2))),
+        lambda n: F.struct(
+            F.lit(0).alias("rank"), n.alias("length"),
+            F.when(n <= most, F.array_join(F.slice(labels, -n, n), ".")).alias("pattern"),
+        ),
+    )
+    hosts = F.array(F.struct(F.lit(1).alias("rank"), number.alias("length"), F.when(host != "", host).alias("pattern")))
+    paths = F.transform(
+        F.sequence(F.lit(1), F.size(steps)),
+        lambda n: F.struct(
+            F.lit(2).alias("rank"), n.alias("length"),
+            F.when(
+                (host != "") & (F.element_at(steps, 1) != ""),
+                F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/")),
+            ).alias("pattern"),
+        ),
+    )
+    # A host without an empty label only, as a suffix of one would start with a dot.
+    whole = F.filter(domains, lambda p: ~p["pattern"].rlike("^[.]|[.][.]|[.]$"))
+    return F.filter(F.concat(whole, hosts, paths), lambda p: p["pattern"].isNotNull())
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(rank, pattern, action, since, until) of entries (rank, pattern, action, day).
 
@@ -56,25 +92,26 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, last_day: str) -> DataFrame:
     """One row per capture (page_id, url, fetched): adds host, blocked, pattern and since.
 
-    Of the patterns of a URL that have an entry in force on the day of the fetch, the longest kind decides:
-    path before host before domain. Without any the capture is allowed, as are captures
+    Of the patterns of a URL that have an entry in force on the day of the fetch, the longest decides:
+    path before host before domain, and of paths or domains that with the most steps or labels. Without any the capture is allowed, as are captures
     without a URL, a host or a day; the pattern is then null. Rows that repeat page_id, url and day are one
-    question and each gets the answer. `last_day` bounds the months that open intervals are spread over;
-    captures after it meet the last month's entries.
+    question and each gets the answer. Open intervals are spread over the months up to `last_day` or the
+    last capture, whichever is later.
     """
-    upto = F.least(F.col("until"), F.lit(last_day).cast("date"))
+    # One row: the last day that is asked for.
+    last = captures.agg(F.greatest(F.max("fetched").cast("date"), F.lit(last_day).cast("date")).alias("last_day"))
+    upto = F.least(F.col("until"), F.col("last_day"))
     months = F.sequence(F.trunc("since", "month"), F.trunc(F.greatest("since", upto), "month"), F.expr("interval 1 month"))
-    spread = intervals(entries).withColumn("month", F.explode(months))
-    day = F.when(F.col("fetched").isNotNull(), F.least(F.col("fetched"), F.lit(last_day).cast("date")))
-    asked = captures.select("page_id", "url", "fetched").withColumn("day", day)
+    spread = intervals(entries).join(last).withColumn("month", F.explode(months)).drop("last_day")
+    asked = captures.select("page_id", "url", "fetched").withColumn("day", F.col("fetched").cast("date"))
     # Each question once, however often it is repeated.
     questions = asked.where("url is not null and day is not null").select("url", "day").distinct()
-    met = questions.select("url", "day", F.trunc("day", "month").alias("month"), F.explode(patterns_of(F.col("url"))).alias("p")).select(
-        "url", "day", "month", "p.rank", "p.pattern"
+    met = questions.select("url", "day", F.trunc("day", "month").alias("month"), F.explode(candidates_of(F.col("url"))).alias("p")).select(
+        "url", "day", "month", "p.rank", "p.length", "p.pattern"
     )
     found = met.join(spread, ["rank", "pattern", "month"]).where("since <= day and day < until")
     answer = found.groupBy("url", "day").agg(
-        F.max_by(F.struct("action", "pattern", "since"), "rank").alias("a")
+        F.max_by(F.struct("action", "pattern", "since"), F.struct("rank", "length")).alias("a")
     )
     return asked.join(answer, ["url", "day"], "left").select(
         "page_id", "url", "fetched", host_of(F.col("url")).alias("host"),
