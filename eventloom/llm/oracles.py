@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import mixing, packing, quality_rules
+from eventloom.llm import collocations, mixing, packing, quality_rules
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -185,3 +185,33 @@ answers AS (
   GROUP BY page_id)
 SELECT page_id, url, fetched, host, coalesce(action = 'block', false) AS blocked, pattern, since
 FROM captures LEFT JOIN answers USING (page_id)"""
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
+placed AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+           FROM worded, range(1, {collocations.LONGEST} + 1) sizes(m) WHERE len(w) >= m),
+known AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+          FROM placed GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+phrases AS (SELECT *, string_split(phrase, ' ') AS w FROM known WHERE m > 1),
+cuts AS (SELECT lang, phrase, w, f, unnest(range(1, m)) AS k FROM phrases),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n, 1000 * c.f * t.n // (x.f * y.f) AS score, k
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN known y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT lang, w, f, s, unnest(range(1, m - s + 2)) AS i
+        FROM phrases, range(2, {collocations.LONGEST}) sizes(s) WHERE s < m)
+  GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored LEFT JOIN inner_ USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a
+QUALIFY rank <= {collocations.TOP}"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import (
+    collocations,
     exact_dedup,
     mixing,
     oracles,
@@ -73,6 +74,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filtered_pages(table(spark, sf_dir, "pages"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir))
+
+
 QUERIES: dict[str, Run] = {
     "op1_substring_dedup": op1,
     "op2_exact_dedup": op2,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Run] = {
     "op8_packing": op8,
     "op9_simhash_dedup": op9,
     "op10_url_filters": op10,
+    "op11_collocations": op11,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +98,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": oracles.MIXING,
     "op8_packing": oracles.PACKING,
     "op10_url_filters": oracles.URL_FILTERS,
+    "op11_collocations": oracles.COLLOCATIONS,
 }
