@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import (
+    alignment,
     collocations,
     exact_dedup,
     mixing,
@@ -78,6 +79,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir))
+
+
 QUERIES: dict[str, Run] = {
     "op1_substring_dedup": op1,
     "op2_exact_dedup": op2,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Run] = {
     "op9_simhash_dedup": op9,
     "op10_url_filters": op10,
     "op11_collocations": op11,
+    "op12_tokenizer_alignment": op12,
 }
 
 ORACLES: dict[str, str] = {

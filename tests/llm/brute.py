@@ -106,3 +106,71 @@ def base_counts(text: str | None):
     failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
     signs = sum(t.count(c) for c in "#*$%&|<>")
     return len(w), sum(map(len, w)), signs, len(lines) - len(set(lines)), len(covered), failed
+
+
+def lowered(text: str | None) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def collocations(docs, least, longest=5, top=2000):
+    """Over (lang, text) rows."""
+    counts, totals = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lowered(text)):
+            w = re.findall("[^ \t]+", piece)
+            totals[lang] += len(w)
+            for k in range(1, longest + 1):
+                counts.update((lang, *w[i : i + k]) for i in range(len(w) - k + 1))
+    found = {g: c for g, c in counts.items() if c >= least and len(g) > 2}
+    out = defaultdict(list)
+    for (lang, *g), a in found.items():
+        around = [c for (other, *h), c in found.items() if other == lang and len(h) > len(g)
+                  and any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1))]
+        if any(100 * c >= 100 * a for c in around):
+            continue
+        cuts = [(counts[(lang, *g[:k])], counts[(lang, *g[k:])]) for k in range(1, len(g))]
+        score, _, left, right = min((1000 * a * totals[lang] // (x * y), k, x, y) for k, (x, y) in enumerate(cuts))
+        out[lang].append((-score, -a, " ".join(g).encode(), left, right))
+    return {
+        (lang, rank): (phrase.decode(), -a, left, right, totals[lang], -score)
+        for lang, rows in out.items()
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(rows)[:top], 1)
+    }
+
+
+def aligned(docs, tokenizers):
+    """Rows of the tokenizer alignment, every text encoded as a whole."""
+    counts, parts = Counter(), []
+    for doc_id, text in docs:
+        text = text or ""
+        a = tokenizers.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = tokenizers.b.encode(text) if text else []
+        spans = []
+        for ids, spelled in ((a, tokenizers.a_bytes), (b, tokenizers.b_bytes)):
+            at, own = 0, []
+            for i in ids:
+                own.append((at, at := at + len(spelled[i])))
+            spans.append((b"".join(spelled[i] for i in ids), own))
+        if not text or any(x[0] != (" " + text).encode() for x in spans):
+            a, b, spans = [], [], [(b"", []), (b"", [])]
+        (_, sa), (_, sb) = spans
+        links = [(x, y) for x, s in zip(a, sa, strict=True) for y, t in zip(b, sb, strict=True)
+                 if max(s[0], t[0]) < min(s[1], t[1])]
+        counts.update(links)
+        ends = {e for _, e in sa} & {e for _, e in sb}
+        groups, low = [], 0
+        for end in sorted(ends):
+            left = ",".join(str(x) for x, s in zip(a, sa, strict=True) if low < s[1] <= end)
+            right = ",".join(str(x) for x, s in zip(b, sb, strict=True) if low < s[1] <= end)
+            groups.append(f"{left}|{right}")
+            low = end
+        parts.append((doc_id, len(a), len(b), groups, links))
+    highest = Counter()
+    for (_, y), n in counts.items():
+        highest[y] = max(highest[y], n)
+    return {
+        doc_id: (n_a, n_b, len(groups), len(links), sum(counts[x] == highest[x[1]] for x in links),
+                 sum(counts[x] for x in links), sha(";".join(groups).encode()) if groups else "")
+        for doc_id, n_a, n_b, groups, links in parts
+    }
