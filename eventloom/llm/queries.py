@@ -11,6 +11,7 @@ from eventloom.llm import (
     alignment,
     collocations,
     exact_dedup,
+    license_scan,
     mixing,
     oracles,
     packing,
@@ -83,6 +84,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir))
+
+
 QUERIES: dict[str, Run] = {
     "op1_substring_dedup": op1,
     "op2_exact_dedup": op2,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Run] = {
     "op10_url_filters": op10,
     "op11_collocations": op11,
     "op12_tokenizer_alignment": op12,
+    "op13_license_scan": op13,
 }
 
 ORACLES: dict[str, str] = {

@@ -174,3 +174,27 @@ def aligned(docs, tokenizers):
                  sum(counts[x] for x in links), sha(";".join(groups).encode()) if groups else "")
         for doc_id, n_a, n_b, groups, links in parts
     }
+
+
+def license_words(text: str | None) -> list[str]:
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(text))
+
+
+def base_licenses(text: str | None, phrases):
+    """(n_words, n_base, first, last, labels) of the phrases that always count."""
+    w = license_words(text)
+    hits = [(i, label) for phrase, label in phrases.items() for i in range(len(w)) if w[i : i + phrase.count(" ") + 1] == phrase.split()]
+    starts = [i for i, _ in hits]
+    return len(w), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def maximal_matches(words, sequences, least):
+    """(end, length) of the longest run ending at each word that stands in a sequence, where the next word does not prolong it."""
+    runs = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    size, sizes = 0, []
+    for i in range(len(words)):
+        size += 1
+        while size and tuple(words[i - size + 1 : i + 1]) not in runs:
+            size -= 1
+        sizes.append(size)
+    return [(i, n) for i, n in enumerate(sizes) if n >= least and (i + 1 == len(sizes) or sizes[i + 1] <= n)]
