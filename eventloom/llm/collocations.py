@@ -28,13 +28,14 @@ LONGEST = 5
 TOP = 2000
 CHUNK_BYTES = 4 << 20
 SALTS = 64
+BROADCAST_ROWS = 500_000
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # What ends a piece, and what stands between words.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
-CHUNKS = "chunk bigint, ids binary, words array<struct<lang: string, word: binary, fp: bigint, n: bigint>>"
+CHUNKS = "chunk bigint, ids binary, fps binary, words array<struct<lang: string, word: binary, n: bigint>>"
 COUNTS = "chunk bigint, fp bigint, n bigint"
 PHRASES = "lang string, phrase binary, size int, n bigint"
 
@@ -56,16 +57,15 @@ def _exact(langs: np.ndarray, parts: list[bytes]) -> np.ndarray:
     )
 
 
-def numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, list[dict]]:
-    """Word numbers of the texts in their order, -1 between pieces, and what each number stands for."""
+def numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Word numbers of the texts in their order, -1 between pieces; fingerprint and (lang, word, n) of each number."""
     data = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(data.translate(LOWER), np.uint8)
+    raw = data.translate(LOWER)
+    data = np.frombuffer(raw, np.uint8)
     kind = _KIND[data]
     word = np.concatenate(([False], kind == 0, [False]))
     edge = np.flatnonzero(word[1:] != word[:-1])
     first, end = edge[::2], edge[1::2]
-    if not len(first):
-        return np.empty(0, np.int32), []
     names = sorted(set(langs))
     place = {name: i for i, name in enumerate(names)}
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -78,21 +78,14 @@ def numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, list[dic
     size = end - first
     same = (size == size[at]).all() and (lang == lang[at]).all()
     if not (same and rolling.same_ranges(data, first, first[at], size)):
-        raw = data.tobytes()
         ids = _exact(lang, [raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)])
         _, lead, n = np.unique(ids, return_index=True, return_counts=True)
     piece = np.cumsum(kind == 2)[first]
     breaks = np.flatnonzero(piece[1:] != piece[:-1]) + 1
     ids = np.insert(ids.astype(np.int32), breaks, -1)
-    raw = data.tobytes()
-    words = [
-        {"lang": names[x], "word": raw[a:b], "fp": f, "n": c}
-        for x, a, b, f, c in zip(
-            lang[lead].tolist(), first[lead].tolist(), end[lead].tolist(), fps[lead].view(np.int64).tolist(),
-            n.tolist(), strict=True,
-        )
-    ]
-    return ids, words
+    words = pa.array([raw[a:b] for a, b in zip(first[lead].tolist(), end[lead].tolist(), strict=True)], pa.binary())
+    columns = [pa.array(names, pa.string()).take(pa.array(lang[lead], pa.int64())), words, pa.array(n, pa.int64())]
+    return ids, fps[lead], pa.StructArray.from_arrays(columns, fields=list(_WORD))
 
 
 def _parts(text: bytes, limit: int) -> Iterator[bytes]:
@@ -107,12 +100,31 @@ def _parts(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[begin:] if begin else text
 
 
-def _batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
+_WORD = pa.struct([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+_CHUNK = pa.schema(
+    [("chunk", pa.int64()), ("ids", pa.binary()), ("fps", pa.binary()), ("words", pa.list_(_WORD))]
+)
+Chunk = tuple[int, np.ndarray, np.ndarray, pa.StructArray]
+
+
+def _table(chunks: list[Chunk]) -> pa.Table:
+    offsets = np.cumsum([0] + [len(words) for *_, words in chunks]).astype(np.int32)
+    structs = [words for *_, words in chunks] or [pa.array([], _WORD)]
+    columns = [
+        pa.array([chunk for chunk, *_ in chunks], pa.int64()),
+        pa.array([ids.astype(np.int32).tobytes() for _, ids, *_ in chunks], pa.binary()),
+        pa.array([fps.tobytes() for _, _, fps, _ in chunks], pa.binary()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(structs)),
+    ]
+    return pa.Table.from_arrays(columns, schema=_CHUNK)
 
 
-_WORD = pa.struct([("lang", pa.string()), ("word", pa.binary()), ("fp", pa.int64()), ("n", pa.int64())])
-_CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("words", pa.list_(_WORD))])
+def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[Chunk]:
+    names = ("chunk", "ids", "fps", "words")
+    for chunk, ids, fps, words in zip(*(table.column(c) for c in names), strict=True):
+        yield (
+            chunk.as_py(), np.frombuffer(ids.as_py(), np.int32), np.frombuffer(fps.as_py(), np.uint64), words.values
+        )
 
 
 def _chunked(chunk_bytes: int) -> Callable:
@@ -126,12 +138,10 @@ def _chunked(chunk_bytes: int) -> Callable:
                     langs.append(lang)
                     size += len(part)
                     if size >= chunk_bytes:
-                        ids, words = numbered(texts, langs)
-                        yield _batch(_CHUNK, [{"chunk": number, "ids": ids.tobytes(), "words": words}])
+                        yield from _table([(number, *numbered(texts, langs))]).to_batches()
                         texts, langs, size, number = [], [], 0, number + 1
         if texts:
-            ids, words = numbered(texts, langs)
-            yield _batch(_CHUNK, [{"chunk": number, "ids": ids.tobytes(), "words": words}])
+            yield from _table([(number, *numbered(texts, langs))]).to_batches()
 
     return run
 
@@ -147,50 +157,40 @@ def grams(ids: np.ndarray, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return at, rolling.mixed(rolling.range_hashes(values, at, at + size), size)
 
 
-def _word_fps(words: list[dict]) -> np.ndarray:
-    return np.array([w["fp"] for w in words], np.int64).view(np.uint64)
-
-
-def _kept(ids: np.ndarray, use: np.ndarray, words: list[dict]) -> dict:
-    """A row of the chunk with the words under `use` (-1 breaks elsewhere), numbered anew."""
+def _kept(chunk: int, ids: np.ndarray, use: np.ndarray, fps: np.ndarray, words: pa.StructArray) -> Chunk:
+    """The chunk with the words under `use` (breaks elsewhere), numbered anew."""
     ids = np.where(use, ids, -1)
     ids = ids[np.append(True, (ids[1:] >= 0) | (ids[:-1] >= 0))] if len(ids) else ids
     left = np.unique(ids[ids >= 0])
     new = np.full(len(words) + 1, -1, np.int32)
     new[left] = np.arange(len(left), dtype=np.int32)
-    return {"ids": new[ids].astype(np.int32).tobytes(), "words": [words[i] for i in left.tolist()]}
-
-
-def _rows(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[dict]]]:
-    for row in table.to_pylist():
-        yield row["chunk"], np.frombuffer(row["ids"], np.int32), row["words"]
+    return chunk, new[ids], fps[left], words.take(pa.array(left, pa.int32()))
 
 
 def _keep_words(left: pa.Table, right: pa.Table) -> pa.Table:
     """Chunks without their rare words."""
     out = []
     good = right.column("id").to_numpy()
-    for chunk, ids, words in _rows(left):
+    for chunk, ids, fps, words in _rows(left):
         known = np.zeros(len(words) + 1, bool)
         known[good] = True
-        out.append({"chunk": chunk, **_kept(ids, known[ids] & (ids >= 0), words)})
-    return pa.Table.from_pylist(out, _CHUNK)
+        out.append(_kept(chunk, ids, known[ids] & (ids >= 0), fps, words))
+    return _table(out)
 
 
 def _keep_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
     """Chunks whose runs go on only from word to word of a frequent pair."""
     out = []
     good = np.sort(right.column("fp").to_numpy().view(np.uint64))
-    for chunk, ids, words in _rows(left):
-        at, fps = grams(ids, _word_fps(words), 2)
-        at = at[np.isin(fps, good)]
+    for chunk, ids, fps, words in _rows(left):
+        at, pairs = grams(ids, fps, 2)
         joined = np.zeros(len(ids) + 1, bool)
-        joined[at] = True
+        joined[at[np.isin(pairs, good)]] = True
         use = joined[:-1] | np.append(False, joined[:-2])
         # A pair that is not frequent parts two runs that lie side by side.
         cut = np.flatnonzero(use[:-1] & use[1:] & ~joined[: len(ids) - 1]) + 1
-        out.append({"chunk": chunk, **_kept(np.insert(ids, cut, -1), np.insert(use, cut, False), words)})
-    return pa.Table.from_pylist(out, _CHUNK)
+        out.append(_kept(chunk, np.insert(ids, cut, -1), np.insert(use, cut, False), fps, words))
+    return _table(out)
 
 
 def _counted(sizes: range) -> Callable:
@@ -198,9 +198,9 @@ def _counted(sizes: range) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, ids, words in _rows(pa.Table.from_batches([batch])):
+            for chunk, ids, values, _ in _rows(batch):
                 for size in sizes:
-                    fps, n = np.unique(grams(ids, _word_fps(words), size)[1], return_counts=True)
+                    fps, n = np.unique(grams(ids, values, size)[1], return_counts=True)
                     for i in range(0, len(fps), 1 << 16):
                         part = fps[i : i + (1 << 16)].view(np.int64)
                         yield pa.RecordBatch.from_arrays(
@@ -231,10 +231,10 @@ def _materialised(longest: int) -> Callable:
     """Texts and counts of a chunk's pairs, and of the longer n-grams whose fingerprint is frequent."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        out: list[list] = [[], [], [], []]
         good = np.sort(right.column("fp").to_numpy().view(np.uint64))
-        for _, ids, words in _rows(left):
-            values = _word_fps(words)
+        for _, ids, values, words in _rows(left):
+            lang, word = words.field("lang").to_pylist(), words.field("word").to_pylist()
             for size in range(2, longest + 1):
                 at, fps = grams(ids, values, size)
                 if size > 2:
@@ -243,18 +243,27 @@ def _materialised(longest: int) -> Callable:
                 if not len(at):
                     continue
                 places, n = _by_text(ids, at, fps, size)
-                for own, count in zip(ids[places[:, None] + np.arange(size)].tolist(), n.tolist(), strict=True):
-                    phrase = b" ".join(words[i]["word"] for i in own)
-                    out.append({"lang": words[own[0]]["lang"], "phrase": phrase, "size": size, "n": count})
-        return pa.Table.from_pylist(out, _PHRASE)
+                own = ids[places[:, None] + np.arange(size)].tolist()
+                out[0] += [lang[g[0]] for g in own]
+                out[1] += [b" ".join([word[i] for i in g]) for g in own]
+                out[2] += [size] * len(own)
+                out[3] += n.tolist()
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PHRASE, strict=True)], schema=_PHRASE)
 
     return run
 
 
+def _among(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in the written table `few`: broadcast if it is small by count, else shuffled."""
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    return rows.join(few, keys, "leftsemi")
+
+
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
     """(chunk, fp) of the fingerprints with at least `least` occurrences."""
     sums = counts.groupBy("fp").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    return counts.select("chunk", "fp").join(sums.select("fp"), "fp", "leftsemi").select("chunk", "fp")
+    return _among(counts.select("chunk", "fp"), write_table(sums.select("fp"), "phrase-marks"), ["fp"])
 
 
 def _meet(chunks: DataFrame, marks: DataFrame, step: Callable, schema: str) -> DataFrame:
@@ -282,7 +291,7 @@ def phrase_counts(
     words = write_table(
         each.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-words"
     )
-    marks = each.join(words.select("lang", "phrase"), ["lang", "phrase"], "leftsemi").select("chunk", "id")
+    marks = _among(each, words.select("lang", "phrase"), ["lang", "phrase"]).select("chunk", "id")
     runs = write_table(_meet(chunks, marks, _keep_words, CHUNKS), "phrase-runs")
     pairs = _frequent(runs.mapInArrow(_counted(range(2, 3)), COUNTS), least)
     runs = write_table(_meet(runs, pairs, _keep_pairs, CHUNKS), "phrase-runs")

@@ -40,16 +40,23 @@ def test_collocations_equal_brute_force(spark, spoken, least, top):
 
 def test_collocations_tell_equal_fingerprints_apart(spark, spoken, monkeypatch):
     """Fingerprints of two bits: nearly all n-grams collide, the counts by text stay exact."""
-    ids, words = collocations.numbered([b"b a. a b", b"a b"], ["en", "de"])
-    assert [words[i]["word"] if i >= 0 else None for i in ids] == [b"b", b"a", None, b"a", b"b", None, b"a", b"b"]
+    def spelled(ids, _, words):
+        return [words[i].as_py()["word"] if i >= 0 else None for i in ids.tolist()]
+
+    assert spelled(*collocations.numbered([b"b a. a b", b"a b"], ["en", "de"])) == [b"b", b"a", None, b"a", b"b", None, b"a", b"b"]
     rows = np.array([0, 1, 2, 1, 0, 1], np.int32)
     at, n = collocations._by_text(rows, np.arange(5), np.zeros(5, np.uint64), 2)
     assert {tuple(rows[i : i + 2].tolist()): c for i, c in zip(at, n.tolist(), strict=True)} == {
         (0, 1): 2, (1, 2): 1, (2, 1): 1, (1, 0): 1,
     }
     monkeypatch.setattr(collocations.rolling, "mixed", lambda x, seed=0: x & np.uint64(0))
-    ids, words = collocations.numbered([b"b a. a b"], ["en"])
-    assert [words[i]["word"] if i >= 0 else None for i in ids] == [b"b", b"a", None, b"a", b"b"]
+    assert spelled(*collocations.numbered([b"b a. a b"], ["en"])) == [b"b", b"a", None, b"a", b"b"]
+
+
+def test_collocations_without_broadcast(spark, spoken, monkeypatch):
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 3)
+    df = spark.createDataFrame(spoken, "lang string, text string")
+    assert _mined(df, least=9, chunk_bytes=900) == brute.collocations(spoken, 9)
 
 
 def test_collocations_of_odd_tables(spark, empty, odd):
