@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom import schemas as S
 from eventloom.functions import text as T
 from eventloom.functions.fields import duration_ms, field
-from eventloom.operators import health, rollup, search, specs, vector
+from eventloom.operators import health, patterns, rollup, search, specs, vector
 from eventloom.registry import AS_OF, MONTH_START, ev_sql, query, r6
 from eventloom.session import work_folder
 from eventloom.sources.canonical import alert_events, alert_rules, event_embeddings, events, table
@@ -595,6 +595,44 @@ def l21(spark, folder):
     return search.log_patterns(events(spark, folder))
 
 
+def _near_sql(source: str, select: str) -> str:
+    """Closure over templates that are equal once each has lost at most one word."""
+    return f"""{source},
+worded AS (SELECT template, regexp_extract_all(lower(template), '[a-z0-9_-]+') AS w FROM lines GROUP BY ALL),
+variants AS (SELECT template, unnest(list_distinct(list_concat([array_to_string(w, ' ')], CASE WHEN len(w) >= {patterns.SHORTEST}
+  THEN list_transform(range(1, len(w) + 1), lambda i: array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) ELSE [] END))) AS v FROM worded),
+near AS MATERIALIZED (SELECT DISTINCT a.template AS x, b.template AS y FROM variants a JOIN variants b USING (v)),
+reached AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reached r JOIN near n ON n.x = r.y),
+grouped AS (SELECT x AS template, min(y) AS pattern_group FROM reached GROUP BY 1)
+{select}"""
+
+
+@query(
+    "l21_near_groups",
+    _near_sql(
+        "WITH RECURSIVE " + ev_sql("", "lines AS (SELECT *, regexp_replace(data, '[0-9]+', '<num>', 'g') AS template FROM ev)")[5:],
+        """SELECT pattern_group, count(DISTINCT template) AS templates, count(*) AS count,
+  count(*) FILTER (severity IN ('error','fatal')) AS errors,
+  arg_min(data, (template, "timestamp", event_id)) AS sample FROM lines JOIN grouped USING (template) GROUP BY 1""",
+    ),
+)
+def l21_groups(spark, folder):
+    return patterns.near_patterns(search.log_patterns(events(spark, folder)))
+
+
+@query(
+    "l21_near_urls",
+    _near_sql(
+        "WITH RECURSIVE lines AS (SELECT page_id, regexp_replace(url, '[0-9]+', '<num>', 'g') AS template FROM pages)",
+        "SELECT page_id, pattern_group FROM lines JOIN grouped USING (template)",
+    ),
+)
+def l21_urls(spark, folder):
+    """Addresses of all pages, numbers masked, in near-duplicate groups."""
+    lines = table(spark, folder, "pages").select("page_id", T.log_template(F.col("url")).alias("template"))
+    return lines.join(patterns.near_groups(lines), "template").select("page_id", "pattern_group")
+
+
 STOPS = ("the", "and", "in", "of", "to", "or", "on", "is")
 
 
