@@ -1,9 +1,9 @@
 """Phrase collocations per language, counted by Rabin-Karp fingerprints.
 
 Texts are turned once into chunks of word numbers. Prefix polynomials over them give the fingerprint
-of every n-gram; equal ones are counted in the chunk, and the shuffle adds the counts up. A fingerprint
-points to the chunks it occurs in; only these write out the phrases of frequent fingerprints, and the
-last count goes by text, so that two phrases with one fingerprint are told apart.
+of every n-gram; equal ones are counted in the chunk, and the shuffle adds the counts up and keeps a pointer, the
+first chunk that holds one. Only there the phrases of frequent fingerprints are written out. Every chunk then
+compares its own occurrences with these texts, and what differs is taken off and counted by text.
 
 A phrase of `least` occurrences consists of words and of pairs of words with at least as many. So
 words are counted first, pairs of frequent words next, and longer phrases where every pair is frequent.
@@ -29,15 +29,16 @@ TOP = 2000
 CHUNK_BYTES = 4 << 20
 SALTS = 64
 BROADCAST_ROWS = 500_000
+BITS = 64
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # What ends a piece, and what stands between words.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
-CHUNKS = "chunk bigint, ids binary, fps binary, words array<struct<lang: string, word: binary, n: bigint>>"
+CHUNKS = "chunk bigint, ids binary, fps binary, words array<struct<lang: string, word: binary, fp: bigint, n: bigint>>"
 COUNTS = "chunk bigint, fp bigint, n bigint"
-PHRASES = "lang string, phrase binary, size int, n bigint"
+PHRASES = "fp bigint, lang string, phrase binary, size int, n bigint"
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)] = 1
@@ -58,7 +59,7 @@ def _exact(langs: np.ndarray, parts: list[bytes]) -> np.ndarray:
 
 
 def numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
-    """Word numbers of the texts in their order, -1 between pieces; fingerprint and (lang, word, n) of each number."""
+    """Word numbers of the texts in their order, -1 between pieces; fingerprint and (lang, word, fp, n) of each number."""
     data = b"\n".join(texts) + b"\n"
     raw = data.translate(LOWER)
     data = np.frombuffer(raw, np.uint8)
@@ -84,7 +85,8 @@ def numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarr
     breaks = np.flatnonzero(piece[1:] != piece[:-1]) + 1
     ids = np.insert(ids.astype(np.int32), breaks, -1)
     words = pa.array([raw[a:b] for a, b in zip(first[lead].tolist(), end[lead].tolist(), strict=True)], pa.binary())
-    columns = [pa.array(names, pa.string()).take(pa.array(lang[lead], pa.int64())), words, pa.array(n, pa.int64())]
+    langs_of = pa.array(names, pa.string()).take(pa.array(lang[lead], pa.int64()))
+    columns = [langs_of, words, pa.array(fps[lead].view(np.int64)), pa.array(n, pa.int64())]
     return ids, fps[lead], pa.StructArray.from_arrays(columns, fields=list(_WORD))
 
 
@@ -100,7 +102,7 @@ def _parts(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[begin:] if begin else text
 
 
-_WORD = pa.struct([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+_WORD = pa.struct([("lang", pa.string()), ("word", pa.binary()), ("fp", pa.int64()), ("n", pa.int64())])
 _CHUNK = pa.schema(
     [("chunk", pa.int64()), ("ids", pa.binary()), ("fps", pa.binary()), ("words", pa.list_(_WORD))]
 )
@@ -146,7 +148,7 @@ def _chunked(chunk_bytes: int) -> Callable:
     return run
 
 
-def grams(ids: np.ndarray, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(ids: np.ndarray, fps: np.ndarray, size: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(place, fingerprint) of each run of `size` words without a break."""
     n = len(ids) - size + 1
     if n <= 0 or not len(fps):
@@ -154,7 +156,7 @@ def grams(ids: np.ndarray, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     broken = np.concatenate(([0], np.cumsum(ids < 0)))
     at = np.flatnonzero(broken[size:] == broken[:n])
     values = np.where(ids < 0, np.uint64(0), fps[np.maximum(ids, 0)])
-    return at, rolling.mixed(rolling.range_hashes(values, at, at + size), size)
+    return at, rolling.mixed(rolling.range_hashes(values, at, at + size), size) >> np.uint64(64 - bits)
 
 
 def _kept(chunk: int, ids: np.ndarray, use: np.ndarray, fps: np.ndarray, words: pa.StructArray) -> Chunk:
@@ -167,40 +169,45 @@ def _kept(chunk: int, ids: np.ndarray, use: np.ndarray, fps: np.ndarray, words:
     return chunk, new[ids], fps[left], words.take(pa.array(left, pa.int32()))
 
 
+def _fps(table: pa.Table) -> np.ndarray:
+    return np.sort(table.column("fp").to_numpy().view(np.uint64))
+
+
 def _keep_words(left: pa.Table, right: pa.Table) -> pa.Table:
     """Chunks without their rare words."""
-    out = []
-    good = right.column("id").to_numpy()
+    out, good = [], _fps(right)
     for chunk, ids, fps, words in _rows(left):
-        known = np.zeros(len(words) + 1, bool)
-        known[good] = True
+        known = np.append(np.isin(fps, good), False)
         out.append(_kept(chunk, ids, known[ids] & (ids >= 0), fps, words))
     return _table(out)
 
 
-def _keep_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+def _keep_pairs(bits: int) -> Callable:
     """Chunks whose runs go on only from word to word of a frequent pair."""
-    out = []
-    good = np.sort(right.column("fp").to_numpy().view(np.uint64))
-    for chunk, ids, fps, words in _rows(left):
-        at, pairs = grams(ids, fps, 2)
-        joined = np.zeros(len(ids) + 1, bool)
-        joined[at[np.isin(pairs, good)]] = True
-        use = joined[:-1] | np.append(False, joined[:-2])
-        # A pair that is not frequent parts two runs that lie side by side.
-        cut = np.flatnonzero(use[:-1] & use[1:] & ~joined[: len(ids) - 1]) + 1
-        out.append(_kept(chunk, np.insert(ids, cut, -1), np.insert(use, cut, False), fps, words))
-    return _table(out)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, good = [], _fps(right)
+        for chunk, ids, fps, words in _rows(left):
+            at, pairs = grams(ids, fps, 2, bits)
+            joined = np.zeros(len(ids) + 1, bool)
+            joined[at[np.isin(pairs, good)]] = True
+            use = joined[:-1] | np.append(False, joined[:-2])
+            # A pair that is not frequent parts two runs that lie side by side.
+            cut = np.flatnonzero(use[:-1] & use[1:] & ~joined[: len(ids) - 1]) + 1
+            out.append(_kept(chunk, np.insert(ids, cut, -1), np.insert(use, cut, False), fps, words))
+        return _table(out)
+
+    return run
 
 
-def _counted(sizes: range) -> Callable:
+def _counted(sizes: range, bits: int) -> Callable:
     """Fingerprints of a chunk's n-grams, each once with its count."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids, values, _ in _rows(batch):
                 for size in sizes:
-                    fps, n = np.unique(grams(ids, values, size)[1], return_counts=True)
+                    fps, n = np.unique(grams(ids, values, size, bits)[1], return_counts=True)
                     for i in range(0, len(fps), 1 << 16):
                         part = fps[i : i + (1 << 16)].view(np.int64)
                         yield pa.RecordBatch.from_arrays(
@@ -214,96 +221,143 @@ def _counted(sizes: range) -> Callable:
     return run
 
 
-def _by_text(ids: np.ndarray, at: np.ndarray, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a place, count) of each different n-gram among those at `at`; equal fingerprints are compared."""
-    _, lead, inverse, n = np.unique(fps, return_index=True, return_inverse=True, return_counts=True)
+def _by_text(ids: np.ndarray, at: np.ndarray, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, fingerprint, count) of each different n-gram among those at `at`; equal fingerprints are compared."""
+    own, lead, inverse, n = np.unique(fps, return_index=True, return_inverse=True, return_counts=True)
     rows = ids[at[:, None] + np.arange(size)]
     if (rows == rows[lead[inverse]]).all():
-        return at[lead], n
+        return at[lead], own, n
     _, lead, n = np.unique(rows, axis=0, return_index=True, return_counts=True)
-    return at[lead], n
+    return at[lead], fps[lead], n
 
 
-_PHRASE = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()), ("n", pa.int64())])
+_PHRASE = pa.schema(
+    [
+        ("fp", pa.int64()), ("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()), ("n", pa.int64()),
+    ]
+)
+Spelled = Iterator[tuple[int, str, bytes, int, int]]
+
+
+def _spelled(chunk: Chunk, good: np.ndarray, longest: int, bits: int) -> Spelled:
+    """(fingerprint, language, phrase, size, count) of the chunk's n-grams under the fingerprints."""
+    _, ids, values, words = chunk
+    lang, word = words.field("lang").to_pylist(), words.field("word").to_pylist()
+    for size in range(2, longest + 1):
+        at, fps = grams(ids, values, size, bits)
+        keep = np.isin(fps, good)
+        if not keep.any():
+            continue
+        places, fps, n = _by_text(ids, at[keep], fps[keep], size)
+        own = ids[places[:, None] + np.arange(size)].tolist()
+        for fp, g, count in zip(fps.view(np.int64).tolist(), own, n.tolist(), strict=True):
+            yield fp, lang[g[0]], b" ".join([word[i] for i in g]), size, count
+
 
+def _phrases(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_PHRASE)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _PHRASE, strict=True)], schema=_PHRASE)
 
-def _materialised(longest: int) -> Callable:
-    """Texts and counts of a chunk's pairs, and of the longer n-grams whose fingerprint is frequent."""
+
+def _materialise(longest: int, bits: int) -> Callable:
+    """The phrases of those fingerprints that point to the chunk."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        good = np.sort(right.column("fp").to_numpy().view(np.uint64))
-        for _, ids, values, words in _rows(left):
-            lang, word = words.field("lang").to_pylist(), words.field("word").to_pylist()
-            for size in range(2, longest + 1):
-                at, fps = grams(ids, values, size)
-                if size > 2:
-                    keep = np.isin(fps, good)
-                    at, fps = at[keep], fps[keep]
-                if not len(at):
-                    continue
-                places, n = _by_text(ids, at, fps, size)
-                own = ids[places[:, None] + np.arange(size)].tolist()
-                out[0] += [lang[g[0]] for g in own]
-                out[1] += [b" ".join([word[i] for i in g]) for g in own]
-                out[2] += [size] * len(own)
-                out[3] += n.tolist()
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PHRASE, strict=True)], schema=_PHRASE)
+        out: list[tuple] = []
+        fps, pointer = right.column("fp").to_numpy().view(np.uint64), right.column("pointer").to_numpy()
+        for chunk in _rows(left):
+            out += _spelled(chunk, fps[pointer == chunk[0]], longest, bits)
+        return _phrases(out)
 
     return run
 
 
-def _among(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys are in the written table `few`: broadcast if it is small by count, else shuffled."""
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        few = F.broadcast(few)
-    return rows.join(few, keys, "leftsemi")
+def _verify(longest: int, bits: int) -> Callable:
+    """Occurrences in the chunk whose text is not that of their fingerprint."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        texts = zip(right.column("lang").to_pylist(), right.column("phrase").to_pylist(), strict=True)
+        known = dict(zip(right.column("fp").to_pylist(), texts, strict=True))
+        good = _fps(right)
+        for chunk in _rows(left):
+            out += [x for x in _spelled(chunk, good, longest, bits) if known[x[0]] != x[1:3]]
+        return _phrases(out)
+
+    return run
 
 
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    """(chunk, fp) of the fingerprints with at least `least` occurrences."""
-    sums = counts.groupBy("fp").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    return _among(counts.select("chunk", "fp"), write_table(sums.select("fp"), "phrase-marks"), ["fp"])
+    """(fp, n, pointer) of the fingerprints with at least `least` occurrences, and a chunk that holds each."""
+    sums = counts.groupBy("fp").agg(F.sum("n").alias("n"), F.min("chunk").alias("pointer"))
+    return write_table(sums.where(F.col("n") >= least), "phrase-marks")
+
 
+def _each(step: Callable, right: pa.Table) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from step(pa.Table.from_batches([batch]), right).to_batches()
+
+    return run
 
-def _meet(chunks: DataFrame, marks: DataFrame, step: Callable, schema: str) -> DataFrame:
-    """`step` over each chunk and its marks; chunks without marks pass with none."""
-    marks = marks.withColumnRenamed("chunk", "at").groupBy("at")
-    return chunks.groupBy("chunk").cogroup(marks).applyInArrow(step, schema)
+
+def _meet(chunks: DataFrame, counts: DataFrame, few: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """`step` over each chunk and the rows of the written table `few`, or at least those of the chunk's fingerprints.
+
+    Where `few` is small by count, every task gets all of it; otherwise it is shuffled to the chunks by way of `counts`
+    (chunk, fp). Both give the same rows.
+    """
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return chunks.mapInArrow(_each(step, few.toArrow()), schema)
+    marks = counts.select(F.col("chunk").alias("at"), "fp").distinct().join(few, "fp")
+    return chunks.groupBy("chunk").cogroup(marks.groupBy("at")).applyInArrow(step, schema)
 
 
 def phrase_counts(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
-    chunk_bytes: int = CHUNK_BYTES,
+    chunk_bytes: int = CHUNK_BYTES, bits: int = BITS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words (lang, phrase, n) and phrases (lang, phrase, size, n) of at least `least` occurrences, and all words per language (lang, n)."""
+    """Words (lang, phrase, n) and phrases (lang, phrase, size, n) of at least `least` occurrences, and all words per language (lang, n).
+
+    With fewer `bits` to a fingerprint more of them collide; counts are the same.
+    """
     arrow_limits(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     chunks = write_table(rows.mapInArrow(_chunked(chunk_bytes), CHUNKS), "phrase-chunks")
-    each = chunks.select("chunk", F.posexplode("words").alias("id", "w")).select(
-        "chunk", "id", F.col("w.lang").alias("lang"), F.col("w.word").cast("string").alias("phrase"),
-        F.col("w.n").alias("n"),
-    )
-    all_words = each.groupBy("lang").agg(F.sum("n").alias("n"))
+    all_words = chunks.select(F.explode("words").alias("w")).groupBy("w.lang").agg(F.sum("w.n").alias("n"))
+    each = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.*")
     words = write_table(
-        each.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-words"
+        each.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("fp").alias("fp")).where(F.col("n") >= least),
+        "phrase-words",
     )
-    marks = _among(each, words.select("lang", "phrase"), ["lang", "phrase"]).select("chunk", "id")
-    runs = write_table(_meet(chunks, marks, _keep_words, CHUNKS), "phrase-runs")
-    pairs = _frequent(runs.mapInArrow(_counted(range(2, 3)), COUNTS), least)
-    runs = write_table(_meet(runs, pairs, _keep_pairs, CHUNKS), "phrase-runs")
-    longer = _frequent(runs.mapInArrow(_counted(range(3, longest + 1)), COUNTS), least)
-    found = _meet(runs, longer, _materialised(longest), PHRASES)
-    phrases = write_table(
-        found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "size")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least),
-        "phrases",
+    runs = write_table(_meet(chunks, each, words.select("fp"), _keep_words, CHUNKS), "phrase-runs")
+    counts = runs.mapInArrow(_counted(range(2, 3), bits), COUNTS)
+    pairs = _frequent(counts, least)
+    runs = write_table(_meet(runs, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs")
+    longer = _frequent(runs.mapInArrow(_counted(range(3, longest + 1), bits), COUNTS), least)
+    marks = pairs.unionByName(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
+    marks = write_table(marks, "phrase-marks")
+    counts = runs.mapInArrow(_counted(range(2, longest + 1), bits), COUNTS)
+    spelled = _meet(runs, counts, marks.select("fp", "pointer"), _materialise(longest, bits), PHRASES)
+    # Should fingerprints of one chunk collide, its least phrase stands for them.
+    named = spelled.groupBy("fp").agg(F.min(F.struct("size", "lang", "phrase")).alias("p")).select("fp", "p.*")
+    named = write_table(named, "phrase-texts")
+    others = _meet(runs, counts, named.select("fp", "lang", "phrase"), _verify(longest, bits), PHRASES)
+    others = write_table(others, "phrase-others")
+    taken = others.groupBy("fp").agg(F.sum("n").alias("taken"))
+    exact = (
+        named.join(marks.select("fp", "n"), "fp")
+        .join(taken, "fp", "left")
+        .select("lang", "phrase", "size", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
+        .unionByName(others.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")))
+        .where(F.col("n") >= least)
+        .withColumn("phrase", F.col("phrase").cast("string"))
     )
-    return words, phrases, all_words
+    words = words.select("lang", F.col("word").cast("string").alias("phrase"), "n")
+    return words, write_table(exact, "phrases"), all_words
 
 
 def _within(phrases: DataFrame) -> DataFrame:
@@ -321,7 +375,7 @@ def _within(phrases: DataFrame) -> DataFrame:
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
-    top: int = TOP, chunk_bytes: int = CHUNK_BYTES,
+    top: int = TOP, chunk_bytes: int = CHUNK_BYTES, bits: int = BITS,
 ) -> DataFrame:
     """The `top` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -335,7 +389,7 @@ def collocations(
     an empty result. Repeated rows count each. Other columns are not read. A very long text is taken in
     parts cut where a piece ends, so a task holds about `chunk_bytes` of text and the longest piece.
     """
-    words, phrases, all_words = phrase_counts(docs, text, lang, least, longest, chunk_bytes)
+    words, phrases, all_words = phrase_counts(docs, text, lang, least, longest, chunk_bytes, bits)
     known = words.unionByName(phrases.select("lang", "phrase", "n"))
     w = F.split("phrase", " ")
     cuts = phrases.select(

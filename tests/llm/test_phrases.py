@@ -45,7 +45,7 @@ def test_collocations_tell_equal_fingerprints_apart(spark, spoken, monkeypatch):
 
     assert spelled(*collocations.numbered([b"b a. a b", b"a b"], ["en", "de"])) == [b"b", b"a", None, b"a", b"b", None, b"a", b"b"]
     rows = np.array([0, 1, 2, 1, 0, 1], np.int32)
-    at, n = collocations._by_text(rows, np.arange(5), np.zeros(5, np.uint64), 2)
+    at, _, n = collocations._by_text(rows, np.arange(5), np.zeros(5, np.uint64), 2)
     assert {tuple(rows[i : i + 2].tolist()): c for i, c in zip(at, n.tolist(), strict=True)} == {
         (0, 1): 2, (1, 2): 1, (2, 1): 1, (1, 0): 1,
     }
@@ -53,10 +53,13 @@ def test_collocations_tell_equal_fingerprints_apart(spark, spoken, monkeypatch):
     assert spelled(*collocations.numbered([b"b a. a b"], ["en"])) == [b"b", b"a", None, b"a", b"b"]
 
 
-def test_collocations_without_broadcast(spark, spoken, monkeypatch):
-    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 3)
+@pytest.mark.parametrize("bits", [64, 6])
+def test_collocations_without_broadcast_and_with_collisions(spark, spoken, monkeypatch, bits):
     df = spark.createDataFrame(spoken, "lang string, text string")
-    assert _mined(df, least=9, chunk_bytes=900) == brute.collocations(spoken, 9)
+    want = brute.collocations(spoken, 9)
+    assert _mined(df, least=9, chunk_bytes=900, bits=bits) == want
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 3)
+    assert _mined(df, least=9, chunk_bytes=900, bits=bits) == want
 
 
 def test_collocations_of_odd_tables(spark, empty, odd):
