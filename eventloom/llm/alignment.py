@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -99,17 +100,30 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each unit; those of the first tokenizer with a space in front, which the second adds itself."""
+    def encode(self, units: list[str]) -> Iterator[tuple[list[str], list[list[int]], list[list[int]]]]:
+        """Ids of the units by both, some thousand at a time; the first gets a space in front, which the second adds."""
         for i in range(0, len(units), ENCODE):
             part = units[i : i + ENCODE]
-            a = self.a.encode_batch([" " + u for u in part], add_special_tokens=False)
-            yield from zip((x.ids for x in a), self.b.encode(part, num_threads=1), strict=True)
-
-    def faithful(self, unit: str, a: list[int], b: list[int]) -> bool:
-        """Whether the tokens of both spell the unit, byte for byte."""
-        want = (" " + unit).encode()
-        return b"".join([self.a_bytes[i] for i in a]) == want and b"".join([self.b_bytes[i] for i in b]) == want
+            a = self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False)
+            yield part, [x.ids for x in a], self.b.encode(part, num_threads=1)
+
+    def faithful(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether the tokens of both spell each unit, byte for byte."""
+        want = [(" " + u).encode() for u in units]
+        return [
+            b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y])
+            for w, x, y in zip(want, a, b, strict=True)
+        ]
+
+    def all_faithful(self, units: list[str], a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bool:
+        """The same for all units at once: equal bytes in total, and equal numbers of them in each."""
+        want = [(" " + u).encode() for u in units]
+        sizes = np.fromiter(map(len, want), np.int64, len(want))
+        for side, (ids, own, spelled) in enumerate(((a, self.a_sizes, self.a_bytes), (b, self.b_sizes, self.b_bytes))):
+            upto = _offsets(own[ids])[_offsets(counts[:, side])]
+            if (np.diff(upto) != sizes).any() or b"".join(map(spelled.__getitem__, ids.tolist())) != b"".join(want):
+                return False
+        return True
 
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -142,7 +156,8 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in a, place in b) of all token pairs whose byte ranges overlap; both cover the same bytes."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -162,43 +177,69 @@ class Aligned:
     pairs: np.ndarray
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int32)
+
+
+def encoded(units: list[str], tokenizers: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of a, ids of b, their numbers by unit, whether a unit is spelled exactly); others have no tokens."""
+    parts = []
+    for part, a, b in tokenizers.encode(units):
+        ids = [_flat(a), _flat(b)]
+        counts = np.array([list(map(len, a)), list(map(len, b))], np.int64).T
+        good = np.ones(len(part), bool)
+        if not tokenizers.all_faithful(part, *ids, counts):
+            good = np.array(tokenizers.faithful(part, a, b), bool)
+            ids = [_flat([x for x, g in zip(own, good, strict=True) if g]) for own in (a, b)]
+            counts[~good] = 0
+        parts.append((*ids, counts, good))
+    none = np.empty(0, np.int32), np.empty(0, np.int32), np.empty((0, 2), np.int64), np.empty(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
+
+
+def _written(ids: np.ndarray, last: np.ndarray, within: str, end: str) -> np.ndarray:
+    """Each id as text with what follows it; one object for all equal ones."""
+    known, place = np.unique(2 * ids + last, return_inverse=True)
+    return np.array([f"{i // 2}{end if i % 2 else within}" for i in known.tolist()] + [""], object)[place]
+
+
+def _spelled_groups(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, upto: np.ndarray) -> list[str]:
+    """Per unit its groups `a1,a2|b1;`, written token by token; `upto` counts the groups before each unit."""
+    group_a = np.searchsorted(cuts_a, np.arange(len(a)), "left")
+    group_b = np.searchsorted(cuts_b, np.arange(len(b)), "left")
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    last_a[cuts_a], last_b[cuts_b] = True, True
+    # A token comes after all of a and b in the groups before, and b's after all of a in its own.
+    before_b, before_a = _offsets(np.bincount(group_b, minlength=len(cuts_b))), np.append(cuts_a, -1) + 1
+    out = np.empty(len(a) + len(b), object)
+    out[np.arange(len(a)) + before_b[group_a]] = _written(a, last_a, ",", "|")
+    out[np.arange(len(b)) + before_a[group_b]] = _written(b, last_b, ",", ";")
+    ends = np.append(0, np.where(upto > 0, cuts_a[upto - 1] + cuts_b[upto - 1] + 2, 0)[1:]) if len(cuts_a) else 0 * upto
+    parts, ends = out.tolist(), ends.tolist()
+    return ["".join(parts[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def align(units: list[str], tokenizers: Tokenizers) -> Aligned:
-    ids_a: list[int] = []
-    ids_b: list[int] = []
-    counts, faithful = [], []
-    for unit, (a, b) in zip(units, tokenizers.encode(units), strict=True):
-        good = tokenizers.faithful(unit, a, b)
-        faithful.append(good)
-        if good:
-            ids_a += a
-            ids_b += b
-        counts.append((len(a), len(b)) if good else (0, 0))
-    a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-    counts = np.array(counts, np.int64).reshape(-1, 2)
+    a, b, counts, faithful = encoded(units, tokenizers)
     ends_a, ends_b = np.cumsum(tokenizers.a_sizes[a]), np.cumsum(tokenizers.b_sizes[b])
     cuts = shared_cuts(ends_a, ends_b)
     cuts_b = np.searchsorted(ends_b, ends_a[cuts])
     upto = _offsets(counts[:, 0])
-    n_groups = np.diff(np.searchsorted(cuts, upto, "left"))
-    text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
-    spans, low_a, low_b = [], 0, 0
-    for x, y in zip(cuts.tolist(), cuts_b.tolist(), strict=True):
-        spans.append(f"{','.join(text_a[low_a : x + 1])}|{','.join(text_b[low_b : y + 1])}")
-        low_a, low_b = x + 1, y + 1
-    bounds = _offsets(n_groups).tolist()
-    groups = [";".join(spans[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    groups_upto = np.searchsorted(cuts, upto, "left")
+    groups = _spelled_groups(a, b, cuts, cuts_b, groups_upto)
     at_a, at_b = overlaps(ends_a, ends_b)
     offsets = np.searchsorted(at_a, upto, "left")
-    pairs, links = np.unique(a[at_a] * len(tokenizers.b_sizes) + b[at_b], return_inverse=True)
-    sizes = np.column_stack((counts, n_groups, np.diff(offsets)))
-    return Aligned(np.array(faithful, bool), groups, offsets, links.astype(np.int32), sizes, pairs)
+    pairs, links = np.unique(a[at_a].astype(np.int64) * len(tokenizers.b_sizes) + b[at_b], return_inverse=True)
+    sizes = np.column_stack((counts, np.diff(groups_upto), np.diff(offsets)))
+    return Aligned(faithful, groups, offsets, links.astype(np.int32), sizes, pairs)
 
 
 def digest(parts: list[str]) -> str:
-    """Hash of the parts joined by semicolons, without holding the whole."""
+    """Hash of the parts put together without their last semicolon, without holding the whole."""
     found = hashlib.sha256()
     for i in range(0, len(parts), 1 << 16):
-        found.update(((";" if i else "") + ";".join(parts[i : i + (1 << 16)])).encode())
+        text = "".join(parts[i : i + (1 << 16)])
+        found.update((text if i + (1 << 16) < len(parts) else text[:-1]).encode())
     return found.hexdigest()
 
 
@@ -213,17 +254,19 @@ _ENCODED = pa.schema(
 
 def _encoded(chunk: int, docs: list[tuple[int | None, bytes]], tokenizers: Tokenizers) -> pa.RecordBatch:
     """One row: the documents as runs of `units`, and what is known of each different unit."""
-    place: dict[str, int] = {}
-    own, ends = [], []
+    own: list[str] = []
+    ends = []
     for _, text in docs:
         try:
-            parts = CUT.split(text.decode()) if text else []
+            own += CUT.split(text.decode()) if text else []
         except UnicodeDecodeError:
-            parts = []
-        own += [place.setdefault(p, len(place)) for p in parts]
+            pass
         ends.append(len(own))
+    place = dict.fromkeys(own)
+    place = dict(zip(place, range(len(place)), strict=True))
+    units = np.fromiter(map(place.__getitem__, own), np.int32, len(own))
+    del own
     made = align(list(place), tokenizers)
-    units = np.array(own, np.int32)
     rows, begin = [], 0
     for (doc_id, _), end in zip(docs, ends, strict=True):
         mine = units[begin:end]
