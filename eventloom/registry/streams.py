@@ -12,7 +12,7 @@ from eventloom.registry import ev_sql, query, r6
 from eventloom.session import prepare, work_folder
 from eventloom.sources.canonical import RAW_EVENTS, alert_rules, events, redelivered, to_events
 from eventloom.sources.store import write_by_day
-from eventloom.streaming import jobs
+from eventloom.streaming import jobs, lifecycle
 from eventloom.streaming.tables import compact, create_tables, read_table, stored_counts, write_hours
 
 
@@ -56,11 +56,31 @@ def _payload_stream(spark, folder):
     return ev.withColumn("source", source).select(text.alias("payload"), "received_at")
 
 
+def data_clock(spark, folder):
+    """The present moved back to the end of the shared events: an arrival that never falls, in their own time."""
+    last = events(spark, folder).agg(F.max(F.unix_seconds(F.col("timestamp").cast("timestamp")))).first()[0] or 0
+    ahead = int(dt.datetime.now(dt.timezone.utc).timestamp()) - last
+    return F.current_timestamp() - F.make_dt_interval(secs=F.lit(ahead - 1))
+
+
 @query("a11_stream_processing", ev_sql("SELECT * FROM counts", "counts"))
 def a11(spark, folder):
+    """Events of the last forty days: the state alone tells copies, no stored event is read."""
     root = _root(spark, "processing", "events", "counts")
-    sent = event_stream(spark, folder)
-    jobs.start_processing(redelivered(sent), root, f"{root}/checkpoint").awaitTermination()
+    sent = redelivered(event_stream(spark, folder))
+    clock = data_clock(spark, folder)
+    jobs.start_processing(sent, root, f"{root}/checkpoint", horizon="40 days", arrived=clock).awaitTermination()
+    return stored_counts(spark, root).drop("event_date")
+
+
+@query("a11_old_events", ev_sql("SELECT * FROM counts", "counts"))
+def a11_old(spark, folder):
+    """Twice the same events, all older than the state reaches: the second time none is stored."""
+    root = _root(spark, "old", "events", "counts")
+    for run in range(2):
+        sent = redelivered(event_stream(spark, folder))
+        jobs.start_processing(sent, root, f"{root}/checkpoint-{run}").awaitTermination()
+        compact(spark, root, "events", dt.date(2024, 2, 1))
     return stored_counts(spark, root).drop("event_date")
 
 
@@ -135,21 +155,30 @@ def c1_stream(spark, folder):
     return jobs.running_counts(spark, root)
 
 
-def _in_order(spark, folder, root, files=20):
-    """The shared events as a stream of files in the order of time, one a micro-batch."""
-    ev = stored_form(events(spark, folder))
-    slot = F.expr(f"(day(timestamp) - 1) * {files} div 31")
-    ev.withColumn("step", slot).repartition("step").sortWithinPartitions("step").write.partitionBy("step").parquet(f"{root}/sent")
-    stream = spark.readStream.schema(S.EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-    return stream.parquet(f"{root}/sent")
+def _by_days(spark, folder, root, run, days=5):
+    """The shared events in the order of time, `days` of them a step; `run` drains the stream after each step.
+
+    A step is written by as many tasks as its rows ask for, and read whole: tasks don't grow with the table.
+    """
+    ev = stored_form(events(spark, folder)).withColumn("day", F.to_date("timestamp"))
+    ev.hint("rebalance", "day").write.partitionBy("day").parquet(f"{root}/by-day")
+    stored = spark.read.parquet(f"{root}/by-day")
+    found = sorted(r["day"] for r in stored.select("day").distinct().collect())
+    for i in range(0, len(found), days):
+        part = stored.where(F.col("day").isin(found[i : i + days])).select(*S.EVENT_COLUMNS)
+        part.write.mode("append").parquet(f"{root}/sent")
+        run(spark.readStream.schema(S.EVENT).parquet(f"{root}/sent"))
 
 
 @query("a11_compacted", ev_sql("SELECT *, 'events' AS part FROM counts UNION ALL SELECT *, 'counts' FROM counts", "counts"))
 def a11_compacted(spark, folder):
-    """Twenty micro-batches and redelivered events, counted again from the tables after compaction."""
+    """Events in steps and redelivered ones, counted again from the tables after compaction."""
     root = _root(spark, "compacted", "events", "counts")
-    sent = _in_order(spark, folder, root)
-    jobs.start_processing(redelivered(sent), root, f"{root}/checkpoint").awaitTermination()
+
+    def run(sent):
+        jobs.start_processing(redelivered(sent), root, f"{root}/checkpoint").awaitTermination()
+
+    _by_days(spark, folder, root, run)
     for name in ("events", "counts"):
         compact(spark, root, name, dt.date(2024, 1, 25))
     again = minute_counts(read_table(spark, root, "events")).withColumn("part", F.lit("events"))
@@ -175,22 +204,15 @@ def c2_stored(spark, folder):
     return read_table(spark, root, "hour_counts").drop("event_date")
 
 
-@query(
-    "c4_merge_touched_days",
-    ev_sql(
-        """SELECT date_trunc('minute', "timestamp") AS bucket, source, event_type, severity, count(*) AS count FROM ev
-WHERE seq % 2 = 0 OR CAST("timestamp" AS DATE) IN (DATE '2024-01-05', DATE '2024-01-09') GROUP BY ALL"""
-    ),
-)
+@query("c4_merge_touched_days", ev_sql("SELECT * FROM counts", "counts"))
 def c4_days(spark, folder):
-    """A stored table of counts of which two days get a delta; the other days stay as they lie."""
+    """A stored table of counts that lacks half of two days, which a delta adds; the other days stay as they lie."""
     path = work_folder(spark, "merged")
     ev = events(spark, folder)
-    even = F.col("seq") % 2 == 0
-    write_by_day(minute_counts(ev.where(even)), path, "bucket", sort=("source", "bucket"))
+    later = (F.col("seq") % 2 == 1) & F.dayofmonth("timestamp").isin(5, 9)
+    write_by_day(minute_counts(ev.where(~later)), path, "bucket", sort=("source", "bucket"))
     stored = spark.read.parquet(path)
-    delta = minute_counts(ev.where(~even & F.dayofmonth("timestamp").isin(5, 9)))
-    write_by_day(merge_days(stored, delta), path, "bucket", sort=("source", "bucket"))
+    write_by_day(merge_days(stored, minute_counts(ev.where(later))), path, "bucket", sort=("source", "bucket"))
     return spark.read.parquet(path).drop("event_date")
 
 
@@ -235,11 +257,44 @@ def e10_stream(spark, folder):
     """Every full minute of the month evaluated, with cooldowns that span micro-batches."""
     root = _root(spark, "alerting", "events", "counts", "alert_events", "evaluations")
     rules = write_rules(alert_rules(events(spark, folder)), root)
-    jobs.start_alerting(_in_order(spark, folder, root, files=3), rules, root, f"{root}/checkpoint").awaitTermination()
+
+    def run(sent):
+        jobs.start_alerting(sent, rules, root, f"{root}/checkpoint").awaitTermination()
+
+    _by_days(spark, folder, root, run, days=10)
     fired = read_table(spark, root, "alert_events")
     return fired.select("rule_id", "fired_at", r6("value").alias("value"))
 
 
+# Spans of consecutive breaching hours; those that nothing after the watermark can prolong are resolved.
+LIFECYCLE_SQL = """hours AS (SELECT source, date_trunc('hour', "timestamp") AS win, count(*) AS errors FROM ev
+  WHERE severity IN ('error','fatal') GROUP BY ALL HAVING count(*) >= 2),
+numbered AS (SELECT *, sum(st) OVER (PARTITION BY source ORDER BY win) AS span FROM (
+  SELECT *, CASE WHEN lag(win) OVER (PARTITION BY source ORDER BY win) + INTERVAL 1 HOUR >= win THEN 0 ELSE 1 END AS st FROM hours)),
+spans AS (SELECT source, min(win) AS fired_at, max(win) + INTERVAL 1 HOUR AS resolved_at, CAST(sum(errors) AS BIGINT) AS errors
+  FROM numbered WHERE win + INTERVAL 1 HOUR <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM ev) GROUP BY source, span),
+settled AS (SELECT *, resolved_at + INTERVAL 1 HOUR <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM ev) AS done FROM spans)"""
+
+
+@query(
+    "l11_stream_lifecycle",
+    ev_sql(
+        """SELECT source, fired_at, CASE WHEN done THEN 'resolved' ELSE 'firing' END AS status,
+  CASE WHEN done THEN resolved_at END AS resolved_at, CASE WHEN done THEN errors END AS errors FROM settled""",
+        LIFECYCLE_SQL,
+    ),
+)
+def l11_stream(spark, folder):
+    """Alerts on two errors an hour, fired and resolved by a keyed state over micro-batches and restarts."""
+    root = _root(spark, "lifecycle", "lifecycle")
+
+    def run(sent):
+        lifecycle.start_lifecycle(sent, root, f"{root}/checkpoint", threshold=2).awaitTermination()
+
+    _by_days(spark, folder, root, run)
+    return lifecycle.lifecycle_spans(spark, root)
+
+
 @query("b9_live_feed", ev_sql("""SELECT event_id, source, "timestamp" FROM ev WHERE severity = 'error'"""))
 def b9(spark, folder):
     root = work_folder(spark, "feed")

@@ -13,6 +13,7 @@ from eventloom.functions.timeops import as_datetime, epoch_seconds, ts_lit
 from eventloom.operators import alerts, dlq, ingest
 from eventloom.operators.rollup import minute_counts
 from eventloom.plans.pruning import between
+from eventloom.streaming.state import keep_state
 from eventloom.streaming.tables import (
     read_table,
     store_events,
@@ -40,19 +41,51 @@ def _received(events: DataFrame) -> DataFrame:
     return events.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
 
 
+def _completed(events: DataFrame) -> DataFrame:
+    return ingest.fill_defaults(_received(events), F.col("received_at"))
+
+
+def once_within(events: DataFrame, horizon: str, arrived: Column | None = None) -> DataFrame:
+    """Each event key once within `horizon` of its arrival, by keyed state; adds `_arrived` and `_unsure`.
+
+    The watermark runs on the arrival, by default the clock of the micro-batch, which a repeated batch
+    keeps and which never falls: no event is late to it, whatever its own time, so none is dropped for that. An event that
+    happened within `horizon` before this arrival cannot have come before the state reaches back to, and
+    is new for sure. Older ones are `_unsure` and must be looked up among the stored events; so are those dated ahead
+    of their arrival. A given `arrived` must not fall by more than `horizon` from batch to batch.
+    """
+    keep_state(events.sparkSession)
+    arrived = F.current_timestamp() if arrived is None else arrived
+    once = (
+        events.withColumn("_arrived", arrived.cast("timestamp"))
+        .withWatermark("_arrived", horizon)
+        .dropDuplicatesWithinWatermark(S.EVENT_KEY)
+    )
+    reach = F.col("_arrived") - F.expr(f"interval {horizon}")
+    recent = (F.col("timestamp") > reach) & (F.col("timestamp") <= F.col("_arrived"))
+    return once.withColumn("_unsure", ~recent)
+
+
 def start_processing(
-    events: DataFrame, root: str, checkpoint: str, interval: str | None = None
+    events: DataFrame,
+    root: str,
+    checkpoint: str,
+    interval: str | None = None,
+    horizon: str = "1 hour",
+    arrived: Column | None = None,
 ) -> StreamingQuery:
     """Complete, deduplicate, store and count a stream of events that already have ids.
 
-    The checkpoint takes the place of acknowledgements: a batch is done once its tables
-    are written, and a batch that is run again replaces what it wrote.
+    Copies that come within `horizon` are dropped by the query's state (`once_within`), and only older events are
+    looked up in the days they belong to. The checkpoint takes the place of acknowledgements: a batch is
+    done once its tables are written, and a batch that is run again replaces what it wrote. Checkpoint and tables
+    belong together: with a new checkpoint start once with the horizon "0 seconds", so that every event is looked up.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        store_events(ingest.fill_defaults(batch, F.col("received_at")), root, batch_id)
+        store_events(batch, root, batch_id, F.col("_unsure"))
 
-    return _start(_received(events), step, checkpoint, interval)
+    return _start(once_within(_completed(events), horizon, arrived), step, checkpoint, interval)
 
 
 def start_ingest(
@@ -165,14 +198,17 @@ def start_alerting(
     root: str,
     checkpoint: str,
     interval: str | None = None,
+    horizon: str = "1 hour",
+    arrived: Column | None = None,
 ) -> StreamingQuery:
     """Store each batch of events, then evaluate the rules at every full minute up to its newest.
 
-    Minutes follow on those evaluated before; late events do not change what was decided then.
+    Events are deduplicated as by `start_processing`. Minutes follow on those evaluated before; late events do not
+    change what was decided then.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        store_events(ingest.fill_defaults(batch, F.col("received_at")), root, batch_id)
+        store_events(batch, root, batch_id, F.col("_unsure"))
         spark = batch.sparkSession
         mine = read_table(spark, root, "counts").where(F.col("batch_id") == batch_id)
         seconds = epoch_seconds(F.col("bucket"))
@@ -180,7 +216,7 @@ def start_alerting(
         if span.newest is not None:
             evaluate_until(rules, root, batch_id, _moment(span.newest), since=_moment(span.oldest))
 
-    return _start(_received(events), step, checkpoint, interval)
+    return _start(once_within(_completed(events), horizon, arrived), step, checkpoint, interval)
 
 
 def _moment(seconds: int) -> datetime:

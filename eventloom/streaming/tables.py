@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import date, datetime, time, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions.timeops import as_datetime
-from eventloom.operators.ingest import append_new, on_touched_days, touched_span
+from eventloom.operators.ingest import append_new
 from eventloom.operators.rollup import RETENTION_DAYS, coarser, minute_counts
 from eventloom.plans.pruning import between
 from eventloom.schemas import COUNT_KEY, EVENT, EVENT_COLUMNS
@@ -54,6 +54,13 @@ _HANDLED = [
     T.StructField("action", T.StringType()),
     T.StructField("at", T.TimestampType()),
 ]
+_LIFECYCLE = [
+    T.StructField("source", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("fired_at", T.TimestampType()),
+    T.StructField("resolved_at", T.TimestampType()),
+    T.StructField("errors", T.LongType()),
+]
 SCHEMAS = {
     "events": T.StructType([*EVENT.fields, *_PARTS]),
     "counts": T.StructType([*_COUNTS, *_PARTS]),
@@ -62,6 +69,7 @@ SCHEMAS = {
     "rejected": T.StructType([*_REJECTED, *_PARTS]),
     "quarantine": T.StructType([*_QUARANTINE, *_PARTS]),
     "handled": T.StructType([*_HANDLED, *_PARTS]),
+    "lifecycle": T.StructType([*_LIFECYCLE, *_PARTS]),
     "evaluations": T.StructType([T.StructField("until", T.TimestampType()), *_PARTS]),
     # Whole days replace each other here, so there are no batches.
     "hour_counts": T.StructType([*_COUNTS, _PARTS[0]]),
@@ -92,26 +100,44 @@ def write_batch(df: DataFrame, root: str, name: str, batch_id: int, column: str)
     write_by_day(tagged.select(*columns), f"{root}/{name}", column, ["batch_id"], sort)
 
 
-def store_events(rows: DataFrame, root: str, batch_id: int) -> None:
-    """Append the rows not stored by other batches, then count exactly those.
+def read_days(spark: SparkSession, root: str, name: str, days: Iterable[date]) -> DataFrame:
+    """A table's rows of the given days. Only the folders of these days are listed and read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f"{root}/{name}/event_date={day}" for day in sorted(set(days))]
+    there = [f for f in folders if fs.exists(path(f))]
+    if not there:
+        return spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).option("basePath", f"{root}/{name}").parquet(*there)
+
+
+def store_events(rows: DataFrame, root: str, batch_id: int, unsure: Column | None = None) -> None:
+    """Append the rows not stored by other batches, and count exactly those.
 
-    Counting what was written, not what arrived, keeps redelivered events from counting
-    twice, and late ones count whenever they come: counts are per-batch deltas.
+    Counting what is stored, not what arrived, keeps redelivered events from counting twice, and late
+    ones count whenever they come: counts are per-batch deltas. Only the stored days of rows that are
+    `unsure` (by default all) are looked at, day by day, so that one event of long ago costs one folder. The others
+    must be known to be new, each once.
     """
     spark = rows.sparkSession
-    rows = rows.select(*EVENT_COLUMNS).persist()
+    unsure = F.lit(True) if unsure is None else unsure
+    rows = rows.select(*EVENT_COLUMNS, unsure.alias("_unsure")).persist()
     try:
-        span = touched_span(rows)
-        if span is None:
+        # Two rows per calendar day at most.
+        found = rows.select("_unsure", F.to_date("timestamp").alias("day")).distinct().collect()
+        if not found:
             return
-        others = read_table(spark, root, "events").where(F.col("batch_id") != batch_id)
-        write_batch(append_new(rows, on_touched_days(others, rows, span=span)), root, "events", batch_id, "timestamp")
+        days = [r["day"] for r in found if r["_unsure"]]
+        others = read_days(spark, root, "events", days).where(F.col("batch_id") != batch_id)
+        checked = append_new(rows.where("_unsure").drop("_unsure"), others)
+        fresh = (rows.where("not _unsure").drop("_unsure").unionByName(checked) if days else rows.drop("_unsure")).persist()
+        try:
+            write_batch(fresh, root, "events", batch_id, "timestamp")
+            write_batch(minute_counts(fresh), root, "counts", batch_id, "bucket")
+        finally:
+            fresh.unpersist()
     finally:
         rows.unpersist()
-    written = read_table(spark, root, "events").where(
-        F.col("event_date").between(*map(F.lit, span)) & (F.col("batch_id") == batch_id)
-    )
-    write_batch(minute_counts(written), root, "counts", batch_id, "bucket")
 
 
 def stored_counts(spark: SparkSession, root: str) -> DataFrame:

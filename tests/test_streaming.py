@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.schemas import EVENT
-from eventloom.streaming import jobs
+from eventloom.streaming import jobs, lifecycle, tables
 from eventloom.streaming.tables import compact, create_tables, expire, read_table, store_events, stored_counts
 
 NOW = dt.datetime(2024, 1, 2, 12)
@@ -183,3 +183,76 @@ def test_letters_are_retried_and_purged(spark, root):
     assert [(r.stream, r.attempts) for r in jobs.open_letters(spark, root).collect()] == [("rejected", 1)]
     with pytest.raises(ValueError, match="unknown action"):
         jobs.handle_letters(letters, root, -3, "lost", later)
+
+
+def _drain(stream, root, checkpoint, **how):
+    jobs.start_processing(stream, root, checkpoint, **how).awaitTermination()
+
+
+def test_recent_events_are_deduplicated_without_reading_stored_ones(spark, root, tmp_path, monkeypatch):
+    """Live events: copies within a batch, across batches and across restarts; no stored day is looked at."""
+    looked = []
+    monkeypatch.setattr(tables, "read_days", lambda s, r, n, days, read=tables.read_days: read(s, r, n, looked.append(list(days)) or looked[-1]))
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    folder = f"{tmp_path}/live"
+    for step in range(3):
+        rows = [(f"{step}-{i}", "info", now - dt.timedelta(seconds=i)) for i in range(20)]
+        rows += [("again", "error", now - dt.timedelta(minutes=3)), *rows[:4]]
+        event_frame(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        _drain(spark.readStream.schema(EVENT).parquet(folder), root, f"{tmp_path}/cp")
+    assert totals(spark, root) == {"info": 60, "error": 1}
+    assert looked and not any(looked)
+
+
+def test_old_and_future_events_are_looked_up_on_their_days_alone(spark, root, tmp_path, monkeypatch):
+    """An event of 1970 costs the folder of that day; nothing is lost or doubled, with a fresh state either."""
+    looked = []
+    monkeypatch.setattr(tables, "read_days", lambda s, r, n, days, read=tables.read_days: read(s, r, n, looked.append(sorted(days)) or looked[-1]))
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    old, ahead = dt.datetime(1970, 1, 1, 5), now + dt.timedelta(days=3)
+    rows = [("a", "info", now), ("b", "info", old), ("c", "warn", NOW), ("d", "warn", ahead), ("e", "fatal", now)]
+    event_frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    for run, horizon in enumerate(["1 hour", "0 seconds", "0 seconds"]):
+        _drain(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), root, f"{tmp_path}/cp{run}", horizon=horizon)
+    assert totals(spark, root) == {"info": 2, "warn": 2, "fatal": 1}
+    assert looked[0] == sorted({old.date(), NOW.date(), ahead.date()})
+    assert all(set(days) == {old.date(), NOW.date(), ahead.date(), now.date()} for days in looked[1:])
+
+
+def test_a_batch_that_runs_again_keeps_sure_and_unsure_rows(spark, root):
+    rows = event_frame(spark, [("a", "info", NOW), ("b", "error", NOW)])
+    for _ in range(2):
+        store_events(rows, root, 5, F.col("event_id") == "a")
+    store_events(event_frame(spark, [("a", "info", NOW), ("x", "warn", NOW)]), root, 6, F.lit(True))
+    assert totals(spark, root) == {"info": 1, "error": 1, "warn": 1}
+    store_events(rows.limit(0), root, 7)
+    assert read_table(spark, root, "events").count() == 3
+
+
+def test_lifecycle_resolves_on_silence_and_across_restarts(spark, root, tmp_path):
+    """Fires when a window breaches, goes on over breaching windows, resolves by timer, late rows don't reopen it."""
+    hour = dt.timedelta(hours=1)
+    steps = [
+        [(0, "error"), (1, "fatal"), (2, "info")],  # a breach in the first hour
+        [(60, "error"), (61, "error"), (62, "info")],  # which the second prolongs
+        [(250, "info")],  # only calm events move the watermark on
+        [(3, "error"), (4, "error"), (300, "error"), (301, "error")],  # two too late; a new breach
+        [(315, "info")],
+    ]
+    seen = []
+    for k, step in enumerate(steps):
+        rows = [(f"{k}-{i}", severity, NOW + dt.timedelta(minutes=m)) for i, (m, severity) in enumerate(step)]
+        event_frame(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+        lifecycle.start_lifecycle(stream, root, f"{tmp_path}/cp", threshold=2, delay="5 minutes").awaitTermination()
+        seen.append(sorted((r["fired_at"], r["status"], r["resolved_at"], r["errors"]) for r in lifecycle.lifecycle_spans(spark, root).collect()))
+    assert seen[0] == []
+    assert seen[1] == [] or seen[1][0][:2] == (NOW, "firing")
+    assert seen[2] == [(NOW, "resolved", NOW + 2 * hour, 4)]
+    assert seen[3] == seen[2]
+    event_frame(spark, [("z", "info", NOW + dt.timedelta(minutes=366))]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+    lifecycle.start_lifecycle(stream, root, f"{tmp_path}/cp", threshold=2, delay="5 minutes").awaitTermination()
+    got = lifecycle.lifecycle_spans(spark, root).collect()
+    assert sorted(r["status"] for r in got) == ["firing", "resolved"]
+    assert max(r["fired_at"] for r in got) == NOW + 5 * hour
