@@ -6,8 +6,8 @@ tokens of both end is looked for from the middle of an interval outwards, each p
 halves go on in the same way, and an interval without such an offset is a group. All intervals of
 a chunk take their probes together.
 
-A pair of ids is counted over the corpus by a shuffle of chunk counts; each chunk gets the counts of
-its own pairs back.
+A pair of ids is counted over the corpus by a shuffle of chunk counts. Each chunk gets the counts of its own pairs
+back by a second shuffle, or all counts if these are few enough for every task.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import arrow_limits, write_table
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 ENCODE = 4096
+BROADCAST_ROWS = 1_000_000
 # Files of the two tokenizers.
 BYTE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -348,6 +349,17 @@ def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _ALIGNED)
 
 
+def _told(known: pa.Table) -> Callable:
+    """`_summed` where every task has the counts of all pairs."""
+    known = known.sort_by("pair")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _summed(pa.Table.from_batches([batch]), known).to_batches()
+
+    return run
+
+
 def align_tokenizers(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str | None = None,
     chunk_bytes: int = CHUNK_BYTES,
@@ -380,6 +392,9 @@ def align_tokenizers(
     known = counts.withColumn("b", b_id).join(highest, "b").select(
         "pair", "count", (F.col("count") == F.col("highest")).cast("bigint").alias("best")
     )
+    known = write_table(known, "pair-counts")
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return chunks.mapInArrow(_told(known.toArrow()), ALIGNED)
     marks = each.select(F.col("chunk").alias("at"), "pair").join(known, "pair").select("at", "pair", "count", "best")
     return chunks.groupBy("chunk").cogroup(marks.groupBy("at")).applyInArrow(_summed, ALIGNED)
 

@@ -88,10 +88,12 @@ def test_shared_cuts():
     assert alignment.shared_cuts(np.empty(0, np.int64), np.empty(0, np.int64)).tolist() == []
 
 
-def test_alignment_equals_brute_force(spark, corpus, tokenizers):
+@pytest.mark.parametrize("rows_told", [alignment.BROADCAST_ROWS, 10])
+def test_alignment_equals_brute_force(spark, corpus, tokenizers, monkeypatch, rows_told):
     """Units put together equal whole texts encoded at once, counts are those of the whole table."""
     rows = [(i, t) for i, t in corpus if len(t or "") < 3000][:150] + [(2000 + i, t) for i, t in enumerate(TEXTS)]
     rows += [(3000, " ".join(TEXTS) * 3), (3001, None), (3002, "")]
+    monkeypatch.setattr(alignment, "BROADCAST_ROWS", rows_told)
     want = brute.aligned(rows, tokenizers)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pair", F.lit(1)).repartition(3)
     for size in (alignment.CHUNK_BYTES, 3000):
