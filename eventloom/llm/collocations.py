@@ -1,9 +1,10 @@
 """Phrase collocations per language, counted by Rabin-Karp fingerprints.
 
-Texts are turned once into chunks of word numbers. Prefix polynomials over them give the fingerprint
-of every n-gram; equal ones are counted in the chunk, and the shuffle adds the counts up and keeps a pointer, the
-first chunk that holds one. Only there the phrases of frequent fingerprints are written out. Every chunk then
-compares its own occurrences with these texts, and what differs is taken off and counted by text.
+Texts are turned once into chunks of word numbers. Prefix polynomials over bytes name the words, and over words
+the n-grams; equal fingerprints are counted in the chunk, the shuffle adds the counts up and keeps a pointer, the
+first chunk that holds one. Only there frequent phrases are written out, and every chunk compares its own
+occurrences with them; what differs is taken off and counted by itself. No two words of the corpus may share
+a fingerprint: all are compared by text, and if two do, the words are named anew.
 
 A phrase of `least` occurrences consists of words and of pairs of words with at least as many. So
 words are counted first, pairs of frequent words next, and longer phrases where every pair is frequent.
@@ -11,7 +12,9 @@ words are counted first, pairs of frequent words next, and longer phrases where
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 STOPS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
-CHUNKS = "chunk bigint, ids binary, fps binary, words array<struct<lang: string, word: binary, fp: bigint, n: bigint>>"
+WORDS = "chunk bigint, ids binary, fps binary, lang string, word binary, fp bigint, n bigint"
+CHUNKS = "chunk bigint, ids binary, fps binary"
 COUNTS = "chunk bigint, fp bigint, n bigint"
-PHRASES = "fp bigint, lang string, phrase binary, size int, n bigint"
+PHRASES = "fp bigint, size int, words array<bigint>, n bigint"
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)] = 1
@@ -58,10 +62,27 @@ def _exact(langs: np.ndarray, parts: list[bytes]) -> np.ndarray:
     )
 
 
-def numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
-    """Word numbers of the texts in their order, -1 between pieces; fingerprint and (lang, word, fp, n) of each number."""
-    data = b"\n".join(texts) + b"\n"
-    raw = data.translate(LOWER)
+def _named(langs: list[str], words: list[bytes], seed: int) -> np.ndarray:
+    digests = (
+        hashlib.blake2b(word, digest_size=8, key=f"{seed}:{lang}".encode()[:64]).digest()
+        for lang, word in zip(langs, words, strict=True)
+    )
+    return np.frombuffer(b"".join(digests), np.uint64)
+
+
+class Numbered(NamedTuple):
+    """Word numbers of texts in their order, -1 between pieces, and fingerprint, language, word and count of each number."""
+
+    ids: np.ndarray
+    fps: np.ndarray
+    langs: list[str]
+    words: list[bytes]
+    n: np.ndarray
+
+
+def numbered(texts: list[bytes], langs: list[str], seed: int = 0) -> Numbered:
+    """With a `seed` words are named by a keyed hash, for the case that the polynomials name two of them alike."""
+    raw = (b"\n".join(texts) + b"\n").translate(LOWER)
     data = np.frombuffer(raw, np.uint8)
     kind = _KIND[data]
     word = np.concatenate(([False], kind == 0, [False]))
@@ -77,17 +98,16 @@ def numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarr
     _, lead, ids, n = np.unique(fps, return_index=True, return_inverse=True, return_counts=True)
     at = lead[ids]
     size = end - first
-    same = (size == size[at]).all() and (lang == lang[at]).all()
+    same = not seed and (size == size[at]).all() and (lang == lang[at]).all()
     if not (same and rolling.same_ranges(data, first, first[at], size)):
         ids = _exact(lang, [raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)])
         _, lead, n = np.unique(ids, return_index=True, return_counts=True)
     piece = np.cumsum(kind == 2)[first]
     breaks = np.flatnonzero(piece[1:] != piece[:-1]) + 1
-    ids = np.insert(ids.astype(np.int32), breaks, -1)
-    words = pa.array([raw[a:b] for a, b in zip(first[lead].tolist(), end[lead].tolist(), strict=True)], pa.binary())
-    langs_of = pa.array(names, pa.string()).take(pa.array(lang[lead], pa.int64()))
-    columns = [langs_of, words, pa.array(fps[lead].view(np.int64)), pa.array(n, pa.int64())]
-    return ids, fps[lead], pa.StructArray.from_arrays(columns, fields=list(_WORD))
+    words = [raw[a:b] for a, b in zip(first[lead].tolist(), end[lead].tolist(), strict=True)]
+    of_words = [names[i] for i in lang[lead].tolist()]
+    named = _named(of_words, words, seed) if seed else fps[lead]
+    return Numbered(np.insert(ids.astype(np.int32), breaks, -1), named, of_words, words, n)
 
 
 def _parts(text: bytes, limit: int) -> Iterator[bytes]:
@@ -102,34 +122,43 @@ def _parts(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[begin:] if begin else text
 
 
-_WORD = pa.struct([("lang", pa.string()), ("word", pa.binary()), ("fp", pa.int64()), ("n", pa.int64())])
-_CHUNK = pa.schema(
-    [("chunk", pa.int64()), ("ids", pa.binary()), ("fps", pa.binary()), ("words", pa.list_(_WORD))]
-)
-Chunk = tuple[int, np.ndarray, np.ndarray, pa.StructArray]
+_CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("fps", pa.binary())])
+_OF_WORD = [("lang", pa.string()), ("word", pa.binary()), ("fp", pa.int64()), ("n", pa.int64())]
+Chunk = tuple[int, np.ndarray, np.ndarray]
 
 
 def _table(chunks: list[Chunk]) -> pa.Table:
-    offsets = np.cumsum([0] + [len(words) for *_, words in chunks]).astype(np.int32)
-    structs = [words for *_, words in chunks] or [pa.array([], _WORD)]
     columns = [
         pa.array([chunk for chunk, *_ in chunks], pa.int64()),
-        pa.array([ids.astype(np.int32).tobytes() for _, ids, *_ in chunks], pa.binary()),
-        pa.array([fps.tobytes() for _, _, fps, _ in chunks], pa.binary()),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(structs)),
+        pa.array([ids.astype(np.int32).tobytes() for _, ids, _ in chunks], pa.binary()),
+        pa.array([fps.tobytes() for *_, fps in chunks], pa.binary()),
     ]
     return pa.Table.from_arrays(columns, schema=_CHUNK)
 
 
 def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[Chunk]:
-    names = ("chunk", "ids", "fps", "words")
-    for chunk, ids, fps, words in zip(*(table.column(c) for c in names), strict=True):
-        yield (
-            chunk.as_py(), np.frombuffer(ids.as_py(), np.int32), np.frombuffer(fps.as_py(), np.uint64), words.values
-        )
+    for chunk, ids, fps in zip(*(table.column(c) for c in ("chunk", "ids", "fps")), strict=True):
+        yield chunk.as_py(), np.frombuffer(ids.as_py(), np.int32), np.frombuffer(fps.as_py(), np.uint64)
+
+
+def _both(chunk: int, found: Numbered) -> Iterator[pa.RecordBatch]:
+    """A row of the chunk, then one for each of its words."""
+    names = [*_CHUNK.names, *(name for name, _ in _OF_WORD)]
+    own = _table([(chunk, found.ids, found.fps)]).to_batches()[0]
+    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.nulls(1, kind) for _, kind in _OF_WORD)], names=names)
+    for i in range(0, len(found.words), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        words = [
+            pa.array(found.langs[part], pa.string()), pa.array(found.words[part], pa.binary()),
+            pa.array(found.fps[part].view(np.int64)), pa.array(found.n[part].astype(np.int64)),
+        ]
+        n = len(words[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, chunk, np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *words], names=names
+        )
 
 
-def _chunked(chunk_bytes: int) -> Callable:
+def _chunked(chunk_bytes: int, seed: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         texts, langs, size = [], [], 0
@@ -140,10 +169,10 @@ def _chunked(chunk_bytes: int) -> Callable:
                     langs.append(lang)
                     size += len(part)
                     if size >= chunk_bytes:
-                        yield from _table([(number, *numbered(texts, langs))]).to_batches()
+                        yield from _both(number, numbered(texts, langs, seed))
                         texts, langs, size, number = [], [], 0, number + 1
         if texts:
-            yield from _table([(number, *numbered(texts, langs))]).to_batches()
+            yield from _both(number, numbered(texts, langs, seed))
 
     return run
 
@@ -159,14 +188,14 @@ def grams(ids: np.ndarray, fps: np.ndarray, size: int, bits: int = BITS) -> tupl
     return at, rolling.mixed(rolling.range_hashes(values, at, at + size), size) >> np.uint64(64 - bits)
 
 
-def _kept(chunk: int, ids: np.ndarray, use: np.ndarray, fps: np.ndarray, words: pa.StructArray) -> Chunk:
+def _kept(chunk: int, ids: np.ndarray, use: np.ndarray, fps: np.ndarray) -> Chunk:
     """The chunk with the words under `use` (breaks elsewhere), numbered anew."""
     ids = np.where(use, ids, -1)
     ids = ids[np.append(True, (ids[1:] >= 0) | (ids[:-1] >= 0))] if len(ids) else ids
     left = np.unique(ids[ids >= 0])
-    new = np.full(len(words) + 1, -1, np.int32)
+    new = np.full(len(fps) + 1, -1, np.int32)
     new[left] = np.arange(len(left), dtype=np.int32)
-    return chunk, new[ids], fps[left], words.take(pa.array(left, pa.int32()))
+    return chunk, new[ids], fps[left]
 
 
 def _fps(table: pa.Table) -> np.ndarray:
@@ -176,9 +205,9 @@ def _fps(table: pa.Table) -> np.ndarray:
 def _keep_words(left: pa.Table, right: pa.Table) -> pa.Table:
     """Chunks without their rare words."""
     out, good = [], _fps(right)
-    for chunk, ids, fps, words in _rows(left):
+    for chunk, ids, fps in _rows(left):
         known = np.append(np.isin(fps, good), False)
-        out.append(_kept(chunk, ids, known[ids] & (ids >= 0), fps, words))
+        out.append(_kept(chunk, ids, known[ids] & (ids >= 0), fps))
     return _table(out)
 
 
@@ -187,14 +216,14 @@ def _keep_pairs(bits: int) -> Callable:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out, good = [], _fps(right)
-        for chunk, ids, fps, words in _rows(left):
+        for chunk, ids, fps in _rows(left):
             at, pairs = grams(ids, fps, 2, bits)
             joined = np.zeros(len(ids) + 1, bool)
             joined[at[np.isin(pairs, good)]] = True
             use = joined[:-1] | np.append(False, joined[:-2])
             # A pair that is not frequent parts two runs that lie side by side.
             cut = np.flatnonzero(use[:-1] & use[1:] & ~joined[: len(ids) - 1]) + 1
-            out.append(_kept(chunk, np.insert(ids, cut, -1), np.insert(use, cut, False), fps, words))
+            out.append(_kept(chunk, np.insert(ids, cut, -1), np.insert(use, cut, False), fps))
         return _table(out)
 
     return run
@@ -205,7 +234,7 @@ def _counted(sizes: range, bits: int) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, ids, values, _ in _rows(batch):
+            for chunk, ids, values in _rows(batch):
                 for size in sizes:
                     fps, n = np.unique(grams(ids, values, size, bits)[1], return_counts=True)
                     for i in range(0, len(fps), 1 << 16):
@@ -231,57 +260,64 @@ def _by_text(ids: np.ndarray, at: np.ndarray, fps: np.ndarray, size: int) -> tup
     return at[lead], fps[lead], n
 
 
-_PHRASE = pa.schema(
-    [
-        ("fp", pa.int64()), ("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()), ("n", pa.int64()),
-    ]
-)
-Spelled = Iterator[tuple[int, str, bytes, int, int]]
+_PHRASE = pa.schema([("fp", pa.int64()), ("size", pa.int32()), ("words", pa.list_(pa.int64())), ("n", pa.int64())])
+Spelled = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _spelled(chunk: Chunk, good: np.ndarray, longest: int, bits: int) -> Spelled:
-    """(fingerprint, language, phrase, size, count) of the chunk's n-grams under the fingerprints."""
-    _, ids, values, words = chunk
-    lang, word = words.field("lang").to_pylist(), words.field("word").to_pylist()
+def _spelled(chunk: Chunk, good: np.ndarray, longest: int, bits: int) -> Iterator[Spelled]:
+    """For each size (size, fingerprints, word fingerprints of each, counts) of the chunk's n-grams in `good`."""
+    _, ids, values = chunk
     for size in range(2, longest + 1):
         at, fps = grams(ids, values, size, bits)
         keep = np.isin(fps, good)
-        if not keep.any():
-            continue
-        places, fps, n = _by_text(ids, at[keep], fps[keep], size)
-        own = ids[places[:, None] + np.arange(size)].tolist()
-        for fp, g, count in zip(fps.view(np.int64).tolist(), own, n.tolist(), strict=True):
-            yield fp, lang[g[0]], b" ".join([word[i] for i in g]), size, count
-
-
-def _phrases(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * len(_PHRASE)
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _PHRASE, strict=True)], schema=_PHRASE)
+        if keep.any():
+            places, fps, n = _by_text(ids, at[keep], fps[keep], size)
+            yield size, fps, values[ids[places[:, None] + np.arange(size)]], n
+
+
+def _phrases(found: Iterable[Spelled]) -> pa.Table:
+    parts = [
+        pa.Table.from_arrays(
+            [
+                pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), size, np.int32)),
+                pa.ListArray.from_arrays(np.arange(len(fps) + 1, dtype=np.int32) * size, words.reshape(-1).view(np.int64)),
+                pa.array(n.astype(np.int64)),
+            ],
+            schema=_PHRASE,
+        )
+        for size, fps, words, n in found
+    ]
+    return pa.concat_tables([_PHRASE.empty_table(), *parts])
 
 
 def _materialise(longest: int, bits: int) -> Callable:
     """The phrases of those fingerprints that point to the chunk."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
         fps, pointer = right.column("fp").to_numpy().view(np.uint64), right.column("pointer").to_numpy()
-        for chunk in _rows(left):
-            out += _spelled(chunk, fps[pointer == chunk[0]], longest, bits)
-        return _phrases(out)
+        return _phrases(x for chunk in _rows(left) for x in _spelled(chunk, fps[pointer == chunk[0]], longest, bits))
 
     return run
 
 
 def _verify(longest: int, bits: int) -> Callable:
-    """Occurrences in the chunk whose text is not that of their fingerprint."""
+    """Occurrences in the chunk that are not the phrase of their fingerprint."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        texts = zip(right.column("lang").to_pylist(), right.column("phrase").to_pylist(), strict=True)
-        known = dict(zip(right.column("fp").to_pylist(), texts, strict=True))
-        good = _fps(right)
+        known = right.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        known, sizes = known[order], right.column("size").to_numpy()[order]
+        texts = np.zeros((len(known), longest), np.uint64)
+        given = right.column("words").combine_chunks()
+        texts[np.arange(longest) < right.column("size").to_numpy()[:, None]] = given.flatten().to_numpy().view(np.uint64)
+        texts = texts[order]
+        out = []
         for chunk in _rows(left):
-            out += [x for x in _spelled(chunk, good, longest, bits) if known[x[0]] != x[1:3]]
+            for size, fps, words, n in _spelled(chunk, known, longest, bits):
+                at = np.searchsorted(known, fps)
+                other = (sizes[at] != size) | (texts[at, :size] != words).any(axis=1)
+                if other.any():
+                    out.append((size, fps[other], words[other], n[other]))
         return _phrases(out)
 
     return run
@@ -326,13 +362,17 @@ def phrase_counts(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
-    chunks = write_table(rows.mapInArrow(_chunked(chunk_bytes), CHUNKS), "phrase-chunks")
-    all_words = chunks.select(F.explode("words").alias("w")).groupBy("w.lang").agg(F.sum("w.n").alias("n"))
-    each = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.*")
-    words = write_table(
-        each.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("fp").alias("fp")).where(F.col("n") >= least),
-        "phrase-words",
-    )
+    seed, alike = 0, True
+    while alike:
+        found = write_table(rows.mapInArrow(_chunked(chunk_bytes, seed), WORDS), "phrase-chunks")
+        each = found.where("word is not null").select("chunk", "lang", "word", "fp", "n")
+        text_of = F.struct("lang", "word")
+        named = each.groupBy("fp").agg(F.sum("n").alias("n"), F.min(text_of).alias("w"), F.max(text_of).alias("v"))
+        words = write_table(named.where((F.col("n") >= least) | (F.col("w") != F.col("v"))), "phrase-words")
+        alike = bool(words.where("w <> v").limit(1).count())
+        seed += 1
+    all_words = each.groupBy("lang").agg(F.sum("n").alias("n"))
+    chunks = found.where("ids is not null").select("chunk", "ids", "fps")
     runs = write_table(_meet(chunks, each, words.select("fp"), _keep_words, CHUNKS), "phrase-runs")
     counts = runs.mapInArrow(_counted(range(2, 3), bits), COUNTS)
     pairs = _frequent(counts, least)
@@ -343,21 +383,30 @@ def phrase_counts(
     counts = runs.mapInArrow(_counted(range(2, longest + 1), bits), COUNTS)
     spelled = _meet(runs, counts, marks.select("fp", "pointer"), _materialise(longest, bits), PHRASES)
     # Should fingerprints of one chunk collide, its least phrase stands for them.
-    named = spelled.groupBy("fp").agg(F.min(F.struct("size", "lang", "phrase")).alias("p")).select("fp", "p.*")
-    named = write_table(named, "phrase-texts")
-    others = _meet(runs, counts, named.select("fp", "lang", "phrase"), _verify(longest, bits), PHRASES)
-    others = write_table(others, "phrase-others")
+    first = spelled.groupBy("fp").agg(F.min(F.struct("size", "words")).alias("p")).select("fp", "p.*")
+    first = write_table(first, "phrase-texts")
+    others = write_table(_meet(runs, counts, first, _verify(longest, bits), PHRASES), "phrase-others")
     taken = others.groupBy("fp").agg(F.sum("n").alias("taken"))
     exact = (
-        named.join(marks.select("fp", "n"), "fp")
+        first.join(marks.select("fp", "n"), "fp")
         .join(taken, "fp", "left")
-        .select("lang", "phrase", "size", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
-        .unionByName(others.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")))
+        .select("size", "words", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
+        .unionByName(others.groupBy("size", "words").agg(F.sum("n").alias("n")))
         .where(F.col("n") >= least)
-        .withColumn("phrase", F.col("phrase").cast("string"))
     )
-    words = words.select("lang", F.col("word").cast("string").alias("phrase"), "n")
-    return words, write_table(exact, "phrases"), all_words
+    known = words.select(
+        "fp", F.col("w.lang").alias("lang"), F.col("w.word").cast("string").alias("phrase"), "n"
+    )
+    return known.drop("fp"), write_table(_texts(exact, known), "phrases"), all_words
+
+
+def _texts(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, size, n) of phrases given by the fingerprints of their words."""
+    each = phrases.select("words", "size", "n", F.posexplode("words").alias("i", "fp"))
+    placed = each.join(words.select("fp", "lang", "phrase"), "fp")
+    spelled = F.transform(F.sort_array(F.collect_list(F.struct("i", "phrase"))), lambda x: x["phrase"])
+    whole = placed.groupBy("words", "size", "n").agg(F.min("lang").alias("lang"), F.array_join(spelled, " ").alias("phrase"))
+    return whole.select("lang", "phrase", "size", "n")
 
 
 def _within(phrases: DataFrame) -> DataFrame:
