@@ -30,6 +30,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 CHUNK_BYTES = 2 << 20
+ROW_WORDS = 1 << 16
 SALTS = 64
 BROADCAST_ROWS = 500_000
 BITS = 64
@@ -141,13 +142,27 @@ def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[Chunk]:
         yield chunk.as_py(), np.frombuffer(ids.as_py(), np.int32), np.frombuffer(fps.as_py(), np.uint64)
 
 
+def _cut(ids: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Word numbers in parts of about `most`, cut where a piece ends."""
+    breaks = np.flatnonzero(ids < 0)
+    begin = 0
+    while len(ids) - begin > most:
+        at = np.searchsorted(breaks, begin + most)
+        if at == len(breaks):
+            break
+        yield ids[begin : breaks[at]]
+        begin = breaks[at] + 1
+    yield ids[begin:]
+
+
 def _both(chunk: int, found: Numbered) -> Iterator[pa.RecordBatch]:
-    """A row of the chunk, then one for each of its words."""
+    """Rows of the chunk, numbered on from `chunk`, none of them large, then one for each of its words."""
     names = [*_CHUNK.names, *(name for name, _ in _OF_WORD)]
-    own = _table([(chunk, found.ids, found.fps)]).to_batches()[0]
-    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.nulls(1, kind) for _, kind in _OF_WORD)], names=names)
-    for i in range(0, len(found.words), 1 << 16):
-        part = slice(i, i + (1 << 16))
+    for k, ids in enumerate(_cut(found.ids, ROW_WORDS)):
+        own = _table([_kept(chunk + k, ids, ids >= 0, found.fps)]).to_batches()[0]
+        yield pa.RecordBatch.from_arrays([*own.columns, *(pa.nulls(1, kind) for _, kind in _OF_WORD)], names=names)
+    for i in range(0, len(found.words), 1 << 14):
+        part = slice(i, i + (1 << 14))
         words = [
             pa.array(found.langs[part], pa.string()), pa.array(found.words[part], pa.binary()),
             pa.array(found.fps[part].view(np.int64)), pa.array(found.n[part].astype(np.int64)),
@@ -160,7 +175,8 @@ def _both(chunk: int, found: Numbered) -> Iterator[pa.RecordBatch]:
 
 def _chunked(chunk_bytes: int, seed: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        # Numbers of rows: a chunk has fewer than bytes.
+        number = TaskContext.get().partitionId() << 40
         texts, langs, size = [], [], 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -170,7 +186,7 @@ def _chunked(chunk_bytes: int, seed: int) -> Callable:
                     size += len(part)
                     if size >= chunk_bytes:
                         yield from _both(number, numbered(texts, langs, seed))
-                        texts, langs, size, number = [], [], 0, number + 1
+                        texts, langs, size, number = [], [], 0, number + size + len(texts)
         if texts:
             yield from _both(number, numbered(texts, langs, seed))
 
@@ -229,6 +245,15 @@ def _keep_pairs(bits: int) -> Callable:
     return run
 
 
+def _own_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, fingerprint) of the words of a chunk."""
+    for batch in batches:
+        for chunk, _, fps in _rows(batch):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(fps), chunk, np.int64)), pa.array(fps.view(np.int64))], names=["chunk", "fp"]
+            )
+
+
 def _counted(sizes: range, bits: int) -> Callable:
     """Fingerprints of a chunk's n-grams, each once with its count."""
 
@@ -373,7 +398,8 @@ def phrase_counts(
         seed += 1
     all_words = each.groupBy("lang").agg(F.sum("n").alias("n"))
     chunks = found.where("ids is not null").select("chunk", "ids", "fps")
-    runs = write_table(_meet(chunks, each, words.select("fp"), _keep_words, CHUNKS), "phrase-runs")
+    of_chunk = chunks.mapInArrow(_own_words, "chunk bigint, fp bigint")
+    runs = write_table(_meet(chunks, of_chunk, words.select("fp"), _keep_words, CHUNKS), "phrase-runs")
     counts = runs.mapInArrow(_counted(range(2, 3), bits), COUNTS)
     pairs = _frequent(counts, least)
     runs = write_table(_meet(runs, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs")

@@ -38,6 +38,13 @@ def test_collocations_equal_brute_force(spark, spoken, least, top):
     assert _mined(df, least=least, top=top, chunk_bytes=600) == want  # many chunks, long texts in parts
 
 
+def test_rows_of_a_chunk_are_cut_between_pieces():
+    ids = np.array([1, 2, -1, 3, 4, 5, 6, -1, 7, -1, 8], np.int32)
+    assert [p.tolist() for p in collocations._cut(ids, 3)] == [[1, 2, -1, 3, 4, 5, 6], [7, -1, 8]]
+    assert [p.tolist() for p in collocations._cut(ids[:2], 1)] == [[1, 2]]
+    assert [p.tolist() for p in collocations._cut(ids[:0], 1)] == [[]]
+
+
 def test_words_are_told_apart(monkeypatch):
     """Equal n-gram fingerprints and equal word fingerprints: counts and numbers still go by text."""
     def spelled(found):
