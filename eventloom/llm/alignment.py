@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import arrow_limits, write_table
 
 CHUNK_BYTES = 2 << 20
+ROW_BYTES = 256 << 10
 ENCODE = 4096
 BROADCAST_ROWS = 1_000_000
 # Files of the two tokenizers.
@@ -253,8 +254,33 @@ _ENCODED = pa.schema(
 )
 
 
-def _encoded(chunk: int, docs: list[tuple[int | None, bytes]], tokenizers: Tokenizers) -> pa.RecordBatch:
-    """One row: the documents as runs of `units`, and what is known of each different unit."""
+def _row(chunk: int, docs: list[tuple], ends: list[int], units: np.ndarray, made: Aligned) -> dict:
+    """A row of documents, `units` in a row cut at `ends`, with what is known of each of their different units."""
+    rows, begin = [], 0
+    for (doc_id, _), end in zip(docs, ends, strict=True):
+        mine = units[begin:end]
+        # Units that are not spelled exactly leave out bytes, so the text isn't spelled exactly either.
+        good = end > begin and bool(made.faithful[mine].all())
+        sha = digest([made.groups[i] for i in mine.tolist()]) if good else ""
+        rows.append({"doc_id": doc_id, "begin": begin, "end": end if good else begin, "groups_sha256": sha})
+        begin = end
+    different, units = np.unique(units, return_inverse=True)
+    starts, n_links = made.offsets[different], made.sizes[different, 3]
+    offsets = _offsets(n_links)
+    pairs, links = np.unique(
+        made.links[np.repeat(starts - offsets[:-1], n_links) + np.arange(offsets[-1])], return_inverse=True
+    )
+    counted = [units[r["begin"] : r["end"]] for r in rows]
+    used = np.bincount(np.concatenate(counted) if counted else units, minlength=len(different))
+    return {
+        "chunk": chunk, "docs": rows, "units": units.astype(np.int32).tobytes(), "offsets": offsets.astype(np.int64).tobytes(),
+        "links": links.astype(np.int32).tobytes(), "sizes": made.sizes[different].tobytes(), "pairs": made.pairs[pairs].tobytes(),
+        "times": np.bincount(links, np.repeat(used, n_links), len(pairs)).astype(np.int64).tobytes(),
+    }
+
+
+def _encoded(chunk: int, docs: list[tuple[int | None, bytes]], tokenizers: Tokenizers) -> Iterator[pa.RecordBatch]:
+    """Units of all documents are aligned together; rows hold some of the documents each, so that none gets large."""
     own: list[str] = []
     ends = []
     for _, text in docs:
@@ -268,27 +294,22 @@ def _encoded(chunk: int, docs: list[tuple[int | None, bytes]], tokenizers: Token
     units = np.fromiter(map(place.__getitem__, own), np.int32, len(own))
     del own
     made = align(list(place), tokenizers)
-    rows, begin = [], 0
-    for (doc_id, _), end in zip(docs, ends, strict=True):
-        mine = units[begin:end]
-        # Units that are not spelled exactly leave out bytes, so the text isn't spelled exactly either.
-        good = end > begin and bool(made.faithful[mine].all())
-        sha = digest([made.groups[i] for i in mine.tolist()]) if good else ""
-        rows.append({"doc_id": doc_id, "begin": begin, "end": end if good else begin, "groups_sha256": sha})
-        begin = end
-    counted = [units[r["begin"] : r["end"]] for r in rows]
-    used = np.bincount(np.concatenate(counted) if counted else units, minlength=len(place))
-    times = np.bincount(made.links, np.repeat(used, np.diff(made.offsets)), len(made.pairs)).astype(np.int64)
-    row = {"chunk": chunk, "docs": rows, "units": units.tobytes()}
-    for name in ("offsets", "links", "sizes", "pairs"):
-        row[name] = getattr(made, name).tobytes()
-    return pa.RecordBatch.from_pylist([row | {"times": times.tobytes()}], _ENCODED)
+    del place
+    first, size = 0, 0
+    for i, (_, text) in enumerate(docs):
+        size += len(text)
+        if size >= ROW_BYTES or i + 1 == len(docs):
+            begin = ends[first - 1] if first else 0
+            row = _row(chunk, docs[first : i + 1], [e - begin for e in ends[first : i + 1]], units[begin : ends[i]], made)
+            yield pa.RecordBatch.from_pylist([row], _ENCODED)
+            chunk, first, size = chunk + 1, i + 1, 0
 
 
 def _encode(files: Files, chunk_bytes: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = None
-        number = TaskContext.get().partitionId() << 32
+        # Numbers of rows: fewer than documents, so never as many as a partition has numbers.
+        number = TaskContext.get().partitionId() << 40
         docs, size = [], 0
         for batch in batches:
             tokenizers = tokenizers or Tokenizers(files)
@@ -297,10 +318,11 @@ def _encode(files: Files, chunk_bytes: int) -> Callable:
                 docs.append((doc_id, text))
                 size += len(text)
                 if size >= chunk_bytes:
-                    yield _encoded(number, docs, tokenizers)
-                    docs, size, number = [], 0, number + 1
+                    yield from _encoded(number, docs, tokenizers)
+                    number += len(docs)
+                    docs, size = [], 0
         if docs:
-            yield _encoded(number, docs, tokenizers)
+            yield from _encoded(number, docs, tokenizers)
 
     return run
 
