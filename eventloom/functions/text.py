@@ -225,28 +225,131 @@ def log_template(column: Column) -> Column:
 
 
 # Common English words that carry no meaning of their own.
-STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "in", "is", "it",
-    "not", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with",
-)
-# Endings taken off in this order, with what takes their place after the kept part.
-ENDINGS = (
-    (r"^(..+)ies$", "y"),
-    (r"^(.+(?:ss|sh|ch|x|z))es$", ""),
-    (r"^(.+[^su])s$", ""),
-    (r"^(.*[aeiouy].+)ing$", ""),
-    (r"^(.*[aeiouy].+)ed$", ""),
-    (r"^(...+)e$", ""),
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it
+    its itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+    have has had having do does did doing a an the and but if or because as until while of at by for with about against
+    between into through during before after above below to from up down in out on off over under again further then once
+    here there when where why how all any both each few more most other some such no nor not only own same so than too very
+    s t can will just don should now""".split()
 )
 
+# What stands in front of an ending, for Porter's conditions: with consonants C and vowels V, a word has the form
+# [C](VC)^m[V]. A y after a vowel or at the beginning is a consonant, written Y here.
+_C, _V = "[^aeiouy]", "[aeiouy]"
+_ANY = ".*"
+_VOWEL = f".*{_V}.*"
+_M1 = f"{_C}*{_V}+{_C}.*"
+_M2 = f"{_C}*{_V}+{_C}+{_V}+{_C}.*"
+# The same if the ending itself begins with the last consonant.
+_M2_HERE = f"{_C}*{_V}+{_C}+{_V}+(?:{_C}.*)?"
+# m = 1 and ending in consonant, vowel, consonant, the last not w, x or y; and all others with m = 1.
+_SHORT = f"{_C}+{_V}[^aeiouywxY]"
+_NOT_SHORT = f"{_C}*{_V}+{_C}{_C}+|{_C}*{_V}{_V}+{_C}|{_V}+{_C}|{_C}*{_V}+[wxY]|{_C}*{_V}+{_C}+{_V}+"
+
+
+class Ending(NamedTuple):
+    """An ending, what must stand in front of it, and what takes its place."""
+
+    ending: str
+    front: str
+    instead: str = ""
+
+    @property
+    def found(self) -> str:
+        return f"^.*{self.ending}$"
+
+    @property
+    def whole(self) -> str:
+        return f"^({self.front}){self.ending}$"
+
+
+def _endings(front: str, pairs: str) -> list[Ending]:
+    return [Ending(ending, front, instead) for ending, _, instead in (p.partition(">") for p in pairs.split())]
+
+
+# The steps of Porter's algorithm. Of each step the first ending that the word has decides, whether or not its
+# condition holds. A plus marks words that lost -ed or -ing until the step after the next.
+STEPS: list[list[Ending]] = [
+    _endings(_ANY, "sses>ss ies>i ss>ss s>"),
+    [Ending("eed", _M1, "ee"), Ending("ed", _VOWEL, "+"), Ending("ing", _VOWEL, "+")],
+    [
+        *_endings(_ANY, r"at\+>ate bl\+>ble iz\+>ize"),
+        *(Ending(rf"{c}{c}\+", _ANY, c) for c in "bcdfghjkmnpqrtvwx"),
+        Ending(r"\+", _SHORT, "e"),
+    ],
+    _endings(_ANY, r"\+>"),
+    [Ending("[yY]", _VOWEL, "i")],
+    _endings(
+        _M1,
+        """ational>ate tional>tion enci>ence anci>ance izer>ize abli>able alli>al entli>ent eli>e ousli>ous ization>ize
+        ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble""",
+    ),
+    _endings(_M1, "icate>ic ative> alize>al iciti>ic ical>ic ful> ness>"),
+    [
+        *_endings(_M2, "al> ance> ence> er> ic> able> ible> ant> ement> ment> ent>"),
+        Ending("sion", _M2_HERE, "s"), Ending("tion", _M2_HERE, "t"),
+        *_endings(_M2, "ou> ism> ate> iti> ous> ive> ize>"),
+    ],
+    [Ending("e", f"{_M2}|{_NOT_SHORT}")],
+    [Ending("ll", _M2_HERE, "l")],
+]
+STEMMED = "^[a-z]{3,}$"
+CONSONANT_Y = "(^|[aeiou])y"
+
 
 def stem(word: Column) -> Column:
-    """A word without plural, -ing, -ed and a final e: a light stemmer for English."""
-    return reduce(lambda w, end: F.regexp_replace(w, end[0], f"$1{end[1]}"), ENDINGS, word)
+    """Porter's stem of a lower-case word; words with digits or signs and those of two letters stay as they are."""
+
+    def taken(step: list[Ending]) -> Callable[[Column], Column]:
+        def body(w: Column) -> Column:
+            out = w
+            for e in reversed(step):
+                out = F.when(w.rlike(e.found), F.regexp_replace(w, e.whole, f"$1{e.instead}")).otherwise(out)
+            return out
+
+        return body
+
+    out = F.regexp_replace(word, CONSONANT_Y, "$1Y")
+    for step in STEPS:
+        out = _bind(out, taken(step))
+    return F.when(word.rlike(STEMMED), F.lower(out)).otherwise(word)
 
 
 def stem_word(word: str) -> str:
-    return reduce(lambda w, end: re.sub(end[0], rf"\g<1>{end[1]}", w), ENDINGS, word)
+    if not re.match(STEMMED, word):
+        return word
+    out = re.sub(CONSONANT_Y, r"\g<1>Y", word)
+    for step in STEPS:
+        decides = next((e for e in step if re.match(e.found, out)), None)
+        if decides:
+            out = re.sub(decides.whole, rf"\g<1>{decides.instead}", out)
+    return out.lower()
+
+
+def english_document() -> Column:
+    """`document()` in stems: stop words are left out and keep their positions."""
+    spoken = F.filter(document(), lambda d: ~d["term"].isin(*STOP_WORDS))
+    return F.transform(
+        spoken, lambda d: F.struct(d["pos"].alias("pos"), stem(d["term"]).alias("term"), d["weight"].alias("weight"))
+    )
+
+
+def english_terms(alternatives: Sequence[Sequence[Term]]) -> list[list[Term]]:
+    """The alternatives in stems, without stop words and without alternatives of nothing else."""
+    groups = [[Term(stem_word(t.word), t.negated) for t in terms if t.word not in STOP_WORDS] for terms in alternatives]
+    return [g for g in groups if g]
+
+
+def holds_terms(alternatives: Sequence[Sequence[Term]], found: Column) -> Column:
+    """`matches` over an array of {term, ...} instead of the text: OR over alternatives, AND over their terms."""
+
+    def holds(term: Term) -> Column:
+        here = F.exists(found, lambda d: d["term"] == term.word)
+        return ~here if term.negated else here
+
+    either = [reduce(Column.__and__, [holds(t) for t in terms]) for terms in alternatives]
+    return reduce(Column.__or__, either) if either else F.lit(False)
 
 
 def analyze(column: Column, analyzer: str = "standard", stop_words: Sequence[str] = ()) -> Column:

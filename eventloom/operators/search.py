@@ -37,6 +37,29 @@ def search_order(ranked: bool) -> list[Column]:
     return [F.desc("rank"), *newest_first()] if ranked else newest_first()
 
 
+ANALYZERS = ("standard", "english")
+
+
+def _terms(alternatives: Sequence[Sequence[T.Term]], analyzer: str) -> Sequence[Sequence[T.Term]]:
+    if analyzer not in ANALYZERS:
+        raise ValueError(f"unknown analyzer: {analyzer}")
+    return T.english_terms(alternatives) if analyzer == "english" else alternatives
+
+
+def _with_hits(ev: DataFrame, alternatives: Sequence[Sequence[T.Term]], analyzer: str) -> tuple[DataFrame, Column | None]:
+    """The rows that match, and their hits by position: for `english` a column `_hits`, stemmed once per row."""
+    if analyzer == "standard":
+        return ev.where(T.matches(alternatives)), None
+    words = sorted({t.word for terms in alternatives for t in terms})
+    if not words:
+        return ev.where(F.lit(False)), F.array().cast("array<struct<pos:int,term:string,weight:double>>")
+    hits = F.filter(T.english_document(), lambda d: d["term"].isin(*words))
+    # Behind a generator the hits are worked out once, not again in each place that uses them.
+    found = ev.withColumn("_hits", F.explode(F.array(hits))).where(T.holds_terms(alternatives, F.col("_hits")))
+    wanted = sorted({t.word for terms in alternatives for t in terms if not t.negated})
+    return found, F.filter("_hits", lambda d: d["term"].isin(*wanted)) if wanted else F.col("_hits")
+
+
 def search_events(
     ev: DataFrame,
     query: str | None,
@@ -47,11 +70,13 @@ def search_events(
     start: datetime | str | None = None,
     end: datetime | str | None = None,
     after: tuple[float, datetime | str, str] | None = None,
+    analyzer: str = "standard",
 ) -> DataFrame:
     """All matches with their `rank`, zero when the query has no free text.
 
     An explicit source replaces the one in the query; an explicit severity counts only
-    when the query has none. `after` is (rank, timestamp, event_id) of the last row seen.
+    when the query has none. `after` is (rank, timestamp, event_id) of the last row seen. With the
+    analyzer `english` words match and rank by their stems; a query of stop words alone matches nothing.
     """
     wanted = T.read_search(query)
     filters = dict(wanted.filters)
@@ -64,8 +89,12 @@ def search_events(
     found = with_filters(between(ev, start, end), filters)
     rank = F.lit(0.0)
     if wanted.alternatives:
-        found = found.where(T.matches(wanted.alternatives))
-        rank = T.cover_density_rank(wanted.alternatives)
+        terms = _terms(wanted.alternatives, analyzer)
+        found, hits = _with_hits(found, terms, analyzer)
+        rank = T.cover_density_rank(terms, hits)
+        if after is not None:
+            # Behind a generator the rank is worked out once for the condition and the result.
+            rank = F.explode(F.array(rank))
     found = found.withColumn("rank", rank)
     if after is not None:
         last_rank, moment, event_id = after
@@ -76,7 +105,7 @@ def search_events(
             at = F.lit(float(last_rank))
             older = (F.col("rank") < at) | ((F.col("rank") == at) & older)
         found = found.where(older)
-    return found
+    return found.drop("_hits")
 
 
 def search_page(
@@ -110,34 +139,27 @@ def match_english(ev: DataFrame, query: str) -> DataFrame:
     ev = with_filters(ev, wanted.filters)
     if not wanted.alternatives:
         return ev
-    stems = T.analyze(F.concat_ws(" ", *T.FIELD_WEIGHTS), "english")
-    groups = [[t for t in terms if t.word not in T.STOP_WORDS] for terms in wanted.alternatives]
-
-    def holds(term: T.Term) -> Column:
-        found = F.array_contains("_stems", T.stem_word(term.word))
-        return ~found if term.negated else found
+    return _with_hits(ev, _terms(wanted.alternatives, "english"), "english")[0].drop("_hits")
 
-    either = [reduce(Column.__and__, [holds(t) for t in terms]) for terms in groups if terms]
-    keep = reduce(Column.__or__, either) if either else F.lit(False)
-    return ev.withColumn("_stems", stems).where(keep).drop("_stems")
 
+def term_table(ev: DataFrame, keep: Sequence[str] = (), with_field: bool = False) -> DataFrame:
+    """The weighted search document as rows (event_id, term, weight, pos, *keep), if asked with the number of the `field`.
 
-def term_table(ev: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The weighted search document as rows (event_id, term, weight, pos, *keep).
-
-    The weight follows from the position, as fields follow one another.
+    Weight and field follow from the position, as fields follow one another.
     """
     fields = T.field_tokens()
     split = ev.select("event_id", *keep, *(found.alias(f"_f{i}") for i, (found, _) in enumerate(fields)))
     names = [f"_f{i}" for i in range(len(fields))]
     sized = split.select("event_id", *keep, F.concat(*names).alias("_all"), *(F.size(n).alias(n) for n in names))
-    weight, end = F.lit(None).cast("double"), F.lit(0)
-    for name, (_, value) in zip(names, fields, strict=True):
+    weight, number, end = F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(0)
+    for i, (name, (_, value)) in enumerate(zip(names, fields, strict=True)):
         end = end + F.col(name)
         weight = F.coalesce(weight, F.when(F.col("pos") < end, F.lit(value)))
+        number = F.coalesce(number, F.when(F.col("pos") < end, F.lit(i)))
     # The outer form keeps Catalyst from tokenizing once more to skip empty arrays.
     rows = sized.select("event_id", *keep, *names, F.posexplode_outer("_all").alias("pos", "term"))
-    return rows.where(F.col("pos").isNotNull()).select("event_id", "term", weight.alias("weight"), "pos", *keep)
+    own = [number.alias("field")] if with_field else []
+    return rows.where(F.col("pos").isNotNull()).select("event_id", "term", weight.alias("weight"), "pos", *own, *keep)
 
 
 def write_term_table(ev: DataFrame, path: str) -> None:
@@ -145,7 +167,7 @@ def write_term_table(ev: DataFrame, path: str) -> None:
 
     Parquet statistics then skip all row groups without the wanted words.
     """
-    write_by_day(term_table(ev, keep=["timestamp"]), path, sort=("term", "event_id"))
+    write_by_day(term_table(ev, keep=["timestamp"], with_field=True), path, sort=("term", "event_id"))
 
 
 def match_indexed(terms: DataFrame, query: str) -> DataFrame:
@@ -178,25 +200,33 @@ def match_indexed(terms: DataFrame, query: str) -> DataFrame:
     return gathered.where(reduce(Column.__or__, either)).select("event_id", rank.alias("rank"))
 
 
-def keyword_search(ev: DataFrame, query: str, limit: int) -> DataFrame:
-    """Events that hold every word, by summed weights of the occurrences."""
+def keyword_search(ev: DataFrame, query: str, limit: int, analyzer: str = "standard") -> DataFrame:
+    """Events that hold every word (with `english`, its stem), by summed weights of the occurrences."""
     words = list(dict.fromkeys(T.clean_word(w) for w in query.split()))
+    terms = _terms([[T.Term(w) for w in words]], analyzer)
+    found, hits = _with_hits(ev, terms, analyzer)
+    wanted = list(dict.fromkeys(t.word for group in terms for t in group))
     return (
-        ev.where(T.matches([[T.Term(w) for w in words]]))
-        .withColumn("score", T.frequency_rank(words))
+        found.withColumn("score", T.frequency_rank(wanted, hits))
+        .drop("_hits")
         .orderBy(F.desc("score"), "event_id")
         .limit(limit)
     )
 
 
 def hybrid_search(
-    ev: DataFrame, vectors: DataFrame | None, query: str, vector: Sequence[float] | None, limit: int
+    ev: DataFrame,
+    vectors: DataFrame | None,
+    query: str,
+    vector: Sequence[float] | None,
+    limit: int,
+    analyzer: str = "standard",
 ) -> DataFrame:
     """The best `limit` events by rank fusion of word and vector hits, twice as many of each.
 
     Without vectors, or without one for the query, the words alone decide.
     """
-    words = keyword_search(ev, query, 2 * limit)
+    words = keyword_search(ev, query, 2 * limit, analyzer)
     near = None if vectors is None or vector is None else vector_search(vectors, vector, 2 * limit)
     return fuse(words, near, limit)
 
@@ -205,6 +235,26 @@ def phrase_search(ev: DataFrame, phrase: str) -> DataFrame:
     return ev.where(T.has_phrase(phrase.split()))
 
 
+def phrase_indexed(terms: DataFrame, phrase: str) -> DataFrame:
+    """(event_id, hits) of the events that hold the words side by side in one field, from a stored term table alone.
+
+    A word that is the i-th of the phrase votes for the phrase to begin i places before it, in its field. It does
+    where every word votes: positions are intersected by counting votes, which combine before the shuffle, and no event
+    text is read. Only rows of the words are, so a word that very many events hold is no hot group.
+    """
+    words = [T.clean_word(w) for w in phrase.split()]
+    if not words:
+        raise ValueError("a phrase needs a word")
+    places = F.create_map(
+        *(x for w in dict.fromkeys(words) for x in (F.lit(w), F.array(*(F.lit(i) for i, v in enumerate(words) if v == w))))
+    )
+    votes = terms.where(F.col("term").isin(*words)).select(
+        "event_id", "field", "pos", F.explode(places[F.col("term")]).alias("place")
+    )
+    begins = votes.groupBy("event_id", "field", (F.col("pos") - F.col("place")).alias("begin")).agg(F.count("*").alias("n")).where(F.col("n") == len(words))
+    return begins.groupBy("event_id").agg(F.count("*").alias("hits"))
+
+
 def embedding_text(ev: DataFrame) -> DataFrame:
     """The text an embedding of the event is made from."""
     return ev.withColumn(

@@ -120,16 +120,24 @@ def d5_second(spark, folder):
     return page.select("event_id", "timestamp", r6("rank").alias("rank"))
 
 
-STEMS_SQL = "list_filter(ts, lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
-for _pattern, _end in T.ENDINGS:
-    STEMS_SQL = f"list_transform({STEMS_SQL}, lambda t: regexp_replace(t, '{_pattern}', '\\1{_end}'))"
+def _stems_sql() -> str:
+    """Porter's steps over a list `ts` of words."""
+    out = "list_filter(ts, lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
+    out = f"list_transform({out}, lambda t: CASE WHEN regexp_matches(t, '{T.STEMMED}') THEN regexp_replace(t, '{T.CONSONANT_Y}', '\\1Y', 'g') ELSE '=' || t END)"
+    for step in T.STEPS:
+        cases = " ".join(f"WHEN regexp_matches(t, '{e.found}') THEN regexp_replace(t, '{e.whole}', '\\1{e.instead}')" for e in step)
+        out = f"list_transform({out}, lambda t: CASE WHEN t[1] = '=' THEN t {cases} ELSE t END)"
+    return f"list_transform({out}, lambda t: lower(ltrim(t, '=')))"
+
+
+STEMS_SQL = _stems_sql()
 
 
 @query(
     "d3_match_english",
     ev_sql(
         f"""SELECT event_id, severity FROM (SELECT *, {STEMS_SQL} AS stems FROM toks)
-WHERE (list_contains(stems, 'connection') AND list_contains(stems, 'refus')) OR (list_contains(stems, 'wait') AND NOT list_contains(stems, 'svc-3'))""",
+WHERE (list_contains(stems, 'connect') AND list_contains(stems, 'refus')) OR (list_contains(stems, 'wait') AND NOT list_contains(stems, 'svc-3'))""",
         TOK_SQL,
     ),
 )
@@ -138,6 +146,49 @@ def d3_english(spark, folder):
     return found.select("event_id", "severity")
 
 
+@query(
+    "d5_search_english",
+    ev_sql(
+        """SELECT event_id, "timestamp", round(rank, 6) AS rank FROM found ORDER BY found.rank DESC, "timestamp" DESC, event_id DESC LIMIT 100""",
+        TOK_SQL,
+        _rank_sql(["connection", "refused"], f"\"timestamp\" >= TIMESTAMP '{MONTH_START}'"),
+    ),
+)
+def d5_english(spark, folder):
+    """Other forms of the same words: matched and ranked by stems."""
+    page = search.search_page(
+        events(spark, folder), "the connections refusing", as_of=AS_OF, start=MONTH_START, limit=100, analyzer="english"
+    )
+    return page.select("event_id", "timestamp", r6("rank").alias("rank"))
+
+
+@query(
+    "d7_keyword_english",
+    ev_sql(
+        f"""SELECT event_id, round(list_sum(list_transform(list_filter(list_zip(stems, weights), lambda p: p[1] IN ('limit', 'extern')), lambda p: p[2])), 6) AS score
+FROM (SELECT event_id, {STEMS_SQL} AS stems, list_transform(list_filter(list_zip(ts, ws), lambda p: p[1] NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})), lambda p: p[2]) AS weights FROM toks)
+WHERE list_contains(stems, 'limit') AND list_contains(stems, 'extern') ORDER BY 2 DESC, 1 LIMIT 40""",
+        TOK_SQL,
+    ),
+)
+def d7_english(spark, folder):
+    found = search.keyword_search(events(spark, folder), "limited for externals", 40, analyzer="english")
+    return found.select("event_id", r6("score").alias("score"))
+
+
+@query(
+    "l24_english_stems",
+    f"""SELECT stem, count(*) AS n FROM (SELECT unnest({STEMS_SQL}) AS stem FROM (
+  SELECT regexp_extract_all(lower(text), '[a-z0-9_-]+') AS ts FROM documents WHERE lang = 'en')) GROUP BY 1""",
+)
+def l24_stems(spark, folder):
+    """Stems of all words of the English documents."""
+    docs = table(spark, folder, "documents").where("lang = 'en'")
+    words = docs.select(F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    spoken = words.where(~F.col("w").isin(*T.STOP_WORDS))
+    return spoken.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
+
+
 @query(
     "d5_search_filters_only",
     ev_sql(
@@ -560,6 +611,17 @@ def l6(spark, folder):
     return search.phrase_search(events(spark, folder), "for external API").select("event_id")
 
 
+@query(
+    "l6_indexed_phrase",
+    ev_sql("""SELECT event_id FROM toks WHERE ' ' || array_to_string(d, ' ') || ' ' LIKE '% for external api %'""", TOK_SQL),
+)
+def l6_indexed(spark, folder):
+    """The phrase looked up in the stored terms."""
+    path = work_folder(spark, "terms")
+    search.write_term_table(events(spark, folder), path)
+    return search.phrase_indexed(spark.read.parquet(path), "for external API").select("event_id")
+
+
 @query(
     "l7_embedding_text",
     ev_sql("SELECT event_id, concat_ws(' ', source, event_type, severity, data) AS embedding_text FROM ev"),

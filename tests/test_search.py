@@ -221,11 +221,70 @@ def test_unsupported_specs_raise(spark):
     assert specs.run_spec(tables, {**analytic, "order_by": "count DESC"}, as_of="2024-01-31").count() == 0
 
 
-def test_stems_agree_with_their_column_form(spark):
-    words = ["connections", "connection", "refused", "refuse", "waits", "queries", "passes", "status", "ring", "red", "is", "api", "e"]
+# The examples of Porter's paper, rule by rule, each word with its stem after the whole algorithm.
+PORTER = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled
+motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss
+fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc
+hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog
+vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope
+callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form
+formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow
+inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun
+activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate
+cease ceas controll control roll roll""".split()
+
+
+def test_stems_agree_with_the_published_examples_and_their_column_form(spark):
+    words, stems = PORTER[::2], PORTER[1::2]
+    assert [T.stem_word(w) for w in words] == stems
+    words += ["connections", "refusing", "queries", "svc-3", "is", "a1s", "", "yes", "say", "saying", "employed", "toying", "é"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r.s for r in df.select(T.stem(F.col("w")).alias("s")).collect()] == [T.stem_word(w) for w in words]
-    assert T.stem_word("connections") == T.stem_word("connection") and T.stem_word("refused") == T.stem_word("refuse")
+    assert T.stem_word("connections") == T.stem_word("connecting") == "connect" and T.stem_word("svc-3s") == "svc-3s"
+
+
+def test_english_search_matches_and_ranks_by_stems(spark):
+    rows = [("a", "waits for connections"), ("b", "waited, connecting"), ("c", "wait"), ("d", "the connection waiting and waiting")]
+    ev = spark.createDataFrame([(i, "s", "t", "info", d, dt.datetime(2024, 1, 1)) for i, d in rows],
+                               "event_id string, source string, event_type string, severity string, data string, timestamp timestamp")
+
+    def found(query, **how):
+        df = search.search_events(ev, query, as_of="2024-01-01 12:00:00", analyzer="english", **how)
+        return {r["event_id"]: round(r["rank"], 4) for r in df.collect()}
+
+    assert set(found("the wait connect")) == {"a", "b", "d"}
+    assert found("waiting") == {"a": 0.2, "b": 0.2, "c": 0.2, "d": 0.4}
+    assert set(found("waits NOT connected")) == {"c"}
+    assert found("the and of") == {}
+    assert found("waiting", after=(0.4, "2024-01-01", "d")).keys() == {"a", "b", "c"}
+    got = search.keyword_search(ev, "connected waits", 2, analyzer="english").collect()
+    assert [(r["event_id"], round(r["score"], 4)) for r in got] == [("d", 0.6), ("a", 0.4)]
+    assert search.keyword_search(ev, "the", 2, analyzer="english").collect() == []
+    assert [r["event_id"] for r in search.hybrid_search(ev, None, "waited", None, 1, "english").collect()] == ["d"]
+    with pytest.raises(ValueError):
+        found_none = search.search_events(ev, "x", as_of="2024-01-01", analyzer="klingon")
+        found_none.collect()
+
+
+def test_a_later_ranked_page_works_its_rank_out_once(spark):
+    ev = spark.createDataFrame([], "event_id string, source string, event_type string, severity string, data string, timestamp timestamp")
+    found = search.search_events(ev, "connection refused", as_of="2024-01-01", after=(0.5, "2024-01-01", "a"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_indexed_phrases_equal_the_text_search(spark, tmp_path):
+    texts = ["a b a b c", "a x b", "b a", "a b", "c a b, c", "A-b a.b", "", "a a a b b b", "b c a"]
+    rows = [(f"e{i}", "b", "a", "c", t, dt.datetime(2024, 1, 1 + i % 3)) for i, t in enumerate(texts)]
+    ev = spark.createDataFrame(rows, "event_id string, source string, event_type string, severity string, data string, timestamp timestamp")
+    search.write_term_table(ev, str(tmp_path))
+    terms = spark.read.parquet(str(tmp_path))
+    for phrase in ("a b", "a b c", "a a", "b", "b a", "a b a b", "a-b", "nowhere", "a c"):
+        got = {r["event_id"] for r in search.phrase_indexed(terms, phrase).collect()}
+        assert got == {r["event_id"] for r in search.phrase_search(ev, phrase).collect()}, phrase
+    with pytest.raises(ValueError):
+        search.phrase_indexed(terms, "  ")
 
 
 def test_ranked_pages_need_a_ranked_cursor(spark):
