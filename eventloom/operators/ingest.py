@@ -72,17 +72,32 @@ def split_payloads(df: DataFrame, payload: str = "payload", keep: Sequence[str]
     return rows.withColumn("sent", sent).drop("_payload")
 
 
+# What JSON type each field has to have, as `schema_of_variant` names it; data and metadata may be anything.
+FIELD_TYPES = {
+    "source": ("STRING",),
+    "event_type": ("STRING",),
+    "severity": ("STRING",),
+    "timestamp": ("STRING",),
+    "tags": ("ARRAY<STRING>", "ARRAY<VOID>"),
+}
+
+
 def typed_events(rows: DataFrame) -> DataFrame:
-    """Adds the event's fields, and `unreadable`, the names of those whose text does not fit their type."""
+    """Adds the event's fields, and `unreadable`, the names of those that do not have their JSON type.
+
+    A number or list as source is refused, not stored as its text; so are tags that are no texts, and timestamps
+    that are none. A null is like a missing field.
+    """
     raw = F.from_json("sent", _SENT)
-    parsed = rows.withColumn("_raw", raw)
-    sent = F.col("_raw")
+    kinds = {name: F.schema_of_variant(F.try_variant_get(F.try_parse_json("sent"), f"$.{name}", "variant")) for name in FIELD_TYPES}
+    parsed = rows.withColumns({"_raw": raw, "_kinds": F.struct(*(kind.alias(name) for name, kind in kinds.items()))})
+    sent, kinds = F.col("_raw"), F.col("_kinds")
     at = sent["timestamp"].try_cast("timestamp")
     tags = F.from_json(sent["tags"], "array<string>")
-    failed = {"timestamp": at.isNull(), "tags": tags.isNull()}
+    failed = {name: ~kinds[name].isin("VOID", *allowed) for name, allowed in FIELD_TYPES.items()}
+    failed["timestamp"] |= sent["timestamp"].isNotNull() & at.isNull()
     unreadable = F.filter(
-        F.array(*(F.when(sent[name].isNotNull() & bad, F.lit(name)) for name, bad in failed.items())),
-        lambda name: name.isNotNull(),
+        F.array(*(F.when(bad, F.lit(name)) for name, bad in failed.items())), lambda name: name.isNotNull()
     )
     typed = {"timestamp": at, "tags": tags}
     return parsed.select(

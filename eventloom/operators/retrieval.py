@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,6 +100,39 @@ def event_by_id(ev: DataFrame, event_id: str) -> DataFrame:
     return ev.where(F.col("event_id") == event_id).orderBy(F.col("timestamp").desc()).limit(1)
 
 
+def received_day(event_id: str) -> date | None:
+    """The day a sortable id was given out, from its time prefix; none for ids of another form."""
+    if not re.fullmatch("[0-9a-f]{28}", event_id):
+        return None
+    moment = datetime(1970, 1, 1) + timedelta(milliseconds=int(event_id[:12], 16))
+    return moment.date()
+
+
+def stored_events_by_id(ev: DataFrame, ids: Sequence[str], reach_days: int = 2) -> DataFrame:
+    """The stored events of some ids, the newest of each, found through prefixes and bloom filters.
+
+    An event is dated about when it was received, so days from `reach_days` before the first prefix on are searched first;
+    only ids not found there are looked for in the days before. Bloom filters leave out row groups without any of the
+    ids. The driver holds the ids asked for, no more.
+    """
+    asked = list(dict.fromkeys(ids))
+    days = [received_day(i) for i in asked]
+
+    def newest(rows: DataFrame, wanted: Sequence[str]) -> DataFrame:
+        found = rows.where(F.col("event_id").isin(*wanted))
+        rest = [c for c in found.columns if c != "event_id"]
+        return found.groupBy("event_id").agg(F.max_by(F.struct(*rest), "timestamp").alias("_e")).select("event_id", "_e.*")
+
+    if not asked or None in days:
+        return newest(ev, asked) if asked else ev.limit(0)
+    since = F.lit(min(days) - timedelta(days=reach_days))
+    near = newest(ev.where(F.col("event_date") >= since), asked)
+    there = {r["event_id"] for r in near.select("event_id").collect()}
+    missing = [i for i in asked if i not in there]
+    far = newest(ev.where(F.col("event_date") < since), missing) if missing else None
+    return near if far is None else near.unionByName(far)
+
+
 def with_fields(ev: DataFrame, *names: str) -> DataFrame:
     """Add allowed JSON fields as text columns, parsing each JSON column once."""
     parsed = {}

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from eventloom import schemas as S
 from eventloom.functions.fields import duration_ms
 from eventloom.functions.cursors import cursor_column
-from eventloom.operators import analytics, retrieval, rollup
+from eventloom.operators import analytics, distincts, ingest, retrieval, rollup, sketches
 from eventloom.registry import AS_OF, MONTH_START, ev_sql, query, r6
+from eventloom.session import work_folder
 from eventloom.sources.canonical import events, redelivered
+from eventloom.sources.store import write_by_day
 
 MONTH = f"\"timestamp\" >= TIMESTAMP '{MONTH_START}' AND \"timestamp\" < TIMESTAMP '{AS_OF}'"
 B_MONTH = f"bucket >= TIMESTAMP '{MONTH_START}' AND bucket < TIMESTAMP '{AS_OF}'"
@@ -52,6 +54,23 @@ def b3(spark, folder):
     return retrieval.event_by_id(events(spark, folder), "000000000042").select(*EVENT_OUT)
 
 
+@query(
+    "b3_stored_lookup",
+    ev_sql('SELECT source, event_type, severity, "timestamp", data FROM ev WHERE seq % 499 = 7'),
+)
+def b3_stored(spark, folder):
+    """All events stored by day under sortable ids, then some looked up by these ids; one received a week late."""
+    path = work_folder(spark, "by-id")
+    late = F.col("received_at") + F.when(F.col("seq") == 7, F.expr("interval 7 days")).otherwise(F.expr("interval 0 days"))
+    made = ingest.sortable_id(late, F.col("event_id"), F.col("data"))
+    ev = events(spark, folder).withColumn("event_id", made)
+    write_by_day(ev.select(*S.EVENT_COLUMNS, "seq"), path, ids=["event_id"])
+    stored = spark.read.parquet(path)
+    ids = [r["event_id"] for r in stored.where("seq % 499 = 7").select("event_id").collect()]
+    found = retrieval.stored_events_by_id(stored, ids)
+    return found.select("source", "event_type", "severity", "timestamp", "data")
+
+
 @query(
     "b4_keyset_page",
     ev_sql(
@@ -305,6 +324,38 @@ def c10(spark, folder):
     return analytics.top_n(month(spark, folder), MONTH_START, AS_OF, limit=5)
 
 
+@query(
+    "c9_bitmap_distincts",
+    ev_sql(
+        """SELECT 'day' AS part, severity, date_trunc('day', "timestamp") AS bucket, count(DISTINCT user_id) AS distinct_values FROM ev GROUP BY ALL
+UNION ALL SELECT 'range', '', NULL, count(DISTINCT user_id) FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-05 07:00:00' AND "timestamp" < TIMESTAMP '2024-01-19 03:00:00'
+UNION ALL SELECT 'sources', '', NULL, count(DISTINCT source) FROM ev"""
+    ),
+)
+def c9_bitmaps(spark, folder):
+    """Users and sources numbered, bitmaps per hour stored, and distinct counts of any range merged from these alone."""
+    ev = events(spark, folder)
+    older = F.dayofmonth("timestamp") <= 10
+    path = work_folder(spark, "bitmaps")
+    # Numbers are given in two runs, as new users come.
+    distincts.number_values(ev.where(older), "user_id").write.parquet(f"{path}/first")
+    distincts.number_values(ev, "user_id", spark.read.parquet(f"{path}/first")).write.parquet(f"{path}/users")
+    users = spark.read.parquet(f"{path}/users")
+    write_by_day(distincts.hour_bitmaps(ev, "user_id", users, ["severity"]), f"{path}/hours", "bucket", sort=("bucket",))
+    hours = spark.read.parquet(f"{path}/hours")
+    days = distincts.distinct_between(hours, keys=["severity"], width="1 day").select(
+        F.lit("day").alias("part"), "severity", "bucket", "distinct_values"
+    )
+    sources = distincts.hour_bitmaps(ev, "source", distincts.number_values(ev, "source"))
+    none = F.lit(None).cast("timestamp_ntz").alias("bucket")
+    for part, found in (
+        ("range", distincts.distinct_between(hours, "2024-01-05 07:00:00", "2024-01-19 03:00:00")),
+        ("sources", distincts.distinct_between(sources)),
+    ):
+        days = days.unionByName(found.select(F.lit(part).alias("part"), F.lit("").alias("severity"), none, "distinct_values"))
+    return days
+
+
 @query("c11_by_severity", _top_sql("severity", ""))
 def c11(spark, folder):
     return analytics.by_severity(month(spark, folder), MONTH_START, AS_OF)
@@ -376,6 +427,45 @@ def l1(spark, folder):
     return stats
 
 
+SKETCH_SQL = """timed AS (SELECT "timestamp", source, json_extract_string(data, '$.path') AS endpoint,
+  CAST(json_extract_string(data, '$.duration_ms') AS DOUBLE) AS ms FROM ev)"""
+
+
+def stored_sketches(spark, folder):
+    path = work_folder(spark, "sketches")
+    write_by_day(sketches.latency_sketches(events(spark, folder)), path, "bucket", sort=("source", "bucket"))
+    return spark.read.parquet(path)
+
+
+@query(
+    "l1_merged_sketches",
+    ev_sql(
+        """SELECT date_trunc('hour', "timestamp") AS bucket, source, endpoint, count(*) AS count, sum(ms) AS sum, min(ms) AS min, max(ms) AS max,
+  quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99 FROM timed GROUP BY ALL""",
+        SKETCH_SQL,
+    ),
+)
+def l1_sketches(spark, folder):
+    """Sketches of minutes, stored, and merged to hours; hours of so few events are exact."""
+    hours = sketches.merge_sketches(stored_sketches(spark, folder), "1 hour")
+    return sketches.sketch_percentiles(hours)
+
+
+@query(
+    "l1_weekly_sketches",
+    ev_sql(
+        """SELECT source, date_trunc('week', "timestamp") AS bucket, count(*) AS count, sum(ms) AS sum, min(ms) AS min, max(ms) AS max, count(*) AS held
+FROM timed GROUP BY ALL""",
+        SKETCH_SQL,
+    ),
+)
+def l1_weeks(spark, folder):
+    """The same sketches merged to weeks of a source: exact counts, sums and extremes, and every event held."""
+    days = stored_sketches(spark, folder).withColumn("bucket", F.date_trunc("week", "bucket").cast("timestamp_ntz"))
+    weeks = sketches.merge_sketches(days, keys=["source", "bucket"])
+    return weeks.select("*", F.kll_sketch_get_n_double("sketch").alias("held")).drop("sketch")
+
+
 @query(
     "l1_fractional_latency",
     ev_sql(

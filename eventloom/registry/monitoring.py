@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions.timeops import ts_lit
-from eventloom.operators import alerts, anomaly, rollup
+from eventloom.operators import alerts, anomaly, moments, rollup, sketches
 from eventloom.registry import ANOMALY_AS_OF, AS_OF, MONTH_START, ev_sql, query, r6
+from eventloom.session import work_folder
 from eventloom.sources.canonical import alert_events, alert_rules, events
+from eventloom.sources.store import write_by_day
 
 
 def minutes(spark, folder, start=None, end=None):
@@ -82,6 +84,61 @@ def e3(spark, folder):
     )
 
 
+def stored_moments(spark, folder):
+    path = work_folder(spark, "moments")
+    write_by_day(moments.hour_moments(minutes(spark, folder)), path, "bucket", sort=("source", "bucket"))
+    return spark.read.parquet(path)
+
+
+@query(
+    "e2_stored_baselines",
+    ev_sql(
+        """SELECT source, round(error_rate_mean, 6) AS rate_mean, round(error_rate_stddev, 6) AS rate_stddev,
+  round(event_count_mean, 6) AS mean, round(event_count_stddev, 6) AS stddev, windows, current_total, current_errors,
+  round(current_error_rate, 6) AS current_error_rate FROM base""",
+        WINDOWS_SQL,
+    ),
+)
+def e2_stored(spark, folder):
+    """The baselines of e2 to e4 merged from stored hours; only the ends of the day are counted."""
+    base = moments.stored_baselines(stored_moments(spark, folder), minutes(spark, folder), as_of=ANOMALY_AS_OF)
+    return base.select(
+        "source", r6("error_rate_mean").alias("rate_mean"), r6("error_rate_stddev").alias("rate_stddev"),
+        r6("event_count_mean").alias("mean"), r6("event_count_stddev").alias("stddev"), "windows", "current_total",
+        "current_errors", r6("current_error_rate").alias("current_error_rate"),
+    )
+
+
+@query(
+    "l26_stored_seasons",
+    ev_sql(
+        """SELECT source, isodow(win) - 1 AS weekday, hour(win) AS hour, round(avg(total), 6) AS mean,
+  round(coalesce(stddev_samp(total), 0), 6) AS stddev, count(*) AS samples, round(avg(total) + 2 * coalesce(stddev_samp(total), 0), 6) AS threshold
+FROM (SELECT source, time_bucket(INTERVAL 5 MINUTE, "timestamp") AS win, count(*) AS total FROM ev GROUP BY ALL) GROUP BY ALL"""
+    ),
+)
+def l26_stored(spark, folder):
+    """Seasonal thresholds merged from the same stored hours."""
+    return rounded(moments.stored_seasons(stored_moments(spark, folder), 2), "mean", "stddev", "threshold")
+
+
+@query(
+    "l10_sketch_outliers",
+    ev_sql(
+        """SELECT source, win AS "window", round(p99, 6) AS p99, round(mean, 6) AS mean, round(stddev, 6) AS stddev
+FROM (SELECT *, avg(p99) OVER (PARTITION BY source) AS mean, stddev_samp(p99) OVER (PARTITION BY source) AS stddev FROM (
+  SELECT source, date_trunc('hour', "timestamp") AS win,
+    quantile_disc(CAST(json_extract_string(data, '$.duration_ms') AS DOUBLE), 0.99) AS p99 FROM ev GROUP BY ALL))
+WHERE p99 > mean + 3 * stddev"""
+    ),
+)
+def l10_sketches(spark, folder):
+    """Hours with an unusual p99, from sketches per minute."""
+    path = work_folder(spark, "sketches")
+    write_by_day(sketches.latency_sketches(events(spark, folder)), path, "bucket", sort=("source", "bucket"))
+    return rounded(sketches.latency_outliers(spark.read.parquet(path)), "p99", "mean", "stddev")
+
+
 @query(
     "e3_volume_baseline_zero_filled",
     ev_sql(

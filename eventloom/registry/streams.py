@@ -117,12 +117,20 @@ def a11_contents(spark, folder):
     """Batches of 1500 events and more, flawed in several ways: all that was sent comes back."""
     ev = events(spark, folder)
     seq = F.col("event_id").cast("bigint")
-    at = F.when(seq % 5 == 2, F.lit("nonsense")).otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    quoted = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('",'))
+    wrong = F.when(seq % 5 == 3, F.floor(seq / 5) % 4)
+    at = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.when(seq % 5 != 2, F.concat(F.lit('"'), at, F.lit('"'))).otherwise(F.when(F.floor(seq / 5) % 2 == 0, '"nonsense"').otherwise("2024"))
+
+    def named(name, kind, other):
+        """A text field, of another JSON type in some events."""
+        value = F.when(wrong == kind, F.lit(other)).otherwise(F.concat(F.lit('"'), F.col(name), F.lit('"')))
+        return F.concat(F.lit(f'"{name}":'), value, F.lit(","))
+
     plain = F.concat(
-        F.lit("{"), F.when(seq % 5 != 1, quoted("source", F.col("source"))).otherwise(""),
-        quoted("event_type", F.col("event_type")), quoted("severity", F.col("severity")), quoted("timestamp", at),
-        F.lit('"data":{"n":'), seq, F.when(seq % 5 == 3, '},"tags":"notalist"}').otherwise('},"tags":["a","b"]}'),
+        F.lit("{"), F.when(seq % 5 != 1, named("source", 1, '{"a":"b"}')).otherwise(""), named("event_type", 2, '["x"]'),
+        named("severity", 3, "5"), F.lit('"timestamp":'), at, F.lit(',"data":{"n":'), seq,
+        F.when(wrong == 0, F.lit('},"tags":')).otherwise('},"tags":["a","b"]}'),
+        F.when(wrong == 0, F.when(F.floor(seq / 20) % 2 == 0, '"notalist"}').otherwise("[1,2]}")).otherwise(""),
     )
     batches = (
         ev.select(seq.alias("n"), plain.alias("one"))

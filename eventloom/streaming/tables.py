@@ -97,7 +97,8 @@ def write_batch(df: DataFrame, root: str, name: str, batch_id: int, column: str)
     tagged = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     columns = [c for c in SCHEMAS[name].fieldNames() if c != "event_date"]
     sort = [c for c in ("source", column) if c in columns]
-    write_by_day(tagged.select(*columns), f"{root}/{name}", column, ["batch_id"], sort)
+    ids = ["event_id"] if name == "events" else []
+    write_by_day(tagged.select(*columns), f"{root}/{name}", column, ["batch_id"], sort, ids)
 
 
 def read_days(spark: SparkSession, root: str, name: str, days: Iterable[date]) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,17 @@ def test_retry_routing(spark, attempts, idle, route):
 def test_backpressure_on_empty_queue(spark):
     depth = spark.createDataFrame([], "source string, depth bigint")
     assert ingest.backpressure(depth).first() == (0, False)
+
+
+@pytest.mark.parametrize(
+    "field,value",
+    [(f, v) for f in ("source", "event_type", "severity", "timestamp") for v in (5, 1.5, True, ["x"], {"a": "b"}, [])]
+    + [("tags", v) for v in (5, "x", {"a": "b"}, [1], ["a", 1], [["a"]], [None, 2])] + [("timestamp", "nonsense")],
+)
+def test_fields_of_a_wrong_type_are_unreadable(spark, field, value):
+    good = {"source": "s", "event_type": "t", "severity": "info", "timestamp": "2024-01-02T12:00:00Z", "tags": ["a"]}
+    rows = [json.dumps({**good, field: value}), json.dumps(good), json.dumps({**good, field: None})]
+    rows += [json.dumps({k: v for k, v in good.items() if k != field}), json.dumps({**good, "data": [1], "metadata": 7, "tags": []})]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "event_index int, sent string")
+    got = {r["event_index"]: r["unreadable"] for r in ingest.typed_events(df).collect()}
+    assert got == {0: [field], 1: [], 2: [], 3: [], 4: []}
