@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_limits, write_table
+from eventloom.llm.common import SMALL_GROUPS, arrow_limits, write_table
 
 CHUNK_BYTES = 2 << 20
-ROW_BYTES = 256 << 10
+ROW_BYTES = 128 << 10
 ENCODE = 4096
 BROADCAST_ROWS = 1_000_000
 # Files of the two tokenizers.
@@ -39,9 +39,10 @@ PIECE_FILE = "piece_bpe_32k.model"
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
+_TOTALS = ("n_a", "n_b", "n_groups", "n_links")
 ENCODED = (
-    "chunk bigint, docs array<struct<doc_id: bigint, begin: bigint, end: bigint, groups_sha256: string>>,"
-    " units binary, offsets binary, links binary, sizes binary, pairs binary, times binary"
+    "chunk bigint, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint,"
+    " begin: bigint, end: bigint, groups_sha256: string>>, links binary, times binary, pairs binary, counts binary"
 )
 COUNTS = "chunk bigint, pair bigint, n bigint"
 ALIGNED = (
@@ -246,36 +247,44 @@ def digest(parts: list[str]) -> str:
 
 
 _DOC = pa.struct(
-    [("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("groups_sha256", pa.string())]
+    [("doc_id", pa.int64()), *((name, pa.int64()) for name in (*_TOTALS, "begin", "end")), ("groups_sha256", pa.string())]
 )
 _ENCODED = pa.schema(
     [("chunk", pa.int64()), ("docs", pa.list_(_DOC))]
-    + [(name, pa.binary()) for name in ("units", "offsets", "links", "sizes", "pairs", "times")]
+    + [(name, pa.binary()) for name in ("links", "times", "pairs", "counts")]
 )
 
 
 def _row(chunk: int, docs: list[tuple], ends: list[int], units: np.ndarray, made: Aligned) -> dict:
-    """A row of documents, `units` in a row cut at `ends`, with what is known of each of their different units."""
-    rows, begin = [], 0
-    for (doc_id, _), end in zip(docs, ends, strict=True):
+    """A row of documents, `units` in a row cut at `ends`: their totals, and how often each pair is linked in each.
+
+    Of `links` (places in `pairs`) and `times`, a document has those from begin to end; `counts` are of the whole row.
+    """
+    rows, owner, used, begin = [], [], [], 0
+    for i, ((doc_id, _), end) in enumerate(zip(docs, ends, strict=True)):
         mine = units[begin:end]
         # Units that are not spelled exactly leave out bytes, so the text isn't spelled exactly either.
-        good = end > begin and bool(made.faithful[mine].all())
-        sha = digest([made.groups[i] for i in mine.tolist()]) if good else ""
-        rows.append({"doc_id": doc_id, "begin": begin, "end": end if good else begin, "groups_sha256": sha})
+        if end == begin or not made.faithful[mine].all():
+            mine = mine[:0]
+        sha = digest([made.groups[u] for u in mine.tolist()]) if len(mine) else ""
+        total = made.sizes[mine].sum(axis=0).tolist()
+        rows.append({"doc_id": doc_id, **dict(zip(_TOTALS, total, strict=True)), "groups_sha256": sha})
+        owner.append(np.full(len(mine), i, np.int64))
+        used.append(mine)
         begin = end
-    different, units = np.unique(units, return_inverse=True)
-    starts, n_links = made.offsets[different], made.sizes[different, 3]
-    offsets = _offsets(n_links)
-    pairs, links = np.unique(
-        made.links[np.repeat(starts - offsets[:-1], n_links) + np.arange(offsets[-1])], return_inverse=True
-    )
-    counted = [units[r["begin"] : r["end"]] for r in rows]
-    used = np.bincount(np.concatenate(counted) if counted else units, minlength=len(different))
+    used, owner = np.concatenate(used), np.concatenate(owner)
+    n_links = made.sizes[used, 3]
+    upto = _offsets(n_links)
+    links = made.links[np.repeat(made.offsets[used] - upto[:-1], n_links) + np.arange(upto[-1])]
+    pairs, links = np.unique(links, return_inverse=True)
+    keys, times = np.unique(np.repeat(owner, n_links) * (len(pairs) + 1) + links, return_counts=True)
+    cuts = np.searchsorted(keys, np.arange(len(rows) + 1) * (len(pairs) + 1)).tolist()
+    for r, first, last in zip(rows, cuts[:-1], cuts[1:], strict=True):
+        r |= {"begin": first, "end": last}
     return {
-        "chunk": chunk, "docs": rows, "units": units.astype(np.int32).tobytes(), "offsets": offsets.astype(np.int64).tobytes(),
-        "links": links.astype(np.int32).tobytes(), "sizes": made.sizes[different].tobytes(), "pairs": made.pairs[pairs].tobytes(),
-        "times": np.bincount(links, np.repeat(used, n_links), len(pairs)).astype(np.int64).tobytes(),
+        "chunk": chunk, "docs": rows, "links": (keys % (len(pairs) + 1)).astype(np.int32).tobytes(),
+        "times": times.astype(np.int32).tobytes(), "pairs": made.pairs[pairs].tobytes(),
+        "counts": np.bincount(links, minlength=len(pairs)).astype(np.int64).tobytes(),
     }
 
 
@@ -328,14 +337,12 @@ def _encode(files: Files, chunk_bytes: int) -> Callable:
 
 
 def _pair_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, pair, n) of the chunks' links."""
+    """(chunk, pair, n) of the links of rows."""
     for batch in batches:
-        for chunk, pairs, times in zip(*(batch.column(c).to_pylist() for c in ("chunk", "pairs", "times")), strict=True):
-            pairs, times = np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int64)
-            pairs, times = pairs[times > 0], times[times > 0]
+        for chunk, pairs, n in zip(*(batch.column(c).to_pylist() for c in ("chunk", "pairs", "counts")), strict=True):
+            pairs, n = np.frombuffer(pairs, np.int64), np.frombuffer(n, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(pairs), chunk, np.int64)), pa.array(pairs), pa.array(times)],
-                names=["chunk", "pair", "n"],
+                [pa.array(np.full(len(pairs), chunk, np.int64)), pa.array(pairs), pa.array(n)], names=["chunk", "pair", "n"]
             )
 
 
@@ -349,25 +356,17 @@ _ALIGNED = pa.schema(
 def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a chunk with their sums over links; `right` has the counts of the chunk's pairs."""
     known = right.column("pair").to_numpy()
-    order = np.argsort(known)
+    order = np.argsort(known, kind="stable")
     known = known[order]
     count, best = right.column("count").to_numpy()[order], right.column("best").to_numpy()[order]
     out = []
     for row in left.to_pylist():
-        ints = {c: np.frombuffer(row[c], np.int64) for c in ("offsets", "sizes", "pairs", "times")}
-        units, links = np.frombuffer(row["units"], np.int32), np.frombuffer(row["links"], np.int32)
-        pairs = ints["pairs"]
-        of_pair = np.zeros((len(pairs) + 1, 2), np.int64)
-        used = np.flatnonzero(ints["times"])
-        at = np.searchsorted(known, pairs[used])
-        of_pair[used, 0], of_pair[used, 1] = best[at], count[at]
-        sums = np.zeros((len(links) + 1, 2), np.int64)
-        np.cumsum(of_pair[links], axis=0, out=sums[1:])
-        of_unit = np.column_stack((ints["sizes"].reshape(-1, 4), np.diff(sums[ints["offsets"]], axis=0)))
+        links, times = np.frombuffer(row["links"], np.int32), np.frombuffer(row["times"], np.int32).astype(np.int64)
+        at = np.searchsorted(known, np.frombuffer(row["pairs"], np.int64))[links]
+        n_best, total = _offsets(times * best[at]), _offsets(times * count[at])
         for d in row["docs"]:
-            total = of_unit[units[d["begin"] : d["end"]]].sum(axis=0).tolist()
-            names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-            out.append({"doc_id": d["doc_id"], **dict(zip(names, total, strict=True)), "groups_sha256": d["groups_sha256"]})
+            a, b = d.pop("begin"), d.pop("end")
+            out.append(d | {"n_best": int(n_best[b] - n_best[a]), "count_sum": int(total[b] - total[a])})
     return pa.Table.from_pylist(out, _ALIGNED)
 
 
@@ -405,8 +404,9 @@ def align_tokenizers(
         F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
-    chunks = write_table(rows.mapInArrow(_encode(files, chunk_bytes), ENCODED), "aligned-chunks")
-    each = chunks.select("chunk", "pairs", "times").mapInArrow(_pair_counts, COUNTS)
+    encoded_rows = rows.mapInArrow(_encode(files, chunk_bytes), ENCODED)
+    chunks = write_table(encoded_rows, "aligned-chunks", options=SMALL_GROUPS)
+    each = chunks.select("chunk", "pairs", "counts").mapInArrow(_pair_counts, COUNTS)
     counts = write_table(each.groupBy("pair").agg(F.sum("n").alias("count")), "pair-counts")
     b_id = F.pmod("pair", F.lit(_piece_ids(files)))
     # One row per id of the vocabulary, whatever the data.

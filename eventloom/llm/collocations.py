@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.llm import rolling
-from eventloom.llm.common import arrow_limits, write_table
+from eventloom.llm.common import SMALL_GROUPS, arrow_limits, write_table
 
 LEAST = 100
 LONGEST = 5
@@ -389,7 +389,7 @@ def phrase_counts(
     )
     seed, alike = 0, True
     while alike:
-        found = write_table(rows.mapInArrow(_chunked(chunk_bytes, seed), WORDS), "phrase-chunks")
+        found = write_table(rows.mapInArrow(_chunked(chunk_bytes, seed), WORDS), "phrase-chunks", options=SMALL_GROUPS)
         each = found.where("word is not null").select("chunk", "lang", "word", "fp", "n")
         text_of = F.struct("lang", "word")
         named = each.groupBy("fp").agg(F.sum("n").alias("n"), F.min(text_of).alias("w"), F.max(text_of).alias("v"))
@@ -399,10 +399,10 @@ def phrase_counts(
     all_words = each.groupBy("lang").agg(F.sum("n").alias("n"))
     chunks = found.where("ids is not null").select("chunk", "ids", "fps")
     of_chunk = chunks.mapInArrow(_own_words, "chunk bigint, fp bigint")
-    runs = write_table(_meet(chunks, of_chunk, words.select("fp"), _keep_words, CHUNKS), "phrase-runs")
+    runs = write_table(_meet(chunks, of_chunk, words.select("fp"), _keep_words, CHUNKS), "phrase-runs", options=SMALL_GROUPS)
     counts = runs.mapInArrow(_counted(range(2, 3), bits), COUNTS)
     pairs = _frequent(counts, least)
-    runs = write_table(_meet(runs, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs")
+    runs = write_table(_meet(runs, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs", options=SMALL_GROUPS)
     longer = _frequent(runs.mapInArrow(_counted(range(3, longest + 1), bits), COUNTS), least)
     marks = pairs.unionByName(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
     marks = write_table(marks, "phrase-marks")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,14 +47,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
+# For tables of large rows: writers and readers hold a row group at a time.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20)}
+
+
+def write_table(
+    df: DataFrame, name: str, partition_by: Iterable[str] = (), options: Mapping[str, str] | None = None
+) -> DataFrame:
     """Write to the cluster's shared folder and read it back.
 
     Cuts lineage, keeps what several later steps read, and outlives lost executors.
     """
     spark = df.sparkSession
     path = work_folder(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).options(**(options or {})).parquet(path)
     schema = df.schema
     return spark.read.schema(schema).parquet(path)
 
