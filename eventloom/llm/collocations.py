@@ -80,6 +80,10 @@ class Numbered(NamedTuple):
     words: list[bytes]
     n: np.ndarray
 
+    @property
+    def parts(self) -> list[np.ndarray]:
+        return list(_cut(self.ids, ROW_WORDS))
+
 
 def numbered(texts: list[bytes], langs: list[str], seed: int = 0) -> Numbered:
     """With a `seed` words are named by a keyed hash, for the case that the polynomials name two of them alike."""
@@ -158,7 +162,7 @@ def _cut(ids: np.ndarray, most: int) -> Iterator[np.ndarray]:
 def _both(chunk: int, found: Numbered) -> Iterator[pa.RecordBatch]:
     """Rows of the chunk, numbered on from `chunk`, none of them large, then one for each of its words."""
     names = [*_CHUNK.names, *(name for name, _ in _OF_WORD)]
-    for k, ids in enumerate(_cut(found.ids, ROW_WORDS)):
+    for k, ids in enumerate(found.parts):
         own = _table([_kept(chunk + k, ids, ids >= 0, found.fps)]).to_batches()[0]
         yield pa.RecordBatch.from_arrays([*own.columns, *(pa.nulls(1, kind) for _, kind in _OF_WORD)], names=names)
     for i in range(0, len(found.words), 1 << 14):
@@ -175,8 +179,8 @@ def _both(chunk: int, found: Numbered) -> Iterator[pa.RecordBatch]:
 
 def _chunked(chunk_bytes: int, seed: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Numbers of rows: a chunk has fewer than bytes.
-        number = TaskContext.get().partitionId() << 40
+        # Numbers of rows are kept short, as they travel with every fingerprint: 2 ** 24 for a partition.
+        number = TaskContext.get().partitionId() << 24
         texts, langs, size = [], [], 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -185,8 +189,9 @@ def _chunked(chunk_bytes: int, seed: int) -> Callable:
                     langs.append(lang)
                     size += len(part)
                     if size >= chunk_bytes:
-                        yield from _both(number, numbered(texts, langs, seed))
-                        texts, langs, size, number = [], [], 0, number + size + len(texts)
+                        found = numbered(texts, langs, seed)
+                        yield from _both(number, found)
+                        texts, langs, size, number = [], [], 0, number + len(found.parts)
         if texts:
             yield from _both(number, numbered(texts, langs, seed))
 
@@ -218,13 +223,25 @@ def _fps(table: pa.Table) -> np.ndarray:
     return np.sort(table.column("fp").to_numpy().view(np.uint64))
 
 
-def _keep_words(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Chunks without their rare words."""
-    out, good = [], _fps(right)
-    for chunk, ids, fps in _rows(left):
-        known = np.append(np.isin(fps, good), False)
-        out.append(_kept(chunk, ids, known[ids] & (ids >= 0), fps))
-    return _table(out)
+def _among_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones; by bisection, as a row has few of very many."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _frequent_pairs(bits: int) -> Callable:
+    """Fingerprints of the pairs of frequent words of a chunk, each once with its count."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, good = [_COUNT.empty_table()], _fps(right)
+        for chunk, ids, fps in _rows(left):
+            known = np.append(_among_sorted(fps, good), False)
+            ids = np.where(known[ids] & (ids >= 0), ids, -1)
+            out.append(pa.Table.from_batches(_counts(chunk, grams(ids, fps, 2, bits)[1]), _COUNT))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _keep_pairs(bits: int) -> Callable:
@@ -235,7 +252,7 @@ def _keep_pairs(bits: int) -> Callable:
         for chunk, ids, fps in _rows(left):
             at, pairs = grams(ids, fps, 2, bits)
             joined = np.zeros(len(ids) + 1, bool)
-            joined[at[np.isin(pairs, good)]] = True
+            joined[at[_among_sorted(pairs, good)]] = True
             use = joined[:-1] | np.append(False, joined[:-2])
             # A pair that is not frequent parts two runs that lie side by side.
             cut = np.flatnonzero(use[:-1] & use[1:] & ~joined[: len(ids) - 1]) + 1
@@ -254,6 +271,17 @@ def _own_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_COUNT = pa.schema([("chunk", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+
+
+def _counts(chunk: int, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    fps, n = np.unique(fps, return_counts=True)
+    for i in range(0, len(fps), 1 << 16):
+        part = fps[i : i + (1 << 16)].view(np.int64)
+        columns = [pa.array(np.full(len(part), chunk, np.int64)), pa.array(part), pa.array(n[i : i + (1 << 16)].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, schema=_COUNT)
+
+
 def _counted(sizes: range, bits: int) -> Callable:
     """Fingerprints of a chunk's n-grams, each once with its count."""
 
@@ -261,16 +289,7 @@ def _counted(sizes: range, bits: int) -> Callable:
         for batch in batches:
             for chunk, ids, values in _rows(batch):
                 for size in sizes:
-                    fps, n = np.unique(grams(ids, values, size, bits)[1], return_counts=True)
-                    for i in range(0, len(fps), 1 << 16):
-                        part = fps[i : i + (1 << 16)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(part), chunk, np.int64)), pa.array(part),
-                                pa.array(n[i : i + (1 << 16)].astype(np.int64)),
-                            ],
-                            names=["chunk", "fp", "n"],
-                        )
+                    yield from _counts(chunk, grams(ids, values, size, bits)[1])
 
     return run
 
@@ -294,7 +313,7 @@ def _spelled(chunk: Chunk, good: np.ndarray, longest: int, bits: int) -> Iterato
     _, ids, values = chunk
     for size in range(2, longest + 1):
         at, fps = grams(ids, values, size, bits)
-        keep = np.isin(fps, good)
+        keep = _among_sorted(fps, good)
         if keep.any():
             places, fps, n = _by_text(ids, at[keep], fps[keep], size)
             yield size, fps, values[ids[places[:, None] + np.arange(size)]], n
@@ -320,6 +339,8 @@ def _materialise(longest: int, bits: int) -> Callable:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         fps, pointer = right.column("fp").to_numpy().view(np.uint64), right.column("pointer").to_numpy()
+        order = np.argsort(fps)
+        fps, pointer = fps[order], pointer[order]
         return _phrases(x for chunk in _rows(left) for x in _spelled(chunk, fps[pointer == chunk[0]], longest, bits))
 
     return run
@@ -399,10 +420,10 @@ def phrase_counts(
     all_words = each.groupBy("lang").agg(F.sum("n").alias("n"))
     chunks = found.where("ids is not null").select("chunk", "ids", "fps")
     of_chunk = chunks.mapInArrow(_own_words, "chunk bigint, fp bigint")
-    runs = write_table(_meet(chunks, of_chunk, words.select("fp"), _keep_words, CHUNKS), "phrase-runs", options=SMALL_GROUPS)
-    counts = runs.mapInArrow(_counted(range(2, 3), bits), COUNTS)
+    counts = _meet(chunks, of_chunk, words.select("fp"), _frequent_pairs(bits), COUNTS)
     pairs = _frequent(counts, least)
-    runs = write_table(_meet(runs, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs", options=SMALL_GROUPS)
+    # A frequent pair has frequent words, or shares its fingerprint with one that has.
+    runs = write_table(_meet(chunks, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs", options=SMALL_GROUPS)
     longer = _frequent(runs.mapInArrow(_counted(range(3, longest + 1), bits), COUNTS), least)
     marks = pairs.unionByName(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
     marks = write_table(marks, "phrase-marks")
