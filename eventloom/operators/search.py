@@ -281,7 +281,8 @@ def dependency_edges(
 ) -> DataFrame:
     """Calls between consecutive services of a user's session: count, errors and latency.
 
-    Neighbours are found per user and day, with the last call of a day carried over.
+    Neighbours are found per user and hour, with the last call of an hour carried over, so that a service account or
+    the events without a user are spread over as many tasks as they have hours.
     """
     from eventloom.functions.fields import duration_ms
     from eventloom.functions.timeops import epoch_seconds
@@ -292,7 +293,7 @@ def dependency_edges(
     )
     order = ["timestamp", "event_id"]
     edged = previous(
-        calls, list(keys), floor_to(F.col("timestamp"), "1 day"), order, ["service", "timestamp"], "_from"
+        calls, list(keys), floor_to(F.col("timestamp"), "1 hour"), order, ["service", "timestamp"], "_from"
     )
     waited = epoch_seconds(F.col("timestamp")) - epoch_seconds(F.col("_from.timestamp"))
     calls_between = edged.where(

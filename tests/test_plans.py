@@ -164,3 +164,39 @@ def test_percentiles_hold_no_arrays_and_count_null_keys(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()
     found = {r.k: (r.p50, r.p99) for r in got.collect()}
     assert found == {None: (1125.0, 2227.5), "a": (1.5, 1.5)}
+
+
+def _plan_counts(df):
+    """(scans, hash exchanges) of the initial plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan parquet"), plan.count("Exchange hashpartitioning")
+
+
+def test_spans_and_groups_take_one_pass(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    from eventloom.operators import alerts
+
+    rng = random.Random(8)
+    now = dt.datetime(2024, 1, 2)
+    rows = [(now + dt.timedelta(seconds=rng.randrange(400_000)), f"a{i}", rng.choice(["r", "s", None])) for i in range(3000)]
+    rows += [(now + dt.timedelta(seconds=400_000 + 301 * i), f"z{i}", "edge") for i in range(5)]
+    rows += [(now + dt.timedelta(seconds=300 * i), f"y{i}", "near") for i in range(5)] * 2
+    spark.createDataFrame(rows, "fired_at timestamp, alert_event_id string, rule_id string").write.parquet(str(tmp_path / "alerts"))
+    alert_events = spark.read.parquet(str(tmp_path / "alerts"))
+    for gap in (0, 1, 60, 300):
+        found = alerts.group_alerts(alert_events, gap=gap)
+        want = set()
+        for rule in {r for *_, r in rows}:
+            times = sorted(t for t, _, r in rows if r == rule)
+            groups = [[times[0]]]
+            for t in times[1:]:
+                groups[-1].append(t) if (t - groups[-1][-1]).total_seconds() <= gap else groups.append([t])
+            want |= {(rule, k, len(g), g[0], g[-1]) for k, g in enumerate(groups, 1)}
+        assert {tuple(r) for r in found.collect()} == want
+    assert _plan_counts(alerts.group_alerts(alert_events)) == (1, 2)
+    counts = spark.createDataFrame([(now, "s", "t", "error", 2)], "bucket timestamp, source string, event_type string, severity string, count bigint")
+    counts.write.parquet(str(tmp_path / "counts"))
+    scans, exchanges = _plan_counts(alerts.breach_spans(spark.read.parquet(str(tmp_path / "counts")), threshold=1))
+    assert scans == 1 and exchanges <= 2
