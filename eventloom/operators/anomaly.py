@@ -219,17 +219,18 @@ def user_velocity(
 ) -> DataFrame:
     """Seconds in which a user's trailing `window` seconds hold unusually many events.
 
-    Events are first counted per user and second; the trailing sum is cut into stretches
-    of `slot` seconds, and the user's own mean and deviation come back by a salted join.
+    Events are first counted per user and second. Each second is copied into the stretches of at least `slot` seconds
+    that look back at it, so that a stretch is summed on its own, after one exchange and over at most `window` rows a
+    second; the user's own mean and deviation come back by a salted join.
     """
     seconds = (
         ev.withColumn("at_second", epoch_seconds(F.col("timestamp")))
         .groupBy("user_id", "at_second")
         .agg(F.count("*").alias("_n"))
     )
-    speeds = trailing_sums(
-        seconds, ["user_id"], "at_second", {"recent": F.col("_n")}, (window, 0), slot
-    ).drop("_n")
+    copied = with_lookback(seconds, F.col("at_second"), max(slot, 2 * window), window)
+    trailing = W.partitionBy("user_id", "_slot").orderBy("at_second").rangeBetween(-window, 0)
+    speeds = copied.withColumn("recent", F.sum("_n").over(trailing)).where("_own").select("user_id", "at_second", "recent")
     usual = speeds.groupBy("user_id").agg(
         F.avg("recent").alias("mean"), F.stddev_samp("recent").alias("stddev")
     )

@@ -200,3 +200,11 @@ def test_spans_and_groups_take_one_pass(spark, tmp_path):
     counts.write.parquet(str(tmp_path / "counts"))
     scans, exchanges = _plan_counts(alerts.breach_spans(spark.read.parquet(str(tmp_path / "counts")), threshold=1))
     assert scans == 1 and exchanges <= 2
+
+
+def test_velocity_takes_one_exchange_for_its_frames(spark, tmp_path):
+    from eventloom.operators import anomaly
+
+    spark.range(10).select(F.timestamp_seconds("id").alias("timestamp"), F.col("id").alias("user_id")).write.parquet(str(tmp_path / "ev"))
+    scans, exchanges = _plan_counts(anomaly.user_velocity(spark.read.parquet(str(tmp_path / "ev"))))
+    assert scans <= 2 and exchanges <= 7
