@@ -38,6 +38,18 @@ def narrow(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
     )
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as tell it apart from the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds (`no_id`, `key`), which names a row: its id or, where that is null, a hash of its text."""
     return docs.select(

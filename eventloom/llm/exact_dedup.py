@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACE, arrow_limits, narrow, slices, write_table
+from eventloom.llm.common import SPACE, arrow_limits, narrow, slices, unused, write_table
 
 BLOCK = 4096
 CHUNK_BYTES = 8 << 20
@@ -161,13 +161,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
-    )
+    """The documents that stay, with all their columns, whatever their names."""
+    id_, sha, text_sha = unused(docs.columns, "_id", "_sha", "_text_sha")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    hashed = docs.withColumn("_text_sha", F.sha2(text, 256))
-    found = hashed.join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi"
-    )
-    return found.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+    hashed = docs.withColumn(text_sha, F.sha2(text, 256))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_sha) == F.col(sha))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", text_sha]).drop(text_sha)

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import unused
+
 SLOTS = 8191
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -53,6 +55,11 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(slots)).cast("int")
 
 
+def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What places a row: its id, or its text where it has none."""
+    return F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text|"), F.col(f"`{text}`")), F.lit("text|"))
+
+
 def assign_shards(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: Sequence[str] = SHARDS, slots: int = SLOTS
 ) -> DataFrame:
@@ -62,17 +69,20 @@ def assign_shards(
     they do not all meet on one shard; a null text counts as empty. Other columns are not read,
     and an empty table gives an empty result. Documents are not shuffled.
     """
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text|"), F.col(f"`{text}`")), F.lit("text|"))
+    key = key_of(doc_id, text)
     placed = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), slot_of(key, slots).alias("slot"))
     table = table_frame(docs.sparkSession, shards, slots)
     # The table has a fixed number of rows, under 200 kB with the default size.
     return placed.join(F.broadcast(table), "slot").select("doc_id", "slot", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """Write whole documents as Parquet below `path`, one folder per shard, its files by slot."""
-    table = table_frame(docs.sparkSession)
-    rows = docs.withColumn("slot", slot_of(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
-    rows = rows.join(F.broadcast(table), "slot")
-    part = F.col("slot") % files_per_shard
-    rows.repartition("shard", part).drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str) -> None:
+    """Write whole documents as Parquet below `path`, one folder per shard, as `assign_shards` places them.
+
+    A shard is written by as many tasks as its size asks for. Of the documents' columns only `shard` gives way to that
+    of the folders.
+    """
+    slot, shard = unused(docs.columns, "slot", "to_shard")
+    table = table_frame(docs.sparkSession).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    rows = docs.withColumn(slot, slot_of(key_of())).join(F.broadcast(table), slot).drop(slot, "shard")
+    rows.withColumnRenamed(shard, "shard").hint("rebalance", "shard").write.partitionBy("shard").parquet(path)

@@ -54,7 +54,8 @@ def odd(spark):
         (3, text, "x", "t", 1), (-5, "short", "x", "t", 1),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    for name in ("key", "no_id", "kept", "size", "rank", "bucket", "doc", "fp", "n", "a.b"):
+    for name in ("key", "no_id", "kept", "size", "rank", "bucket", "doc", "fp", "n", "a.b", "_id", "_sha", "_text_sha", "batch",
+                 "bucket_", "slot", "Shard"):
         df = df.selectExpr("*", f"'clash' AS `{name}`")
     return df
 

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from eventloom.llm import mixing, packing, quality_rules
+from eventloom.llm import mixing, packing, quality_rules, sharding
 from eventloom.llm.common import write_table
 from eventloom.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
@@ -64,4 +64,24 @@ def test_stages_on_odd_tables(spark, request, which):
         out = write_table(stage(spark, docs, FOLDER), "stage")
         assert out.columns == docs.columns
         docs = out
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == docs.count()
+    packed = write_table(corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER), "packed")
+    assert packed.count() == docs.count() and packed.columns[: len(docs.columns)] == docs.columns
+    if which == "odd":
+        whole = request.getfixturevalue(which)
+        for name, stage in corpus_pipeline.STAGES[1:-1]:  # each for itself, as the first keeps none of these rows
+            kept = write_table(stage(spark, whole, FOLDER), "alone")
+            assert kept.count() > 0 and kept.columns == whole.columns, name
+            assert kept.select("_id", "_sha", "_text_sha").distinct().collect() == [("clash",) * 3]
+        packed = write_table(corpus_pipeline.pack(spark, whole, FOLDER), "packed")
+        assert packed.count() == whole.count()
+        assert packed.columns[len(docs.columns) :] == ["n_tokens", "bucket__", "bucket_len", "batch_"]
+        assert packed.select("batch", "bucket_", "_id").distinct().collect() == [("clash",) * 3]
+
+
+def test_shards_are_written_as_assigned(spark, odd, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.columns == [*(c for c in odd.columns if c != "Shard"), "shard"]
+    assert back.where("slot = 'clash'").count() == odd.count()
+    placed = Counter((r["doc_id"], r["shard"]) for r in sharding.assign_shards(odd).collect())
+    assert Counter((r["doc_id"], r["shard"]) for r in back.collect()) == placed
