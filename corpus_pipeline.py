@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import write_table
+from eventloom.llm.common import unused, write_table
 from eventloom.llm.exact_dedup import keep_first
 from eventloom.llm.mixing import mixture
 from eventloom.llm.packing import packed_documents
@@ -34,10 +34,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in batches of similar length; their own columns first."""
+    """Documents in batches of similar length; their own columns first.
+
+    n_tokens, bucket, bucket_len and batch follow, each with an underscore more where the documents have that name.
+    """
     packed = packed_documents(docs)
     own = [F.col("doc")[c].alias(c) for c in docs.columns]
-    return packed.select(*own, "n_tokens", "bucket", "bucket_len", "batch")
+    new = ("n_tokens", "bucket", "bucket_len", "batch")
+    return packed.select(*own, *(F.col(c).alias(n) for c, n in zip(new, unused(docs.columns, *new), strict=True)))
 
 
 STAGES = [
