@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventloom.schemas import is_error
+from eventloom.streaming.jobs import start_batches
 from eventloom.streaming.state import keep_state
 from eventloom.streaming.tables import read_table, write_batch
 
@@ -125,14 +126,11 @@ def start_lifecycle(
     """Write the changes of `lifecycle_changes` to the table `lifecycle`; a repeated batch replaces itself."""
     keep_state(events.sparkSession)
     changes = lifecycle_changes(events, threshold=threshold, width_seconds=width_seconds, delay=delay)
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (
-        changes.writeStream.outputMode("append")
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, root, "lifecycle", batch_id, "fired_at"))
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, root, "lifecycle", batch_id, "fired_at")
+
+    return start_batches(changes, step, checkpoint, interval)
 
 
 def lifecycle_spans(spark: SparkSession, root: str) -> DataFrame:

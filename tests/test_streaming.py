@@ -256,3 +256,46 @@ def test_lifecycle_resolves_on_silence_and_across_restarts(spark, root, tmp_path
     got = lifecycle.lifecycle_spans(spark, root).collect()
     assert sorted(r["status"] for r in got) == ["firing", "resolved"]
     assert max(r["fired_at"] for r in got) == NOW + 5 * hour
+
+
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    yield 40
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _states(checkpoint):
+    return [len([d for d in os.listdir(f"{checkpoint}/state/{op}") if d.isdigit()]) for op in os.listdir(f"{checkpoint}/state")]
+
+
+def test_state_partitions_follow_cores_not_shuffles(spark, root, tmp_path, many_partitions):
+    rows = [(str(i), "error", NOW + dt.timedelta(minutes=i)) for i in range(30)]
+    event_frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+    _drain(stream(), root, f"{tmp_path}/cp")
+    lifecycle.start_lifecycle(stream(), root, f"{tmp_path}/cp-alerts", threshold=2).awaitTermination()
+    jobs.start_batches(jobs.once_within(stream(), "1 hour"), lambda batch, _: batch.collect(), f"{tmp_path}/cp-3", None, partitions=3).awaitTermination()
+    assert _states(f"{tmp_path}/cp") == [8]
+    assert _states(f"{tmp_path}/cp-alerts") == [8, 8]
+    assert _states(f"{tmp_path}/cp-3") == [3]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(many_partitions)
+    assert totals(spark, root) == {"error": 30}
+
+
+def test_batches_are_written_by_size(spark, root, tmp_path, monkeypatch, many_partitions):
+    """In a stream as in a replay, rows to be written lie in as many parts as they fill, not one per shuffle partition."""
+    seen = []
+
+    def spy(df, at, name, *args, write=tables.write_batch, **how):
+        seen.append((df.sparkSession.conf.get("spark.sql.adaptive.enabled"), df.rdd.getNumPartitions()))
+        write(df, at, name, *args, **how)
+
+    monkeypatch.setattr(tables, "write_batch", spy)
+    rows = event_frame(spark, [(str(i), "info", NOW + dt.timedelta(hours=i)) for i in range(72)])
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    jobs.replay(rows, root, 0, "2024-01-01", "2024-01-04")
+    _drain(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), root, f"{tmp_path}/cp")
+    assert len(seen) == 4 and all(adaptive == "true" and parts <= 8 for adaptive, parts in seen)
+    assert totals(spark, root) == {"info": 72}
