@@ -18,7 +18,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +32,8 @@ from eventloom.llm.common import SMALL_GROUPS, arrow_limits, write_table
 CHUNK_BYTES = 4 << 20
 ROW_BYTES = 128 << 10
 ENCODE = 4096
+# Units that are encoded as one text.
+JOINED = 16
 BROADCAST_ROWS = 1_000_000
 # Files of the two tokenizers.
 BYTE_FILE = "byte_bpe_50k.json"
@@ -103,12 +105,10 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[str], list[list[int]], list[list[int]]]]:
-        """Ids of the units by both, some thousand at a time; the first gets a space in front, which the second adds."""
-        for i in range(0, len(units), ENCODE):
-            part = units[i : i + ENCODE]
-            a = self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False)
-            yield part, [x.ids for x in a], self.b.encode(part, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of the texts by both; the first gets a space in front, which the second adds."""
+        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [x.ids for x in a], self.b.encode(texts, num_threads=1)
 
     def faithful(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
         """Whether the tokens of both spell each unit, byte for byte."""
@@ -118,15 +118,35 @@ class Tokenizers:
             for w, x, y in zip(want, a, b, strict=True)
         ]
 
-    def all_faithful(self, units: list[str], a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bool:
-        """The same for all units at once: equal bytes in total, and equal numbers of them in each."""
-        want = [(" " + u).encode() for u in units]
-        sizes = np.fromiter(map(len, want), np.int64, len(want))
-        for side, (ids, own, spelled) in enumerate(((a, self.a_sizes, self.a_bytes), (b, self.b_sizes, self.b_bytes))):
-            upto = _offsets(own[ids])[_offsets(counts[:, side])]
-            if (np.diff(upto) != sizes).any() or b"".join(map(spelled.__getitem__, ids.tolist())) != b"".join(want):
-                return False
-        return True
+    def numbers(self, units: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+        """Of all units put together, the numbers of tokens in each, if both spell all and no token is of two units."""
+        text = "".join([" " + u for u in units])
+        want = text.encode()
+        sizes = map(len, units) if len(want) == len(text) else (len(u.encode()) for u in units)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(units)) + 1)
+        counts = []
+        for ids, own, spelled in ((a, self.a_sizes, self.a_bytes), (b, self.b_sizes, self.b_bytes)):
+            upto = _offsets(own[ids])
+            tokens = np.searchsorted(upto, ends, "right") - 1
+            if (upto[tokens] != ends).any() or b"".join(map(spelled.__getitem__, ids.tolist())) != want:
+                return None
+            counts.append(np.diff(tokens, prepend=0))
+        return np.column_stack(counts)
+
+
+def _joined(units: list[str], most: int) -> Iterator[list[str]]:
+    """Up to `most` units each that can stand as they were cut: with a single space between two other characters."""
+    own: list[str] = []
+    open_ = False
+    for unit in units:
+        inner = unit.strip() == unit
+        if own and not (inner and open_ and len(own) < most):
+            yield own
+            own = []
+        own.append(unit)
+        open_ = inner
+    if own:
+        yield own
 
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -184,18 +204,41 @@ def _flat(lists: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int32)
 
 
-def encoded(units: list[str], tokenizers: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _together(units: list[str], tokenizers: Tokenizers, most: int = JOINED) -> Encoded:
+    """`encoded` for units as texts of some each; only those of a text that is not spelled exactly go one by one."""
+    runs = list(_joined(units, most))
+    texts = [" ".join(own) for own in runs]
+    a, b = tokenizers.encode(texts)
+    good = np.ones(len(units), bool)
+    ids = _flat(a), _flat(b)
+    counts = tokenizers.numbers(units, *ids)
+    if counts is None:
+        spelled = tokenizers.faithful(texts, a, b)
+        alone = [u for own, g in zip(runs, spelled, strict=True) if not g for u in own]
+        of_a, of_b = tokenizers.encode(alone)
+        each = iter(list(zip(of_a, of_b, tokenizers.faithful(alone, of_a, of_b), strict=True)))
+        kept: list[tuple[list[int], list[int]]] = []
+        marks: list[bool] = []
+        for own, x, y, g in zip(runs, a, b, spelled, strict=True):
+            found = [(x, y, True)] if g else list(islice(each, len(own)))
+            kept += [(x, y) for x, y, fits in found if fits]
+            marks += [True] * len(own) if g else [fits for *_, fits in found]
+        good = np.array(marks, bool)
+        ids = _flat([x for x, _ in kept]), _flat([y for _, y in kept])
+        own_counts = tokenizers.numbers([u for u, g in zip(units, marks, strict=True) if g], *ids)
+        if own_counts is None:
+            return _together(units, tokenizers, 1)
+        counts = np.zeros((len(units), 2), np.int64)
+        counts[good] = own_counts
+    return *ids, counts, good
+
+
+def encoded(units: list[str], tokenizers: Tokenizers) -> Encoded:
     """(ids of a, ids of b, their numbers by unit, whether a unit is spelled exactly); others have no tokens."""
-    parts = []
-    for part, a, b in tokenizers.encode(units):
-        ids = [_flat(a), _flat(b)]
-        counts = np.array([list(map(len, a)), list(map(len, b))], np.int64).T
-        good = np.ones(len(part), bool)
-        if not tokenizers.all_faithful(part, *ids, counts):
-            good = np.array(tokenizers.faithful(part, a, b), bool)
-            ids = [_flat([x for x, g in zip(own, good, strict=True) if g]) for own in (a, b)]
-            counts[~good] = 0
-        parts.append((*ids, counts, good))
+    parts = [_together(units[i : i + ENCODE], tokenizers) for i in range(0, len(units), ENCODE)]
     none = np.empty(0, np.int32), np.empty(0, np.int32), np.empty((0, 2), np.int64), np.empty(0, bool)
     return tuple(np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
 
@@ -276,7 +319,10 @@ def _row(chunk: int, docs: list[tuple], ends: list[int], units: np.ndarray, made
     n_links = made.sizes[used, 3]
     upto = _offsets(n_links)
     links = made.links[np.repeat(made.offsets[used] - upto[:-1], n_links) + np.arange(upto[-1])]
-    pairs, links = np.unique(links, return_inverse=True)
+    present = np.zeros(len(made.pairs), bool)
+    present[links] = True
+    pairs = np.flatnonzero(present)
+    links = (np.cumsum(present) - 1)[links]
     keys, times = np.unique(np.repeat(owner, n_links) * (len(pairs) + 1) + links, return_counts=True)
     cuts = np.searchsorted(keys, np.arange(len(rows) + 1) * (len(pairs) + 1)).tolist()
     for r, first, last in zip(rows, cuts[:-1], cuts[1:], strict=True):

@@ -1,5 +1,6 @@
 """Collocations and the alignment of tokenizers next to plain versions."""
 
+import copy
 import random
 
 import numpy as np
@@ -141,3 +142,26 @@ def test_alignment_of_a_text_of_several_chunks(spark, corpus, tokenizers):
     got = alignment.align_tokenizers(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), chunk_bytes=2000)
     row = got.where("doc_id = 1").first()
     assert (row["n_a"], row["n_b"]) == (len(a), len(tokenizers.b.encode(text)))
+
+
+def test_units_are_encoded_some_at_a_time(tokenizers):
+    """The same tokens as one by one, with fewer texts to encode; odd units send no others on their own."""
+
+    class Counting:
+        texts = 0
+
+        def encode(self, texts, **how):
+            self.texts += len(texts)
+            return tokenizers.b.encode(texts, **how)
+
+    plain = [f"w{i}é" for i in range(3200)]
+    spy = copy.copy(tokenizers)
+    spy.b = Counting()
+    for odd in ([], [u for t in TEXTS for u in alignment.CUT.split(t)]):
+        units = list(dict.fromkeys(plain[:1600] + odd + plain[1600:]))
+        spy.b.texts = 0
+        got = alignment.encoded(units, spy)
+        assert spy.b.texts < 400
+        each = [alignment.encoded([u], tokenizers) for u in units]
+        assert [x.tolist() for x in got] == [np.concatenate(x).tolist() for x in zip(*each, strict=True)]
+        assert got[3].all() == (not odd)
