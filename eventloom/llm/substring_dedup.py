@@ -66,8 +66,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     lengths = ends - starts
     rows = np.searchsorted(offsets, starts, "right") - 1
     placed = np.cumsum(lengths + 1) - (lengths + 1)
-    text = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)
-    text[np.flatnonzero(word) + np.repeat(placed - starts, lengths)] = data[word]
+    # A mask for where word bytes go: a byte each, where numbers of places would take 24.
+    inner = np.ones(int(lengths.sum()) + len(lengths), bool)
+    inner[placed + lengths] = False
+    text = np.full(len(inner), 0x20, np.uint8)
+    text[inner] = data[word]
     return Words(text, placed, placed + lengths, rows)
 
 

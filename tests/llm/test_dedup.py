@@ -1,5 +1,7 @@
 """Deduplication operators against brute force and on odd tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,17 @@ def test_substring_dedup_deals_large_buckets_again(docs, corpus, monkeypatch):
     assert whole and found() == whole
 
 
+def test_words_take_little_memory():
+    """A task holds two 8 MB chunks or a 16 MB bucket of text: places of words may be numbered, those of bytes may not."""
+    data = np.frombuffer(b"seven77 " * (1 << 18) + b"end", np.uint8)
+    tracemalloc.start()
+    words = sk.words_of(data, np.array([0, 4, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words.text.tobytes() == b"seve n77 " + b"seven77 " * ((1 << 18) - 1) + b"end "
+    assert peak < 15 * len(data)
+
+
 def test_substring_buckets_are_bounded(spark, monkeypatch):
     """A phrase in a third of the documents, and a passage shorter than a window in others, among different words."""
     rng = np.random.default_rng(3)
