@@ -2,9 +2,12 @@
 
 Texts are turned once into chunks of word numbers. Prefix polynomials over bytes name the words, and over words
 the n-grams; equal fingerprints are counted in the chunk, the shuffle adds the counts up and keeps a pointer, the
-first chunk that holds one. Only there frequent phrases are written out, and every chunk compares its own
+a chunk that holds one. Only there frequent phrases are written out, and every chunk compares its own
 occurrences with them; what differs is taken off and counted by itself. No two words of the corpus may share
-a fingerprint: all are compared by text, and if two do, the words are named anew.
+a frequent fingerprint: they are compared by text, and if two do, the words are named anew.
+
+Counts are packed for the shuffle: sorted fingerprints of some chunks at a time, as differences and cut into ranges. Words
+travel as text only where their fingerprint is frequent; two of one fingerprint that is not are both rare.
 
 A phrase of `least` occurrences consists of words and of pairs of words with at least as many. So
 words are counted first, pairs of frequent words next, and longer phrases where every pair is frequent.
@@ -18,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +37,9 @@ CHUNK_BYTES = 2 << 20
 ROW_WORDS = 1 << 16
 SALTS = 64
 BROADCAST_ROWS = 500_000
+# Counts that a task packs at a time, and those that a range should have.
+PACKED = 1 << 20
+RANGE = 1 << 20
 BITS = 64
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -43,6 +50,8 @@ BLANKS = b" \t"
 WORDS = "chunk bigint, ids binary, fps binary, lang string, word binary, fp bigint, n bigint"
 CHUNKS = "chunk bigint, ids binary, fps binary"
 COUNTS = "chunk bigint, fp bigint, n bigint"
+PACKS = "range int, size int, data binary"
+MARKS = "fp bigint, n bigint, pointer bigint"
 PHRASES = "fp bigint, size int, words array<bigint>, n bigint"
 
 _KIND = np.zeros(256, np.uint8)
@@ -369,10 +378,106 @@ def _verify(longest: int, bits: int) -> Callable:
     return run
 
 
-def _frequent(counts: DataFrame, least: int) -> DataFrame:
+def _sums(fps: np.ndarray, n: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints ascending, each once, with the sum of its counts and a chunk that holds it."""
+    order = np.argsort(fps)
+    fps = fps[order]
+    first = np.flatnonzero(np.append(True, fps[1:] != fps[:-1])) if len(fps) else np.empty(0, np.int64)
+    sums = np.add.reduceat(n[order], first) if len(first) else n
+    return fps[first], sums, chunks[order][first]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Byte by byte of all values, as the high ones are mostly zero."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _pack(fps: np.ndarray, n: np.ndarray, chunks: np.ndarray) -> bytes:
+    names, which = np.unique(chunks, return_inverse=True)
+    columns = (np.diff(fps, prepend=np.uint64(0)), n, which.astype(np.uint32))
+    head = np.array([len(names)], np.int64).tobytes() + names.astype(np.int64).tobytes()
+    return zstandard.compress(head + b"".join(map(_planes, columns)), 1)
+
+
+def _unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    at = 8 + 8 * int(raw[:8].view(np.int64)[0])
+    names, columns = raw[8:at].view(np.int64), []
+    for kind in (np.uint64, np.int64, np.uint32):
+        width = np.dtype(kind).itemsize
+        columns.append(np.ascontiguousarray(raw[at : at + width * size].reshape(width, size).T).view(kind).reshape(-1))
+        at += width * size
+    return np.cumsum(columns[0]), columns[1], names[columns[2]]
+
+
+def _packed(ranges: int) -> Callable:
+    """(range, number, data): counts of some chunks, added up and cut by their fingerprints."""
+
+    def pack(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        fps, n, chunks = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        of = ((fps >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist() if len(of) else []
+        parts = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(of)], strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(of[cuts]), pa.array([x.stop - x.start for x in parts], pa.int32()),
+                pa.array([_pack(fps[x], n[x], chunks[x]) for x in parts], pa.binary()),
+            ],
+            names=["range", "size", "data"],
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            chunk, fp, n = (batch.column(c).to_numpy() for c in ("chunk", "fp", "n"))
+            held.append((fp.view(np.uint64), n, chunk))
+            size += len(fp)
+            if size >= PACKED:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return run
+
+
+def _marks(least: int) -> Callable:
+    """Fingerprints of at least `least` occurrences; all packs of a range lie side by side."""
+
+    def marks(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        fps, n, chunks = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        keep = n >= least
+        columns = [pa.array(fps[keep].view(np.int64)), pa.array(n[keep]), pa.array(chunks[keep])]
+        return pa.RecordBatch.from_arrays(columns, names=["fp", "n", "pointer"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, size = None, [], 0
+        for batch in batches:
+            for of, n, data in zip(*(batch.column(c) for c in ("range", "size", "data")), strict=True):
+                if of.as_py() != last and held:
+                    yield marks(held)
+                    held, size = [], 0
+                last = of.as_py()
+                held.append(_unpack(data.as_py(), n.as_py()))
+                size += n.as_py()
+                if size > 2 * RANGE and len(held) > 1:
+                    # What stands in many packs is added up before all of them are there.
+                    held = [_sums(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = 0
+        if held:
+            yield marks(held)
+
+    return run
+
+
+def _frequent(packs: DataFrame, least: int) -> DataFrame:
     """(fp, n, pointer) of the fingerprints with at least `least` occurrences, and a chunk that holds each."""
-    sums = counts.groupBy("fp").agg(F.sum("n").alias("n"), F.min("chunk").alias("pointer"))
-    return write_table(sums.where(F.col("n") >= least), "phrase-marks")
+    met = packs.repartition("range").sortWithinPartitions("range")
+    return write_table(met.mapInArrow(_marks(least), MARKS), "phrase-marks")
+
+
+def _after(step: Callable, then: Callable | None) -> Callable:
+    return (lambda batches: then(step(batches))) if then else step
 
 
 def _each(step: Callable, right: pa.Table) -> Callable:
@@ -383,16 +488,27 @@ def _each(step: Callable, right: pa.Table) -> Callable:
     return run
 
 
-def _meet(chunks: DataFrame, counts: DataFrame, few: DataFrame, step: Callable, schema: str) -> DataFrame:
+def _meet(
+    chunks: DataFrame, counts: DataFrame, few: DataFrame, step: Callable, schema: str,
+    then: Callable | None = None, then_schema: str = "",
+) -> DataFrame:
     """`step` over each chunk and the rows of the written table `few`, or at least those of the chunk's fingerprints.
 
-    Where `few` is small by count, every task gets all of it; otherwise it is shuffled to the chunks by way of `counts`
+    `then` goes over what that gives, in the same pass where it can. Where `few` is small by count, every task gets all of it; otherwise it is shuffled to the chunks by way of `counts`
     (chunk, fp). Both give the same rows.
     """
     if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return chunks.mapInArrow(_each(step, few.toArrow()), schema)
+        return chunks.mapInArrow(_after(_each(step, few.toArrow()), then), then_schema if then else schema)
     marks = counts.select(F.col("chunk").alias("at"), "fp").distinct().join(few, "fp")
-    return chunks.groupBy("chunk").cogroup(marks.groupBy("at")).applyInArrow(step, schema)
+    found = chunks.groupBy("chunk").cogroup(marks.groupBy("at")).applyInArrow(step, schema)
+    return found.mapInArrow(then, then_schema) if then else found
+
+
+def _among(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows whose `fp` is in the written table `few`, which every task gets where it is small by count."""
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    return rows.join(few, "fp", "left_semi")
 
 
 def phrase_counts(
@@ -412,19 +528,27 @@ def phrase_counts(
     while alike:
         found = write_table(rows.mapInArrow(_chunked(chunk_bytes, seed), WORDS), "phrase-chunks", options=SMALL_GROUPS)
         each = found.where("word is not null").select("chunk", "lang", "word", "fp", "n")
+        all_words = write_table(each.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "phrase-langs")
+        # One row for the corpus: how many counts there are, and no more pairs than words.
+        total = all_words.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
+        ranges = 1 + (total["n"] or 0) // RANGE
+        of_words = each.select("chunk", "fp", "n").mapInArrow(_packed(1 + (total["rows"] or 0) // RANGE), PACKS)
+        often = _frequent(of_words, least)
         text_of = F.struct("lang", "word")
-        named = each.groupBy("fp").agg(F.sum("n").alias("n"), F.min(text_of).alias("w"), F.max(text_of).alias("v"))
-        words = write_table(named.where((F.col("n") >= least) | (F.col("w") != F.col("v"))), "phrase-words")
+        often_texts = _among(each, often.select("fp"))
+        named = often_texts.groupBy("fp").agg(F.sum("n").alias("n"), F.min(text_of).alias("w"), F.max(text_of).alias("v"))
+        words = write_table(named, "phrase-words")
         alike = bool(words.where("w <> v").limit(1).count())
         seed += 1
-    all_words = each.groupBy("lang").agg(F.sum("n").alias("n"))
     chunks = found.where("ids is not null").select("chunk", "ids", "fps")
     of_chunk = chunks.mapInArrow(_own_words, "chunk bigint, fp bigint")
     counts = _meet(chunks, of_chunk, words.select("fp"), _frequent_pairs(bits), COUNTS)
-    pairs = _frequent(counts, least)
+    packs = _meet(chunks, of_chunk, words.select("fp"), _frequent_pairs(bits), COUNTS, _packed(ranges), PACKS)
+    pairs = _frequent(packs, least)
     # A frequent pair has frequent words, or shares its fingerprint with one that has.
     runs = write_table(_meet(chunks, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs", options=SMALL_GROUPS)
-    longer = _frequent(runs.mapInArrow(_counted(range(3, longest + 1), bits), COUNTS), least)
+    longer = runs.mapInArrow(_after(_counted(range(3, longest + 1), bits), _packed(ranges * max(1, longest - 2))), PACKS)
+    longer = _frequent(longer, least)
     marks = pairs.unionByName(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
     marks = write_table(marks, "phrase-marks")
     counts = runs.mapInArrow(_counted(range(2, longest + 1), bits), COUNTS)
@@ -444,7 +568,7 @@ def phrase_counts(
     known = words.select(
         "fp", F.col("w.lang").alias("lang"), F.col("w.word").cast("string").alias("phrase"), "n"
     )
-    return known.drop("fp"), write_table(_texts(exact, known), "phrases"), all_words
+    return known.drop("fp"), write_table(_texts(exact, known), "phrases"), all_words.select("lang", "n")
 
 
 def _texts(phrases: DataFrame, words: DataFrame) -> DataFrame:

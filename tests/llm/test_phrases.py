@@ -85,6 +85,40 @@ def test_collocations_without_broadcast_and_with_collisions(spark, spoken, monke
     assert _mined(df, least=9, chunk_bytes=900, bits=bits) == want
 
 
+def test_counts_are_packed_for_the_shuffle(spark):
+    """Sums over chunks, each with a chunk that holds it, in fewer than ten bytes a fingerprint (rows took some twenty)."""
+    rng = np.random.default_rng(0)
+    fps = rng.integers(0, 1 << 64, 1 << 16, np.uint64)
+    held = [np.unique(rng.choice(fps, 40000)) for _ in range(6)]
+    batches = [b for i, x in enumerate(held) for b in collocations._counts(i, np.concatenate((x, x[:50])))]
+    packs = list(collocations._packed(5)(batches))
+    want, n = np.unique(np.concatenate([np.concatenate((x, x[:50])) for x in held]), return_counts=True)
+    assert sum(len(d.as_py()) for p in packs for d in p.column("data")) < 10 * len(want)
+    assert len({r for p in packs for r in p.column("range").to_pylist()}) == 5
+    df = spark.createDataFrame([r for p in packs for r in p.to_pylist()] * 2, collocations.PACKS)
+    got = {r["fp"] % (1 << 64): (r["n"], r["pointer"]) for r in collocations._frequent(df, 6).collect()}
+    assert {f: c for f, (c, _) in got.items()} == {f: 2 * c for f, c in zip(want.tolist(), n.tolist(), strict=True) if c >= 3}
+    assert all(np.uint64(f) in held[chunk] for f, (_, chunk) in list(got.items())[:300])
+
+
+@pytest.mark.parametrize("told", [collocations.BROADCAST_ROWS, 3])
+def test_text_of_words_travels_only_where_they_are_frequent(spark, monkeypatch, told):
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", told)
+    rows = [("en", f"often here rare{i}") for i in range(40)]
+    words, _, all_words = collocations.phrase_counts(spark.createDataFrame(rows, "lang string, text string"), least=20)
+    assert sorted(r["phrase"] for r in words.collect()) == ["here", "often"]
+    assert [tuple(r) for r in all_words.collect()] == [("en", 120)]
+    each = spark.range(100).select(F.col("id").alias("fp"))
+    few = spark.range(7).select(F.col("id").alias("fp"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = collocations._among(each, few)
+        assert left.count() == 7 and ("BroadcastHashJoin" in left._jdf.queryExecution().toString()) == (told > 7)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_collocations_of_odd_tables(spark, empty, odd):
     assert collocations.collocations(empty).collect() == []
     rows = [(r["lang"], r["text"]) for r in odd.collect()]
