@@ -6,11 +6,12 @@ a chunk that holds one. Only there frequent phrases are written out, and every c
 occurrences with them; what differs is taken off and counted by itself. No two words of the corpus may share
 a frequent fingerprint: they are compared by text, and if two do, the words are named anew.
 
-Counts are packed for the shuffle: sorted fingerprints of some chunks at a time, as differences and cut into ranges. Words
-travel as text only where their fingerprint is frequent; two of one fingerprint that is not are both rare.
+Counts are packed for the shuffle: sorted fingerprints of some chunks at a time, as differences and cut into ranges. Those
+of n-grams have some bits more than the number of words; what collides is told apart by the comparison. A word whose fingerprint
+is frequent is written out at one place, too; two of one fingerprint that is not are both rare.
 
-A phrase of `least` occurrences consists of words and of pairs of words with at least as many. So
-words are counted first, pairs of frequent words next, and longer phrases where every pair is frequent.
+A phrase of `least` occurrences consists of pairs of words with at least as many. So words and all pairs are
+counted, which grows as the texts do, and longer phrases where every pair is frequent.
 """
 
 from __future__ import annotations
@@ -34,13 +35,16 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 CHUNK_BYTES = 2 << 20
-ROW_WORDS = 1 << 16
+ROW_WORDS = 1 << 19
 SALTS = 64
 BROADCAST_ROWS = 500_000
 # Counts that a task packs at a time, and those that a range should have.
 PACKED = 1 << 20
 RANGE = 1 << 20
 BITS = 64
+# Bits of an n-gram's fingerprint beyond those that number the words.
+SPARE = 7
+TIGHT = {**SMALL_GROUPS, "compression": "zstd"}
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # What ends a piece, and what stands between words.
@@ -208,14 +212,18 @@ def _chunked(chunk_bytes: int, seed: int) -> Callable:
 
 
 def grams(ids: np.ndarray, fps: np.ndarray, size: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(place, fingerprint) of each run of `size` words without a break."""
+    """(place, fingerprint) of each run of `size` words without a break.
+
+    Pairs are even and longer runs odd: they are counted apart, and the one's count must not meet the other's.
+    """
     n = len(ids) - size + 1
     if n <= 0 or not len(fps):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     broken = np.concatenate(([0], np.cumsum(ids < 0)))
     at = np.flatnonzero(broken[size:] == broken[:n])
     values = np.where(ids < 0, np.uint64(0), fps[np.maximum(ids, 0)])
-    return at, rolling.mixed(rolling.range_hashes(values, at, at + size), size) >> np.uint64(64 - bits)
+    found = rolling.mixed(rolling.range_hashes(values, at, at + size), size) >> np.uint64(64 - bits)
+    return at, (found | np.uint64(1)) - np.uint64(size == 2)
 
 
 def _kept(chunk: int, ids: np.ndarray, use: np.ndarray, fps: np.ndarray) -> Chunk:
@@ -239,20 +247,6 @@ def _among_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _frequent_pairs(bits: int) -> Callable:
-    """Fingerprints of the pairs of frequent words of a chunk, each once with its count."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out, good = [_COUNT.empty_table()], _fps(right)
-        for chunk, ids, fps in _rows(left):
-            known = np.append(_among_sorted(fps, good), False)
-            ids = np.where(known[ids] & (ids >= 0), ids, -1)
-            out.append(pa.Table.from_batches(_counts(chunk, grams(ids, fps, 2, bits)[1]), _COUNT))
-        return pa.concat_tables(out)
-
-    return run
-
-
 def _keep_pairs(bits: int) -> Callable:
     """Chunks whose runs go on only from word to word of a frequent pair."""
 
@@ -271,15 +265,6 @@ def _keep_pairs(bits: int) -> Callable:
     return run
 
 
-def _own_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, fingerprint) of the words of a chunk."""
-    for batch in batches:
-        for chunk, _, fps in _rows(batch):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(fps), chunk, np.int64)), pa.array(fps.view(np.int64))], names=["chunk", "fp"]
-            )
-
-
 _COUNT = pa.schema([("chunk", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
 
 
@@ -410,12 +395,12 @@ def _unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.cumsum(columns[0]), columns[1], names[columns[2]]
 
 
-def _packed(ranges: int) -> Callable:
+def _packed(ranges: int, bits: int = BITS) -> Callable:
     """(range, number, data): counts of some chunks, added up and cut by their fingerprints."""
 
     def pack(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         fps, n, chunks = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        of = ((fps >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        of = ((fps << np.uint64(BITS - bits) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
         cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist() if len(of) else []
         parts = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(of)], strict=False)]
         return pa.RecordBatch.from_arrays(
@@ -476,8 +461,8 @@ def _frequent(packs: DataFrame, least: int) -> DataFrame:
     return write_table(met.mapInArrow(_marks(least), MARKS), "phrase-marks")
 
 
-def _after(step: Callable, then: Callable | None) -> Callable:
-    return (lambda batches: then(step(batches))) if then else step
+def _after(step: Callable, then: Callable) -> Callable:
+    return lambda batches: then(step(batches))
 
 
 def _each(step: Callable, right: pa.Table) -> Callable:
@@ -488,36 +473,40 @@ def _each(step: Callable, right: pa.Table) -> Callable:
     return run
 
 
-def _meet(
-    chunks: DataFrame, counts: DataFrame, few: DataFrame, step: Callable, schema: str,
-    then: Callable | None = None, then_schema: str = "",
-) -> DataFrame:
+def _small(few: DataFrame) -> bool:
+    return few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _meet(chunks: DataFrame, counts: DataFrame, few: DataFrame, step: Callable, schema: str) -> DataFrame:
     """`step` over each chunk and the rows of the written table `few`, or at least those of the chunk's fingerprints.
 
-    `then` goes over what that gives, in the same pass where it can. Where `few` is small by count, every task gets all of it; otherwise it is shuffled to the chunks by way of `counts`
+    Where `few` is small by count, every task gets all of it; otherwise it is shuffled to the chunks by way of `counts`
     (chunk, fp). Both give the same rows.
     """
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return chunks.mapInArrow(_after(_each(step, few.toArrow()), then), then_schema if then else schema)
+    if _small(few):
+        return chunks.mapInArrow(_each(step, few.toArrow()), schema)
     marks = counts.select(F.col("chunk").alias("at"), "fp").distinct().join(few, "fp")
-    found = chunks.groupBy("chunk").cogroup(marks.groupBy("at")).applyInArrow(step, schema)
-    return found.mapInArrow(then, then_schema) if then else found
+    return chunks.groupBy("chunk").cogroup(marks.groupBy("at")).applyInArrow(step, schema)
+
 
+def _told(few: DataFrame) -> DataFrame:
+    """The written table, for a join in which every task gets it where it is small by count."""
+    return F.broadcast(few) if _small(few) else few
 
-def _among(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """Rows whose `fp` is in the written table `few`, which every task gets where it is small by count."""
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        few = F.broadcast(few)
-    return rows.join(few, "fp", "left_semi")
+
+def _among(rows: DataFrame, few: DataFrame, *on: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose `fp`, or columns `on`, are in the written table `few`."""
+    return rows.join(_told(few), list(on or ("fp",)), how)
 
 
 def phrase_counts(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
-    chunk_bytes: int = CHUNK_BYTES, bits: int = BITS,
+    chunk_bytes: int = CHUNK_BYTES, bits: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, phrase, n) and phrases (lang, phrase, size, n) of at least `least` occurrences, and all words per language (lang, n).
 
-    With fewer `bits` to a fingerprint more of them collide; counts are the same.
+    With fewer `bits` to an n-gram's fingerprint (by default as many as the number of words asks for) more of them collide;
+    counts are the same.
     """
     arrow_limits(docs.sparkSession)
     rows = docs.select(
@@ -526,29 +515,26 @@ def phrase_counts(
     )
     seed, alike = 0, True
     while alike:
-        found = write_table(rows.mapInArrow(_chunked(chunk_bytes, seed), WORDS), "phrase-chunks", options=SMALL_GROUPS)
+        found = write_table(rows.mapInArrow(_chunked(chunk_bytes, seed), WORDS), "phrase-chunks", options=TIGHT)
         each = found.where("word is not null").select("chunk", "lang", "word", "fp", "n")
         all_words = write_table(each.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "phrase-langs")
         # One row for the corpus: how many counts there are, and no more pairs than words.
         total = all_words.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
         ranges = 1 + (total["n"] or 0) // RANGE
         of_words = each.select("chunk", "fp", "n").mapInArrow(_packed(1 + (total["rows"] or 0) // RANGE), PACKS)
-        often = _frequent(of_words, least)
-        text_of = F.struct("lang", "word")
-        often_texts = _among(each, often.select("fp"))
-        named = often_texts.groupBy("fp").agg(F.sum("n").alias("n"), F.min(text_of).alias("w"), F.max(text_of).alias("v"))
-        words = write_table(named, "phrase-words")
-        alike = bool(words.where("w <> v").limit(1).count())
+        often = _frequent(of_words, least).select("fp", "n", F.col("pointer").alias("chunk"))
+        words = _among(each.drop("n"), often, "fp", "chunk", how="inner").select("fp", "lang", "word", "n")
+        words = write_table(words, "phrase-words")
+        first = words.select("fp", F.col("lang").alias("of"), F.col("word").alias("as"))
+        alike = bool(_among(each, first, "fp", how="inner").where("lang <> of or word <> as").limit(1).count())
         seed += 1
+    bits = bits or min(BITS, SPARE + (total["n"] or 0).bit_length())
     chunks = found.where("ids is not null").select("chunk", "ids", "fps")
-    of_chunk = chunks.mapInArrow(_own_words, "chunk bigint, fp bigint")
-    counts = _meet(chunks, of_chunk, words.select("fp"), _frequent_pairs(bits), COUNTS)
-    packs = _meet(chunks, of_chunk, words.select("fp"), _frequent_pairs(bits), COUNTS, _packed(ranges), PACKS)
-    pairs = _frequent(packs, least)
-    # A frequent pair has frequent words, or shares its fingerprint with one that has.
-    runs = write_table(_meet(chunks, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs", options=SMALL_GROUPS)
-    longer = runs.mapInArrow(_after(_counted(range(3, longest + 1), bits), _packed(ranges * max(1, longest - 2))), PACKS)
-    longer = _frequent(longer, least)
+    counts = chunks.mapInArrow(_counted(range(2, 3), bits), COUNTS)
+    pairs = _frequent(chunks.mapInArrow(_after(_counted(range(2, 3), bits), _packed(ranges, bits)), PACKS), least)
+    runs = write_table(_meet(chunks, counts, pairs.select("fp"), _keep_pairs(bits), CHUNKS), "phrase-runs", options=TIGHT)
+    packs = _packed(ranges * max(1, longest - 2), bits)
+    longer = _frequent(runs.mapInArrow(_after(_counted(range(3, longest + 1), bits), packs), PACKS), least)
     marks = pairs.unionByName(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
     marks = write_table(marks, "phrase-marks")
     counts = runs.mapInArrow(_counted(range(2, longest + 1), bits), COUNTS)
@@ -565,19 +551,19 @@ def phrase_counts(
         .unionByName(others.groupBy("size", "words").agg(F.sum("n").alias("n")))
         .where(F.col("n") >= least)
     )
-    known = words.select(
-        "fp", F.col("w.lang").alias("lang"), F.col("w.word").cast("string").alias("phrase"), "n"
-    )
-    return known.drop("fp"), write_table(_texts(exact, known), "phrases"), all_words.select("lang", "n")
+    known = words.select("fp", "lang", F.col("word").cast("string").alias("phrase"), "n")
+    return known.drop("fp"), write_table(_texts(exact, known, longest), "phrases"), all_words.select("lang", "n")
 
 
-def _texts(phrases: DataFrame, words: DataFrame) -> DataFrame:
+def _texts(phrases: DataFrame, words: DataFrame, longest: int) -> DataFrame:
     """(lang, phrase, size, n) of phrases given by the fingerprints of their words."""
-    each = phrases.select("words", "size", "n", F.posexplode("words").alias("i", "fp"))
-    placed = each.join(words.select("fp", "lang", "phrase"), "fp")
-    spelled = F.transform(F.sort_array(F.collect_list(F.struct("i", "phrase"))), lambda x: x["phrase"])
-    whole = placed.groupBy("words", "size", "n").agg(F.min("lang").alias("lang"), F.array_join(spelled, " ").alias("phrase"))
-    return whole.select("lang", "phrase", "size", "n")
+    told = _told(words.select("fp", "lang", "phrase"))
+    placed = phrases.join(told.withColumnRenamed("phrase", "w0"), F.get("words", F.lit(0)) == F.col("fp")).drop("fp")
+    for i in range(1, longest):
+        word = told.select("fp", F.col("phrase").alias(f"w{i}"))
+        placed = placed.join(word, F.get("words", F.lit(i)) == F.col("fp"), "left").drop("fp")
+    whole = F.concat_ws(" ", *(f"w{i}" for i in range(longest)))
+    return placed.select("lang", whole.alias("phrase"), "size", "n")
 
 
 def _within(phrases: DataFrame) -> DataFrame:
@@ -595,7 +581,7 @@ def _within(phrases: DataFrame) -> DataFrame:
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
-    top: int = TOP, chunk_bytes: int = CHUNK_BYTES, bits: int = BITS,
+    top: int = TOP, chunk_bytes: int = CHUNK_BYTES, bits: int | None = None,
 ) -> DataFrame:
     """The `top` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 

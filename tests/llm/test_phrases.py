@@ -119,6 +119,31 @@ def test_text_of_words_travels_only_where_they_are_frequent(spark, monkeypatch,
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("bits", [9, 12])
+def test_rare_phrases_that_share_a_fingerprint_with_frequent_ones(spark, spoken, bits):
+    """A longer phrase that is rare with all it collides with takes nothing off a pair, nor a pair off a longer phrase."""
+    df = spark.createDataFrame(spoken, "lang string, text string")
+    assert _mined(df, least=30, chunk_bytes=900, bits=bits) == brute.collocations(spoken, 30)
+
+
+def test_what_is_shuffled_grows_no_faster_than_the_texts(spark, monkeypatch):
+    """Words that become frequent with more texts do not change what is counted of pairs; each text of a word is written once."""
+    sent = []
+    of_packs = collocations._frequent
+    monkeypatch.setattr(collocations, "_frequent", lambda packs, least: sent.append(packs) or of_packs(packs, least))
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = [("en", " ".join(rng.choices(vocab, range(1, 401), k=300))) for _ in range(80)]
+    for part in (rows[:10], rows):
+        df = spark.createDataFrame(part, "lang string, text string").coalesce(1)
+        words, _, _ = collocations.phrase_counts(df, least=20, chunk_bytes=3000)
+        assert words.count() == words.select("phrase").distinct().count() > 0
+    counted = [p.agg(F.sum("size").alias("n"), F.sum(F.length("data")).alias("bytes")).first() for p in sent]
+    (_, few, _), (_, many, _) = counted[:3], counted[3:]
+    assert few["n"] > 2900  # nearly all of 2990 pairs differ, whether their words are frequent or not
+    assert many["n"] < 8.1 * few["n"] and many["bytes"] < 9 * few["bytes"] and many["bytes"] < 5 * many["n"]
+
+
 def test_collocations_of_odd_tables(spark, empty, odd):
     assert collocations.collocations(empty).collect() == []
     rows = [(r["lang"], r["text"]) for r in odd.collect()]
