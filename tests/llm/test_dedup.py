@@ -1,12 +1,14 @@
 """Deduplication operators against brute force and on odd tables."""
 
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from eventloom.llm import suffix_dedup as sd
 from eventloom.llm import substring_dedup as sk
+from eventloom.llm import suffixes
 from eventloom.llm.components import components
 from eventloom.llm.exact_dedup import BLOCK, exact_dedup, keep_first
 from eventloom.llm.simhash import keep_one, links, simhash_dedup
@@ -186,6 +188,52 @@ def test_suffix_order(seed):
     assert heads == sorted(heads)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_order_of_wanted(seed):
+    """Wanted suffixes are in order, and of the others only some behind each run of wanted ones are touched."""
+    rng = np.random.default_rng(seed)
+    unit = rng.integers(0, 2 + seed, 300).astype(np.uint8)
+    text = np.concatenate([unit, unit[:200], unit, [0, 0], unit[50:], np.full(90, 1), [0]]).astype(np.uint8)
+    wanted = np.repeat(rng.random(len(text) // 20 + 1) < 0.3, 20)[: len(text)]
+    order = suffix_order(text, 60, wanted)
+    assert len(set(order.tolist())) == len(order) and set(np.flatnonzero(wanted)) <= set(order.tolist())
+    small = [text[i:].tobytes() < text[i + 1 :].tobytes() for i in range(len(text))]
+    for i in sorted(set(order.tolist()) - set(np.flatnonzero(wanted).tolist())):
+        assert i - 1 in order and not small[i - 1]
+    pad = text.tobytes() + b"\0" * 60
+    heads = [pad[i : i + 60] for i in order[wanted[order]].tolist()]
+    assert heads == sorted(heads)
+
+
+def test_suffix_sorting_leaves_the_rest_of_pieces_alone(monkeypatch):
+    """Bytes behind a piece's last window are not sorted, and suffixes that agree to the depth are compared once."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 450)
+    parts = [np.concatenate((rng.integers(97, 123, 20), passage, rng.integers(97, 123, 20), [0])) for _ in range(200)]
+    text = np.concatenate(parts).astype(np.uint8)
+    at = np.arange(len(text)) % len(parts[0])
+    valid = at + 400 < len(parts[0])
+    compared, same = [], suffixes._Text.same
+    monkeypatch.setattr(suffixes._Text, "same", lambda *a: compared.append(len(a[1])) or same(*a))
+    found = suffixes.repeated(text, valid, 400)
+    heads = [text[i : i + 400].tobytes() for i in np.flatnonzero(valid).tolist()]
+    assert found[valid].tolist() == [n > 1 for n in map(Counter(heads).get, heads)] and not found[~valid].any()
+    # The suffixes that start a window were compared some nine times each, and so were all others.
+    assert sum(compared) < 2 * valid.sum()
+
+
+def test_suffix_dedup_goes_by_bytes_and_not_by_words(spark):
+    """Passages of over 50 words in two documents: 400 bytes go, 399 and texts on their own stay."""
+    rng = np.random.default_rng(7)
+    word = lambda n: bytes(rng.integers(97, 123, n).tolist()).decode()
+    own = lambda: " ".join(word(5) for _ in range(60))
+    short, long = (" ".join([word(6) for _ in range(56)] + [word(n)]) for n in (7, 8))
+    assert (len(short), len(long)) == (399, 400)
+    rows = [(i, f"{own()} {i}{(long, short, '')[i // 2]}{i} {own()}") for i in range(6)]
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {0: 400, 1: 400, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
 def test_exact_dedup(docs, corpus):
     got = by_id(exact_dedup(docs).collect(), "keep_id", "group_size", "kept", "text_sha256")
     assert got == brute.exact_dedup(corpus)
