@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_limits, keyed, narrow, write_table
+from eventloom.llm.common import arrow_limits, exploded, keyed, narrow, write_table
 from eventloom.llm.components import components
 
 SHINGLE = 3
@@ -106,13 +106,14 @@ def links(fps: DataFrame) -> DataFrame:
     sent = sent.select("fp", "side", "v", "other", (F.col("half") == F.col("v")).alias("own"))
     # A variant that no fingerprint has itself joins nothing.
     sizes = sent.groupBy("side", "v").agg(F.count("*").alias("n"), F.max("own").alias("met"))
-    met = sent.join(sizes.where("n > 1 and met").drop("met"), ["side", "v"])
+    met = exploded(sent).join(sizes.where("n > 1 and met").drop("met"), ["side", "v"])
     met = write_table(met, "met")
     few = met.where(F.col("n") <= PAIRWISE)
     one = few.where("own").select("side", "v", F.col("fp").alias("a"))
     two = few.select("side", "v", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = one.join(two, ["side", "v"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
+    # Rows of one variant lie together and take few bytes on disk, many more in memory.
+    pairs = one.join(exploded(two), ["side", "v"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
 
     crowd = met.where(F.col("n") > PAIRWISE)
     other = F.col("other")
@@ -125,7 +126,7 @@ def links(fps: DataFrame) -> DataFrame:
     hubs = (
         points.where("hub").groupBy("side", "v", "w").agg(F.min("fp").alias("a"))
     )
-    stars = points.join(hubs, ["side", "v", "w"]).select("a", F.col("fp").alias("b"))
+    stars = exploded(points).join(hubs, ["side", "v", "w"]).select("a", F.col("fp").alias("b"))
     stars = stars.where((F.col("a") != F.col("b")) & near)
     return pairs.unionByName(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 

@@ -275,6 +275,26 @@ def test_links_join_all_within_the_radius(spark, monkeypatch, most):
     assert {v: got.get(v, v) for v in values} == want
 
 
+@pytest.mark.parametrize("most", [0, 64])
+def test_variants_of_fingerprints_are_not_broadcast(spark, monkeypatch, tmp_path, most):
+    """A table of a few kilobytes has 34 variants per row and more points around them: too many for the driver."""
+    from eventloom.llm import simhash
+
+    plans = []
+
+    def spy(df, name, *args, write=simhash.write_table):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *args)
+
+    monkeypatch.setattr(simhash, "PAIRWISE", most)
+    monkeypatch.setattr(simhash, "write_table", spy)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) == 10 << 20
+    spark.range(50).selectExpr("id * 1000003 AS fp").write.parquet(f"{tmp_path}/fps")
+    found = links(spark.read.parquet(f"{tmp_path}/fps"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("Join" in plan and "Broadcast" not in plan for plan in plans)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200 + i, 200) for i in range(1, 50)] + [(-3, 300), (7, 7)]
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()
