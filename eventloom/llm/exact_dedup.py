@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACE, arrow_limits, narrow, slices, unused, write_table
+from eventloom.llm.common import SPACE, arrow_limits, exploded, narrow, slices, unused, write_table
 
 BLOCK = 4096
 CHUNK_BYTES = 8 << 20
@@ -103,7 +103,7 @@ def identities(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut.where("kind = 1").select("chunk", "local", "blocks", F.size("blocks").alias("n"))
     places = texts.select("chunk", "local", "n", F.posexplode("blocks").alias("at", "block"))
     level = write_table(
-        places.join(names, ["chunk", "block"]).select("chunk", "local", "n", "at", "name"), "names-0"
+        exploded(places).join(names, ["chunk", "block"]).select("chunk", "local", "n", "at", "name"), "names-0"
     )
     longest = level.agg(F.max("n")).first()[0] or 1
     done = [level.where("n = 1").select("chunk", "local", F.lit(0).alias("level"), "name")]

@@ -295,6 +295,20 @@ def test_variants_of_fingerprints_are_not_broadcast(spark, monkeypatch, tmp_path
     assert len(plans) == 2 and all("Join" in plan and "Broadcast" not in plan for plan in plans)
 
 
+def test_places_of_blocks_are_not_broadcast(spark, docs, monkeypatch):
+    from eventloom.llm import exact_dedup as ed
+
+    plans = {}
+
+    def spy(df, name, *args, write=ed.write_table):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *args)
+
+    monkeypatch.setattr(ed, "write_table", spy)
+    assert keep_first(docs).count() > 0
+    assert "Join" in plans["names-0"] and "Broadcast" not in plans["names-0"]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200 + i, 200) for i in range(1, 50)] + [(-3, 300), (7, 7)]
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()
