@@ -299,3 +299,28 @@ def test_batches_are_written_by_size(spark, root, tmp_path, monkeypatch, many_pa
     _drain(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), root, f"{tmp_path}/cp")
     assert len(seen) == 4 and all(adaptive == "true" and parts <= 8 for adaptive, parts in seen)
     assert totals(spark, root) == {"info": 72}
+
+
+def test_compacted_days_come_in_several_batches(spark, tmp_path, monkeypatch):
+    """The query that counts again after compaction has something to compact on every day."""
+    from eventloom.registry import streams
+    from eventloom.sources.canonical import RAW_EVENTS
+
+    found = {}
+
+    def spy(session, root, name, before, compact=tables.compact):
+        batches = lambda: {d: len(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("event_date=")}
+        path = f"{root}/{name}".removeprefix("file://")
+        many = batches()
+        compact(session, root, name, before)
+        found[name] = many, batches()
+
+    monkeypatch.setattr(streams, "compact", spy)
+    kinds = ("click", "purchase", "error")
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 20, i % 20), i % 9, kinds[i % 3], 1.0, "{}") for i in range(30 * 20)]
+    spark.createDataFrame(rows, RAW_EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = streams.a11_compacted(spark, str(tmp_path)).groupBy("part").agg(F.sum("count").alias("n")).collect()
+    assert {r["part"]: r["n"] for r in got} == {"events": 600, "counts": 600}
+    for many, after in found.values():
+        assert len(many) == 30 and set(many.values()) == {2}
+        assert {d: n for d, n in after.items() if d < "event_date=2024-01-25"} == dict.fromkeys(sorted(many)[:24], 1)
