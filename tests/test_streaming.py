@@ -324,3 +324,28 @@ def test_compacted_days_come_in_several_batches(spark, tmp_path, monkeypatch):
     for many, after in found.values():
         assert len(many) == 30 and set(many.values()) == {2}
         assert {d: n for d, n in after.items() if d < "event_date=2024-01-25"} == dict.fromkeys(sorted(many)[:24], 1)
+
+
+def test_batches_are_not_held_in_memory(spark, root, tmp_path, monkeypatch):
+    """Rows that several steps read lie in files while the batch lasts, in ingest as in a stream; nothing is cached."""
+    held, folder = [], f"{root.removeprefix('file://')}/_staged"
+
+    def spy(df, at, name, *args, write=tables.write_batch, **how):
+        held.append((name, df.sparkSession._jsc.sc().getPersistentRDDs().size(), sorted(os.listdir(folder))))
+        write(df, at, name, *args, **how)
+
+    before = spark._jsc.sc().getPersistentRDDs().size()
+    monkeypatch.setattr(tables, "write_batch", spy)
+    monkeypatch.setattr(jobs, "write_batch", spy)
+    good = '{"source":"s","event_type":"t","timestamp":"2024-01-02T00:00:00Z","data":{"n":%d}}'
+    sent = spark.createDataFrame([(good % i,) for i in range(9)] + [('{"source":""}',), ("oops",)], "payload string")
+    event_frame(spark, [("left", "info", NOW)]).write.parquet(f"{root}/_staged/sent-4")  # of a run that broke off
+    for _ in range(2):
+        jobs.ingest_batch(sent, root, 4, F.lit(str(NOW)))
+    assert [h for h in held[:4]] == [
+        ("events", before, ["fresh-4", "rows-4", "sent-4"]), ("counts", before, ["fresh-4", "rows-4", "sent-4"]),
+        ("rejected", before, ["sent-4"]), ("quarantine", before, ["sent-4"]),
+    ]
+    assert held[4:] == held[:4] and os.listdir(folder) == []
+    sizes = {name: read_table(spark, root, name).count() for name in ("events", "rejected", "quarantine")}
+    assert sizes == {"events": 9, "rejected": 2, "quarantine": 1}
